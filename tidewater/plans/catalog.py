@@ -6,7 +6,7 @@ import importlib
 
 from tidewater.plans.registry import QUERIES, SQL
 
-_MODULES = ["q_curation"]
+_MODULES = ["q_curation", "q_features"]
 
 
 def load() -> tuple[dict, dict]:
