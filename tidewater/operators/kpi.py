@@ -151,17 +151,20 @@ def alerts(scores: DataFrame, threshold: float = ALERT_THRESHOLD, *,
 
 def join_model_dimension(scores: DataFrame, dim_model: DataFrame, *,
                          fact_version: str = "model_version", dim_version: str = "version",
-                         max_dim_rows: int = 100_000) -> DataFrame:
+                         on: list[str] | None = None, max_dim_rows: int = 100_000) -> DataFrame:
     """Fact rows with their model's attributes (many-to-one, left).
 
-    Versions are compared after dropping a leading ``v`` ('v2' = 2).  The
-    dimension is broadcast only after a row-count check.
+    Versions are compared after dropping a leading ``v`` ('v2' = 2); ``on``
+    adds further equal keys (e.g. the model name).  The dimension is
+    broadcast only after a row-count check.
     """
+    keys = list(on or []) + ["_vkey"]
     d = dim_model.withColumn("_vkey", strip_version_prefix(F.col(dim_version)))
     d = bounded_broadcast(d, max_dim_rows)
     f = scores.withColumn("_vkey", strip_version_prefix(F.col(fact_version)))
-    return f.join(d.drop(dim_version) if dim_version != fact_version else d.drop(dim_version),
-                  "_vkey", "left").drop("_vkey")
+    if dim_version in scores.columns:
+        d = d.withColumnRenamed(dim_version, f"dim_{dim_version}")
+    return f.join(d, keys, "left").drop("_vkey")
 
 
 def preview(df: DataFrame, n: int, *order: Column | str) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from tidewater.plans.registry import QUERIES, SQL
 
-_MODULES = ["q_curation", "q_features"]
+_MODULES = ["q_curation", "q_features", "q_kpi"]
 
 
 def load() -> tuple[dict, dict]:

@@ -87,6 +87,73 @@ SELECT user_id, event_timestamp, last_view_value * 2 AS last_view_value, view_sc
        event_timestamp + INTERVAL 1 HOUR AS created_timestamp FROM feat_v
 """
 
+VIEWS["registry_v"] = """
+SELECT 'fraud_' || location AS model_name,
+       CAST(substr(model_version, 2) AS INTEGER) AS version,
+       CASE CAST(substr(model_version, 2) AS INTEGER) WHEN 3 THEN 'Staging' WHEN 2 THEN 'Production'
+            ELSE 'None' END AS current_stage,
+       epoch_us(min(scored_at)) // 1000 AS creation_time,
+       epoch_us(max(scored_at)) // 1000 AS last_updated_time,
+       md5('fraud_' || location || ':' || substr(model_version, 2)) AS run_id,
+       'READY' AS status
+FROM scores_v GROUP BY location, model_version
+"""
+
+VIEWS["model_scores_v"] = """
+SELECT *, 'fraud_' || location AS model_name, CAST(substr(model_version, 2) AS INTEGER) AS version
+FROM scores_v
+"""
+
+
+def auc_sql(src: str, keys: list[str], score: str, label: str) -> str:
+    """Exact tie-aware ROC-AUC per group, by ordered cumulative negatives."""
+    k = ", ".join(keys)
+    kk = (k + ", ") if keys else ""
+    part = f"PARTITION BY {k} " if keys else ""
+    grp = f"GROUP BY {k}" if keys else ""
+    return f"""
+SELECT {kk}CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives,
+       sum(CAST(pos AS DOUBLE) * (CAST(below AS DOUBLE) + CAST(neg AS DOUBLE) / 2))
+         / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS roc_auc
+FROM (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM (SELECT {kk}CAST({score} AS DOUBLE) AS score, sum(CAST({label} AS INTEGER)) AS pos,
+                   sum(1 - CAST({label} AS INTEGER)) AS neg
+            FROM {src} WHERE {score} IS NOT NULL AND {label} IS NOT NULL
+            GROUP BY {kk}CAST({score} AS DOUBLE)))
+{grp}
+"""
+
+
+def cls_sql(src: str, keys: list[str], pred: str, label: str) -> str:
+    k = ", ".join(keys)
+    kk = (k + ", ") if keys else ""
+    grp = f"GROUP BY {k}" if keys else ""
+    p, y = f"(CAST({pred} AS INTEGER) = 1)", f"(CAST({label} AS INTEGER) = 1)"
+    return f"""
+SELECT {kk}tp, fp, tn, fn,
+       coalesce(tp / NULLIF(tp + fp, 0), 0.0) AS precision,
+       coalesce(tp / NULLIF(tp + fn, 0), 0.0) AS recall,
+       coalesce(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0.0) AS f1,
+       (tp + tn) / NULLIF(tp + tn + fp + fn, 0) AS accuracy
+FROM (SELECT {kk}count(*) FILTER (WHERE {p} AND {y}) AS tp, count(*) FILTER (WHERE {p} AND NOT {y}) AS fp,
+             count(*) FILTER (WHERE NOT {p} AND NOT {y}) AS tn, count(*) FILTER (WHERE NOT {p} AND {y}) AS fn
+      FROM {src} {grp})
+"""
+
+
+VIEWS["metrics_v"] = f"""
+SELECT r.run_id, 1 AS experiment_id, r.creation_time AS start_time, r.last_updated_time AS end_time,
+       'FINISHED' AS status, m.metric_name, m.metric_value
+FROM registry_v r JOIN (
+  SELECT model_name, version, 'roc_auc' AS metric_name, roc_auc AS metric_value
+  FROM ({auc_sql('model_scores_v', ['model_name', 'version'], 'fraud_probability', 'is_simulated_fraud')})
+  UNION ALL
+  SELECT model_name, version, unnest(['precision', 'recall', 'f1']) AS metric_name,
+         unnest([precision, recall, f1]) AS metric_value
+  FROM ({cls_sql('model_scores_v', ['model_name', 'version'], 'prediction', 'is_simulated_fraud')})
+) m USING (model_name, version)
+"""
+
 # ----------------------------------------------------------------- helpers
 
 FIXED_TS = "TIMESTAMP '2025-01-01 00:00:00'"
@@ -96,6 +163,9 @@ IPV4_RE = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.)\d{1,3}"
 def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the CTEs of the named views (dependencies first)."""
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    body = sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{sql}"
 
 

@@ -144,3 +144,50 @@ def feat_created_v(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "view_score", "view_event_id",
                       (F.col("event_timestamp") + F.expr("INTERVAL 1 HOUR")).alias("created_timestamp"))
     return first.unionByName(second)
+
+
+def _epoch_ms(c) -> F.Column:
+    return F.expr(f"unix_micros(cast({c} as timestamp)) div 1000")
+
+
+def registry_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model registry: one model per location, versions v1..v3 of the scores."""
+    s = scores_v(spark, sf_dir)
+    g = s.groupBy("location", "model_version").agg(F.min("scored_at").alias("_first"),
+                                                    F.max("scored_at").alias("_last"))
+    version = F.substring(F.col("model_version"), 2, 10).cast("int")
+    name = F.concat(F.lit("fraud_"), F.col("location"))
+    return g.select(
+        name.alias("model_name"), version.alias("version"),
+        F.when(version == 3, F.lit("Staging")).when(version == 2, F.lit("Production"))
+         .otherwise(F.lit("None")).alias("current_stage"),
+        _epoch_ms("_first").alias("creation_time"), _epoch_ms("_last").alias("last_updated_time"),
+        F.md5(F.concat(name, F.lit(":"), version.cast("string"))).alias("run_id"),
+        F.lit("READY").alias("status"))
+
+
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scores_v(spark, sf_dir)
+    return s.withColumns({"model_name": F.concat(F.lit("fraud_"), F.col("location")),
+                          "version": F.substring(F.col("model_version"), 2, 10).cast("int")})
+
+
+METRIC_NAMES = ["roc_auc", "precision", "recall", "f1"]
+
+
+def metrics_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run metrics in long (EAV) form, computed from the scores of each
+    (model, version): exact ROC-AUC and precision / recall / F1."""
+    from tidewater.operators import ml
+    ms = model_scores(spark, sf_dir)
+    keys = ["model_name", "version"]
+    auc = ml.roc_auc(ms, "fraud_probability", "is_simulated_fraud", group_by=keys).select(*keys, "roc_auc")
+    cls = ml.classification_metrics(ms, "prediction", "is_simulated_fraud", group_by=keys)
+    wide = auc.join(cls.select(*keys, "precision", "recall", "f1"), keys, "inner")
+    stack = ", ".join(f"'{m}', {m}" for m in METRIC_NAMES)
+    long = wide.selectExpr(*keys, f"stack({len(METRIC_NAMES)}, {stack}) as (metric_name, metric_value)")
+    reg = registry_v(spark, sf_dir)
+    return long.join(reg, keys, "inner").select(
+        "run_id", F.lit(1).alias("experiment_id"), F.col("creation_time").alias("start_time"),
+        F.col("last_updated_time").alias("end_time"), F.lit("FINISHED").alias("status"),
+        "metric_name", "metric_value")
