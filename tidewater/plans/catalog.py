@@ -6,7 +6,7 @@ import importlib
 
 from tidewater.plans.registry import QUERIES, SQL
 
-_MODULES = ["q_curation", "q_features", "q_kpi"]
+_MODULES = ["q_curation", "q_features", "q_kpi", "q_quality"]
 
 
 def load() -> tuple[dict, dict]:
