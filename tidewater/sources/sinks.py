@@ -24,6 +24,11 @@ def append_partitioned_parquet(df: DataFrame, path: str, partition_col: str, *,
     w.parquet(path)
 
 
+# Lossless timestamp text for JSON/CSV files (Spark's default keeps millis).
+TS_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+              "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def landing_partitions(ts: Column) -> list[Column]:
     """year/month/day partition strings of a timestamp (UTC, zero padded)."""
     return [F.date_format(ts, "yyyy").alias("year"), F.date_format(ts, "MM").alias("month"),
@@ -35,7 +40,7 @@ def write_json_landing(df: DataFrame, path: str, ts_col: str, topic_col: str | N
     """Batch JSON-lines landing under ``[topic=…/]year=/month=/day=``."""
     parts = ([topic_col] if topic_col else []) + ["year", "month", "day"]
     out = df.select("*", *landing_partitions(F.col(ts_col)))
-    out.repartition(*parts).write.mode(mode).partitionBy(*parts).json(path)
+    out.repartition(*parts).write.mode(mode).options(**TS_OPTIONS).partitionBy(*parts).json(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
