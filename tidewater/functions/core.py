@@ -124,9 +124,16 @@ def l2_norm(a) -> Column:
 
 
 def normalize_vector(a) -> Column:
-    """Unit-length copy of the vector as ARRAY<DOUBLE>; null for a zero vector."""
-    n = l2_norm(a)
-    return F.when(n > 0, F.transform(as_col(a), lambda x: x.cast("double") / n))
+    """Unit-length copy of the vector as ARRAY<DOUBLE>; null for a zero vector.
+
+    The squared norm is folded once and bound in the finish lambda, so the
+    per-element division does not recompute it (O(d), not O(d^2)).
+    """
+    a = as_col(a)
+    return F.aggregate(
+        a, F.lit(0.0).cast("double"),
+        lambda acc, x: acc + x.cast("double") * x.cast("double"),
+        lambda acc: F.when(acc > 0, F.transform(a, lambda x: x.cast("double") / F.sqrt(acc))))
 
 
 def cosine_similarity(a, b) -> Column:

@@ -21,17 +21,17 @@ def prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, value_col:
     g = list(group_cols)
     o = F.col(order_col).cast("double")
     if g:
-        rng = df.groupBy(*g).agg(F.min(o).alias("_lo"), F.max(o).alias("_hi"))
+        rng = df.groupBy(*g).agg(F.min(o).alias("_ps_lo"), F.max(o).alias("_ps_hi"))
         base = df.join(rng, g, "inner")
     else:
-        base = df.withColumns({"_lo": df.agg(F.min(o)).scalar(), "_hi": df.agg(F.max(o)).scalar()})
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / F.lit(n_buckets)).otherwise(F.lit(1.0))
-    base = base.withColumn("_pb", F.least(F.floor((o - F.col("_lo")) / width), F.lit(n_buckets - 1)).cast("int"))
-    totals = base.groupBy(*g, "_pb").agg(F.sum(value_col).alias("_bt"))
-    wb = Window.partitionBy(*g).orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*g, "_pb", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"))
+        base = df.withColumns({"_ps_lo": df.agg(F.min(o)).scalar(), "_ps_hi": df.agg(F.max(o)).scalar()})
+    width = F.when(F.col("_ps_hi") > F.col("_ps_lo"), (F.col("_ps_hi") - F.col("_ps_lo")) / F.lit(n_buckets)).otherwise(F.lit(1.0))
+    base = base.withColumn("_ps_b", F.least(F.floor((o - F.col("_ps_lo")) / width), F.lit(n_buckets - 1)).cast("int"))
+    totals = base.groupBy(*g, "_ps_b").agg(F.sum(value_col).alias("_ps_bt"))
+    wb = Window.partitionBy(*g).orderBy("_ps_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*g, "_ps_b", F.coalesce(F.sum("_ps_bt").over(wb), F.lit(0)).alias("_ps_off"))
     end = Window.currentRow if inclusive else -1
-    wi = Window.partitionBy(*g, "_pb").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
-    res = (base.join(offsets, [*g, "_pb"], "inner")
-           .withColumn(out, F.col("_off") + F.coalesce(F.sum(value_col).over(wi), F.lit(0))))
-    return res.drop("_lo", "_hi", "_pb", "_off")
+    wi = Window.partitionBy(*g, "_ps_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
+    res = (base.join(offsets, [*g, "_ps_b"], "inner")
+           .withColumn(out, F.col("_ps_off") + F.coalesce(F.sum(value_col).over(wi), F.lit(0))))
+    return res.drop("_ps_lo", "_ps_hi", "_ps_b", "_ps_off")

@@ -35,7 +35,8 @@ def token_sign(tok: Column) -> Column:
     return F.when(F.pmod(nib, F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
-def embed_hashing(df: DataFrame, id_col: str, text_col: str = "text", dim: int = 256) -> DataFrame:
+def embed_hashing(df: DataFrame, id_col: str, text_col: str = "text", dim: int = 256,
+                  as_float: bool = True) -> DataFrame:
     """L2-normalised signed bag-of-words vectors of fixed ``dim``.
 
     Tokens are exploded and summed per (id, slot) — a partial aggregate, so
@@ -50,7 +51,8 @@ def embed_hashing(df: DataFrame, id_col: str, text_col: str = "text", dim: int =
     dense = (slots.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_v"))).alias("_m"))
              .select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                                          lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))).alias("_raw")))
-    out = dense.select(id_col, normalize_vector("_raw").cast(T.ArrayType(T.FloatType())).alias("vector"))
+    vec = normalize_vector("_raw")
+    out = dense.select(id_col, (vec.cast(T.ArrayType(T.FloatType())) if as_float else vec).alias("vector"))
     ids = df.select(id_col)
     return ids.join(out, id_col, "left")
 
@@ -64,7 +66,8 @@ def _prepare_queries(queries: DataFrame, qid: str, qvec: str) -> pd.DataFrame:
 
 def vector_topk(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col: str = "id",
                 vec_col: str = "vector", qid_col: str = "query_id", qvec_col: str = "vector",
-                carry: list[str] | None = None, max_query_rows: int = 4096) -> DataFrame:
+                carry: list[str] | None = None, max_query_rows: int = 4096,
+                tie_decimals: int = 12) -> DataFrame:
     """Exact cosine top-k of every query over all points.
 
     The query set is checked to hold at most ``max_query_rows`` rows (a
@@ -74,7 +77,9 @@ def vector_topk(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col
     top-k per query (ties: smaller id first), so no (query, point) pair
     table is ever formed.  A final per-query window picks k of the
     ``tasks * k`` candidates.  Zero vectors have no similarity and are
-    skipped.  Output: query_id, rank (1-based), id, similarity, carry cols.
+    skipped.  Similarities equal to ``tie_decimals`` places are ties and
+    are ordered by id, so floating-point noise cannot reorder equal texts.
+    Output: query_id, rank (1-based), id, similarity, carry cols.
     """
     carry = carry or []
     q = _prepare_queries(queries, qid_col, qvec_col)
@@ -84,7 +89,8 @@ def vector_topk(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col
         n_slices = -(-queries.count() // max_query_rows) * 2
         parts = [vector_topk(points, queries.where(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_slices)) == i),
                              k=k, id_col=id_col, vec_col=vec_col, qid_col=qid_col, qvec_col=qvec_col,
-                             carry=carry, max_query_rows=max_query_rows) for i in range(n_slices)]
+                             carry=carry, max_query_rows=max_query_rows, tie_decimals=tie_decimals)
+                 for i in range(n_slices)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -119,7 +125,7 @@ def vector_topk(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col
                 continue
             m, norms = m[keep], norms[keep]
             ids = pdf["_id"].to_numpy()[keep]
-            sims = (qm @ m.T) / norms  # queries are unit length
+            sims = np.round((qm @ m.T) / norms, tie_decimals)  # queries are unit length
             for qi in range(len(qids_)):
                 cand_s = np.concatenate([best_sims[qi], sims[qi]])
                 cand_i = np.concatenate([np.asarray(best_ids[qi], dtype=ids.dtype), ids])

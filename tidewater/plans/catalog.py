@@ -6,7 +6,7 @@ import importlib
 
 from tidewater.plans.registry import QUERIES, SQL
 
-_MODULES = ["q_curation", "q_features", "q_kpi", "q_quality", "q_io"]
+_MODULES = ["q_curation", "q_features", "q_kpi", "q_quality", "q_io", "q_docs"]
 
 
 def load() -> tuple[dict, dict]:
