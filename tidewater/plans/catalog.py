@@ -6,7 +6,7 @@ import importlib
 
 from tidewater.plans.registry import QUERIES, SQL
 
-_MODULES = ["q_curation", "q_features", "q_kpi", "q_quality", "q_io", "q_docs"]
+_MODULES = ["q_curation", "q_features", "q_kpi", "q_quality", "q_io", "q_docs", "q_ml", "q_stream"]
 
 
 def load() -> tuple[dict, dict]:
