@@ -138,9 +138,15 @@ def classification_metrics(df: DataFrame, prediction: str, label: str,
 
 
 def train_forest(train: DataFrame, features: list[str], label: str, *, weight_col: str | None = None,
-                 seed: int = SEED, **params) -> PipelineModel:
+                 seed: int = SEED, save_to: str | None = None, **params) -> PipelineModel:
     """Random forest (Spark ML, distributed histograms) behind a feature
-    assembler; returns one ``PipelineModel`` (features + model together)."""
+    assembler; returns one ``PipelineModel`` (features + model together).
+
+    With ``save_to`` the fitted model is written there and the re-loaded
+    copy is returned: it carries no training summary, whose session
+    reference cannot be serialised into tasks once the session has used
+    observations.
+    """
     conf = dict(FOREST)
     conf.update(FOREST_EXEC)
     conf.update(params)
@@ -152,9 +158,13 @@ def train_forest(train: DataFrame, features: list[str], label: str, *, weight_co
         rf = rf.setWeightCol(weight_col)
     data = train.withColumn(label, F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=[va, rf]).fit(data)
+        model = Pipeline(stages=[va, rf]).fit(data)
     finally:
         data.unpersist()
+    if save_to:
+        model.write().overwrite().save(save_to)
+        model = PipelineModel.load(save_to)
+    return model
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -171,11 +181,16 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 def save_model(model: PipelineModel, path: str, features: list[str],
                scaler: dict[str, tuple[float, float]] | None, spark: SparkSession) -> None:
     """Persist model, feature list and scaler together under one path."""
-    model.write().overwrite().save(f"{path}/model")
+    if not _exists_model(model, f"{path}/model"):
+        model.write().overwrite().save(f"{path}/model")
     meta = json.dumps({"features": features, "scaler": scaler or {}})
     spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
+def _exists_model(model: PipelineModel, path: str) -> bool:
+    return getattr(model, "_saved_path", None) == path
+
+
 def load_model(spark: SparkSession, path: str):
     model = PipelineModel.load(f"{path}/model")
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])

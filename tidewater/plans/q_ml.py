@@ -86,8 +86,9 @@ def train(spark, sf):
     test_df = split.where(F.col("split") == "test")
     params = ml.scaler_params(ml.fit_scaler(train_df, feats), feats)
     train_s = ml.with_class_weight(ml.apply_scaler(train_df, params), "is_fraud")
-    model = ml.train_forest(train_s, feats, "is_fraud", weight_col="weight")
     path = scratch_path(spark, "forest")
+    model = ml.train_forest(train_s, feats, "is_fraud", weight_col="weight", save_to=f"{path}/model")
+    model._saved_path = f"{path}/model"
     ml.save_model(model, path, feats, params, spark)
     _MODELS[sf] = path
     scored = ml.score(model, ml.apply_scaler(test_df, params))

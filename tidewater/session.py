@@ -15,6 +15,7 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # Every broadcast in this library sits behind an explicit size check; the
     # automatic threshold stays at Spark's default for plain joins.
 }
