@@ -35,3 +35,20 @@ def prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, value_col:
     res = (base.join(offsets, [*g, "_ps_b"], "inner")
            .withColumn(out, F.col("_ps_off") + F.coalesce(F.sum(value_col).over(wi), F.lit(0))))
     return res.drop("_ps_lo", "_ps_hi", "_ps_b", "_ps_off")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a CPU-heavy stage at least one partition per core.
+
+    A small input (a single file with one row group) scans as one
+    partition, and a row-local stage after it (tokenising, chunking, tree
+    fitting) would run on one core.  Only then the rows are dealt
+    round-robin over ``defaultParallelism`` partitions; a large input
+    already has more partitions than cores and passes unchanged (no
+    shuffle).  Round-robin repartitioning sorts rows first, so a retried
+    task rebuilds the same partitions.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

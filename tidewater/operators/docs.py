@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import uuid5
-from tidewater.operators.common import prefix_sum
+from tidewater.operators.common import prefix_sum, spread
 
 # Chunk size and overlap of the ingest splitter.
 CHUNK_SIZE = 1000
@@ -30,20 +30,27 @@ def chunk_starts(n_words: Column, size: int, overlap: int) -> Column:
 
 
 def chunk_text(df: DataFrame, text_col: str = "text", *, size: int = CHUNK_SIZE,
-               overlap: int = CHUNK_OVERLAP, keep: list[str] | None = None) -> DataFrame:
-    """One row per chunk: ``pos`` (0-based within the text) and ``text``.
+               overlap: int = CHUNK_OVERLAP, keep: list[str] | None = None,
+               with_count: bool = False) -> DataFrame:
+    """One row per chunk: ``pos`` (0-based within the text) and ``text``
+    (plus ``n_in_text``, the text's chunk count, with ``with_count``).
 
     Row-local: arrays are built and exploded inside each task, so no
     shuffle is needed and each text is processed whole.  Empty texts give
     no chunks.
     """
     keep = keep if keep is not None else [c for c in df.columns if c != text_col]
-    w = df.select(*keep, words(F.col(text_col)).alias("_w"))
-    w = w.where(F.size("_w") > 0)
-    starts = chunk_starts(F.size("_w"), size, overlap)
-    exploded = w.select(*keep, "_w", F.posexplode(starts).alias("pos", "_start"))
-    return exploded.select(*keep, "pos",
-                           F.array_join(F.slice("_w", F.col("_start") + 1, size), " ").alias("text"))
+    # The word array is bound once as a lambda variable (``transform`` over a
+    # one-element array): referenced by name, the optimizer could inline
+    # the split into the per-chunk expression and redo it for every chunk.
+    def chunks_of(w):
+        texts = F.transform(chunk_starts(F.size(w), size, overlap),
+                            lambda s: F.array_join(F.slice(w, s + 1, size), " "))
+        return F.when(F.size(w) > 0, texts).otherwise(F.array().cast("array<string>"))
+
+    c = spread(df).select(*keep, F.transform(F.array(words(F.col(text_col))), chunks_of)[0].alias("_c"))
+    extra = [F.size("_c").alias("n_in_text")] if with_count else []
+    return c.select(*keep, *extra, F.posexplode("_c").alias("pos", "text"))
 
 
 def chunk_count(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -52,25 +59,29 @@ def chunk_count(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERL
     return F.when(n > 0, F.size(chunk_starts(n, size, overlap))).otherwise(F.lit(0))
 
 
-def number_chunks(chunks: DataFrame, pages: DataFrame, *, source_col: str = "source",
-                  page_col: str = "page_no", text_col: str = "text", size: int = CHUNK_SIZE,
-                  overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """``chunk_index`` running across all pages of a source (page order,
-    then position) and the deterministic id uuid5('<source>: <index>').
+def chunk_and_number(pages: DataFrame, *, source_col: str = "source", page_col: str = "page_no",
+                     text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
+                     ) -> DataFrame:
+    """Chunk every page and number the chunks across all pages of a source
+    (page order, then position); id = uuid5('<source>: <index>').
 
-    The offset of each page is a prefix sum of per-page chunk counts over a
-    page-level table (one narrow row per page), computed by ``prefix_sum``
-    so a source with very many pages is still spread over many tasks.
+    The chunk table is computed once and written to the shared folder
+    (lineage cut), because both the page offsets and the final rows read
+    it.  The offset of each page is a
+    prefix sum of per-page chunk counts over one narrow row per page,
+    computed by ``prefix_sum`` so a source with very many pages is still
+    spread over many tasks.
     """
-    per_page = pages.select(source_col, page_col,
-                            chunk_count(F.col(text_col), size, overlap).alias("_n"))
-    offs = prefix_sum(per_page, [source_col], page_col, "_n", "_off")
+    from tidewater.session import materialize
+    chunks = materialize(chunk_text(pages, text_col, size=size, overlap=overlap, keep=[source_col, page_col],
+                                    with_count=True), "chunks")
+    per_page = chunks.where(F.col("pos") == 0).select(source_col, page_col, "n_in_text")
+    offs = prefix_sum(per_page, [source_col], page_col, "n_in_text", "_off")
     out = chunks.join(offs.select(source_col, page_col, "_off"), [source_col, page_col], "inner")
     idx = (F.col("_off") + F.col("pos")).cast("int")
     return out.select(
         uuid5(F.concat(F.col(source_col), F.lit(": "), idx.cast("string"))).alias("id"),
         F.col(source_col).alias("source"), idx.alias("chunk_index"),
-        *[c for c in chunks.columns if c not in (source_col, "pos", page_col, text_col)],
         F.col(page_col), F.col(text_col).alias("text"))
 
 

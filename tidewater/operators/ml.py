@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import seeded_bucket
+from tidewater.operators.common import spread
 
 # Fixed values of the training job.
 SEED = 42
@@ -156,7 +157,7 @@ def train_forest(train: DataFrame, features: list[str], label: str, *, weight_co
                                 predictionCol="_prediction", **conf)
     if weight_col:
         rf = rf.setWeightCol(weight_col)
-    data = train.withColumn(label, F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    data = spread(train.withColumn(label, F.col(label).cast("double"))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = Pipeline(stages=[va, rf]).fit(data)
     finally:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import normalize_vector
+from tidewater.operators.common import spread
 
 # Fixed value: default number of results of a search.
 TOP_K = 5
@@ -24,15 +25,23 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != F.lit(""))
 
 
+def _slot_of_hash(h: Column, dim: int) -> Column:
+    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+
+
+def _sign_of_hash(h: Column) -> Column:
+    nib = F.conv(F.substring(h, 9, 1), 16, 10).cast("int")
+    return F.when(F.pmod(nib, F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+
+
 def token_slot(tok: Column, dim: int) -> Column:
     """Hash slot of a token: first 32 bits of md5 modulo ``dim``."""
-    return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    return _slot_of_hash(F.md5(tok), dim)
 
 
 def token_sign(tok: Column) -> Column:
     """+1 / -1 from the next md5 nibble (signed hashing keeps dot products unbiased)."""
-    nib = F.conv(F.substring(F.md5(tok), 9, 1), 16, 10).cast("int")
-    return F.when(F.pmod(nib, F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    return _sign_of_hash(F.md5(tok))
 
 
 def embed_hashing(df: DataFrame, id_col: str, text_col: str = "text", dim: int = 256,
@@ -45,9 +54,10 @@ def embed_hashing(df: DataFrame, id_col: str, text_col: str = "text", dim: int =
     for a hosted embedding model; any embedder with the same output shape
     (e.g. a ``mapInPandas`` model call) can replace it.
     """
-    t = df.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("_t"))
-    slots = (t.groupBy(id_col, token_slot(F.col("_t"), dim).alias("_slot"))
-             .agg(F.sum(token_sign(F.col("_t"))).alias("_v")))
+    t = (spread(df).select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("_t"))
+         .select(id_col, F.md5("_t").alias("_h")))
+    slots = (t.groupBy(id_col, _slot_of_hash(F.col("_h"), dim).alias("_slot"))
+             .agg(F.sum(_sign_of_hash(F.col("_h"))).alias("_v")))
     dense = (slots.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_v"))).alias("_m"))
              .select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                                          lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))).alias("_raw")))
@@ -67,7 +77,7 @@ def _prepare_queries(queries: DataFrame, qid: str, qvec: str) -> pd.DataFrame:
 def vector_topk(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col: str = "id",
                 vec_col: str = "vector", qid_col: str = "query_id", qvec_col: str = "vector",
                 carry: list[str] | None = None, max_query_rows: int = 4096,
-                tie_decimals: int = 12) -> DataFrame:
+                tie_decimals: int = 12, carry_from: DataFrame | None = None) -> DataFrame:
     """Exact cosine top-k of every query over all points.
 
     The query set is checked to hold at most ``max_query_rows`` rows (a
@@ -89,7 +99,8 @@ def vector_topk(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col
         n_slices = -(-queries.count() // max_query_rows) * 2
         parts = [vector_topk(points, queries.where(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_slices)) == i),
                              k=k, id_col=id_col, vec_col=vec_col, qid_col=qid_col, qvec_col=qvec_col,
-                             carry=carry, max_query_rows=max_query_rows, tie_decimals=tie_decimals)
+                             carry=carry, max_query_rows=max_query_rows, tie_decimals=tie_decimals,
+                             carry_from=carry_from)
                  for i in range(n_slices)]
         out = parts[0]
         for p in parts[1:]:
@@ -103,7 +114,7 @@ def vector_topk(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col
     sc = points.sparkSession.sparkContext
     bq = sc.broadcast((qids, qmat))
 
-    pts = points.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"))
+    pts = spread(points.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")))
     out_schema = T.StructType([T.StructField("query_id", qid_type), T.StructField("_id", id_type),
                                T.StructField("similarity", T.DoubleType())])
 
@@ -144,7 +155,8 @@ def vector_topk(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     res = top.select(F.col("query_id").alias(qid_col), "rank", F.col("_id").alias(id_col), "similarity")
     if carry:
-        res = res.join(points.select(id_col, *carry), id_col, "left")
+        src = carry_from if carry_from is not None else points
+        res = res.join(src.select(id_col, *carry), id_col, "left")
     return res
 
 

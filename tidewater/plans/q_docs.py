@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewater.operators import docs, vectors
 from tidewater.plans import views as V
 from tidewater.plans.registry import query
+from tidewater.session import scratch_path
 
 SIZE, OVERLAP = docs.CHUNK_SIZE, docs.CHUNK_OVERLAP
 STEP = SIZE - OVERLAP
@@ -47,8 +48,7 @@ FROM h"""
 
 def chunk_table(spark, sf):
     pages = V.table(spark, sf, "documents").select("source", F.col("doc_id").alias("page_no"), "text")
-    chunks = docs.chunk_text(pages, "text", size=SIZE, overlap=OVERLAP, keep=["source", "page_no"])
-    return docs.number_chunks(chunks, pages, source_col="source", page_col="page_no", size=SIZE, overlap=OVERLAP)
+    return docs.chunk_and_number(pages, source_col="source", page_col="page_no", size=SIZE, overlap=OVERLAP)
 
 
 @query("chunk_ids", CHUNK_IDS_SQL)
@@ -142,10 +142,15 @@ SELECT query_id,
        count(*) AS n_hits
 FROM hits GROUP BY query_id""")
 def q_rag_context(spark, sf):
+    # ingest: chunk, embed and store the collection once; search reads it
     ch = chunk_table(spark, sf).select("id", "source", "text")
-    pts = vectors.embed_hashing(ch, "id", "text", DIM, as_float=False).join(ch, "id", "inner")
+    collection = scratch_path(spark, "collection")
+    (vectors.embed_hashing(ch, "id", "text", DIM, as_float=False)
+     .join(ch, "id", "inner").write.parquet(collection))
+    pts = spark.read.parquet(collection)
     qs = vectors.embed_hashing(V.table(spark, sf, "benchmark"), "item_id", "text", DIM, as_float=False)
-    hits = vectors.vector_topk(pts, qs, k=5, id_col="id", qid_col="item_id", carry=["text", "source"])
+    hits = vectors.vector_topk(pts.select("id", "vector"), qs, k=5, id_col="id", qid_col="item_id",
+                               carry=["text", "source"], carry_from=pts)
     ctx = vectors.search_context(hits.withColumnRenamed("item_id", "query_id"))
     n = hits.groupBy(F.col("item_id").alias("query_id")).agg(F.count(F.lit(1)).alias("n_hits"))
     return ctx.join(n, "query_id", "inner").select(

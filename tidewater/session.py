@@ -71,3 +71,16 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared directory."""
     return f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads the table instead of
+    recomputing upstream stages) and lets several consumers share one
+    computation.  Columnar write/read is much cheaper than an RDD
+    checkpoint of the same rows.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
