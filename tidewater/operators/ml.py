@@ -143,10 +143,10 @@ def train_forest(train: DataFrame, features: list[str], label: str, *, weight_co
     """Random forest (Spark ML, distributed histograms) behind a feature
     assembler; returns one ``PipelineModel`` (features + model together).
 
-    With ``save_to`` the fitted model is written there and the re-loaded
-    copy is returned: it carries no training summary, whose session
-    reference cannot be serialised into tasks once the session has used
-    observations.
+    The fitted model is written to ``save_to`` (default: a new folder in
+    the shared directory) and the re-loaded copy is returned: it carries no
+    training summary, whose session reference cannot be serialised into
+    tasks once the session has used observations.
     """
     conf = dict(FOREST)
     conf.update(FOREST_EXEC)
@@ -162,9 +162,12 @@ def train_forest(train: DataFrame, features: list[str], label: str, *, weight_co
         model = Pipeline(stages=[va, rf]).fit(data)
     finally:
         data.unpersist()
-    if save_to:
-        model.write().overwrite().save(save_to)
-        model = PipelineModel.load(save_to)
+    if not save_to:
+        from tidewater.session import scratch_path
+        save_to = scratch_path(train.sparkSession, "forest_model")
+    model.write().overwrite().save(save_to)
+    model = PipelineModel.load(save_to)
+    model._saved_path = save_to
     return model
 
 
@@ -189,6 +192,7 @@ def save_model(model: PipelineModel, path: str, features: list[str],
 
 
 def _exists_model(model: PipelineModel, path: str) -> bool:
+    """True when ``model`` was loaded from ``path`` (nothing to write)."""
     return getattr(model, "_saved_path", None) == path
 
 

@@ -88,7 +88,6 @@ def train(spark, sf):
     train_s = ml.with_class_weight(ml.apply_scaler(train_df, params), "is_fraud")
     path = scratch_path(spark, "forest")
     model = ml.train_forest(train_s, feats, "is_fraud", weight_col="weight", save_to=f"{path}/model")
-    model._saved_path = f"{path}/model"
     ml.save_model(model, path, feats, params, spark)
     _MODELS[sf] = path
     scored = ml.score(model, ml.apply_scaler(test_df, params))
