@@ -99,3 +99,31 @@ def test_registry_ops(spark):
     assert [tuple(r) for r in R.current_version(reg, "Production").collect()] == [("m", 3)]
     lat = {r.current_stage: r.version for r in R.latest_by_stage(reg).collect()}
     assert lat == {"None": 1, "Staging": 2, "Production": 3}
+
+
+def test_smote_parity_and_segments(spark):
+    import numpy as np
+    rnd = np.random.default_rng(4)
+    maj = [(i, [float(x) for x in rnd.normal(size=3)], 0) for i in range(60)]
+    mino = [(100 + i, [float(x) for x in rnd.normal(loc=3.0, size=3)], 1) for i in range(7)]
+    df = spark.createDataFrame(maj + mino, "rid long, f array<double>, y int")
+    out = ml.smote(df, "f", "y", ["rid"], k=3).cache()
+    counts = {r.y: r.n for r in out.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    assert counts == {0: 60, 1: 60}
+    real = np.array([m[1] for m in mino])
+    for r in out.where("is_synthetic").collect():
+        x = np.array(r.f)
+        src = np.array(real[[str(m[0]) for m in mino].index(r._key.split("#")[0])])
+        # the point lies on a segment from its source row to some other minority row
+        ok = False
+        for other in real:
+            d = other - src
+            if np.allclose(d, 0):
+                continue
+            u = float(np.dot(x - src, d) / np.dot(d, d))
+            if -1e-9 <= u <= 1 + 1e-9 and np.allclose(src + u * d, x, atol=1e-9):
+                ok = True
+        assert ok
+    again = ml.smote(df.repartition(5), "f", "y", ["rid"], k=3)
+    assert sorted((r._key, tuple(round(v, 9) for v in r.f)) for r in out.collect()) == \
+        sorted((r._key, tuple(round(v, 9) for v in r.f)) for r in again.collect())

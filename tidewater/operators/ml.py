@@ -208,5 +208,78 @@ def gate(metrics: DataFrame, metric: str = "roc_auc", threshold: float = GATE_TH
         "decision", F.when(F.col(metric) >= threshold, F.lit("Staging")).otherwise(F.lit("Rejected")))
 
 
+# ------------------------------------------------------------------ SMOTE
+
+def smote(df: DataFrame, features: str, label: str, key_cols: list[str], *, minority=1, k: int = 5,
+          seed: int = SEED, max_query_rows: int | None = None) -> DataFrame:
+    """Synthetic minority oversampling to class parity (``features`` is an
+    ARRAY<DOUBLE> column).
+
+    * Neighbours: the ``k`` nearest other minority rows by Euclidean
+      distance, found with the per-task top-k search of
+      ``vectors.vector_topk`` (each task keeps its own best k per query row;
+      no table of all minority pairs is formed).  Exact; the work is
+      (minority rows)^2 vector operations, done in numpy batches.
+    * Copies: ``need = majority - minority`` synthetic rows; each minority
+      row makes ``need // minority`` of them, and the rows with the
+      smallest seeded rank make one more (exact parity).  The rank is a
+      global running count over a seeded hash order, computed by
+      ``prefix_sum`` (no unpartitioned window).
+    * Each synthetic row is ``x + u * (nn - x)`` with neighbour index and
+      ``u`` in [0, 1) from seeded hashes of (row key, copy number), so the
+      result does not depend on partitioning.
+
+    Returns the input rows (``is_synthetic`` false) plus the synthetic rows
+    (key ``<row key>#<copy>``), with columns ``_key``, ``features``,
+    ``label``, ``is_synthetic``.
+    """
+    from tidewater.functions import seeded_unit
+    from tidewater.operators.common import prefix_sum
+    from tidewater.operators.vectors import vector_topk
+
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
+    base = df.select(key.alias("_key"), F.col(features).cast("array<double>").alias(features), label)
+    is_min = F.col(label) == F.lit(minority)
+    counts = base.agg(F.count_if(is_min).alias("n_min"), F.count_if(~is_min).alias("n_maj")).first()
+    n_min, n_maj = int(counts["n_min"]), int(counts["n_maj"])
+    orig = base.withColumn("is_synthetic", F.lit(False))
+    need = n_maj - n_min
+    if need <= 0 or n_min < 2:
+        return orig
+    mino = base.where(is_min)
+    pts = mino.select(F.col("_key").alias("id"), F.col(features).alias("vector"))
+    nn = vector_topk(pts, pts.withColumnRenamed("id", "query_id"), k=k + 1, metric="euclidean",
+                     max_query_rows=max_query_rows)
+    # the neighbour table is read twice below: compute it once
+    from tidewater.session import materialize
+    nn = materialize(nn.where(F.col("query_id") != F.col("id")), "smote_knn")
+    wn = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")  # k + 1 rows per query
+    nn = (nn.withColumn("_j", F.row_number().over(wn) - 1).where(F.col("_j") < k)
+          .select(F.col("query_id").alias("_key"), F.col("id").alias("_nb"), "_j"))
+    kk = nn.groupBy("_key").agg(F.count(F.lit(1)).alias("_kk"))
+    per, extra = divmod(need, n_min)
+    order = F.conv(F.substring(F.md5(F.concat(F.col("_key"), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")
+    ranked = prefix_sum(mino.select("_key", order.alias("_o"), F.lit(1).alias("_one")), [], "_o", "_one", "_rank")
+    copies = (ranked.select("_key", (F.lit(per) + F.when(F.col("_rank") < extra, 1).otherwise(0)).alias("_n"))
+              .where(F.col("_n") > 0)
+              .select("_key", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_c"))
+              .join(kk, "_key", "inner"))
+    copies = copies.withColumns({
+        "_j": F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "_key", F.col("_c").cast("string"),
+                                                          F.lit(str(seed)))), 1, 8), 16, 10).cast("long"),
+                     F.col("_kk")).cast("int"),
+        "_u": seeded_unit([F.col("_key"), F.col("_c")], seed + 1)})
+    nbv = mino.select(F.col("_key").alias("_nb"), F.col(features).alias("_nv"))
+    syn = (copies.join(nn, ["_key", "_j"], "inner").join(nbv, "_nb", "inner")
+           .join(mino.select("_key", features), "_key", "inner"))
+    lab_type = df.schema[label].dataType
+    synth = syn.select(
+        F.concat_ws("#", "_key", F.col("_c").cast("string")).alias("_key"),
+        F.zip_with(features, "_nv", lambda x, y: x + F.col("_u") * (y - x)).alias(features),
+        F.lit(minority).cast(lab_type).alias(label),
+        F.lit(True).alias("is_synthetic"))
+    return orig.unionByName(synth)
+
+
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.array(*[F.col(c).cast("double") for c in features])))

@@ -69,95 +69,263 @@ def embed_hashing(df: DataFrame, id_col: str, text_col: str = "text", dim: int =
 
 # ------------------------------------------------------------ search
 
+# Queries scored per numpy product inside a task (bounds the score matrix).
+QUERY_BLOCK = 1024
+# Upper bound of the query (or point) matrix shipped to every task.
+MAX_QUERY_BYTES = 256 * 1024 * 1024
+# Above this many queries, a point set within the budget is broadcast instead.
+QUERY_BROADCAST_PREF = 4096
+# Points scored per numpy product when the point matrix is broadcast.
+POINT_BLOCK = 20000
+
+
+def _sortable(ids: np.ndarray) -> np.ndarray:
+    """Ids as a sortable numpy array: strings stay Python objects (fixed
+    width unicode arrays would truncate longer ids on assignment)."""
+    if ids.dtype == object:
+        out = np.empty(len(ids), dtype=object)
+        out[:] = [str(x) for x in ids]
+        return out
+    return ids
+
+
+def _pad(shape, dtype) -> np.ndarray:
+    return np.full(shape, "" if dtype == object else 0, dtype=dtype)
+
+
+def _order_rows(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Per-row order by (score desc, id asc)."""
+    return np.lexsort((ids, -scores), axis=-1)
+
+
+def _rows_topk(sims: np.ndarray, ids: np.ndarray, k: int, decimals: int = 12):
+    """Top-k per row of a score matrix, ties broken by smaller id, exact.
+
+    The k-th largest of the row's 64-wide chunk maxima is a lower bound
+    for its k-th best score (k chunks each hold a score at least that
+    high), so one masked pass keeps only a few candidates per row; those
+    are sorted by (score rounded to ``decimals``, id).  A small tolerance
+    below the bound keeps scores that tie at that precision.
+    """
+    b, n = sims.shape
+    c = 64
+    n_main = n - n % c
+    if n <= k or n_main // c < k:
+        idm = np.broadcast_to(ids, sims.shape)
+        o = _order_rows(np.round(sims, decimals), idm)[:, :k]
+        return np.take_along_axis(sims, o, 1), np.take_along_axis(idm, o, 1)
+    cm = sims[:, :n_main].reshape(b, n_main // c, c).max(axis=2)
+    if n_main < n:
+        cm = np.concatenate([cm, sims[:, n_main:].max(axis=1, keepdims=True)], axis=1)
+    kth = np.partition(cm, cm.shape[1] - k, axis=1)[:, cm.shape[1] - k]
+    thr = kth - 2 * 10.0 ** (-decimals) * np.maximum(1.0, np.abs(kth))
+    r, col = np.nonzero(sims >= thr[:, None])
+    cs = sims[r, col]
+    ci = ids[col]
+    o = np.lexsort((ci, -np.round(cs, decimals), r))
+    r, cs, ci = r[o], cs[o], ci[o]
+    pos = np.arange(len(r)) - np.searchsorted(r, np.arange(b))[r]
+    keep = pos < k
+    out_s = np.full((b, k), -np.inf)
+    out_i = _pad((b, k), ci.dtype)
+    out_s[r[keep], pos[keep]] = cs[keep]
+    out_i[r[keep], pos[keep]] = ci[keep]
+    return out_s, out_i
+
+
+def _merge_topk(s_old, i_old, s_new, i_new, k: int):
+    if s_old.shape[1] == 0:
+        return s_new, i_new
+    s = np.concatenate([s_old, s_new], axis=1)
+    i = np.concatenate([i_old.astype(i_new.dtype) if i_old.dtype != i_new.dtype else i_old, i_new], axis=1)
+    o = _order_rows(np.round(s, 12), i)[:, :k]
+    return np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
+
+
 def _prepare_queries(queries: DataFrame, qid: str, qvec: str) -> pd.DataFrame:
     return queries.select(F.col(qid).alias("qid"),
                           normalize_vector(qvec).alias("qv")).where(F.col("qv").isNotNull())
 
 
+def _scan_topk(qm: np.ndarray, point_batches, k: int, euclid: bool, tie_decimals: int):
+    """Best k (score, id) per query row of ``qm`` over point batches
+    ``(matrix, ids)``; queries are scored ``QUERY_BLOCK`` rows at a time and
+    merged into a running best (ties: smaller id first)."""
+    nq = len(qm)
+    best_s = np.full((nq, 0), -np.inf)
+    best_i = None
+    for m, ids in point_batches:
+        if euclid:
+            sq = (m * m).sum(1)
+            m2 = 2.0 * m
+        else:
+            norms = np.linalg.norm(m, axis=1)
+            keep = norms > 0
+            if not keep.any():
+                continue
+            m, norms, ids = m[keep], norms[keep], ids[keep]
+        for lo in range(0, nq, QUERY_BLOCK):
+            qb = qm[lo:lo + QUERY_BLOCK]
+            if euclid:
+                # rank by 2 q.p - |p|^2 (the per-query |q|^2 is added after selection)
+                sims = qb @ m2.T
+                sims -= sq[None, :]
+            else:
+                sims = qb @ m.T
+                sims /= norms  # queries are unit length
+            s_new, i_new = _rows_topk(sims, ids, k, tie_decimals)
+            if euclid:
+                s_new = -np.maximum((qb * qb).sum(1)[:, None] - s_new, 0.0)
+            if best_i is None:
+                best_i = _pad((nq, 0), i_new.dtype)
+            s_m, i_m = _merge_topk(best_s[lo:lo + QUERY_BLOCK], best_i[lo:lo + QUERY_BLOCK], s_new, i_new, k)
+            if s_m.shape[1] != best_s.shape[1]:
+                width = s_m.shape[1]
+                grow_s = np.full((nq, width), -np.inf)
+                grow_i = _pad((nq, width), i_m.dtype)
+                grow_s[:, :best_s.shape[1]] = best_s
+                grow_i[:, :best_i.shape[1]] = best_i
+                best_s, best_i = grow_s, grow_i
+            best_s[lo:lo + QUERY_BLOCK], best_i[lo:lo + QUERY_BLOCK] = s_m, i_m
+    if best_i is None:
+        return best_s, _pad((nq, 0), np.int64)
+    return np.round(best_s, tie_decimals), best_i
+
+
+def _matrix(values) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in values])
+
+
+def _budget_rows(df: DataFrame, col: str) -> int:
+    first = df.select(F.size(col).alias("d")).where(F.col("d") > 0).first()
+    dim = max(int(first["d"]) if first else 1, 1)
+    return max(1, MAX_QUERY_BYTES // (8 * dim))
+
+
 def vector_topk(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col: str = "id",
                 vec_col: str = "vector", qid_col: str = "query_id", qvec_col: str = "vector",
-                carry: list[str] | None = None, max_query_rows: int = 4096,
-                tie_decimals: int = 12, carry_from: DataFrame | None = None) -> DataFrame:
-    """Exact cosine top-k of every query over all points.
-
-    The query set is checked to hold at most ``max_query_rows`` rows (a
-    LIMIT count) and collected as one small matrix; larger query sets are
-    processed in slices of that size.  Each task of the point scan scores
-    its Arrow batches against the matrix with numpy and keeps only its own
-    top-k per query (ties: smaller id first), so no (query, point) pair
-    table is ever formed.  A final per-query window picks k of the
-    ``tasks * k`` candidates.  Zero vectors have no similarity and are
-    skipped.  Similarities equal to ``tie_decimals`` places are ties and
-    are ordered by id, so floating-point noise cannot reorder equal texts.
-    Output: query_id, rank (1-based), id, similarity, carry cols.
+                carry: list[str] | None = None, max_query_rows: int | None = 4096,
+                tie_decimals: int = 12, carry_from: DataFrame | None = None,
+                metric: str = "cosine") -> DataFrame:
+    """Exact top-k of every query over all points (cosine, or Euclidean
+    with score = minus the squared distance).  No (query, point) pair table
+    is ever formed; one side is shipped to the tasks as a numpy matrix,
+    and only after a size check:
+
+    * few queries (at most ``max_query_rows``, a LIMIT count; ``None``
+      means a 256 MiB matrix budget): the query matrix is broadcast, each
+      task of the point scan keeps its own top-k per query, and a per-query
+      window picks k of the ``tasks * k`` candidates;
+    * many queries and a point set within the budget: the point matrix is
+      broadcast and the query rows are partitioned, so every task produces
+      final top-k lists (no candidate shuffle) — e.g. all-pairs neighbours;
+    * otherwise the query set is processed in hash slices of the first kind.
+
+    Ties (scores equal to ``tie_decimals`` places) go to the smaller id.
+    Cosine skips zero vectors.  Output: query_id, rank (1-based), id,
+    similarity, carry cols.
     """
     carry = carry or []
-    q = _prepare_queries(queries, qid_col, qvec_col)
-    n = q.limit(max_query_rows + 1).count()
-    if n > max_query_rows:
+    if metric not in ("cosine", "euclidean"):
+        raise ValueError(f"unknown metric {metric}")
+    euclid = metric == "euclidean"
+    kw = dict(k=k, id_col=id_col, vec_col=vec_col, qid_col=qid_col, qvec_col=qvec_col, carry=carry,
+              tie_decimals=tie_decimals, carry_from=carry_from, metric=metric)
+    q = (queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).cast("array<double>").alias("qv"))
+         .where(F.col("qv").isNotNull()) if euclid else _prepare_queries(queries, qid_col, qvec_col))
+    max_q = max_query_rows if max_query_rows is not None else _budget_rows(q, "qv")
+    n_q = q.limit(max(max_q, QUERY_BROADCAST_PREF) + 1).count()
+    qid_type = queries.schema[qid_col].dataType
+    id_type = points.schema[id_col].dataType
+    sc = points.sparkSession.sparkContext
+
+    if n_q > QUERY_BROADCAST_PREF or n_q > max_q:
+        p = points.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")) \
+                  .where(F.col("_v").isNotNull())
+        max_p = _budget_rows(p, "_v")
+        if p.limit(max_p + 1).count() <= max_p:
+            res = _topk_broadcast_points(p, q, sc, k, euclid, tie_decimals, qid_type, id_type)
+            res = res.select(F.col("query_id").alias(qid_col), "rank", F.col("_id").alias(id_col), "similarity")
+            return _attach(res, points, carry, carry_from, id_col)
+    if n_q > max_q:
         # slice the query set deterministically by a hash of its id
-        n_slices = -(-queries.count() // max_query_rows) * 2
+        n_slices = -(-queries.count() // max_q) * 2
         parts = [vector_topk(points, queries.where(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_slices)) == i),
-                             k=k, id_col=id_col, vec_col=vec_col, qid_col=qid_col, qvec_col=qvec_col,
-                             carry=carry, max_query_rows=max_query_rows, tie_decimals=tie_decimals,
-                             carry_from=carry_from)
-                 for i in range(n_slices)]
+                             max_query_rows=max_q, **kw) for i in range(n_slices)]
         out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        for part in parts[1:]:
+            out = out.unionByName(part)
         return out
+
     qrows = q.collect()  # bounded by the check above
     qids = [r["qid"] for r in qrows]
-    qmat = np.array([r["qv"] for r in qrows], dtype=np.float64) if qrows else np.zeros((0, 0))
-    qid_type = queries.schema[qid_col].dataType
-    id_type = points.schema[id_col].dataType
-    sc = points.sparkSession.sparkContext
+    qmat = _matrix([r["qv"] for r in qrows]) if qrows else np.zeros((0, 0))
     bq = sc.broadcast((qids, qmat))
-
     pts = spread(points.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")))
     out_schema = T.StructType([T.StructField("query_id", qid_type), T.StructField("_id", id_type),
                                T.StructField("similarity", T.DoubleType())])
 
     def local_topk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids_, qm = bq.value
-        best_ids: list[list] = [[] for _ in qids_]
-        best_sims: list[np.ndarray] = [np.zeros(0) for _ in qids_]
         if len(qids_) == 0:
             return
-        for pdf in batches:
-            ok = pdf["_v"].notna()
-            pdf = pdf[ok]
-            if pdf.empty:
-                continue
-            m = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_v"]])
-            norms = np.linalg.norm(m, axis=1)
-            keep = norms > 0
-            if not keep.any():
-                continue
-            m, norms = m[keep], norms[keep]
-            ids = pdf["_id"].to_numpy()[keep]
-            sims = np.round((qm @ m.T) / norms, tie_decimals)  # queries are unit length
-            for qi in range(len(qids_)):
-                cand_s = np.concatenate([best_sims[qi], sims[qi]])
-                cand_i = np.concatenate([np.asarray(best_ids[qi], dtype=ids.dtype), ids])
-                order = np.lexsort((cand_i, -cand_s))[:k]
-                best_sims[qi], best_ids[qi] = cand_s[order], list(cand_i[order])
-        rows_q, rows_i, rows_s = [], [], []
-        for qi, qv in enumerate(qids_):
-            rows_q += [qv] * len(best_ids[qi])
-            rows_i += list(best_ids[qi])
-            rows_s += list(best_sims[qi])
-        if rows_q:
-            yield pd.DataFrame({"query_id": rows_q, "_id": rows_i, "similarity": rows_s})
+
+        def point_batches():
+            for pdf in batches:
+                pdf = pdf[pdf["_v"].notna()]
+                if not pdf.empty:
+                    yield _matrix(pdf["_v"]), _sortable(pdf["_id"].to_numpy())
+
+        best_s, best_i = _scan_topk(qm, point_batches(), k, euclid, tie_decimals)
+        rows = np.nonzero(np.isfinite(best_s))
+        if len(rows[0]):
+            yield pd.DataFrame({"query_id": np.asarray(qids_, dtype=object)[rows[0]],
+                                "_id": best_i[rows], "similarity": best_s[rows]})
 
     cand = pts.mapInPandas(local_topk, out_schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("_id"))
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     res = top.select(F.col("query_id").alias(qid_col), "rank", F.col("_id").alias(id_col), "similarity")
-    if carry:
-        src = carry_from if carry_from is not None else points
-        res = res.join(src.select(id_col, *carry), id_col, "left")
-    return res
+    return _attach(res, points, carry, carry_from, id_col)
+
+
+def _attach(res: DataFrame, points: DataFrame, carry, carry_from, id_col) -> DataFrame:
+    if not carry:
+        return res
+    src = carry_from if carry_from is not None else points
+    return res.join(src.select(id_col, *carry), id_col, "left")
+
+
+def _topk_broadcast_points(p: DataFrame, q: DataFrame, sc, k: int, euclid: bool, tie_decimals: int,
+                           qid_type, id_type) -> DataFrame:
+    """Point matrix broadcast (size checked by the caller), query rows
+    partitioned: each task returns final top-k lists of its queries."""
+    prow = p.collect()  # bounded by the caller's check
+    pm = _matrix([r["_v"] for r in prow]) if prow else np.zeros((0, 0))
+    pid = _sortable(np.asarray([r["_id"] for r in prow], dtype=object if isinstance(
+        prow[0]["_id"], str) else None)) if prow else np.zeros(0)
+    bp = sc.broadcast((pm, pid))
+    schema = T.StructType([T.StructField("query_id", qid_type), T.StructField("rank", T.IntegerType()),
+                           T.StructField("_id", id_type), T.StructField("similarity", T.DoubleType())])
+
+    def per_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pm_, pid_ = bp.value
+        for pdf in batches:
+            if pdf.empty or len(pm_) == 0:
+                continue
+            qm = _matrix(pdf["qv"])
+            if not euclid:
+                qm = qm  # already unit length
+            blocks = ((pm_[lo:lo + POINT_BLOCK], pid_[lo:lo + POINT_BLOCK])
+                      for lo in range(0, len(pm_), POINT_BLOCK))
+            best_s, best_i = _scan_topk(qm, blocks, k, euclid, tie_decimals)
+            rows = np.nonzero(np.isfinite(best_s))
+            if len(rows[0]):
+                yield pd.DataFrame({"query_id": pdf["qid"].to_numpy()[rows[0]],
+                                    "rank": (rows[1] + 1).astype(np.int32),
+                                    "_id": best_i[rows], "similarity": best_s[rows]})
+
+    return spread(q).mapInPandas(per_queries, schema)
 
 
 # ------------------------------------------------------------ upsert

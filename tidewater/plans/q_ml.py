@@ -85,7 +85,13 @@ def train(spark, sf):
     train_df = split.where(F.col("split") == "train")
     test_df = split.where(F.col("split") == "test")
     params = ml.scaler_params(ml.fit_scaler(train_df, feats), feats)
-    train_s = ml.with_class_weight(ml.apply_scaler(train_df, params), "is_fraud")
+    scaled = ml.apply_scaler(train_df, params)
+    # oversample the minority class on the scaled features (as the training
+    # job does), then weight classes by the frame actually trained on
+    arr = scaled.select("id", F.array(*[F.col(c) for c in feats]).alias("_x"), "is_fraud")
+    balanced = ml.smote(arr, "_x", "is_fraud", ["id"], k=5)
+    balanced = balanced.select(*[F.col("_x")[i].alias(c) for i, c in enumerate(feats)], "is_fraud")
+    train_s = ml.with_class_weight(balanced, "is_fraud")
     path = scratch_path(spark, "forest")
     model = ml.train_forest(train_s, feats, "is_fraud", weight_col="weight", save_to=f"{path}/model")
     ml.save_model(model, path, feats, params, spark)
@@ -113,3 +119,19 @@ def q_score_batch(spark, sf):
     env = curation.score_envelope(scored, ["transaction_id", "transaction_amount", "is_fraud"],
                                   model_version=F.lit("1"), scored_at=F.lit("2025-01-01 00:00:00").cast("timestamp"))
     return env.select("transaction_id", "prediction", "fraud_probability", "is_fraud", "model_version", "scored_at")
+
+
+@query("smote", """
+WITH c AS (SELECT CASE WHEN label = 0 THEN 1 ELSE 0 END AS y FROM embeddings),
+n AS (SELECT count(*) FILTER (WHERE y = 1) AS n_min, count(*) FILTER (WHERE y = 0) AS n_maj FROM c)
+SELECT y, false AS is_synthetic, count(*) AS n_rows FROM c GROUP BY y
+UNION ALL
+SELECT 1, true, n_maj - n_min FROM n WHERE n_maj > n_min""")
+def q_smote(spark, sf):
+    """Oversample the rarest embedding class (label 0) to parity with the
+    rest; rows per (class, synthetic) are reported."""
+    e = V.table(spark, sf, "embeddings")
+    df = e.select("vec_id", F.col("embedding").cast("array<double>").alias("features"),
+                  F.when(F.col("label") == 0, F.lit(1)).otherwise(F.lit(0)).alias("y"))
+    out = ml.smote(df, "features", "y", ["vec_id"], k=5)
+    return out.groupBy("y", "is_synthetic").agg(F.count(F.lit(1)).alias("n_rows"))
