@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.operators import curation, ml
+from tidewater.operators.common import spread
 from tidewater.plans import views as V
 from tidewater.plans.oracles import with_views
 from tidewater.plans.registry import query
-from tidewater.session import scratch_path
+from tidewater.session import materialize, scratch_path
 
 SCALED = ["V1", "V2", "V3", "V4"]
 SPLIT_EXPR = ("CASE WHEN ('0x' || substr(md5(CAST(id AS VARCHAR) || '|' || CAST(\"Class\" AS VARCHAR) || ':42'), 1, 8))"
@@ -66,7 +67,7 @@ def q_class_weights(spark, sf):
 def training_frame(spark, sf):
     """The training job's preparation, in one lineage: rename, time parts,
     seeded surrogates, drop nulls, log amount, night/weekend flags."""
-    df = curation.map_columns(V.tx_v(spark, sf))
+    df = curation.map_columns(spread(V.tx_v(spark, sf)))
     df = curation.add_time_parts(df, "Time")
     df = curation.add_surrogates(df, ["id"], seed=ml.SEED)
     df = curation.drop_any_null(df)
@@ -79,7 +80,9 @@ _MODELS: dict[str, str] = {}
 
 def train(spark, sf):
     """Train once per data folder in this process; returns (path, auc row)."""
-    df = training_frame(spark, sf)
+    # the prepared frame feeds the scaler fit, SMOTE and the hold-out
+    # scoring: write it once instead of recomputing it for each
+    df = materialize(training_frame(spark, sf), "training_frame")
     feats = [c for c in ml.feature_columns(df) if c != "id"]
     split = ml.stratified_split(df, ["id"], label="is_fraud")
     train_df = split.where(F.col("split") == "train")
@@ -91,6 +94,9 @@ def train(spark, sf):
     arr = scaled.select("id", F.array(*[F.col(c) for c in feats]).alias("_x"), "is_fraud")
     balanced = ml.smote(arr, "_x", "is_fraud", ["id"], k=5)
     balanced = balanced.select(*[F.col("_x")[i].alias(c) for i, c in enumerate(feats)], "is_fraud")
+    # the balanced set feeds the class counts and every pass of the forest:
+    # write it once to the shared folder instead of recomputing SMOTE
+    balanced = materialize(balanced, "train_balanced")
     train_s = ml.with_class_weight(balanced, "is_fraud")
     path = scratch_path(spark, "forest")
     model = ml.train_forest(train_s, feats, "is_fraud", weight_col="weight", save_to=f"{path}/model")
