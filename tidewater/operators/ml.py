@@ -75,9 +75,11 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight of each row's class (k rows -> broadcast)."""
+    """Attach the balanced weight of each row's class (one row per class;
+    broadcast after a row-count check)."""
+    from tidewater.operators.kpi import bounded_broadcast
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), label, "left")
+    return df.join(bounded_broadcast(w, 10_000), label, "left")
 
 
 def roc_auc(df: DataFrame, score: str, label: str, group_by: list[str] | None = None,
