@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidewater.operators import features as FS
 
@@ -115,4 +114,3 @@ def test_feature_view_select_types(spark):
     out = v.select(spark, f)
     assert out.columns == ["user_id", "event_timestamp", "total_logins"]
     assert dict(out.dtypes)["total_logins"] == "double"
-    assert F is not None

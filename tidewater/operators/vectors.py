@@ -313,9 +313,7 @@ def _topk_broadcast_points(p: DataFrame, q: DataFrame, sc, k: int, euclid: bool,
         for pdf in batches:
             if pdf.empty or len(pm_) == 0:
                 continue
-            qm = _matrix(pdf["qv"])
-            if not euclid:
-                qm = qm  # already unit length
+            qm = _matrix(pdf["qv"])  # cosine queries are unit length already
             blocks = ((pm_[lo:lo + POINT_BLOCK], pid_[lo:lo + POINT_BLOCK])
                       for lo in range(0, len(pm_), POINT_BLOCK))
             best_s, best_i = _scan_topk(qm, blocks, k, euclid, tie_decimals)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from tidewater.operators import features as FS
 from tidewater.plans import views as V
 from tidewater.plans.oracles import with_views
@@ -88,5 +86,3 @@ def q_src_feature_parquet(spark, sf):
     V.feat_v(spark, sf).write.parquet(path)
     return FS.FeatureSource(path, "event_timestamp").read(spark)
 
-
-_ = F  # keep the functions import for readers of this module

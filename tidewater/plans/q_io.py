@@ -11,7 +11,7 @@ from tidewater import schemas
 from tidewater.operators import curation
 from tidewater.plans import views as V
 from tidewater.plans.oracles import CURATED_CLOUD, CURATED_FIREWALL, with_views
-from tidewater.plans.q_curation import ORIGINAL_COLS, envelope, fixed_ts
+from tidewater.plans.q_curation import envelope, fixed_ts
 from tidewater.plans.registry import query
 from tidewater.session import scratch_path
 from tidewater.sources import files, sinks
@@ -137,5 +137,3 @@ def q_sink_csv(spark, sf):
 
 NULL_MARK = "\\N"
 
-
-_ = ORIGINAL_COLS

@@ -203,3 +203,32 @@ def q_stream_score(spark, sf):
     jobs.score_stream(stream, load, lambda b, _e: b.write.mode("append").parquet(out),
                       scratch_path(spark, "ckpt")).awaitTermination()
     return spark.read.parquet(out)
+
+
+@query("stream_counters", with_views("""
+SELECT count(*) FILTER (WHERE id % 89 <> 0) AS processed, count(*) FILTER (WHERE id % 89 = 0) AS errors,
+       count(*) AS messages
+FROM scores_v""", "scores_v"))
+def q_stream_counters(spark, sf):
+    """Processed / error counters per micro-batch (named observations read
+    from the query progress), summed over all batches of the run."""
+    s = V.scores_v(spark, sf)
+    src, out = scratch_path(spark, "cnt_in"), scratch_path(spark, "cnt_out")
+    msgs = s.select(F.col("id"), F.to_json(F.struct(*[F.col(c) for c in s.columns]), sinks.TS_OPTIONS).alias("v"))
+    msgs.repartition(4).select(F.when(F.col("id") % 89 == 0, F.substring("v", 1, 10)).otherwise(F.col("v"))
+                               .alias("value")).write.text(src)
+    raw = jobs.text_stream(spark, src, max_files_per_trigger=1)
+    schema = T.StructType(s.schema.fields + [T.StructField(jobs.CORRUPT, T.StringType(), True)])
+    parsed = raw.select(F.from_json("value", schema, {"columnNameOfCorruptRecord": jobs.CORRUPT,
+                                                      **sinks.TS_OPTIONS}).alias("m"))
+    bad = F.col(f"m.{jobs.CORRUPT}").isNotNull()
+    counted = jobs.with_counters(parsed, "scoring", {"processed": F.count_if(~bad), "errors": F.count_if(bad),
+                                                      "messages": F.count(F.lit(1))})
+    q = (counted.where(~bad).select("m.id").writeStream.format("parquet")
+         .option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).start(out))
+    q.awaitTermination()
+    rows = jobs.batch_counters(q, "scoring")
+    return spark.createDataFrame([(r["batch_id"], r["processed"], r["errors"], r["messages"]) for r in rows],
+                                 "batch_id long, processed long, errors long, messages long") \
+        .agg(F.sum("processed").alias("processed"), F.sum("errors").alias("errors"),
+             F.sum("messages").alias("messages"))

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions import epoch_ms_to_ts  # noqa: F401  (documented pairing)
 from tidewater.session import pin_utc
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "

@@ -167,3 +167,30 @@ def kafka_sink(df: DataFrame, bootstrap: str, topic: str, checkpoint: str, *, ke
     w = (msgs.writeStream.format("kafka").option("kafka.bootstrap.servers", bootstrap)
          .option("topic", topic).option("checkpointLocation", checkpoint))
     return _trigger(w, trigger).start()
+
+
+# ----------------------------------------------------------------- counters
+
+def with_counters(stream: DataFrame, name: str, metrics: dict[str, Column] | None = None) -> DataFrame:
+    """Attach per-micro-batch counters to a stream (named ``observe``).
+
+    The values of each batch appear in the query's progress
+    (``observedMetrics[name]``) without an extra pass over the data.
+    """
+    metrics = metrics or {"rows": F.count(F.lit(1))}
+    return stream.observe(name, *[v.alias(k) for k, v in metrics.items()])
+
+
+def batch_counters(query: StreamingQuery, name: str) -> list[dict]:
+    """(batch id, counter values) of every recent micro-batch that reported
+    the named counters."""
+    out = []
+    for p in query.recentProgress:
+        m = (p.observedMetrics or {}).get(name) if hasattr(p, "observedMetrics") else None
+        if m is None and isinstance(p, dict):
+            m = p.get("observedMetrics", {}).get(name)
+        if m is not None:
+            row = m.asDict() if hasattr(m, "asDict") else dict(m)
+            row["batch_id"] = p.batchId if hasattr(p, "batchId") else p["batchId"]
+            out.append(row)
+    return out
