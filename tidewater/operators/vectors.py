@@ -48,23 +48,24 @@ def embed_hashing(df: DataFrame, id_col: str, text_col: str = "text", dim: int =
                   as_float: bool = True) -> DataFrame:
     """L2-normalised signed bag-of-words vectors of fixed ``dim``.
 
-    Tokens are exploded and summed per (id, slot) — a partial aggregate, so
-    the data stays sparse until one dense array per id is assembled.  A text
-    without tokens gets a null vector.  This is the deterministic stand-in
-    for a hosted embedding model; any embedder with the same output shape
-    (e.g. a ``mapInPandas`` model call) can replace it.
+    Tokens are exploded inside each task (texts are never shuffled) and
+    summed per (id, slot) with a map-side partial aggregate, so at most
+    ``dim`` small rows per text cross the network; a second aggregate per
+    id builds the dense vector.  ``explode_outer`` keeps texts without
+    tokens (null vector) without a join back.  This is the deterministic
+    stand-in for a hosted embedding model; any embedder with the same
+    output shape (e.g. a ``mapInPandas`` model call) can replace it.
     """
-    t = (spread(df).select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("_t"))
+    t = (spread(df.select(id_col, text_col)).select(F.col(id_col), F.explode_outer(tokens(F.col(text_col))).alias("_t"))
          .select(id_col, F.md5("_t").alias("_h")))
     slots = (t.groupBy(id_col, _slot_of_hash(F.col("_h"), dim).alias("_slot"))
              .agg(F.sum(_sign_of_hash(F.col("_h"))).alias("_v")))
-    dense = (slots.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_v"))).alias("_m"))
+    entries = F.filter(F.collect_list(F.struct("_slot", "_v")), lambda e: e["_slot"].isNotNull())
+    dense = (slots.groupBy(id_col).agg(F.map_from_entries(entries).alias("_m"))
              .select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                                          lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))).alias("_raw")))
     vec = normalize_vector("_raw")
-    out = dense.select(id_col, (vec.cast(T.ArrayType(T.FloatType())) if as_float else vec).alias("vector"))
-    ids = df.select(id_col)
-    return ids.join(out, id_col, "left")
+    return dense.select(id_col, (vec.cast(T.ArrayType(T.FloatType())) if as_float else vec).alias("vector"))
 
 
 # ------------------------------------------------------------ search
