@@ -103,3 +103,18 @@ def test_embed_hashing_unit_and_deterministic(spark):
     again = {r.id: r.vector for r in vectors.embed_hashing(df.repartition(3), "id", "text", dim=32,
                                                            as_float=False).collect()}
     assert again == out
+
+
+def test_vector_topk_approx_recall(spark):
+    rnd = np.random.default_rng(9)
+    centers = rnd.normal(size=(20, 16))
+    pts = np.concatenate([c + 0.3 * rnd.normal(size=(100, 16)) for c in centers])
+    queries = centers + 0.1 * rnd.normal(size=centers.shape)
+    pdf = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(pts)], "id long, vector array<double>")
+    qdf = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(queries)],
+                                "query_id long, vector array<double>")
+    exact = {(r.query_id, r.id) for r in vectors.vector_topk(pdf, qdf, k=10).collect()}
+    approx = vectors.vector_topk_approx(pdf, qdf, k=10, bands=16, bits=6).collect()
+    got = {(r.query_id, r.id) for r in approx}
+    assert len(exact & got) / len(exact) >= 0.9
+    assert all(1 <= r.rank <= 10 for r in approx)

@@ -327,6 +327,91 @@ def _topk_broadcast_points(p: DataFrame, q: DataFrame, sc, k: int, euclid: bool,
     return spread(q).mapInPandas(per_queries, schema)
 
 
+def vector_topk_approx(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col: str = "id",
+                       vec_col: str = "vector", qid_col: str = "query_id", qvec_col: str = "vector",
+                       bands: int = 32, bits: int = 4, seed: int = 42, max_query_rows: int = 4096) -> DataFrame:
+    """Approximate cosine top-k with random-hyperplane LSH.
+
+    Every vector gets ``bands`` signatures of ``bits`` sign bits (planes
+    drawn from ``seed``).  The (size-checked) query set is broadcast with
+    its signatures; each task of the point scan scores a point only against
+    the queries that share at least one band signature with it, keeps its
+    own top-k per query, and a per-query window picks the final k.  Cost
+    per point is the number of colliding queries instead of all queries;
+    points that collide with no query are never scored (that is where
+    recall is traded).  Output as ``vector_topk``.
+    """
+    q = _prepare_queries(queries, qid_col, qvec_col)
+    n = q.limit(max_query_rows + 1).count()
+    if n > max_query_rows:
+        raise ValueError(f"more than {max_query_rows} queries; use vector_topk (exact, sliced)")
+    qrows = q.collect()  # bounded by the check above
+    if not qrows:
+        return vector_topk(points, queries, k=k, id_col=id_col, vec_col=vec_col, qid_col=qid_col,
+                           qvec_col=qvec_col)
+    qids = [r["qid"] for r in qrows]
+    qm = _matrix([r["qv"] for r in qrows])
+    planes = np.random.default_rng(seed).normal(size=(bands * bits, qm.shape[1]))
+    weights = 1 << np.arange(bits)
+
+    def signatures(m):
+        bitsm = (m @ planes.T) > 0
+        return (bitsm.reshape(len(m), bands, bits) * weights).sum(2)  # (rows, bands)
+
+    qsig = signatures(qm)
+    tables = [{} for _ in range(bands)]
+    for qi in range(len(qids)):
+        for bi in range(bands):
+            tables[bi].setdefault(int(qsig[qi, bi]), []).append(qi)
+    sc = points.sparkSession.sparkContext
+    bq = sc.broadcast((qids, qm, planes, tables))
+    qid_type = queries.schema[qid_col].dataType
+    id_type = points.schema[id_col].dataType
+    out_schema = T.StructType([T.StructField("query_id", qid_type), T.StructField("_id", id_type),
+                               T.StructField("similarity", T.DoubleType())])
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids_, qm_, planes_, tables_ = bq.value
+        nb = len(tables_)
+        best: dict[int, list] = {}
+        for pdf in batches:
+            pdf = pdf[pdf["_v"].notna()]
+            if pdf.empty:
+                continue
+            m = _matrix(pdf["_v"])
+            norms = np.linalg.norm(m, axis=1)
+            keep = norms > 0
+            m, norms, ids = m[keep], norms[keep], _sortable(pdf["_id"].to_numpy()[keep])
+            bitsm = (m @ planes_.T) > 0
+            sig = (bitsm.reshape(len(m), nb, -1) * (1 << np.arange(bitsm.shape[1] // nb))).sum(2)
+            for pi in range(len(m)):
+                cand = set()
+                for bi in range(nb):
+                    cand.update(tables_[bi].get(int(sig[pi, bi]), ()))
+                for qi in cand:
+                    sim = round(float(qm_[qi] @ m[pi] / norms[pi]), 12)
+                    lst = best.setdefault(qi, [])
+                    lst.append((-sim, ids[pi]))
+                    if len(lst) > 4 * k:
+                        lst.sort()
+                        del lst[k:]
+        rows_q, rows_i, rows_s = [], [], []
+        for qi, lst in best.items():
+            lst.sort()
+            for neg, pid in lst[:k]:
+                rows_q.append(qids_[qi])
+                rows_i.append(pid)
+                rows_s.append(-neg)
+        if rows_q:
+            yield pd.DataFrame({"query_id": rows_q, "_id": rows_i, "similarity": rows_s})
+
+    pts = spread(points.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")))
+    cand = pts.mapInPandas(local, out_schema)
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("_id"))
+    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select(F.col("query_id").alias(qid_col), "rank", F.col("_id").alias(id_col), "similarity")
+
+
 # ------------------------------------------------------------ upsert
 
 def upsert(existing: DataFrame, incoming: DataFrame, id_col: str = "id",

@@ -156,3 +156,13 @@ def q_rag_context(spark, sf):
     return ctx.join(n, "query_id", "inner").select(
         "query_id", F.array_join("contexts", "\n---\n").alias("contexts"),
         F.array_join(F.array_sort("sources"), ",").alias("sources_set"), "n_hits")
+
+
+@query("vector_topk_approx")
+def q_vector_topk_approx(spark, sf):
+    """Approximate top-5 of the label centroids (LSH bands); compare with
+    ``vector_topk`` for recall."""
+    pts = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    top = vectors.vector_topk_approx(pts, label_centroids(spark, sf), k=5, id_col="id", qid_col="query_id")
+    return top.select("query_id", F.col("rank").cast("long").alias("rank"), "id",
+                      F.round("similarity", 6).alias("similarity"))
