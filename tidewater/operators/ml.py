@@ -140,6 +140,24 @@ def classification_metrics(df: DataFrame, prediction: str, label: str,
                      F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("accuracy"))
 
 
+def _memory_mb(text: str) -> int:
+    """Spark memory setting ('512m', '2g', '2048' = MiB) in MiB."""
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    t = text.strip().lower().rstrip("b")
+    return int(float(t[:-1]) * units[t[-1]]) if t and t[-1] in units else int(t)
+
+
+def _node_stats_mb(spark: SparkSession) -> int:
+    """Tree-node statistics budget: a quarter of the task JVM's memory
+    (the driver in local mode, else the smaller of driver and executor),
+    between 256 and 1024 MiB — more nodes per data pass on big machines,
+    no heap pressure on small ones."""
+    mem = _memory_mb(spark.conf.get("spark.driver.memory", "1g"))
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        mem = min(mem, _memory_mb(spark.conf.get("spark.executor.memory", "1g")))
+    return int(max(256, min(1024, mem // 4)))
+
+
 def train_forest(train: DataFrame, features: list[str], label: str, *, weight_col: str | None = None,
                  seed: int = SEED, save_to: str | None = None, **params) -> PipelineModel:
     """Random forest (Spark ML, distributed histograms) behind a feature
@@ -152,6 +170,7 @@ def train_forest(train: DataFrame, features: list[str], label: str, *, weight_co
     """
     conf = dict(FOREST)
     conf.update(FOREST_EXEC)
+    conf["maxMemoryInMB"] = _node_stats_mb(train.sparkSession)
     conf.update(params)
     va = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol="_features", labelCol=label, seed=seed,
