@@ -3,7 +3,7 @@ distribution drift, alerts and the fact -> dimension star joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import strip_version_prefix
@@ -93,11 +93,11 @@ def binned_by_reference(reference: DataFrame, live: DataFrame, col: str, n_bins:
                         ) -> tuple[DataFrame, DataFrame]:
     """Equal-width bins whose edges come from the reference side only.
 
-    Live values outside the reference range fall into the first/last bin.
+    The reference range is one aggregate (a single scalar subquery holding
+    min and max); live values outside it fall into the first/last bin.
     """
-    stats = reference.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    lo = stats.select("lo").scalar()
-    hi = stats.select("hi").scalar()
+    rng = reference.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi")).alias("r")).scalar()
+    lo, hi = rng.getField("lo"), rng.getField("hi")
     w = F.when(hi > lo, (hi - lo) / F.lit(n_bins)).otherwise(F.lit(1.0))
 
     def binned(df):
@@ -109,11 +109,18 @@ def binned_by_reference(reference: DataFrame, live: DataFrame, col: str, n_bins:
 
 
 def compare_distributions(reference: DataFrame, live: DataFrame, key: str) -> DataFrame:
-    """Side-by-side category/bin shares (full outer join, missing = 0)."""
+    """Side-by-side category/bin shares (full outer join, missing = 0).
+
+    Each side is scanned once into its per-key counts; the totals are sums
+    over the joined counts (one row per bin or category, so the window
+    below grows with the key cardinality, never with the data volume).
+    """
     r = reference.groupBy(key).agg(F.count(F.lit(1)).alias("ref_rows"))
     lv = live.groupBy(key).agg(F.count(F.lit(1)).alias("live_rows"))
-    rt, lt = _total(reference), _total(live)
     j = r.join(lv, key, "full_outer")
+    everything = Window.partitionBy()
+    rt = F.sum("ref_rows").over(everything)
+    lt = F.sum("live_rows").over(everything)
     return j.select(
         key,
         F.coalesce("ref_rows", F.lit(0)).alias("ref_rows"),
