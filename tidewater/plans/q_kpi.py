@@ -60,7 +60,7 @@ def q_confidence_trend(spark, sf):
 
 
 @query("hist_amount", with_views("""
-SELECT CAST(floor(amount / 25.0) AS BIGINT) AS bin, CAST(floor(amount / 25.0) AS BIGINT) * 25.0 AS bin_lo,
+SELECT CAST(floor(amount / 25.0) AS BIGINT) AS bin, CAST(CAST(floor(amount / 25.0) AS BIGINT) * 25.0 AS DOUBLE) AS bin_lo,
        count(*) AS n_rows,
        round(count(*) / (SELECT count(*) FROM scores_v WHERE amount IS NOT NULL), 6) AS share
 FROM scores_v WHERE amount IS NOT NULL GROUP BY ALL""", "scores_v"))
