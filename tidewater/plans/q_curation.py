@@ -106,9 +106,12 @@ def q_feat_surrogate(spark, sf):
 
 
 @query("feat_amount_log", with_views(
-    f"SELECT id, transaction_amount, ln(1 + transaction_amount) AS amount_log FROM ({MAPPED_SQL})", "tx_v"))
+    f"SELECT id, transaction_amount, round(ln(1 + transaction_amount), 6) AS amount_log FROM ({MAPPED_SQL})",
+    "tx_v"))
 def q_feat_amount_log(spark, sf):
-    return curation.add_amount_log(mapped(spark, sf).select("id", "transaction_amount"))
+    # log1p and ln(1 + x) agree to ~1e-16, not bit for bit: compared at 6 places
+    out = curation.add_amount_log(mapped(spark, sf).select("id", "transaction_amount"))
+    return out.withColumn("amount_log", F.round("amount_log", 6))
 
 
 @query("feat_flags", with_views(
