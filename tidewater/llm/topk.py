@@ -2,12 +2,12 @@
 
 A stated query set meets all points in blocks of bounded size.  In a block
 every dimension is a list sorted by component.  A query reads its lists
-sequentially from the end its component favours, keeping for every point a
-lower bound (unread components at their worst) and an upper bound (unread
-components at the list's reading position).  It stops when no point outside
-the survivors - those whose upper bound reaches the k-th lower bound - can
-qualify and these are few, or when the lists end; the survivors' scores are
-then resolved in full.  Block results (k per query) are merged by a window.
+sequentially, to doubling depths, from the end its component favours, keeping
+for every point a lower bound (unread components at their worst) and an upper
+bound (unread components at the list's reading position).  It stops when no
+point outside the survivors - those whose upper bound reaches the k-th lower
+bound - can qualify and these are few, or when the lists end; the survivors'
+scores are then resolved in full.  Block results (k per query) are merged by a window.
 
 Defined results: vectors that are null or hold null or non-finite components,
 and null ids, take no part; rows equal in id and vector are one point; a
@@ -28,6 +28,7 @@ from tidewater.session import materialize
 
 POINT_BLOCK = 8192
 QUERY_BLOCK = 1024
+QUERY_STEP = 128  # queries whose bounds a task holds at a time
 
 
 def finite_vector(v: Column) -> Column:
@@ -53,38 +54,60 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return out
 
 
-def nra(points: np.ndarray, ids: np.ndarray, lists: np.ndarray, rank: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact scores of the k best points for one query.
+class Lists:
+    """The sorted lists of one block, read to a common depth.
 
-    ``lists``: point order per dimension, ascending; ``rank``: its inverse.
+    At a depth, an unread component is bounded by the list's last value (the
+    worst that can come) and by the value at the reading position (the best
+    that can come).  A query reads the descending list where its component is
+    positive and the ascending one where it is negative, so for all queries
+    the bounds are products with the same two substituted matrices.
     """
+
+    def __init__(self, points: np.ndarray):
+        self.points = points.astype(np.float64)
+        self.sorted = np.sort(self.points, axis=0)
+        order = np.argsort(self.points, axis=0, kind="stable")
+        self.rank = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.rank, order, np.arange(len(order), dtype=np.int32)[:, None], axis=0)
+        self._read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Substituted matrices [descending | ascending] for the lower and the upper bound."""
+        if depth not in self._read:
+            n = len(self.points)
+            top, bottom = self.rank >= n - depth, self.rank < depth
+            fill = lambda t, b: np.hstack([np.where(top, self.points, t), np.where(bottom, self.points, b)])
+            self._read[depth] = (fill(self.sorted[0], self.sorted[-1]),
+                                 fill(self.sorted[n - depth], self.sorted[depth - 1]))
+        return self._read[depth]
+
+
+def nra(lists: Lists, ids: np.ndarray, queries: np.ndarray, own: list[int], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and exact scores of the k best points for each query (all sums exact in float64)."""
     n = len(ids)
-    use = np.flatnonzero(q)
-    out = ids == own
-    alive = np.flatnonzero(~out)
-    if len(use) and len(alive) > 4 * k:
-        down = q[use] > 0
-        order = np.where(down[None], lists[::-1, use], lists[:, use])
-        w = q[use].astype(np.float64)
-        worst = points[order[-1], use] * w
-        low = np.full(n, worst.sum())
-        depth = 0
-        while depth < n:
-            upto = min(n, max(n // 16, 2 * depth))
-            read = order[depth:upto]
-            gain = points[read, use] * w - worst
-            low += np.bincount(read.ravel(), gain.ravel(), n)
-            depth = upto
-            gap = points[order[depth - 1], use] * w - worst  # what an unread component may still add
-            unread = np.where(down[None], rank[:, use] < n - depth, rank[:, use] >= depth)
-            high = low + unread @ gap
-            bar = np.partition(low[alive], len(alive) - k)[len(alive) - k]
-            alive = alive[high[alive] >= bar]
-            if len(alive) <= max(4 * k, n // 64):
-                break
-    score = points[alive] @ q
-    best = np.lexsort((ids[alive], -score))[:k]
-    return ids[alive][best], score[best]
+    q = queries.astype(np.float64)
+    signed = np.hstack([np.maximum(q, 0), np.minimum(q, 0)]).T
+    found: list = [None] * len(q)
+    open_, depth = np.arange(len(q)), 0
+    while len(open_):
+        depth = min(n, max(1, n // 16, 2 * depth))
+        low_m, high_m = lists.bounds(depth)
+        low, high = low_m @ signed[:, open_], high_m @ signed[:, open_]
+        later = []
+        for c, i in enumerate(open_):
+            mine = ids == own[i]
+            low[mine, c], high[mine, c] = -np.inf, -np.inf
+            bar = np.partition(low[:, c], n - k)[n - k] if n > k else -np.inf
+            alive = np.flatnonzero((high[:, c] >= bar) & ~mine)
+            if len(alive) > max(4 * k, n // 32) and depth < n:
+                later.append(i)
+                continue
+            score = lists.points[alive] @ q[i]
+            best = np.lexsort((ids[alive], -score))[:k]
+            found[i] = ids[alive][best], score[best]
+        open_ = np.array(later, np.int64)
+    return found
 
 
 def _search(k: int):
@@ -98,21 +121,22 @@ def _search(k: int):
             if float(np.abs(P).max(initial=0)) * float(np.abs(Q).max(initial=0)) * dims >= 2.0 ** 52:
                 P, Q = P.astype(object), Q.astype(object)
             ids = points.column("vec_id").to_numpy()
-            lists = np.argsort(P, axis=0, kind="stable")
-            rank = np.empty_like(lists)
-            np.put_along_axis(rank, lists, np.arange(len(ids))[:, None], axis=0)
             qid, qkey = queries.column("query_id").to_pylist(), queries.column("query_key").to_pylist()
-            for i in range(len(qid)):
-                if P.dtype == object:
-                    keep = np.flatnonzero(ids != qid[i])
+            found = []
+            if P.dtype == object:
+                for i, own in enumerate(qid):
+                    keep = np.flatnonzero(ids != own)
                     s = P[keep] @ Q[i]
                     best = sorted(range(len(keep)), key=lambda j: (-s[j], ids[keep[j]]))[:k]
-                    found, score = ids[keep[best]], s[best]
-                else:
-                    found, score = nra(P, ids, lists, rank, Q[i], qid[i], k)
-                out[0] += [qid[i]] * len(found)
-                out[1] += [qkey[i]] * len(found)
-                out[2] += [int(x) for x in found]
+                    found.append((ids[keep[best]], s[best]))
+            else:
+                lists = Lists(P)
+                for at in range(0, len(qid), QUERY_STEP):
+                    found += nra(lists, ids, Q[at:at + QUERY_STEP], qid[at:at + QUERY_STEP], k)
+            for i, (vec, score) in enumerate(found):
+                out[0] += [qid[i]] * len(vec)
+                out[1] += [qkey[i]] * len(vec)
+                out[2] += [int(x) for x in vec]
                 out[3] += [int(x) for x in score]
         return pa.table([pa.array(c, pa.int64()) for c in out], ["query_id", "query_key", "vec_id", "score"])
 
