@@ -53,13 +53,15 @@ def html_lines(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"[ \t\r\n\f]*\n[ \t\r\n\f]*", "\n"), r"^\n+|\n+$", "")
 
 
-def _key(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"[ \t\r\f]+", " "))
+def _hashes(text: Column) -> Column:
+    """64-bit hash of each line, trimmed and with runs of spaces made one; null for a blank line."""
+    flat = F.when(text.rlike(r"[\t\r\f]|  "), F.regexp_replace(text, r"[ \t\r\f]+", " ")).otherwise(text)
+    return F.transform(F.split(flat, "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
 
 
 def boilerplate(pages: DataFrame, *, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(_bp_host, _bp_lines array<long>): hashes of each host's boilerplate lines."""
-    own = F.array_distinct(F.transform(F.filter(F.transform(F.split(F.col(text), "\n"), _key), lambda k: k != ""), lambda k: F.xxhash64(k)))
+    own = F.array_distinct(F.array_compact(_hashes(F.col(text))))
     lines = pages.select(F.col(host).alias("_bp_host"), F.explode(own).alias("h"))
     n_pages = pages.groupBy(F.col(host).alias("_bp_all")).agg(F.count("*").alias("pages"))
     return (lines.groupBy("_bp_host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
@@ -73,14 +75,19 @@ def drop_boilerplate(pages: DataFrame, *, host: str, text: str, max_ratio: float
     """``pages`` with boilerplate lines taken out of ``text``; optional counters of non-blank and dropped lines."""
     lists = materialize(boilerplate(pages, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages), "boilerplate")
     joined = pages.join(lists, F.col(host).eqNullSafe(F.col("_bp_host")), "left")
-    dropped = lambda line: F.coalesce(F.array_contains(F.col("_bp_lines"), F.xxhash64(_key(line))), F.lit(False)) & (_key(line) != "")
-    joined = joined.withColumn("_bp_split", F.split(F.col(text), "\n"))
-    kept = F.array_join(F.filter("_bp_split", lambda x: ~dropped(x)), "\n")
+    # let(value, use): the value is computed once however often the lambda reads it
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    gone = lambda h: F.transform(h, lambda x: F.coalesce(F.array_contains(F.col("_bp_lines"), x), F.lit(False)))
+    clean = lambda g: F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.get(g, i)), "\n")
+    result = let(_hashes(F.col(text)), lambda h: let(gone(h), lambda g: F.struct(
+        F.when(F.exists(g, lambda x: x), clean(g)).otherwise(F.col(text)).alias("text"),
+        F.size(F.array_compact(h)).cast("long").alias("lines"),
+        F.size(F.filter(g, lambda x: x)).cast("long").alias("dropped"))))
+    joined = joined.withColumn("_bp", F.when(F.col(text).isNotNull(), result))
     out = {c: F.col(f"`{c}`") for c in pages.columns}
     if n_lines:
-        out[n_lines] = F.coalesce(F.size(F.filter("_bp_split", lambda x: _key(x) != "")), F.lit(0)).cast("long")
-        out[n_lines] = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(out[n_lines])
+        out[n_lines] = F.coalesce(F.col("_bp.lines"), F.lit(0))
     if n_dropped:
-        out[n_dropped] = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.filter("_bp_split", dropped))).cast("long")
-    out[text] = F.when(F.col("_bp_lines").isNull(), F.col(text)).otherwise(kept)
+        out[n_dropped] = F.coalesce(F.col("_bp.dropped"), F.lit(0))
+    out[text] = F.col("_bp.text")
     return joined.select(*[v.alias(k) for k, v in out.items()])
