@@ -1,9 +1,10 @@
 """Licence scan by canonical digest lookup.
 
-A known licence text and every whole unit of a document (the whole text,
-each paragraph between blank lines, each line) are put in canonical form:
-lower case, copyright lines removed, equivalent spellings unified, all
-punctuation and white space runs made one space.  Units are hash-joined by
+A known licence text and every whole unit of a document (the whole text, each
+paragraph, each line) are put in canonical form: lower case, copyright lines
+removed, all punctuation and white space runs made one space, equivalent
+spellings unified.  Lines without a letter or digit, and copyright lines, end
+a paragraph.  Units are hash-joined by
 SHA-256 of that form, so only entire texts match, never fragments.
 
 Units are exploded map-side as digests only; texts are not shuffled.  The
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.session import materialize
+
 # SPDX ids with notice and licence texts.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -44,16 +47,29 @@ KNOWN = (
 EQUIVALENT = (("licence", "license"), ("licenced", "licensed"), ("licensing", "license"), ("sublicence", "sublicense"),
               ("organisation", "organization"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"),
               ("ver", "version"), ("v", "version"), ("cc by nc", "ccbync"), ("per cent", "percent"), ("copyright holder", "copyright owner"))
+PARAGRAPH_END = r"\n(?: *\n)+"
 COPYRIGHT_LINE = r"(?m)^[^\S\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of one unit; empty when nothing is left."""
-    t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+def _words(text: Column) -> Column:
+    """Lower case without copyright lines; everything but letters, digits and line breaks is one space."""
+    low = F.lower(text)
+    hinted = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©")) | F.contains(low, F.lit("all rights reserved"))
+    return F.regexp_replace(F.when(hinted, F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low), r"[^\p{L}\p{N}\n]+", " ")
+
+
+def _unified(words: Column) -> Column:
+    """One unit's words with line breaks as spaces and equivalent spellings unified."""
+    t = F.when(F.contains(words, F.lit("\n")), F.regexp_replace(words, r" *\n[ \n]*", " ")).otherwise(words)
+    t = F.concat(F.lit(" "), F.trim(t), F.lit(" "))
     for a, b in EQUIVALENT:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(F.regexp_replace(t, " +", " "))
+    return F.trim(t)
+
+
+def canonical(text: Column) -> Column:
+    """Canonical form of one unit; empty when nothing is left."""
+    return _unified(_words(text))
 
 
 def known_licenses(spark: SparkSession, known=KNOWN) -> DataFrame:
@@ -62,20 +78,19 @@ def known_licenses(spark: SparkSession, known=KNOWN) -> DataFrame:
 
 def scan(docs: DataFrame, licenses: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license_id, scope, n_units): units of a document that are entire known licence texts."""
-    digests = (licenses.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("_digest"), canonical(F.col("text")).alias("c"))
-               .where(F.col("c") != "").select("license_id", "_digest").distinct())
-    t = F.col("_text")
-    lines = F.when(F.contains(t, F.lit("\n")), F.split(t, r"\n"))
-    blocks = F.when(t.rlike(r"\n[^\S\n]*\n"), F.split(t, r"\n[^\S\n]*\n"))
-    # a text without a line break is its own line; a text without blank lines its own paragraph
+    # written once: Spark sees how small it is and broadcasts it, or shuffles the digests when it is not
+    digests = materialize(licenses.select("license_id", canonical(F.col("text")).alias("c")).where(F.col("c") != "")
+                          .select("license_id", F.sha2("c", 256).alias("_digest")).distinct(), "license-digests")
+    w = F.col("_w")
     unit = lambda scope: (lambda u: F.struct(F.lit(scope).alias("scope"), u.alias("unit")))
     none = F.array().cast("array<struct<scope:string,unit:string>>")
-    units = F.concat(F.array(F.struct(F.lit("document").alias("scope"), t.alias("unit"))),
-                     F.coalesce(F.transform(blocks, unit("paragraph")), none),
-                     F.coalesce(F.transform(lines, unit("line")), none))
-    found = (docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text")).where(t.isNotNull())
+    lines = F.when(F.contains(w, F.lit("\n")), F.transform(F.split(w, r"\n"), unit("line")))
+    blocks = F.when(w.rlike(PARAGRAPH_END), F.transform(F.split(w, PARAGRAPH_END), unit("paragraph")))
+    units = F.concat(F.array(F.struct(F.lit("document").alias("scope"), w.alias("unit"))),
+                     F.coalesce(blocks, none), F.coalesce(lines, none))
+    found = (docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), _words(F.col(text)).alias("_w"))
              .select("doc_id", F.explode(units).alias("u"))
-             .select("doc_id", "u.scope", canonical(F.col("u.unit")).alias("c")).where(F.col("c") != "")
+             .select("doc_id", "u.scope", _unified(F.col("u.unit")).alias("c")).where(F.col("c") != "")
              .select("doc_id", "scope", F.sha2("c", 256).alias("_digest")))
     return (found.join(digests, "_digest").groupBy("doc_id", "license_id", "scope")
             .agg(F.count("*").alias("n_units")))

@@ -181,21 +181,24 @@ def op7(spark, sf_dir):
 def _licenses_sql() -> str:
     from tidewater.llm import licenses as c
 
-    def canon(x):
-        t = f"regexp_replace(lower({x}), '{c.COPYRIGHT_LINE}', ' ', 'g')".replace("\\u00a9", "\\x{00A9}")
-        t = f"concat(' ', regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
+    def words(x):
+        return f"regexp_replace(regexp_replace(lower({x}), '{c.COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+
+    def unified(x):
+        t = f"concat(' ', trim(regexp_replace({x}, ' *\\n[ \\n]*', ' ', 'g')), ' ')"
         for a, b in c.EQUIVALENT:
             t = f"replace({t}, ' {a} ', ' {b} ')"
-        return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
+        return f"trim({t})"
 
     known = ", ".join(f"('{i}', '{t}')" for i, t in c.KNOWN)
     return rf"""
-WITH known AS (SELECT DISTINCT license_id, sha256({canon('t')}) AS d FROM (VALUES {known}) v(license_id, t)),
+WITH known AS (SELECT DISTINCT license_id, sha256({unified(words('t'))}) AS d FROM (VALUES {known}) v(license_id, t)),
+w AS (SELECT doc_id, {words('text')} AS w FROM documents WHERE text IS NOT NULL),
 units AS (
-  SELECT doc_id, 'document' AS scope, text AS unit FROM documents WHERE text IS NOT NULL
-  UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(text, '\n[^\S\n]*\n')) FROM documents WHERE regexp_matches(text, '\n[^\S\n]*\n')
-  UNION ALL SELECT doc_id, 'line', unnest(string_split(text, chr(10))) FROM documents WHERE contains(text, chr(10))),
-c AS (SELECT doc_id, scope, {canon('unit')} AS c FROM units)
+  SELECT doc_id, 'document' AS scope, w AS unit FROM w
+  UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(w, '{c.PARAGRAPH_END}')) FROM w WHERE regexp_matches(w, '{c.PARAGRAPH_END}')
+  UNION ALL SELECT doc_id, 'line', unnest(string_split(w, chr(10))) FROM w WHERE contains(w, chr(10))),
+c AS (SELECT doc_id, scope, {unified('unit')} AS c FROM units)
 SELECT doc_id, license_id, scope, count(*)::BIGINT AS n_units FROM c JOIN known ON sha256(c) = d WHERE c <> '' GROUP BY ALL
 """
 
