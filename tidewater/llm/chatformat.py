@@ -116,19 +116,25 @@ def unescape(text: Column) -> Column:
 
 
 _OPEN, _MID, _CLOSE = "<s>[ROLE]", "[/ROLE]", "</s>"
-_RUN = 256
+_RUN = 64
+_CUT = 2048
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often the lambda reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _starts(lengths: Column) -> Column:
-    """Exclusive running sums of an array, over runs of 256 so that long conversations stay near linear."""
+    """Exclusive running sums of an array, over runs of ``_RUN`` so that long conversations stay near linear."""
     zero = F.lit(0).cast("long")
     add = lambda a, b: a + b
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _RUN).cast("int")),
                        lambda r: F.aggregate(F.slice(lengths, r * _RUN + 1, F.lit(_RUN)), zero, add))
-    base = F.transform(runs, lambda _, i: F.aggregate(F.slice(runs, F.lit(1), i), zero, add))
-    start = F.transform(lengths, lambda _, i: F.get(base, F.floor(i / _RUN).cast("int")) + F.aggregate(
+    bases = lambda sums: F.transform(sums, lambda _, i: F.aggregate(F.slice(sums, F.lit(1), i), zero, add))
+    start = lambda base: F.transform(lengths, lambda _, i: F.get(base, F.floor(i / _RUN).cast("int")) + F.aggregate(
         F.slice(lengths, (F.floor(i / _RUN) * _RUN).cast("int") + 1, (i % _RUN).cast("int")), zero, add))
-    return F.when(F.size(lengths) > 0, start).otherwise(F.array().cast("array<long>"))
+    return F.when(F.size(lengths) > 0, _let(runs, lambda sums: _let(bases(sums), start))).otherwise(F.array().cast("array<long>"))
 
 
 def formatted(rows: DataFrame, *, trained_role: str = "assistant") -> DataFrame:
@@ -136,25 +142,32 @@ def formatted(rows: DataFrame, *, trained_role: str = "assistant") -> DataFrame:
     pieces = F.transform("turns", lambda t: F.struct(
         F.concat(F.lit(_OPEN), escape(t["role"]), F.lit(_MID)).alias("head"), escape(t["text"]).alias("body"),
         (t["role"] == trained_role).alias("trained")))
-    rows = rows.withColumn("_cf_p", pieces)
-    lengths = F.transform("_cf_p", lambda p: (F.char_length(p["head"]) + F.char_length(p["body"]) + len(_CLOSE)).cast("long"))
-    rows = rows.withColumn("_cf_n", lengths).withColumn("_cf_at", _starts(F.col("_cf_n")))
-    spans = F.filter(F.transform("_cf_p", lambda p, i: F.when(p["trained"], F.struct(
-        (F.get(F.col("_cf_at"), i) + F.char_length(p["head"])).alias("start"), F.char_length(p["body"]).alias("length")))),
-        lambda s: s.isNotNull())
-    text = F.array_join(F.transform("_cf_p", lambda p: F.concat(p["head"], p["body"], F.lit(_CLOSE))), "")
-    return rows.withColumns({"formatted": text, "loss_spans": spans}).drop("_cf_p", "_cf_n", "_cf_at")
+
+    def write(p):
+        lengths = F.transform(p, lambda x: (F.char_length(x["head"]) + F.char_length(x["body"]) + len(_CLOSE)).cast("long"))
+        spans = lambda at: F.filter(F.transform(p, lambda x, i: F.when(x["trained"], F.struct(
+            (F.get(at, i) + F.char_length(x["head"])).alias("start"), F.char_length(x["body"]).alias("length")))),
+            lambda s: s.isNotNull())
+        return F.struct(F.array_join(F.transform(p, lambda x: F.concat(x["head"], x["body"], F.lit(_CLOSE))), "").alias("formatted"),
+                        _let(lengths, lambda n: _let(_starts(n), spans)).alias("loss_spans"))
+
+    rows = rows.withColumn("_cf", _let(pieces, write))
+    return rows.withColumns({"formatted": F.col("_cf.formatted"), "loss_spans": F.col("_cf.loss_spans")}).drop("_cf")
 
 
 def read_back(rows: DataFrame) -> DataFrame:
     """Add ``turns_read`` and ``loss_text`` from ``formatted`` and ``loss_spans`` alone."""
-    pieces = F.split("formatted", _CLOSE, -1)
     body = lambda p: F.substring(p, len(_OPEN) + 1, 2147483647)
-    turn = lambda p: F.struct(unescape(F.get(F.split(body(p), r"\[/ROLE\]", 2), F.lit(0))).alias("role"),
-                              unescape(F.get(F.split(body(p), r"\[/ROLE\]", 2), F.lit(1))).alias("text"))
-    turns = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn)
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(
-        F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    turn = lambda p: _let(F.split(body(p), r"\[/ROLE\]", 2), lambda x: F.struct(
+        unescape(F.get(x, F.lit(0))).alias("role"), unescape(F.get(x, F.lit(1))).alias("text")))
+    turns = _let(F.split("formatted", _CLOSE, -1), lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), turn))
+    # the masked text is read from cuts of equal length, so that a span does not walk the whole text to its place
+    cut = lambda cuts, s: F.substring(
+        F.array_join(F.slice(cuts, F.floor(s["start"] / _CUT).cast("int") + 1,
+                             (F.floor((s["start"] + s["length"]) / _CUT) - F.floor(s["start"] / _CUT) + 1).cast("int")), ""),
+        (s["start"] % _CUT + 1).cast("int"), s["length"].cast("int"))
+    loss = _let(F.regexp_extract_all("formatted", F.lit(r"(?s).{1,%d}" % _CUT), F.lit(0)),
+                lambda cuts: F.array_join(F.transform("loss_spans", lambda s: unescape(cut(cuts, s))), ""))
     return rows.withColumns({"turns_read": turns, "loss_text": loss})
 
 
