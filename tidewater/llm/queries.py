@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.session import materialize
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -173,7 +175,9 @@ def _lines_sql() -> str:
 @query("op7_line_dedup", _lines_sql())
 def op7(spark, sf_dir):
     from tidewater.llm import linededup as d
-    pages = _table(spark, sf_dir, "pages").select("page_id", d.host_of(F.col("url")).alias("host"), d.html_lines(F.col("html")).alias("text"))
+    # the markup is parsed once; counting and rewriting both read the written lines
+    pages = materialize(_table(spark, sf_dir, "pages").select(
+        "page_id", d.host_of(F.col("url")).alias("host"), d.html_lines(F.col("html")).alias("text")), "page-lines")
     return d.drop_boilerplate(pages, host="host", text="text", n_lines="n_lines", n_dropped="n_dropped")
 
 
