@@ -69,9 +69,9 @@ def test_vector_topk_brute_force_ties_and_zero(spark):
     pdf = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(pts)], "id long, vector array<double>")
     qdf = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(queries)],
                                 "query_id long, vector array<double>")
-    for max_q in (100, 2):  # second run exercises the query slicing path
+    for pb, qb in ((5, 1), (3, 4), (1, 1)):  # cells of both sides
         got = {}
-        for r in vectors.vector_topk(pdf.repartition(5), qdf, k=4, max_query_rows=max_q).collect():
+        for r in vectors.vector_topk(pdf, qdf, k=4, point_blocks=pb, query_blocks=qb).collect():
             got.setdefault(r.query_id, []).append((r.rank, r.id, r.similarity))
         norms = np.linalg.norm(pts, axis=1)
         for qi, q in enumerate(queries):

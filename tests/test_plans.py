@@ -38,22 +38,8 @@ def test_flagship_pushdown(spark):
     assert "hashpartitioning(user_id" in plan
 
 
-def test_spread_and_bounded_broadcast(spark):
+def test_spread_is_the_callers_choice(spark):
     from tidewater.operators.common import spread
-    from tidewater.operators.kpi import bounded_broadcast
-    big = spark.range(0, 1000, numPartitions=64)
-    assert spread(big).rdd.getNumPartitions() == 64  # enough partitions: unchanged
-    small = spark.range(0, 10, numPartitions=1)
-    assert spread(small, 4).rdd.getNumPartitions() == 4
-    dim = spark.range(5)
-    assert "BroadcastExchange" in _plan(big.join(bounded_broadcast(dim, 10), "id"))
-    n = bounded_broadcast(spark.range(0, 500), 100)  # above the bound: returned as is, no hint
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        n.explain("extended")
-    assert "strategy=broadcast" not in buf.getvalue()
-    hinted = bounded_broadcast(spark.range(0, 50), 100)
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        hinted.explain("extended")
-    assert "strategy=broadcast" in buf.getvalue()
+    df = spark.range(0, 10, numPartitions=1)
+    assert spread(df) is df
+    assert spread(df, 4).rdd.getNumPartitions() == 4

@@ -27,8 +27,7 @@ def epoch_ms_to_ts(c) -> Column:
     integer arithmetic, no text round trip.
     """
     c = as_col(c)
-    secs = F.when(c >= 0, F.floor(c / F.lit(1000))).otherwise(-F.floor(-c / F.lit(1000)))
-    return F.timestamp_seconds(secs)
+    return F.timestamp_seconds(F.call_function("div", c, F.lit(1000)))
 
 
 def anon_ipv4(c) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, value_col:
     o = F.col(order_col).cast("double")
     if g:
         rng = df.groupBy(*g).agg(F.min(o).alias("_ps_lo"), F.max(o).alias("_ps_hi"))
-        base = df.join(rng, g, "inner")
+        base = join_null_safe(df, rng, g)
     else:
         base = df.withColumns({"_ps_lo": df.agg(F.min(o)).scalar(), "_ps_hi": df.agg(F.max(o)).scalar()})
     width = F.when(F.col("_ps_hi") > F.col("_ps_lo"), (F.col("_ps_hi") - F.col("_ps_lo")) / F.lit(n_buckets)).otherwise(F.lit(1.0))
@@ -32,23 +34,24 @@ def prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, value_col:
     offsets = totals.select(*g, "_ps_b", F.coalesce(F.sum("_ps_bt").over(wb), F.lit(0)).alias("_ps_off"))
     end = Window.currentRow if inclusive else -1
     wi = Window.partitionBy(*g, "_ps_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
-    res = (base.join(offsets, [*g, "_ps_b"], "inner")
+    res = (join_null_safe(base, offsets, [*g, "_ps_b"])
            .withColumn(out, F.col("_ps_off") + F.coalesce(F.sum(value_col).over(wi), F.lit(0))))
     return res.drop("_ps_lo", "_ps_hi", "_ps_b", "_ps_off")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give a CPU-heavy stage at least one partition per core.
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the keys come from ``left``."""
+    renamed = right.withColumnsRenamed({k: f"_ns_{k}" for k in keys})
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_ns_{k}")) for k in keys])
+    return left.join(renamed, cond, how).drop(*[f"_ns_{k}" for k in keys])
+
+
+def spread(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """Deal rows over ``num_partitions`` before a CPU-heavy stage, if asked.
 
-    A small input (a single file with one row group) scans as one
-    partition, and a row-local stage after it (tokenising, chunking, tree
-    fitting) would run on one core.  Only then the rows are dealt
-    round-robin over ``defaultParallelism`` partitions; a large input
-    already has more partitions than cores and passes unchanged (no
-    shuffle).  Round-robin repartitioning sorts rows first, so a retried
-    task rebuilds the same partitions.
+    The caller knows its input: a single small file scans as one partition,
+    and a row-local stage after it would run on one core.  Round-robin
+    repartitioning sorts rows first, so a retried task rebuilds the same
+    partitions.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    return df.repartition(num_partitions) if num_partitions else df

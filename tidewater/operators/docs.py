@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import uuid5
-from tidewater.operators.common import prefix_sum, spread
+from tidewater.operators.common import join_null_safe, prefix_sum, spread
 
 # Chunk size and overlap of the ingest splitter.
 CHUNK_SIZE = 1000
@@ -31,7 +31,7 @@ def chunk_starts(n_words: Column, size: int, overlap: int) -> Column:
 
 def chunk_text(df: DataFrame, text_col: str = "text", *, size: int = CHUNK_SIZE,
                overlap: int = CHUNK_OVERLAP, keep: list[str] | None = None,
-               with_count: bool = False) -> DataFrame:
+               with_count: bool = False, num_partitions: int | None = None) -> DataFrame:
     """One row per chunk: ``pos`` (0-based within the text) and ``text``
     (plus ``n_in_text``, the text's chunk count, with ``with_count``).
 
@@ -48,7 +48,7 @@ def chunk_text(df: DataFrame, text_col: str = "text", *, size: int = CHUNK_SIZE,
                             lambda s: F.array_join(F.slice(w, s + 1, size), " "))
         return F.when(F.size(w) > 0, texts).otherwise(F.array().cast("array<string>"))
 
-    c = spread(df).select(*keep, F.transform(F.array(words(F.col(text_col))), chunks_of)[0].alias("_c"))
+    c = spread(df, num_partitions).select(*keep, F.transform(F.array(words(F.col(text_col))), chunks_of)[0].alias("_c"))
     extra = [F.size("_c").alias("n_in_text")] if with_count else []
     return c.select(*keep, *extra, F.posexplode("_c").alias("pos", "text"))
 
@@ -77,10 +77,10 @@ def chunk_and_number(pages: DataFrame, *, source_col: str = "source", page_col:
                                     with_count=True), "chunks")
     per_page = chunks.where(F.col("pos") == 0).select(source_col, page_col, "n_in_text")
     offs = prefix_sum(per_page, [source_col], page_col, "n_in_text", "_off")
-    out = chunks.join(offs.select(source_col, page_col, "_off"), [source_col, page_col], "inner")
+    out = join_null_safe(chunks, offs.select(source_col, page_col, "_off"), [source_col, page_col])
     idx = (F.col("_off") + F.col("pos")).cast("int")
     return out.select(
-        uuid5(F.concat(F.col(source_col), F.lit(": "), idx.cast("string"))).alias("id"),
+        uuid5(F.concat(F.coalesce(F.col(source_col), F.lit("")), F.lit(": "), idx.cast("string"))).alias("id"),
         F.col(source_col).alias("source"), idx.alias("chunk_index"),
         F.col(page_col), F.col(text_col).alias("text"))
 

@@ -178,6 +178,8 @@ def pit_join(spine: DataFrame, features: DataFrame, keys: list[str], *,
         lower = F.col("_ts") - F.make_dt_interval(F.lit(t.days), F.lit(0), F.lit(0), F.lit(secs))
         return m.getField("_fts") >= lower
 
+    if isinstance(ttl, dict) and not ttl_groups:
+        raise ValueError("ttl by group needs ttl_groups")
     if ttl_groups:
         ttl_map = ttl if isinstance(ttl, dict) else {g: ttl for g in ttl_groups}
         fcols = []
@@ -185,7 +187,7 @@ def pit_join(spine: DataFrame, features: DataFrame, keys: list[str], *,
             ok = within(ttl_map.get(g))
             fcols += [F.when(ok, m.getField(c)).alias(c) for c in cols]
     else:
-        ok = within(ttl if not isinstance(ttl, dict) else None)
+        ok = within(ttl)
         fcols = [F.when(ok, m.getField(c)).alias(c) for c in feature_cols]
     matched = joined.select(*[F.col(f"_s.{c}").alias(c) for c in spine_cols], *fcols)
 

@@ -3,7 +3,7 @@ distribution drift, alerts and the fact -> dimension star joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import strip_version_prefix
@@ -13,16 +13,6 @@ ALERT_THRESHOLD = 0.85
 DRIFT_EPSILON = 1e-6
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
-
-    The check is a LIMIT ``max_rows + 1`` count (stops early).  Above the
-    bound the frame is returned unchanged and Spark plans a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def kpi_summary(scores: DataFrame, *, fraud_col: str = "is_fraud",
                 prob_col: str = "fraud_probability", version_col: str = "model_version") -> DataFrame:
     """Total, fraud count, fraud rate (null on no rows), mean confidence,
@@ -109,25 +99,15 @@ def binned_by_reference(reference: DataFrame, live: DataFrame, col: str, n_bins:
 
 
 def compare_distributions(reference: DataFrame, live: DataFrame, key: str) -> DataFrame:
-    """Side-by-side category/bin shares (full outer join, missing = 0).
+    """Side-by-side category/bin shares (missing = 0; null is one category).
 
-    Each side is scanned once into its per-key counts; the totals are sums
-    over the joined counts (one row per bin or category, so the window
-    below grows with the key cardinality, never with the data volume).
+    Both sides are counted in one aggregate over their union; the totals are
+    two scalar subqueries over those counts.
     """
-    r = reference.groupBy(key).agg(F.count(F.lit(1)).alias("ref_rows"))
-    lv = live.groupBy(key).agg(F.count(F.lit(1)).alias("live_rows"))
-    j = r.join(lv, key, "full_outer")
-    everything = Window.partitionBy()
-    rt = F.sum("ref_rows").over(everything)
-    lt = F.sum("live_rows").over(everything)
-    return j.select(
-        key,
-        F.coalesce("ref_rows", F.lit(0)).alias("ref_rows"),
-        F.coalesce("live_rows", F.lit(0)).alias("live_rows"),
-        F.coalesce(F.col("ref_rows") / rt, F.lit(0.0)).alias("ref_share"),
-        F.coalesce(F.col("live_rows") / lt, F.lit(0.0)).alias("live_share"),
-    )
+    both = (reference.select(key, F.lit(1).alias("_r")).unionByName(live.select(key, F.lit(0).alias("_r")))
+            .groupBy(key).agg(F.count_if(F.col("_r") == 1).alias("ref_rows"), F.count_if(F.col("_r") == 0).alias("live_rows")))
+    share = lambda n: F.coalesce(F.try_divide(F.col(n), both.agg(F.sum(n)).scalar()), F.lit(0.0))
+    return both.select(key, "ref_rows", "live_rows", share("ref_rows").alias("ref_share"), share("live_rows").alias("live_share"))
 
 
 def drift_numeric(reference: DataFrame, live: DataFrame, col: str, n_bins: int = 10) -> DataFrame:
@@ -158,16 +138,15 @@ def alerts(scores: DataFrame, threshold: float = ALERT_THRESHOLD, *,
 
 def join_model_dimension(scores: DataFrame, dim_model: DataFrame, *,
                          fact_version: str = "model_version", dim_version: str = "version",
-                         on: list[str] | None = None, max_dim_rows: int = 100_000) -> DataFrame:
+                         on: list[str] | None = None) -> DataFrame:
     """Fact rows with their model's attributes (many-to-one, left).
 
     Versions are compared after dropping a leading ``v`` ('v2' = 2); ``on``
-    adds further equal keys (e.g. the model name).  The dimension is
-    broadcast only after a row-count check.
+    adds further equal keys (e.g. the model name).  Spark chooses the join
+    from measured sizes (a small dimension is broadcast at run time).
     """
     keys = list(on or []) + ["_vkey"]
     d = dim_model.withColumn("_vkey", strip_version_prefix(F.col(dim_version)))
-    d = bounded_broadcast(d, max_dim_rows)
     f = scores.withColumn("_vkey", strip_version_prefix(F.col(fact_version)))
     if dim_version in scores.columns:
         d = d.withColumnRenamed(dim_version, f"dim_{dim_version}")

@@ -14,16 +14,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import seeded_bucket
-from tidewater.operators.common import spread
+from tidewater.operators.common import join_null_safe, spread
+from tidewater.session import materialize
 
 # Fixed values of the training job.
 SEED = 42
 TEST_FRACTION = 0.2
 GATE_THRESHOLD = 0.75
 FOREST = dict(numTrees=100, maxDepth=10, minInstancesPerNode=5, featureSubsetStrategy="sqrt")
-# Execution settings only (no effect on the fitted model): more tree nodes
-# per pass over the data, node ids cached between levels.
-FOREST_EXEC = dict(maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
+# Node ids are cached between levels.  The statistics budget is one fixed
+# value on every machine: it decides how many nodes share a pass, and with
+# that the order in which feature subsets are drawn.
+FOREST_EXEC = dict(maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10)
 
 
 def feature_columns(df: DataFrame, exclude=("Time", "is_fraud", "transaction_amount")) -> list[str]:
@@ -75,11 +77,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight of each row's class (one row per class;
-    broadcast after a row-count check)."""
-    from tidewater.operators.kpi import bounded_broadcast
+    """Attach the balanced weight of each row's class (one row per class)."""
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(bounded_broadcast(w, 10_000), label, "left")
+    return df.join(w, label, "left")
 
 
 def roc_auc(df: DataFrame, score: str, label: str, group_by: list[str] | None = None,
@@ -99,9 +99,10 @@ def roc_auc(df: DataFrame, score: str, label: str, group_by: list[str] | None =
     per_score = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
                  .groupBy(*g, F.col(score).cast("double").alias("_s"))
                  .agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg")))
+    per_score = materialize(per_score, "auc-scores")  # read four times below
     if g:
         rng = per_score.groupBy(*g).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-        with_range = per_score.join(rng, g, "inner")
+        with_range = join_null_safe(per_score, rng, g)
     else:  # one range: two scalar subqueries, no join
         with_range = per_score.withColumns({"_lo": per_score.agg(F.min("_s")).scalar(),
                                             "_hi": per_score.agg(F.max("_s")).scalar()})
@@ -112,13 +113,13 @@ def roc_auc(df: DataFrame, score: str, label: str, group_by: list[str] | None =
     wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)))
     ws = Window.partitionBy(*g, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    scored = (with_b.join(offsets.select(*g, "_b", "_off"), [*g, "_b"], "inner")
+    scored = (join_null_safe(with_b, offsets.select(*g, "_b", "_off"), [*g, "_b"])
               .withColumn("_below", F.col("_off") + F.coalesce(F.sum("_neg").over(ws), F.lit(0))))
     agg = scored.groupBy(*g).agg(
         F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / F.lit(2.0))).alias("_u"),
         F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"))
     return agg.select(*g, "positives", "negatives",
-                      F.try_divide(F.col("_u"), F.col("positives") * F.col("negatives")).alias("roc_auc"))
+                      F.try_divide(F.col("_u"), F.col("positives").cast("double") * F.col("negatives")).alias("roc_auc"))
 
 
 def classification_metrics(df: DataFrame, prediction: str, label: str,
@@ -140,26 +141,9 @@ def classification_metrics(df: DataFrame, prediction: str, label: str,
                      F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("accuracy"))
 
 
-def _memory_mb(text: str) -> int:
-    """Spark memory setting ('512m', '2g', '2048' = MiB) in MiB."""
-    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
-    t = text.strip().lower().rstrip("b")
-    return int(float(t[:-1]) * units[t[-1]]) if t and t[-1] in units else int(t)
-
-
-def _node_stats_mb(spark: SparkSession) -> int:
-    """Tree-node statistics budget: a quarter of the task JVM's memory
-    (the driver in local mode, else the smaller of driver and executor),
-    between 256 and 1024 MiB — more nodes per data pass on big machines,
-    no heap pressure on small ones."""
-    mem = _memory_mb(spark.conf.get("spark.driver.memory", "1g"))
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        mem = min(mem, _memory_mb(spark.conf.get("spark.executor.memory", "1g")))
-    return int(max(256, min(1024, mem // 4)))
-
-
 def train_forest(train: DataFrame, features: list[str], label: str, *, weight_col: str | None = None,
-                 seed: int = SEED, save_to: str | None = None, **params) -> PipelineModel:
+                 seed: int = SEED, save_to: str | None = None, num_partitions: int | None = None,
+                 **params) -> PipelineModel:
     """Random forest (Spark ML, distributed histograms) behind a feature
     assembler; returns one ``PipelineModel`` (features + model together).
 
@@ -170,7 +154,6 @@ def train_forest(train: DataFrame, features: list[str], label: str, *, weight_co
     """
     conf = dict(FOREST)
     conf.update(FOREST_EXEC)
-    conf["maxMemoryInMB"] = _node_stats_mb(train.sparkSession)
     conf.update(params)
     va = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol="_features", labelCol=label, seed=seed,
@@ -178,7 +161,7 @@ def train_forest(train: DataFrame, features: list[str], label: str, *, weight_co
                                 predictionCol="_prediction", **conf)
     if weight_col:
         rf = rf.setWeightCol(weight_col)
-    data = spread(train.withColumn(label, F.col(label).cast("double"))).persist(StorageLevel.MEMORY_AND_DISK)
+    data = spread(train.withColumn(label, F.col(label).cast("double")), num_partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = Pipeline(stages=[va, rf]).fit(data)
     finally:
@@ -232,7 +215,7 @@ def gate(metrics: DataFrame, metric: str = "roc_auc", threshold: float = GATE_TH
 # ------------------------------------------------------------------ SMOTE
 
 def smote(df: DataFrame, features: str, label: str, key_cols: list[str], *, minority=1, k: int = 5,
-          seed: int = SEED, max_query_rows: int | None = None) -> DataFrame:
+          seed: int = SEED, point_blocks: int = 4, query_blocks: int = 16) -> DataFrame:
     """Synthetic minority oversampling to class parity (``features`` is an
     ARRAY<DOUBLE> column).
 
@@ -270,9 +253,8 @@ def smote(df: DataFrame, features: str, label: str, key_cols: list[str], *, mino
     mino = base.where(is_min)
     pts = mino.select(F.col("_key").alias("id"), F.col(features).alias("vector"))
     nn = vector_topk(pts, pts.withColumnRenamed("id", "query_id"), k=k + 1, metric="euclidean",
-                     max_query_rows=max_query_rows)
+                     point_blocks=point_blocks, query_blocks=query_blocks)
     # the neighbour table is read twice below: compute it once
-    from tidewater.session import materialize
     nn = materialize(nn.where(F.col("query_id") != F.col("id")), "smote_knn")
     wn = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")  # k + 1 rows per query
     nn = (nn.withColumn("_j", F.row_number().over(wn) - 1).where(F.col("_j") < k)

@@ -75,7 +75,7 @@ def orphans(child: DataFrame, parent: DataFrame, child_keys: list[str],
     columns of the parent are read.
     """
     parent_keys = parent_keys or child_keys
-    p = parent.select(*[F.col(pk).alias(ck) for pk, ck in zip(parent_keys, child_keys)]).distinct()
+    p = parent.select(*[F.col(pk).alias(ck) for pk, ck in zip(parent_keys, child_keys)])
     cond = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in child_keys])
     return child.where(cond).join(p, child_keys, "left_anti")
 

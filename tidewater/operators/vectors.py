@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import normalize_vector
-from tidewater.operators.common import spread
 
 # Fixed value: default number of results of a search.
 TOP_K = 5
@@ -56,7 +55,7 @@ def embed_hashing(df: DataFrame, id_col: str, text_col: str = "text", dim: int =
     stand-in for a hosted embedding model; any embedder with the same
     output shape (e.g. a ``mapInPandas`` model call) can replace it.
     """
-    t = (spread(df.select(id_col, text_col)).select(F.col(id_col), F.explode_outer(tokens(F.col(text_col))).alias("_t"))
+    t = (df.select(id_col, text_col).select(F.col(id_col), F.explode_outer(tokens(F.col(text_col))).alias("_t"))
          .select(id_col, F.md5("_t").alias("_h")))
     slots = (t.groupBy(id_col, _slot_of_hash(F.col("_h"), dim).alias("_slot"))
              .agg(F.sum(_sign_of_hash(F.col("_h"))).alias("_v")))
@@ -73,9 +72,7 @@ def embed_hashing(df: DataFrame, id_col: str, text_col: str = "text", dim: int =
 # Queries scored per numpy product inside a task (bounds the score matrix).
 QUERY_BLOCK = 1024
 # Upper bound of the query (or point) matrix shipped to every task.
-MAX_QUERY_BYTES = 256 * 1024 * 1024
 # Above this many queries, a point set within the budget is broadcast instead.
-QUERY_BROADCAST_PREF = 4096
 # Points scored per numpy product when the point matrix is broadcast.
 POINT_BLOCK = 20000
 
@@ -197,30 +194,20 @@ def _matrix(values) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in values])
 
 
-def _budget_rows(df: DataFrame, col: str) -> int:
-    first = df.select(F.size(col).alias("d")).where(F.col("d") > 0).first()
-    dim = max(int(first["d"]) if first else 1, 1)
-    return max(1, MAX_QUERY_BYTES // (8 * dim))
-
-
 def vector_topk(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col: str = "id",
                 vec_col: str = "vector", qid_col: str = "query_id", qvec_col: str = "vector",
-                carry: list[str] | None = None, max_query_rows: int | None = 4096,
+                carry: list[str] | None = None, point_blocks: int | None = None, query_blocks: int = 1,
                 tie_decimals: int = 12, carry_from: DataFrame | None = None,
                 metric: str = "cosine") -> DataFrame:
     """Exact top-k of every query over all points (cosine, or Euclidean
-    with score = minus the squared distance).  No (query, point) pair table
-    is ever formed; one side is shipped to the tasks as a numpy matrix,
-    and only after a size check:
-
-    * few queries (at most ``max_query_rows``, a LIMIT count; ``None``
-      means a 256 MiB matrix budget): the query matrix is broadcast, each
-      task of the point scan keeps its own top-k per query, and a per-query
-      window picks k of the ``tasks * k`` candidates;
-    * many queries and a point set within the budget: the point matrix is
-      broadcast and the query rows are partitioned, so every task produces
-      final top-k lists (no candidate shuffle) — e.g. all-pairs neighbours;
-    * otherwise the query set is processed in hash slices of the first kind.
+    with score = minus the squared distance), the same way at every size.
+
+    Points and queries are dealt by a hash of their id over ``point_blocks``
+    x ``query_blocks`` cells (default: as many point blocks as shuffle
+    partitions).  A cell holds one block of each side, keeps its own top-k
+    per query, and a per-query window picks k of the ``point_blocks * k``
+    candidates.  Choose the numbers so that a block of either side fits a
+    task; nothing goes through the driver and no pair table is formed.
 
     Ties (scores equal to ``tie_decimals`` places) go to the smaller id.
     Cosine skips zero vectors.  Output: query_id, rank (1-based), id,
@@ -230,60 +217,30 @@ def vector_topk(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric}")
     euclid = metric == "euclidean"
-    kw = dict(k=k, id_col=id_col, vec_col=vec_col, qid_col=qid_col, qvec_col=qvec_col, carry=carry,
-              tie_decimals=tie_decimals, carry_from=carry_from, metric=metric)
+    pb = point_blocks or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = (queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).cast("array<double>").alias("qv"))
          .where(F.col("qv").isNotNull()) if euclid else _prepare_queries(queries, qid_col, qvec_col))
-    max_q = max_query_rows if max_query_rows is not None else _budget_rows(q, "qv")
-    n_q = q.limit(max(max_q, QUERY_BROADCAST_PREF) + 1).count()
-    qid_type = queries.schema[qid_col].dataType
-    id_type = points.schema[id_col].dataType
-    sc = points.sparkSession.sparkContext
-
-    if n_q > QUERY_BROADCAST_PREF or n_q > max_q:
-        p = points.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")) \
-                  .where(F.col("_v").isNotNull())
-        max_p = _budget_rows(p, "_v")
-        if p.limit(max_p + 1).count() <= max_p:
-            res = _topk_broadcast_points(p, q, sc, k, euclid, tie_decimals, qid_type, id_type)
-            res = res.select(F.col("query_id").alias(qid_col), "rank", F.col("_id").alias(id_col), "similarity")
-            return _attach(res, points, carry, carry_from, id_col)
-    if n_q > max_q:
-        # slice the query set deterministically by a hash of its id
-        n_slices = -(-queries.count() // max_q) * 2
-        parts = [vector_topk(points, queries.where(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_slices)) == i),
-                             max_query_rows=max_q, **kw) for i in range(n_slices)]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-
-    qrows = q.collect()  # bounded by the check above
-    qids = [r["qid"] for r in qrows]
-    qmat = _matrix([r["qv"] for r in qrows]) if qrows else np.zeros((0, 0))
-    bq = sc.broadcast((qids, qmat))
-    pts = spread(points.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")))
-    out_schema = T.StructType([T.StructField("query_id", qid_type), T.StructField("_id", id_type),
+    p = (points.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
+         .where(F.col("_v").isNotNull()))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = 2 * pb * query_blocks
+    p = p.withColumn("_pb", block("_id", pb)).withColumn("_qb", every(query_blocks)).repartition(cells, "_pb", "_qb")
+    q = q.withColumn("_qb", block("qid", query_blocks)).withColumn("_pb", every(pb)).repartition(cells, "_pb", "_qb")
+    out_schema = T.StructType([T.StructField("query_id", queries.schema[qid_col].dataType),
+                               T.StructField("_id", points.schema[id_col].dataType),
                                T.StructField("similarity", T.DoubleType())])
 
-    def local_topk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids_, qm = bq.value
-        if len(qids_) == 0:
-            return
-
-        def point_batches():
-            for pdf in batches:
-                pdf = pdf[pdf["_v"].notna()]
-                if not pdf.empty:
-                    yield _matrix(pdf["_v"]), _sortable(pdf["_id"].to_numpy())
+    def cell_topk(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
+        if qs.empty or ps.empty:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in out_schema.names})
+        blocks = ((_matrix(ps["_v"].iloc[lo:lo + POINT_BLOCK]), _sortable(ps["_id"].to_numpy()[lo:lo + POINT_BLOCK]))
+                  for lo in range(0, len(ps), POINT_BLOCK))
+        best_s, best_i = _scan_topk(_matrix(qs["qv"]), blocks, k, euclid, tie_decimals)
+        at = np.nonzero(np.isfinite(best_s))
+        return pd.DataFrame({"query_id": qs["qid"].to_numpy()[at[0]], "_id": best_i[at], "similarity": best_s[at]})
 
-        best_s, best_i = _scan_topk(qm, point_batches(), k, euclid, tie_decimals)
-        rows = np.nonzero(np.isfinite(best_s))
-        if len(rows[0]):
-            yield pd.DataFrame({"query_id": np.asarray(qids_, dtype=object)[rows[0]],
-                                "_id": best_i[rows], "similarity": best_s[rows]})
-
-    cand = pts.mapInPandas(local_topk, out_schema)
+    cand = q.groupBy("_pb", "_qb").cogroup(p.groupBy("_pb", "_qb")).applyInPandas(cell_topk, out_schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("_id"))
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     res = top.select(F.col("query_id").alias(qid_col), "rank", F.col("_id").alias(id_col), "similarity")
@@ -297,36 +254,6 @@ def _attach(res: DataFrame, points: DataFrame, carry, carry_from, id_col) -> Dat
     return res.join(src.select(id_col, *carry), id_col, "left")
 
 
-def _topk_broadcast_points(p: DataFrame, q: DataFrame, sc, k: int, euclid: bool, tie_decimals: int,
-                           qid_type, id_type) -> DataFrame:
-    """Point matrix broadcast (size checked by the caller), query rows
-    partitioned: each task returns final top-k lists of its queries."""
-    prow = p.collect()  # bounded by the caller's check
-    pm = _matrix([r["_v"] for r in prow]) if prow else np.zeros((0, 0))
-    pid = _sortable(np.asarray([r["_id"] for r in prow], dtype=object if isinstance(
-        prow[0]["_id"], str) else None)) if prow else np.zeros(0)
-    bp = sc.broadcast((pm, pid))
-    schema = T.StructType([T.StructField("query_id", qid_type), T.StructField("rank", T.IntegerType()),
-                           T.StructField("_id", id_type), T.StructField("similarity", T.DoubleType())])
-
-    def per_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pm_, pid_ = bp.value
-        for pdf in batches:
-            if pdf.empty or len(pm_) == 0:
-                continue
-            qm = _matrix(pdf["qv"])  # cosine queries are unit length already
-            blocks = ((pm_[lo:lo + POINT_BLOCK], pid_[lo:lo + POINT_BLOCK])
-                      for lo in range(0, len(pm_), POINT_BLOCK))
-            best_s, best_i = _scan_topk(qm, blocks, k, euclid, tie_decimals)
-            rows = np.nonzero(np.isfinite(best_s))
-            if len(rows[0]):
-                yield pd.DataFrame({"query_id": pdf["qid"].to_numpy()[rows[0]],
-                                    "rank": (rows[1] + 1).astype(np.int32),
-                                    "_id": best_i[rows], "similarity": best_s[rows]})
-
-    return spread(q).mapInPandas(per_queries, schema)
-
-
 def vector_topk_approx(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col: str = "id",
                        vec_col: str = "vector", qid_col: str = "query_id", qvec_col: str = "vector",
                        bands: int = 32, bits: int = 4, seed: int = 42, max_query_rows: int = 4096) -> DataFrame:
@@ -344,7 +271,7 @@ def vector_topk_approx(points: DataFrame, queries: DataFrame, *, k: int = TOP_K,
     q = _prepare_queries(queries, qid_col, qvec_col)
     n = q.limit(max_query_rows + 1).count()
     if n > max_query_rows:
-        raise ValueError(f"more than {max_query_rows} queries; use vector_topk (exact, sliced)")
+        raise ValueError(f"more than {max_query_rows} queries; use vector_topk (exact)")
     qrows = q.collect()  # bounded by the check above
     if not qrows:
         return vector_topk(points, queries, k=k, id_col=id_col, vec_col=vec_col, qid_col=qid_col,
@@ -405,7 +332,7 @@ def vector_topk_approx(points: DataFrame, queries: DataFrame, *, k: int = TOP_K,
         if rows_q:
             yield pd.DataFrame({"query_id": rows_q, "_id": rows_i, "similarity": rows_s})
 
-    pts = spread(points.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")))
+    pts = points.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"))
     cand = pts.mapInPandas(local, out_schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("_id"))
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -417,13 +344,12 @@ def vector_topk_approx(points: DataFrame, queries: DataFrame, *, k: int = TOP_K,
 def upsert(existing: DataFrame, incoming: DataFrame, id_col: str = "id",
            order: str | None = None) -> DataFrame:
     """Merged collection: every incoming point replaces the stored point with
-    the same id; other stored points stay.  Within ``incoming`` the last row
-    per id (by ``order``) wins.  new ∪ (old anti-join new on id)."""
-    if order:
-        cols = incoming.columns
-        incoming = (incoming.groupBy(id_col)
-                    .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(order)).alias("_r"))
-                    .select("_r.*"))
+    the same id; other stored points stay.  Within ``incoming`` one row per
+    id wins: the last by ``order``, among equals (or without ``order``) the
+    greatest row.  new ∪ (old anti-join new on id)."""
+    whole = F.struct(*[F.col(c) for c in incoming.columns])
+    rank = F.struct(F.col(order).alias("o"), whole.alias("r")) if order else F.struct(whole.alias("r"))
+    incoming = incoming.groupBy(id_col).agg(F.max(rank).alias("_m")).select("_m.r.*")
     kept = existing.join(incoming.select(id_col), id_col, "left_anti")
     return incoming.select(*existing.columns).unionByName(kept)
 
@@ -439,11 +365,10 @@ def write_collection(df: DataFrame, path: str, id_col: str = "id", n_buckets: in
 
 def search_context(hits: DataFrame, qid_col: str = "query_id", rank_col: str = "rank",
                    text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per query: hit texts in rank order (empty texts skipped) and the
-    distinct sources in order of first appearance (group size is k)."""
-    nonempty = hits.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    g = nonempty.groupBy(qid_col).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(rank_col).alias("r"), F.col(text_col).alias("t"),
-                                             F.col(source_col).alias("s")))).alias("_h"))
-    return g.select(qid_col, F.transform("_h", lambda x: x["t"]).alias("contexts"),
+    """Per query: its number of hits, hit texts in rank order (empty texts
+    skipped; a query with empty hits only keeps empty lists) and the distinct sources in order of first appearance (group size is k)."""
+    hit = F.when(F.length(text_col) > 0, F.struct(F.col(rank_col).alias("r"), F.col(text_col).alias("t"),
+                                                  F.col(source_col).alias("s")))
+    g = hits.groupBy(qid_col).agg(F.array_sort(F.collect_list(hit)).alias("_h"), F.count(F.lit(1)).alias("n_hits"))
+    return g.select(qid_col, "n_hits", F.transform("_h", lambda x: x["t"]).alias("contexts"),
                     F.array_distinct(F.transform("_h", lambda x: x["s"])).alias("sources"))

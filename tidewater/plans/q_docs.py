@@ -152,8 +152,7 @@ def q_rag_context(spark, sf):
     hits = vectors.vector_topk(pts.select("id", "vector"), qs, k=5, id_col="id", qid_col="item_id",
                                carry=["text", "source"], carry_from=pts)
     ctx = vectors.search_context(hits.withColumnRenamed("item_id", "query_id"))
-    n = hits.groupBy(F.col("item_id").alias("query_id")).agg(F.count(F.lit(1)).alias("n_hits"))
-    return ctx.join(n, "query_id", "inner").select(
+    return ctx.select(
         "query_id", F.array_join("contexts", "\n---\n").alias("contexts"),
         F.array_join(F.array_sort("sources"), ",").alias("sources_set"), "n_hits")
 

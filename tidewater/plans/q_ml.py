@@ -67,7 +67,7 @@ def q_class_weights(spark, sf):
 def training_frame(spark, sf):
     """The training job's preparation, in one lineage: rename, time parts,
     seeded surrogates, drop nulls, log amount, night/weekend flags."""
-    df = curation.map_columns(spread(V.tx_v(spark, sf)))
+    df = curation.map_columns(spread(V.tx_v(spark, sf), spark.sparkContext.defaultParallelism))
     df = curation.add_time_parts(df, "Time")
     df = curation.add_surrogates(df, ["id"], seed=ml.SEED)
     df = curation.drop_any_null(df)
@@ -75,11 +75,8 @@ def training_frame(spark, sf):
     return curation.add_flags(df)
 
 
-_MODELS: dict[str, str] = {}
-
-
 def train(spark, sf):
-    """Train once per data folder in this process; returns (path, auc row)."""
+    """Train on the data folder; returns (path, auc row)."""
     # the prepared frame feeds the scaler fit, SMOTE and the hold-out
     # scoring: write it once instead of recomputing it for each
     df = materialize(training_frame(spark, sf), "training_frame")
@@ -99,9 +96,9 @@ def train(spark, sf):
     balanced = materialize(balanced, "train_balanced")
     train_s = ml.with_class_weight(balanced, "is_fraud")
     path = scratch_path(spark, "forest")
-    model = ml.train_forest(train_s, feats, "is_fraud", weight_col="weight", save_to=f"{path}/model")
+    model = ml.train_forest(train_s, feats, "is_fraud", weight_col="weight", save_to=f"{path}/model",
+                            num_partitions=spark.sparkContext.defaultParallelism)
     ml.save_model(model, path, feats, params, spark)
-    _MODELS[sf] = path
     scored = ml.score(model, ml.apply_scaler(test_df, params))
     return path, ml.roc_auc(scored, "fraud_probability", "is_fraud")
 
@@ -117,7 +114,7 @@ def q_train_forest(spark, sf):
 def q_score_batch(spark, sf):
     """Load the stored model artifact (model + feature list + scaler) and
     score every transaction: align -> scale -> predict -> envelope."""
-    path = _MODELS.get(sf) or train(spark, sf)[0]
+    path = train(spark, sf)[0]
     model, feats, params = ml.load_model(spark, path)
     df = training_frame(spark, sf).withColumn("transaction_id", F.col("id").cast("string"))
     aligned = curation.align_features(df, feats, keep=["transaction_id", "is_fraud", "transaction_amount"])

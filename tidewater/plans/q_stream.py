@@ -72,12 +72,10 @@ def q_stream_dead_letter(spark, sf):
     # planted damage: every 89th message is cut short
     msgs.select(F.when(F.col("id") % 89 == 0, F.substring("v", 1, 10)).otherwise(F.col("v")).alias("value")) \
         .write.text(src)
-    parsed, dead = jobs.parse_messages(jobs.text_stream(spark, src), s.schema)
-
-    def each(batch, _epoch):
+    def each(batch, epoch):
         p, d = jobs.parse_messages(batch, s.schema)
-        p.write.mode("append").parquet(good)
-        d.write.mode("append").parquet(dead_out)
+        jobs.write_batch(p, good, epoch)
+        jobs.write_batch(d, dead_out, epoch)
 
     jobs.write_each_batch(jobs.text_stream(spark, src), each, scratch_path(spark, "ckpt")).awaitTermination()
     g = spark.read.parquet(good).agg(F.count(F.lit(1)).alias("n_rows"),
@@ -172,10 +170,12 @@ def q_stream_dedup(spark, sf):
     src, target = scratch_path(spark, "dedup_in"), scratch_path(spark, "dedup_table")
     first = orig.where(F.col("seq") == 0).unionByName(changed.where(F.col("seq") == 0))
     second = orig.where(F.col("seq") == 1).unionByName(changed.where(F.col("seq") == 1))
-    first.coalesce(1).write.options(**sinks.TS_OPTIONS).json(f"{src}/part=0")
-    second.coalesce(1).write.options(**sinks.TS_OPTIONS).json(f"{src}/part=1")
-    stream = jobs.file_json_stream(spark, f"{src}/*", orig.schema, max_files_per_trigger=1)
-    jobs.dedup_into_table(stream, target, "transaction_id", "seq", scratch_path(spark, "ckpt")).awaitTermination()
+    ckpt = scratch_path(spark, "ckpt")
+    # two arrivals, two drains on one checkpoint: the second copies meet a table that holds the first
+    for n, arrived in enumerate((first, second)):
+        arrived.write.options(**sinks.TS_OPTIONS).json(f"{src}/part={n}")
+        stream = jobs.file_json_stream(spark, f"{src}/*", orig.schema)
+        jobs.dedup_into_table(stream, target, "transaction_id", "seq", ckpt).awaitTermination()
     return spark.read.parquet(target).drop("seq")
 
 
@@ -188,7 +188,7 @@ def q_stream_score(spark, sf):
     frame = q_ml.training_frame(spark, sf).withColumn("transaction_id", F.col("id").cast("string"))
     src, out = scratch_path(spark, "tx_in"), scratch_path(spark, "tx_scored")
     frame.write.json(src)
-    path = q_ml._MODELS.get(sf) or q_ml.train(spark, sf)[0]
+    path = q_ml.train(spark, sf)[0]
 
     def load():
         model, feats, params = ml.load_model(spark, path)
@@ -200,9 +200,9 @@ def q_stream_score(spark, sf):
         return "1", scorer
 
     stream = jobs.file_json_stream(spark, src, frame.schema)
-    jobs.score_stream(stream, load, lambda b, _e: b.write.mode("append").parquet(out),
+    jobs.score_stream(stream, load, lambda b, e: jobs.write_batch(b, out, e),
                       scratch_path(spark, "ckpt")).awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch_id")
 
 
 @query("stream_counters", with_views("""
@@ -210,25 +210,20 @@ SELECT count(*) FILTER (WHERE id % 89 <> 0) AS processed, count(*) FILTER (WHERE
        count(*) AS messages
 FROM scores_v""", "scores_v"))
 def q_stream_counters(spark, sf):
-    """Processed / error counters per micro-batch (named observations read
-    from the query progress), summed over all batches of the run."""
+    """Processed / error counters per micro-batch (observed while it is
+    written, stored by batch id), summed over all batches."""
     s = V.scores_v(spark, sf)
     src, out = scratch_path(spark, "cnt_in"), scratch_path(spark, "cnt_out")
     msgs = s.select(F.col("id"), F.to_json(F.struct(*[F.col(c) for c in s.columns]), sinks.TS_OPTIONS).alias("v"))
-    msgs.repartition(4).select(F.when(F.col("id") % 89 == 0, F.substring("v", 1, 10)).otherwise(F.col("v"))
+    msgs.select(F.when(F.col("id") % 89 == 0, F.substring("v", 1, 10)).otherwise(F.col("v"))
                                .alias("value")).write.text(src)
     raw = jobs.text_stream(spark, src, max_files_per_trigger=1)
     schema = T.StructType(s.schema.fields + [T.StructField(jobs.CORRUPT, T.StringType(), True)])
     parsed = raw.select(F.from_json("value", schema, {"columnNameOfCorruptRecord": jobs.CORRUPT,
                                                       **sinks.TS_OPTIONS}).alias("m"))
     bad = F.col(f"m.{jobs.CORRUPT}").isNotNull()
-    counted = jobs.with_counters(parsed, "scoring", {"processed": F.count_if(~bad), "errors": F.count_if(bad),
-                                                      "messages": F.count(F.lit(1))})
-    q = (counted.where(~bad).select("m.id").writeStream.format("parquet")
-         .option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).start(out))
-    q.awaitTermination()
-    rows = jobs.batch_counters(q, "scoring")
-    return spark.createDataFrame([(r["batch_id"], r["processed"], r["errors"], r["messages"]) for r in rows],
-                                 "batch_id long, processed long, errors long, messages long") \
-        .agg(F.sum("processed").alias("processed"), F.sum("errors").alias("errors"),
-             F.sum("messages").alias("messages"))
+    counters = scratch_path(spark, "cnt_rows")
+    metrics = {"processed": F.count_if(~bad), "errors": F.count_if(bad), "messages": F.count(F.lit(1))}
+    jobs.write_counted(parsed, lambda b, e: jobs.write_batch(b.where(~bad).select("m.id"), out, e), counters,
+                       scratch_path(spark, "ckpt"), metrics=metrics).awaitTermination()
+    return jobs.batch_counters(spark, counters).agg(*[F.sum(k).alias(k) for k in metrics])

@@ -56,13 +56,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at storage every executor sees; it is
-    read, never overridden.  Only when it is unset (unit tests on one machine)
-    a private folder is created and registered as the checkpoint directory.
+    read, never overridden.  Only on a local master may it be unset: then a
+    private folder is created and registered as the checkpoint directory.  On
+    a cluster a folder of one machine would be invisible to the others, so a
+    missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidewater-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)

@@ -7,18 +7,21 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.session import materialize
+
 
 def append_partitioned_parquet(df: DataFrame, path: str, partition_col: str, *,
                                mode: str = "append") -> None:
     """Append ``df`` below ``path`` partitioned by ``partition_col``.
 
-    Rows are clustered on the partition column first so every task writes
-    to few partition folders (bounded file count).  A null value lands in
+    Rows are clustered on the partition column first so every task writes to
+    few partition folders; the rebalance hint lets adaptive execution cut a
+    value that holds more than one advisory size over several tasks.  A null value lands in
     ``__HIVE_DEFAULT_PARTITION__``.  For a rerun-safe job use
     ``mode="overwrite"`` with ``partitionOverwriteMode=dynamic``: only the
     partitions present in ``df`` are replaced.
     """
-    w = df.repartition(partition_col).write.mode(mode).partitionBy(partition_col)
+    w = df.hint("rebalance", partition_col).write.mode(mode).partitionBy(partition_col)
     if mode == "overwrite":
         w = w.option("partitionOverwriteMode", "dynamic")
     w.parquet(path)
@@ -37,10 +40,10 @@ def landing_partitions(ts: Column) -> list[Column]:
 
 def write_json_landing(df: DataFrame, path: str, ts_col: str, topic_col: str | None = None,
                        mode: str = "append") -> None:
-    """Batch JSON-lines landing under ``[topic=…/]year=/month=/day=``."""
+    """Batch JSON-lines landing under ``[topic=…/]year=/month=/day=``; a large day is written by several tasks."""
     parts = ([topic_col] if topic_col else []) + ["year", "month", "day"]
     out = df.select("*", *landing_partitions(F.col(ts_col)))
-    out.repartition(*parts).write.mode(mode).options(**TS_OPTIONS).partitionBy(*parts).json(path)
+    out.hint("rebalance", *parts).write.mode(mode).options(**TS_OPTIONS).partitionBy(*parts).json(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
@@ -101,6 +104,6 @@ def insert_if_absent(spark: SparkSession, new_rows: DataFrame, target_path: str,
         fresh = batch
     # Materialise the delta before touching the target (read and write of
     # one table in one job would race).
-    fresh = fresh.checkpoint(eager=True)
+    fresh = materialize(fresh, "insert-delta")
     fresh.write.mode("append").format(fmt).save(target_path)
     return fresh

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -171,26 +171,32 @@ def kafka_sink(df: DataFrame, bootstrap: str, topic: str, checkpoint: str, *, ke
 
 # ----------------------------------------------------------------- counters
 
-def with_counters(stream: DataFrame, name: str, metrics: dict[str, Column] | None = None) -> DataFrame:
-    """Attach per-micro-batch counters to a stream (named ``observe``).
+def write_counted(stream: DataFrame, write: Callable[[DataFrame, int], None], counters_path: str, checkpoint: str, *,
+                  metrics: dict[str, Column] | None = None, trigger: str | None = "availableNow") -> StreamingQuery:
+    """Write every micro-batch with ``write`` and keep its counters as a row of a table.
 
-    The values of each batch appear in the query's progress
-    (``observedMetrics[name]``) without an extra pass over the data.
+    The counters are observed while the batch is written (no extra pass) and
+    stored below ``batch_id=``, replacing what an earlier attempt of the same
+    batch left, so any number of batches and replays is counted once.
     """
     metrics = metrics or {"rows": F.count(F.lit(1))}
-    return stream.observe(name, *[v.alias(k) for k, v in metrics.items()])
-
-
-def batch_counters(query: StreamingQuery, name: str) -> list[dict]:
-    """(batch id, counter values) of every recent micro-batch that reported
-    the named counters."""
-    out = []
-    for p in query.recentProgress:
-        m = (p.observedMetrics or {}).get(name) if hasattr(p, "observedMetrics") else None
-        if m is None and isinstance(p, dict):
-            m = p.get("observedMetrics", {}).get(name)
-        if m is not None:
-            row = m.asDict() if hasattr(m, "asDict") else dict(m)
-            row["batch_id"] = p.batchId if hasattr(p, "batchId") else p["batchId"]
-            out.append(row)
-    return out
+    spark = stream.sparkSession
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        seen = Observation(f"batch-{epoch}")
+        write(batch.observe(seen, *[v.alias(k) for k, v in metrics.items()]), epoch)
+        row = seen.get
+        (spark.range(1).select(*[F.lit(row[k]).alias(k) for k in metrics])
+         .write.mode("overwrite").parquet(f"{counters_path}/batch_id={epoch}"))
+
+    return write_each_batch(stream, each, checkpoint, trigger=trigger)
+
+
+def write_batch(df: DataFrame, path: str, epoch: int) -> None:
+    """Store a micro-batch under its id; a replay replaces it."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={epoch}")
+
+
+def batch_counters(spark: SparkSession, counters_path: str) -> DataFrame:
+    """One row of counters per micro-batch of all runs so far (``batch_id`` and the counters)."""
+    return spark.read.parquet(counters_path)
