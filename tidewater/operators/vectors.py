@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import normalize_vector
+from tidewater.operators.common import spread
 
 # Fixed value: default number of results of a search.
 TOP_K = 5
@@ -44,25 +46,31 @@ def token_sign(tok: Column) -> Column:
 
 
 def embed_hashing(df: DataFrame, id_col: str, text_col: str = "text", dim: int = 256,
-                  as_float: bool = True) -> DataFrame:
+                  as_float: bool = True, num_partitions: int | None = None) -> DataFrame:
     """L2-normalised signed bag-of-words vectors of fixed ``dim``.
 
-    Tokens are exploded inside each task (texts are never shuffled) and
-    summed per (id, slot) with a map-side partial aggregate, so at most
-    ``dim`` small rows per text cross the network; a second aggregate per
-    id builds the dense vector.  ``explode_outer`` keeps texts without
-    tokens (null vector) without a join back.  This is the deterministic
-    stand-in for a hosted embedding model; any embedder with the same
-    output shape (e.g. a ``mapInPandas`` model call) can replace it.
+    Row-local, no shuffle: the tokens' slots and signs are built-in functions,
+    an Arrow stage adds them up into the dense vector of each row.  A text
+    without tokens has a null vector; repeated ids get a vector each.  This
+    is the deterministic stand-in for a hosted embedding model; any embedder
+    with the same output shape can replace it.
     """
-    t = (df.select(id_col, text_col).select(F.col(id_col), F.explode_outer(tokens(F.col(text_col))).alias("_t"))
-         .select(id_col, F.md5("_t").alias("_h")))
-    slots = (t.groupBy(id_col, _slot_of_hash(F.col("_h"), dim).alias("_slot"))
-             .agg(F.sum(_sign_of_hash(F.col("_h"))).alias("_v")))
-    entries = F.filter(F.collect_list(F.struct("_slot", "_v")), lambda e: e["_slot"].isNotNull())
-    dense = (slots.groupBy(id_col).agg(F.map_from_entries(entries).alias("_m"))
-             .select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                         lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))).alias("_raw")))
+    # slot and sign in one integer: +(slot + 1) or -(slot + 1)
+    signed = lambda h: (_sign_of_hash(h) * (_slot_of_hash(h, dim) + 1)).cast("int")
+    codes = F.transform(tokens(F.col(text_col)), lambda t: F.transform(F.array(F.md5(t)), signed)[0])
+
+    @F.arrow_udf("array<double>")
+    def add_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            size = np.diff(batch.offsets.to_numpy())
+            if batch.null_count:
+                size = np.where(batch.is_valid().to_numpy(zero_copy_only=False), size, 0)
+            code = batch.flatten().to_numpy()
+            at = np.repeat(np.arange(len(batch)), size) * dim + np.abs(code) - 1
+            dense = np.bincount(at, np.sign(code), len(batch) * dim)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * dim, pa.int32()), pa.array(dense, pa.float64()))
+
+    dense = spread(df.select(id_col, text_col), num_partitions).select(id_col, add_up(codes).alias("_raw"))
     vec = normalize_vector("_raw")
     return dense.select(id_col, (vec.cast(T.ArrayType(T.FloatType())) if as_float else vec).alias("vector"))
 

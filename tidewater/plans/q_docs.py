@@ -76,7 +76,7 @@ WHERE v <> 0 AND n > 0"""
 @query("embed_hashing", f"SELECT doc_id, slot, round(weight, 6) AS weight FROM ({sparse_embedding_sql('documents', 'doc_id')})")
 def q_embed_hashing(spark, sf):
     d = V.table(spark, sf, "documents")
-    e = vectors.embed_hashing(d, "doc_id", "text", DIM, as_float=False)
+    e = vectors.embed_hashing(d, "doc_id", "text", DIM, as_float=False, num_partitions=spark.sparkContext.defaultParallelism)
     return (e.select("doc_id", F.posexplode("vector").alias("slot", "weight"))
             .where(F.col("weight") != 0).withColumn("weight", F.round("weight", 6)))
 
@@ -145,10 +145,10 @@ def q_rag_context(spark, sf):
     # ingest: chunk, embed and store the collection once; search reads it
     ch = chunk_table(spark, sf).select("id", "source", "text")
     collection = scratch_path(spark, "collection")
-    (vectors.embed_hashing(ch, "id", "text", DIM, as_float=False)
+    (vectors.embed_hashing(ch, "id", "text", DIM, as_float=False, num_partitions=spark.sparkContext.defaultParallelism)
      .join(ch, "id", "inner").write.parquet(collection))
     pts = spark.read.parquet(collection)
-    qs = vectors.embed_hashing(V.table(spark, sf, "benchmark"), "item_id", "text", DIM, as_float=False)
+    qs = vectors.embed_hashing(V.table(spark, sf, "benchmark"), "item_id", "text", DIM, as_float=False, num_partitions=spark.sparkContext.defaultParallelism)
     hits = vectors.vector_topk(pts.select("id", "vector"), qs, k=5, id_col="id", qid_col="item_id",
                                carry=["text", "source"], carry_from=pts)
     ctx = vectors.search_context(hits.withColumnRenamed("item_id", "query_id"))
