@@ -3,8 +3,9 @@ current versions, metric pivots and version-to-version trends."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewater.operators.ml import GATE_THRESHOLD
 
@@ -91,3 +92,39 @@ def metric_trend(history: DataFrame, metric: str = "roc_auc") -> DataFrame:
     return history.select("model_name", "version", F.col(metric),
                           F.lag(metric).over(w).alias(f"prev_{metric}"),
                           (F.col(metric) - F.lag(metric).over(w)).alias(f"delta_{metric}"))
+
+
+# ---------------------------------------------------------------- run record
+
+RUN_PARTS = ("params", "metrics", "signature")
+
+
+def record_run(path: str, run_id: str, *, params: dict, metrics: DataFrame, signature: StructType, start_time: int,
+               end_time: int, experiment_id: int = 1, status: str = "FINISHED") -> None:
+    """Keep a training run below ``path``: parameters (name, value as text),
+    metrics in the long extract layout, and the input signature (column,
+    type, position).
+
+    ``metrics`` is one row of numeric columns.  Each part is stored under
+    ``run_id=``, replacing an earlier record of the same run.
+    """
+    spark = metrics.sparkSession
+    parts = {
+        "params": spark.createDataFrame([(k, str(v)) for k, v in sorted(params.items())], "param_name string, param_value string"),
+        "metrics": (metrics.select(*[F.col(c).cast("double") for c in metrics.columns])
+                    .unpivot([], metrics.columns, "metric_name", "metric_value")
+                    .select(F.lit(experiment_id).alias("experiment_id"), F.lit(start_time).cast("long").alias("start_time"),
+                            F.lit(end_time).cast("long").alias("end_time"), F.lit(status).alias("status"),
+                            "metric_name", "metric_value")),
+        "signature": spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(signature)],
+                                           "position int, column_name string, column_type string"),
+    }
+    for part in RUN_PARTS:
+        parts[part].write.mode("overwrite").parquet(f"{path}/{part}/run_id={run_id}")
+
+
+def read_runs(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """One part (``params``, ``metrics`` or ``signature``) of every recorded run."""
+    if part not in RUN_PARTS:
+        raise ValueError(f"unknown part {part}")
+    return spark.read.parquet(f"{path}/{part}").withColumn("run_id", F.col("run_id").cast("string"))

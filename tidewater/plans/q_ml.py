@@ -3,9 +3,11 @@ batch scoring on the transaction view."""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
-from tidewater.operators import curation, ml
+from tidewater.operators import curation, ml, registry
 from tidewater.operators.common import spread
 from tidewater.plans import views as V
 from tidewater.plans.oracles import with_views
@@ -77,6 +79,7 @@ def training_frame(spark, sf):
 
 def train(spark, sf):
     """Train on the data folder; returns (path, auc row)."""
+    started = int(time.time() * 1000)
     # the prepared frame feeds the scaler fit, SMOTE and the hold-out
     # scoring: write it once instead of recomputing it for each
     df = materialize(training_frame(spark, sf), "training_frame")
@@ -100,7 +103,44 @@ def train(spark, sf):
                             num_partitions=spark.sparkContext.defaultParallelism)
     ml.save_model(model, path, feats, params, spark)
     scored = ml.score(model, ml.apply_scaler(test_df, params))
-    return path, ml.roc_auc(scored, "fraud_probability", "is_fraud")
+    auc = materialize(ml.roc_auc(scored, "fraud_probability", "is_fraud"), "holdout_auc")
+    registry.record_run(f"{path}/runs", "train", params=ml.FOREST | {"seed": ml.SEED}, metrics=auc,
+                        signature=train_df.select(*feats).schema, start_time=started, end_time=int(time.time() * 1000))
+    return path, auc
+
+
+RUN_SQL = """
+WITH c AS (
+  SELECT count(*) FILTER (prediction = 1 AND is_simulated_fraud) AS tp, count(*) FILTER (prediction = 1 AND NOT is_simulated_fraud) AS fp,
+         count(*) FILTER (prediction <> 1 AND NOT is_simulated_fraud) AS tn, count(*) FILTER (prediction <> 1 AND is_simulated_fraud) AS fn
+  FROM scores_v),
+m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS "precision", coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+             coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, (tp + tn) / nullif(tp + fp + tn + fn, 0) AS accuracy FROM c)
+SELECT 'scores' AS run_id, 'metric' AS kind, name, CAST(NULL AS VARCHAR) AS text_value, round(value, 6) AS metric_value FROM (
+  SELECT unnest(['tp', 'fp', 'tn', 'fn', 'precision', 'recall', 'f1', 'accuracy']) AS name,
+         unnest([tp::DOUBLE, fp, tn, fn, "precision", recall, f1, accuracy]) AS value FROM m)
+UNION ALL SELECT 'scores', 'param', unnest(['numTrees', 'maxDepth', 'minInstancesPerNode', 'featureSubsetStrategy']),
+       unnest(['100', '10', '5', 'sqrt']), NULL
+UNION ALL SELECT 'scores', 'signature', unnest(['amount', 'location']), unnest(['double', 'string']), NULL"""
+
+
+@query("run_record", with_views(RUN_SQL, "scores_v"))
+def q_run_record(spark, sf):
+    """Record the evaluation of the scored transactions as a run and read the record back."""
+    s = V.scores_v(spark, sf)
+    path = scratch_path(spark, "runs")
+    metrics = ml.classification_metrics(s, "prediction", "is_simulated_fraud")
+    for _ in range(2):  # recording a run again replaces it
+        registry.record_run(path, "scores", params=ml.FOREST, metrics=metrics, signature=s.select("amount", "location").schema,
+                            start_time=0, end_time=1)
+    part = lambda p: registry.read_runs(spark, path, p)
+    none = F.lit(None).cast("double").alias("metric_value")
+    return (part("metrics").select("run_id", F.lit("metric").alias("kind"), F.col("metric_name").alias("name"),
+                                   F.lit(None).cast("string").alias("text_value"), F.round("metric_value", 6).alias("metric_value"))
+            .unionByName(part("params").select("run_id", F.lit("param").alias("kind"), F.col("param_name").alias("name"),
+                                               F.col("param_value").alias("text_value"), none))
+            .unionByName(part("signature").select("run_id", F.lit("signature").alias("kind"), F.col("column_name").alias("name"),
+                                                  F.col("column_type").alias("text_value"), none)))
 
 
 @query("train_forest")
