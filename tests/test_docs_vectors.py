@@ -114,7 +114,56 @@ def test_vector_topk_approx_recall(spark):
     qdf = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(queries)],
                                 "query_id long, vector array<double>")
     exact = {(r.query_id, r.id) for r in vectors.vector_topk(pdf, qdf, k=10).collect()}
-    approx = vectors.vector_topk_approx(pdf, qdf, k=10, bands=16, bits=6).collect()
+    approx = vectors.vector_topk_approx(pdf, qdf, k=10, cells=20, probes=4).collect()
     got = {(r.query_id, r.id) for r in approx}
     assert len(exact & got) / len(exact) >= 0.9
     assert all(1 <= r.rank <= 10 for r in approx)
+
+
+def test_approx_search_splits_hot_cells_and_is_exact_with_all_probes(spark):
+    rnd = np.random.default_rng(3)
+    pts = [(i, [1.0, 2.0, 3.0]) for i in range(100)] + [(100 + i, [float(x) for x in rnd.normal(size=3)]) for i in range(200)]
+    pdf = spark.createDataFrame([*pts, (900, None), (901, [0.0, 0.0, 0.0])], "id long, vector array<double>")
+    qdf = spark.createDataFrame([(i, v) for i, v in pts[95:130]], "query_id long, vector array<double>")
+    got = vectors.vector_topk_approx(pdf, qdf, k=4, cells=8, probes=8, block_rows=10)
+    exact = vectors.vector_topk(pdf, qdf, k=4)
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.similarity, 9)) for r in df.collect())
+    assert key(got) == key(exact)
+    assert vectors.vector_topk_approx(pdf.limit(0), qdf).count() == 0 and vectors.vector_topk_approx(pdf, qdf.limit(0)).count() == 0
+
+
+def test_leaf_neighbours(spark):
+    rnd = np.random.default_rng(5)
+    x = np.concatenate([rnd.normal(size=(600, 4)), np.zeros((300, 4))])
+    df = spark.createDataFrame([(f"p{i}", [float(c) for c in v]) for i, v in enumerate(x)], "id string, vector array<double>")
+    def hits(**kw):
+        out = {}
+        for r in vectors.nearest_in_leaves(df, k=3, **kw).collect():
+            out.setdefault(r.id, []).append((r["rank"], r.neighbour, r.distance2))
+        return out
+    whole = hits()
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, :3]
+    assert all(np.allclose([h[2] for h in sorted(whole[f"p{i}"])], want[i], atol=1e-9) for i in range(900))
+    cut = hits(leaf_rows=60, trees=3)
+    assert len(cut) == 900 and all(len(v) == 3 and f"p{i}" not in {h[1] for h in v} for i, v in ((int(k[1:]), v) for k, v in cut.items()))
+    near = [np.mean([h[2] for h in cut[f"p{i}"]]) for i in range(600)]
+    assert np.median(near) < 0.2 * np.median(d[:600, :600])  # leaves hold near points, not random ones
+    assert vectors.nearest_in_leaves(df.limit(0), k=3).count() == 0
+
+
+def test_stored_collection(spark, tmp_path):
+    path = str(tmp_path / "points")
+    make = lambda rows: spark.createDataFrame(rows, "id string, vector array<double>, source string, seq int")
+    assert vectors.read_collection(spark, path) is None
+    assert vectors.upsert_collection(spark, path, make([("a", [1.0], "s", 0), ("b", [2.0], "s", 0), ("c", [3.0], None, 0)])) == 3
+    old = vectors.read_collection(spark, path)
+    # one row per id, the later one; a run that broke off leaves a folder without the success mark
+    assert vectors.upsert_collection(spark, path, make([("a", [4.0], "t", 1), ("a", [5.0], "t", 2)]), order="seq") == 1
+    (tmp_path / "points" / "version=0000000009").mkdir()
+    key = lambda df: sorted((r.id, r.vector[0], r.source) for r in df.collect())
+    assert key(vectors.read_collection(spark, path)) == [("a", 5.0, "t"), ("b", 2.0, "s"), ("c", 3.0, None)]
+    assert key(old) == [("a", 1.0, "s"), ("b", 2.0, "s"), ("c", 3.0, None)]
+    assert vectors.upsert_collection(spark, path, make([("d", [6.0], None, 0), ("e", [7.0], "s", 0)]), replace_source="source") == 2
+    assert key(vectors.read_collection(spark, path)) == [("a", 5.0, "t"), ("d", 6.0, None), ("e", 7.0, "s")]

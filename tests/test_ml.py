@@ -127,3 +127,16 @@ def test_smote_parity_and_segments(spark):
     again = ml.smote(df.repartition(5), "f", "y", ["rid"], k=3)
     assert sorted((r._key, tuple(round(v, 9) for v in r.f)) for r in out.collect()) == \
         sorted((r._key, tuple(round(v, 9) for v in r.f)) for r in again.collect())
+
+
+def test_smote_parity_with_repeated_keys_and_many_leaves(spark):
+    import numpy as np
+    rnd = np.random.default_rng(8)
+    vec = lambda: [float(x) for x in rnd.normal(size=3)]
+    mino = [(i % 150, vec(), 1) for i in range(400)] + [(7, [1.0, 1.0, 1.0], 1)] * 100
+    df = spark.createDataFrame([(i, vec(), 0) for i in range(1234)] + mino, "rid long, f array<double>, y int")
+    for kw in ({}, {"leaf_rows": 40}):
+        out = ml.smote(df, "f", "y", ["rid"], k=4, lineage=True, **kw)
+        counts = {(r.y, r.is_synthetic): r["count"] for r in out.groupBy("y", "is_synthetic").count().collect()}
+        assert counts == {(0, False): 1234, (1, False): 500, (1, True): 734}
+        assert out.where("is_synthetic and (_neighbour is null or _parent is null)").count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,14 @@ def spread(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
     partitions.
     """
     return df.repartition(num_partitions) if num_partitions else df
+
+
+def last_complete(spark: SparkSession, path: str, prefix: str) -> str | None:
+    """Greatest name of a folder below ``path`` that starts with ``prefix`` and was written to its end."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith(prefix)]
+    return max((p.getName() for p in found if fs.exists(fs_path(p, "_SUCCESS"))), default=None)

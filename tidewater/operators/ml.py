@@ -215,18 +215,18 @@ def gate(metrics: DataFrame, metric: str = "roc_auc", threshold: float = GATE_TH
 # ------------------------------------------------------------------ SMOTE
 
 def smote(df: DataFrame, features: str, label: str, key_cols: list[str], *, minority=1, k: int = 5,
-          seed: int = SEED, point_blocks: int = 4, query_blocks: int = 16) -> DataFrame:
+          seed: int = SEED, trees: int = 2, leaf_rows: int = 4096, lineage: bool = False) -> DataFrame:
     """Synthetic minority oversampling to class parity (``features`` is an
     ARRAY<DOUBLE> column).
 
-    * Neighbours: the ``k`` nearest other minority rows by Euclidean
-      distance, found with the per-task top-k search of
-      ``vectors.vector_topk`` (each task keeps its own best k per query row;
-      no table of all minority pairs is formed).  Exact; the work is
-      (minority rows)^2 vector operations, done in numpy batches.
+    * Neighbours: about the ``k`` nearest other minority rows by Euclidean
+      distance, looked for in the leaves of ``trees`` random-projection trees
+      (``vectors.nearest_in_leaves``): the work grows with the minority rows,
+      not with their square, and up to ``leaf_rows`` rows it is exact.
     * Copies: ``need = majority - minority`` synthetic rows; each minority
       row makes ``need // minority`` of them, and the rows with the
-      smallest seeded rank make one more (exact parity).  The rank is a
+      smallest seeded rank make one more (exact parity, repeated rows
+      included).  The rank is a
       global running count over a seeded hash order, computed by
       ``prefix_sum`` (no unpartitioned window).
     * Each synthetic row is ``x + u * (nn - x)`` with neighbour index and
@@ -235,11 +235,13 @@ def smote(df: DataFrame, features: str, label: str, key_cols: list[str], *, mino
 
     Returns the input rows (``is_synthetic`` false) plus the synthetic rows
     (key ``<row key>#<copy>``), with columns ``_key``, ``features``,
-    ``label``, ``is_synthetic``.
+    ``label``, ``is_synthetic``; with ``lineage`` also ``_parent`` and
+    ``_neighbour`` (keys, null on input rows).  Keys may repeat; equal rows are each copied,
+    but are no neighbours of each other.
     """
     from tidewater.functions import seeded_unit
     from tidewater.operators.common import prefix_sum
-    from tidewater.operators.vectors import vector_topk
+    from tidewater.operators.vectors import nearest_in_leaves
 
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
     base = df.select(key.alias("_key"), F.col(features).cast("array<double>").alias(features), label)
@@ -247,40 +249,42 @@ def smote(df: DataFrame, features: str, label: str, key_cols: list[str], *, mino
     counts = base.agg(F.count_if(is_min).alias("n_min"), F.count_if(~is_min).alias("n_maj")).first()
     n_min, n_maj = int(counts["n_min"]), int(counts["n_maj"])
     orig = base.withColumn("is_synthetic", F.lit(False))
+    if lineage:
+        orig = orig.withColumns({c: F.lit(None).cast("string") for c in ("_parent", "_neighbour")})
     need = n_maj - n_min
     if need <= 0 or n_min < 2:
         return orig
-    mino = base.where(is_min)
-    pts = mino.select(F.col("_key").alias("id"), F.col(features).alias("vector"))
-    nn = vector_topk(pts, pts.withColumnRenamed("id", "query_id"), k=k + 1, metric="euclidean",
-                     point_blocks=point_blocks, query_blocks=query_blocks)
+    # equal rows become one with its number of copies; a row is told by key and features, as keys may repeat
+    mino = materialize(base.where(is_min).groupBy("_key", features).agg(F.count(F.lit(1)).alias("_m"))
+                       .withColumn("_id", F.concat_ws("|", "_key", F.xxhash64(features).cast("string"))), "smote_rows")
     # the neighbour table is read twice below: compute it once
-    nn = materialize(nn.where(F.col("query_id") != F.col("id")), "smote_knn")
-    wn = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")  # k + 1 rows per query
-    nn = (nn.withColumn("_j", F.row_number().over(wn) - 1).where(F.col("_j") < k)
-          .select(F.col("query_id").alias("_key"), F.col("id").alias("_nb"), "_j"))
-    kk = nn.groupBy("_key").agg(F.count(F.lit(1)).alias("_kk"))
+    nn = materialize(nearest_in_leaves(mino, k=k, id_col="_id", vec_col=features, trees=trees, leaf_rows=leaf_rows, seed=seed)
+                     .select(F.col("id").alias("_id"), F.col("neighbour").alias("_nb"), (F.col("rank") - 1).alias("_j")), "smote_knn")
+    kk = nn.groupBy("_id").agg(F.count(F.lit(1)).alias("_kk"))
     per, extra = divmod(need, n_min)
-    order = F.conv(F.substring(F.md5(F.concat(F.col("_key"), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")
-    ranked = prefix_sum(mino.select("_key", order.alias("_o"), F.lit(1).alias("_one")), [], "_o", "_one", "_rank")
-    copies = (ranked.select("_key", (F.lit(per) + F.when(F.col("_rank") < extra, 1).otherwise(0)).alias("_n"))
+    order = F.conv(F.substring(F.md5(F.concat(F.col("_id"), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")
+    ranked = prefix_sum(mino.select("_id", order.alias("_o"), "_m"), [], "_o", "_m", "_rank")
+    one_more = F.greatest(F.least(F.col("_m"), F.lit(extra) - F.col("_rank")), F.lit(0))
+    copies = (ranked.select("_id", (F.lit(per) * F.col("_m") + one_more).alias("_n"))
               .where(F.col("_n") > 0)
-              .select("_key", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_c"))
-              .join(kk, "_key", "inner"))
+              .select("_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_c"))
+              .join(kk, "_id", "left").withColumn("_kk", F.coalesce("_kk", F.lit(1))))
     copies = copies.withColumns({
-        "_j": F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "_key", F.col("_c").cast("string"),
+        "_j": F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "_id", F.col("_c").cast("string"),
                                                           F.lit(str(seed)))), 1, 8), 16, 10).cast("long"),
                      F.col("_kk")).cast("int"),
-        "_u": seeded_unit([F.col("_key"), F.col("_c")], seed + 1)})
-    nbv = mino.select(F.col("_key").alias("_nb"), F.col(features).alias("_nv"))
-    syn = (copies.join(nn, ["_key", "_j"], "inner").join(nbv, "_nb", "inner")
-           .join(mino.select("_key", features), "_key", "inner"))
+        "_u": seeded_unit([F.col("_id"), F.col("_c")], seed + 1)})
+    nbv = mino.select(F.col("_id").alias("_nb"), F.col("_key").alias("_nb_key"), F.col(features).alias("_nv"))
+    # a row alone in its leaves is copied as it is, so that parity holds
+    syn = (copies.join(nn, ["_id", "_j"], "left").join(nbv, "_nb", "left")
+           .join(mino.select("_id", "_key", features), "_id", "inner").withColumn("_nv", F.coalesce("_nv", features)))
     lab_type = df.schema[label].dataType
     synth = syn.select(
         F.concat_ws("#", "_key", F.col("_c").cast("string")).alias("_key"),
         F.zip_with(features, "_nv", lambda x, y: x + F.col("_u") * (y - x)).alias(features),
         F.lit(minority).cast(lab_type).alias(label),
-        F.lit(True).alias("is_synthetic"))
+        F.lit(True).alias("is_synthetic"),
+        *([F.col("_key").alias("_parent"), F.col("_nb_key").alias("_neighbour")] if lineage else []))
     return orig.unionByName(synth)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidewater.operators.common import last_complete
 from tidewater.operators.ml import GATE_THRESHOLD
 
 # Stage names.
@@ -27,6 +28,22 @@ def current_version(registry: DataFrame, stage: str = "Production") -> DataFrame
             .groupBy("model_name").agg(F.max("version").alias("current_version")))
 
 
+def save_registry(registry: DataFrame, path: str) -> None:
+    """Write the registry as the next revision; readers take the newest complete one."""
+    n = _revision(registry.sparkSession, path)
+    registry.write.mode("overwrite").parquet(f"{path}/revision={n + 1:010d}")  # replaces a write that broke off
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The newest revision of the registry stored at ``path``."""
+    return spark.read.parquet(f"{path}/revision={_revision(spark, path):010d}")
+
+
+def _revision(spark: SparkSession, path: str) -> int:
+    last = last_complete(spark, path, "revision=")
+    return int(last.split("=")[1]) if last else -1
+
+
 def register(registry: DataFrame, candidates: DataFrame, *, metric: str = "roc_auc",
              threshold: float = GATE_THRESHOLD) -> DataFrame:
     """Append gated candidates as new versions (version = max + 1, in order

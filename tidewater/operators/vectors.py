@@ -3,17 +3,19 @@ upsert (same id replaces the point), search-result context assembly."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.functions import normalize_vector
-from tidewater.operators.common import spread
+from tidewater.functions import normalize_vector, seeded_unit
+from tidewater.operators.common import last_complete, spread
+from tidewater.session import materialize
 
 # Fixed value: default number of results of a search.
 TOP_K = 5
@@ -79,10 +81,11 @@ def embed_hashing(df: DataFrame, id_col: str, text_col: str = "text", dim: int =
 
 # Queries scored per numpy product inside a task (bounds the score matrix).
 QUERY_BLOCK = 1024
-# Upper bound of the query (or point) matrix shipped to every task.
-# Above this many queries, a point set within the budget is broadcast instead.
-# Points scored per numpy product when the point matrix is broadcast.
+# Points scored per numpy product inside a task.
 POINT_BLOCK = 20000
+# Children of a node of a random-projection tree, and rows its quantiles are taken from.
+FAN_OUT = 16
+QUANTILE_ROWS = 65536
 
 
 def _sortable(ids: np.ndarray) -> np.ndarray:
@@ -235,8 +238,13 @@ def vector_topk(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col
     cells = 2 * pb * query_blocks
     p = p.withColumn("_pb", block("_id", pb)).withColumn("_qb", every(query_blocks)).repartition(cells, "_pb", "_qb")
     q = q.withColumn("_qb", block("qid", query_blocks)).withColumn("_pb", every(pb)).repartition(cells, "_pb", "_qb")
-    out_schema = T.StructType([T.StructField("query_id", queries.schema[qid_col].dataType),
-                               T.StructField("_id", points.schema[id_col].dataType),
+    cand = _cells_topk(q, p, ["_pb", "_qb"], k, euclid, tie_decimals)
+    return _attach(_best_k(cand, k, qid_col, id_col), points, carry, carry_from, id_col)
+
+
+def _cells_topk(q: DataFrame, p: DataFrame, cell: list[str], k: int, euclid: bool, tie_decimals: int) -> DataFrame:
+    """(query_id, _id, similarity): the ``k`` best points per query of every cell that holds both sides."""
+    out_schema = T.StructType([T.StructField("query_id", q.schema["qid"].dataType), T.StructField("_id", p.schema["_id"].dataType),
                                T.StructField("similarity", T.DoubleType())])
 
     def cell_topk(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
@@ -248,11 +256,13 @@ def vector_topk(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col
         at = np.nonzero(np.isfinite(best_s))
         return pd.DataFrame({"query_id": qs["qid"].to_numpy()[at[0]], "_id": best_i[at], "similarity": best_s[at]})
 
-    cand = q.groupBy("_pb", "_qb").cogroup(p.groupBy("_pb", "_qb")).applyInPandas(cell_topk, out_schema)
+    return q.groupBy(*cell).cogroup(p.groupBy(*cell)).applyInPandas(cell_topk, out_schema)
+
+
+def _best_k(cand: DataFrame, k: int, qid_col: str, id_col: str) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("_id"))
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    res = top.select(F.col("query_id").alias(qid_col), "rank", F.col("_id").alias(id_col), "similarity")
-    return _attach(res, points, carry, carry_from, id_col)
+    return top.select(F.col("query_id").alias(qid_col), "rank", F.col("_id").alias(id_col), "similarity")
 
 
 def _attach(res: DataFrame, points: DataFrame, carry, carry_from, id_col) -> DataFrame:
@@ -262,89 +272,119 @@ def _attach(res: DataFrame, points: DataFrame, carry, carry_from, id_col) -> Dat
     return res.join(src.select(id_col, *carry), id_col, "left")
 
 
+def _cell_centres(sample: np.ndarray, cells: int, seed: int, rounds: int) -> np.ndarray:
+    """Unit centres of at most ``cells`` groups of the unit vectors ``sample`` (spherical k-means)."""
+    rng = np.random.default_rng(seed)
+    centres = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
+    for _ in range(rounds):
+        nearest = (sample @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, sample)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1.0), centres)
+    return centres
+
+
+def _nearest_cells(vec: Column, centres: np.ndarray, n: int) -> Column:
+    """The ``n`` cells whose centres are nearest to the vector, nearest first."""
+    @F.arrow_udf("array<int>")
+    def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            m = _matrix(batch.to_pylist()) if len(batch) else np.zeros((0, centres.shape[1]))
+            order = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+            yield pa.array(list(order), pa.list_(pa.int32()))
+
+    return nearest(vec)
+
+
 def vector_topk_approx(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col: str = "id",
                        vec_col: str = "vector", qid_col: str = "query_id", qvec_col: str = "vector",
-                       bands: int = 32, bits: int = 4, seed: int = 42, max_query_rows: int = 4096) -> DataFrame:
-    """Approximate cosine top-k with random-hyperplane LSH.
-
-    Every vector gets ``bands`` signatures of ``bits`` sign bits (planes
-    drawn from ``seed``).  The (size-checked) query set is broadcast with
-    its signatures; each task of the point scan scores a point only against
-    the queries that share at least one band signature with it, keeps its
-    own top-k per query, and a per-query window picks the final k.  Cost
-    per point is the number of colliding queries instead of all queries;
-    points that collide with no query are never scored (that is where
-    recall is traded).  Output as ``vector_topk``.
+                       cells: int = 64, probes: int = 48, sample_rows: int = 8192, block_rows: int = 20_000,
+                       seed: int = 42, rounds: int = 10) -> DataFrame:
+    """Approximate cosine top-k over a cell index.
+
+    ``cells`` centres are fitted on at most ``sample_rows`` points (smallest
+    seeded hashes of the id); every point belongs to the cell of its nearest
+    centre, and a query is compared with the points of its ``probes`` nearest
+    cells, joined on the cell.  A cell with many points or queries is cut
+    into blocks of about ``block_rows`` of either side, so a hot cell is
+    spread over tasks.  Any number of queries; every indexed point of a
+    probed cell is scored.  Recall depends on ``probes / cells`` and on how
+    clustered the vectors are; with ``probes = cells`` the search is exact.
+
+    Zero and null vectors take no part.  Output as ``vector_topk``.
     """
+    p = points.select(F.col(id_col).alias("_id"), normalize_vector(vec_col).alias("_v")).where(F.col("_v").isNotNull())
+    order = F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
+    sample = [r["_v"] for r in p.orderBy(order, "_v").limit(sample_rows).select("_v").collect()]
     q = _prepare_queries(queries, qid_col, qvec_col)
-    n = q.limit(max_query_rows + 1).count()
-    if n > max_query_rows:
-        raise ValueError(f"more than {max_query_rows} queries; use vector_topk (exact)")
-    qrows = q.collect()  # bounded by the check above
-    if not qrows:
-        return vector_topk(points, queries, k=k, id_col=id_col, vec_col=vec_col, qid_col=qid_col,
-                           qvec_col=qvec_col)
-    qids = [r["qid"] for r in qrows]
-    qm = _matrix([r["qv"] for r in qrows])
-    planes = np.random.default_rng(seed).normal(size=(bands * bits, qm.shape[1]))
-    weights = 1 << np.arange(bits)
-
-    def signatures(m):
-        bitsm = (m @ planes.T) > 0
-        return (bitsm.reshape(len(m), bands, bits) * weights).sum(2)  # (rows, bands)
-
-    qsig = signatures(qm)
-    tables = [{} for _ in range(bands)]
-    for qi in range(len(qids)):
-        for bi in range(bands):
-            tables[bi].setdefault(int(qsig[qi, bi]), []).append(qi)
-    sc = points.sparkSession.sparkContext
-    bq = sc.broadcast((qids, qm, planes, tables))
-    qid_type = queries.schema[qid_col].dataType
-    id_type = points.schema[id_col].dataType
-    out_schema = T.StructType([T.StructField("query_id", qid_type), T.StructField("_id", id_type),
-                               T.StructField("similarity", T.DoubleType())])
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids_, qm_, planes_, tables_ = bq.value
-        nb = len(tables_)
-        best: dict[int, list] = {}
-        for pdf in batches:
-            pdf = pdf[pdf["_v"].notna()]
-            if pdf.empty:
-                continue
-            m = _matrix(pdf["_v"])
-            norms = np.linalg.norm(m, axis=1)
-            keep = norms > 0
-            m, norms, ids = m[keep], norms[keep], _sortable(pdf["_id"].to_numpy()[keep])
-            bitsm = (m @ planes_.T) > 0
-            sig = (bitsm.reshape(len(m), nb, -1) * (1 << np.arange(bitsm.shape[1] // nb))).sum(2)
-            for pi in range(len(m)):
-                cand = set()
-                for bi in range(nb):
-                    cand.update(tables_[bi].get(int(sig[pi, bi]), ()))
-                for qi in cand:
-                    sim = round(float(qm_[qi] @ m[pi] / norms[pi]), 12)
-                    lst = best.setdefault(qi, [])
-                    lst.append((-sim, ids[pi]))
-                    if len(lst) > 4 * k:
-                        lst.sort()
-                        del lst[k:]
-        rows_q, rows_i, rows_s = [], [], []
-        for qi, lst in best.items():
-            lst.sort()
-            for neg, pid in lst[:k]:
-                rows_q.append(qids_[qi])
-                rows_i.append(pid)
-                rows_s.append(-neg)
-        if rows_q:
-            yield pd.DataFrame({"query_id": rows_q, "_id": rows_i, "similarity": rows_s})
-
-    pts = points.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"))
-    cand = pts.mapInPandas(local, out_schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("_id"))
-    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select(F.col("query_id").alias(qid_col), "rank", F.col("_id").alias(id_col), "similarity")
+    if not sample:
+        return vector_topk(points, queries, k=k, id_col=id_col, vec_col=vec_col, qid_col=qid_col, qvec_col=qvec_col)
+    centres = _cell_centres(_matrix(sample), cells, seed, rounds)
+    p = materialize(p.withColumn("_cell", _nearest_cells(F.col("_v"), centres, 1)[0]), "vector-cells")
+    q = materialize(q.withColumn("_cell", F.explode(_nearest_cells(F.col("qv"), centres, probes))), "query-cells")
+    # at most one row per cell
+    n_blocks = lambda df, out: (df.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(out)))
+    sizes = n_blocks(p, "_np").join(n_blocks(q, "_nq"), "_cell")
+    block = lambda c, n: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    p = p.join(sizes, "_cell").withColumn("_pb", block(["_id", "_v"], "_np")).withColumn("_qb", every("_nq")).drop("_np", "_nq")
+    q = q.join(sizes, "_cell").withColumn("_qb", block(["qid", "qv"], "_nq")).withColumn("_pb", every("_np")).drop("_np", "_nq")
+    return _best_k(_cells_topk(q, p, ["_cell", "_pb", "_qb"], k, False, 12), k, qid_col, id_col)
+
+
+def nearest_in_leaves(points: DataFrame, *, k: int, id_col: str = "id", vec_col: str = "vector", trees: int = 2,
+                      leaf_rows: int = 4096, seed: int = 42) -> DataFrame:
+    """(id, neighbour, rank, distance2): about the ``k`` nearest other points of every point (Euclidean).
+
+    Each of ``trees`` random-projection trees cuts the points into leaves of
+    about ``leaf_rows`` at quantiles of one projection per level (fan-out at
+    most 16); a point is compared with its own leaf in every tree, so the
+    work grows with the number of points times ``trees * leaf_rows``.  Up to
+    one leaf of points the result is exact.  Quantiles come from a seeded
+    hash sample of about ``QUANTILE_ROWS`` rows per node; a tiny seeded offset
+    tells equal points apart, so copies spread over leaves.  Ids must be
+    unique; the result does not depend on partitioning.
+    """
+    p = (points.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+         .where(F.col("id").isNotNull() & F.col("v").isNotNull()))
+    n, dim = p.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    leaves = max(1, -(-n // leaf_rows))
+    levels = max(1, int(np.ceil(np.log(leaves) / np.log(FAN_OUT) - 1e-9))) if leaves > 1 else 0
+    fan = int(np.ceil(leaves ** (1 / levels) - 1e-9)) if levels else 1
+    if levels:
+        p = materialize(p, "leaf-points")  # read once per level and tree
+    kind = points.schema[id_col].dataType
+    out_schema = T.StructType([T.StructField("id", kind), T.StructField("neighbour", kind), T.StructField("similarity", T.DoubleType())])
+
+    def leaf_topk(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, ids = _matrix(pdf["v"]), _sortable(pdf["id"].to_numpy())
+        best_s, best_i = _scan_topk(m, [(m, ids)], k + 1, True, 12)
+        at = np.nonzero(np.isfinite(best_s) & (best_i != ids[:, None]))
+        return pd.DataFrame({"id": ids[at[0]], "neighbour": best_i[at], "similarity": best_s[at]})
+
+    rng = np.random.default_rng(seed)
+    found = None
+    for tree in range(trees if levels else 1):
+        t = p.withColumn("_node", F.lit(0).cast("long"))
+        for level in range(levels):
+            at = F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in rng.normal(size=dim)]), lambda a, b: a * b),
+                             F.lit(0.0), lambda acc, x: acc + x)
+            jitter = seeded_unit([F.col("id")], seed + 100 * tree + level) * F.lit(1e-9)
+            t = t.withColumn("_at", at + jitter)
+            share = min(1.0, QUANTILE_ROWS * fan ** level / n)
+            drawn = t.where(seeded_unit([F.col("id")], seed + 100 * tree + level + 50) <= share)
+            cuts = drawn.groupBy("_node").agg(F.percentile("_at", F.array(*[F.lit(i / fan) for i in range(1, fan)])).alias("_cuts"))
+            t = (t.join(cuts, "_node", "left")
+                 .withColumn("_node", F.col("_node") * fan + F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")),
+                                                                            lambda c: c < F.col("_at"))))
+                 .drop("_cuts", "_at"))
+        near = t.groupBy("_node").applyInPandas(leaf_topk, out_schema)
+        found = near if found is None else found.unionByName(near)
+    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
+    best = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity")) if levels and trees > 1 else found
+    return (best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("id", "neighbour", "rank", (-F.col("similarity")).alias("distance2")))
 
 
 # ------------------------------------------------------------ upsert
@@ -362,11 +402,36 @@ def upsert(existing: DataFrame, incoming: DataFrame, id_col: str = "id",
     return incoming.select(*existing.columns).unionByName(kept)
 
 
-def write_collection(df: DataFrame, path: str, id_col: str = "id", n_buckets: int = 64) -> None:
-    """Store a collection clustered by a hash of the id (upserts then touch
-    few files)."""
-    (df.repartition(n_buckets, F.col(id_col)).sortWithinPartitions(id_col)
-     .write.mode("overwrite").parquet(path))
+def read_collection(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete version of a stored collection; None before the first."""
+    v = last_complete(spark, path, "version=")
+    return spark.read.parquet(f"{path}/{v}").drop("_bucket") if v is not None else None
+
+
+def upsert_collection(spark: SparkSession, path: str, incoming: DataFrame, id_col: str = "id", *, order: str | None = None,
+                      n_buckets: int = 64, replace_source: str | None = None) -> int:
+    """Merge ``incoming`` into the collection stored at ``path``; returns the number of ingested points.
+
+    The merge (``upsert``) is written as a new version folder, clustered by a
+    hash of the id into ``n_buckets`` buckets, and counts once its success
+    mark is there: a failed or repeated run leaves the stored version whole,
+    and readers of an older version keep it.  With ``replace_source`` (a
+    column), stored points of every source in ``incoming`` go first, so that
+    a source that shrank leaves nothing behind.  Points are counted while they are written.
+    """
+    last = last_complete(spark, path, "version=")
+    existing = read_collection(spark, path) if last else incoming.limit(0)
+    if replace_source:
+        gone = incoming.select(replace_source).distinct().withColumnRenamed(replace_source, "_gone")
+        existing = existing.join(gone, F.col(replace_source).eqNullSafe(F.col("_gone")), "left_anti")
+    seen = Observation(f"ingest-{uuid.uuid4().hex[:8]}")
+    merged = upsert(existing.withColumn("_new", F.lit(0)), incoming.withColumn("_new", F.lit(1)), id_col, order)
+    bucket = F.pmod(F.xxhash64(id_col), F.lit(n_buckets)).cast("int")
+    number = int(last.split("=")[1]) + 1 if last else 0
+    (merged.observe(seen, F.coalesce(F.sum("_new"), F.lit(0)).alias("ingested")).drop("_new").withColumn("_bucket", bucket)
+     .hint("rebalance", "_bucket").sortWithinPartitions("_bucket", id_col)
+     .write.partitionBy("_bucket").mode("overwrite").parquet(f"{path}/version={number:010d}"))
+    return seen.get["ingested"]
 
 
 # ------------------------------------------------------------ context

@@ -67,6 +67,12 @@ SELECT l_orderkey * 10 + l_linenumber AS id,
 FROM lineitem
 """
 
+VIEWS["tx_signal_v"] = f"""
+SELECT id, "Time", V1, V2, V3, V4, Amount,
+       CASE WHEN (V1 * V2 >= 3.5) <> (id % 25 = 0) THEN 1 ELSE 0 END AS "Class"
+FROM ({VIEWS["tx_v"]}) t
+"""
+
 VIEWS["spine_v"] = """
 SELECT user_id, ts AS event_timestamp, event_id AS spine_event,
        CASE WHEN value > 100 THEN 1 ELSE 0 END AS label_is_churn

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewater.operators import docs, vectors
 from tidewater.plans import views as V
 from tidewater.plans.registry import query
-from tidewater.session import scratch_path
+from tidewater.session import materialize, scratch_path
 
 SIZE, OVERLAP = docs.CHUNK_SIZE, docs.CHUNK_OVERLAP
 STEP = SIZE - OVERLAP
@@ -127,6 +127,35 @@ def q_vector_upsert(spark, sf):
                          F.round(F.col("vector")[0], 6).alias("v0"))
 
 
+@query("vector_collection", f"""
+WITH {CENTROIDS_SQL},
+ex AS (SELECT 'vec:' || CAST(vec_id AS VARCHAR) AS id, v AS vector, label FROM e),
+inc AS (SELECT id, list_transform(vector, lambda x: x * 2) AS vector, label FROM ex WHERE label = 0
+        UNION ALL SELECT 'centroid:' || CAST(query_id AS VARCHAR), qv, query_id FROM q),
+m AS (SELECT * FROM inc UNION ALL SELECT * FROM ex WHERE id NOT IN (SELECT id FROM inc)),
+r AS (SELECT id, vector, label FROM m WHERE label <> 1 UNION ALL SELECT id || ':again', vector, label FROM m WHERE id = 'centroid:1')
+SELECT id, label, unnest(range(len(vector))) AS pos, round(unnest(vector), 6) AS value,
+       (SELECT count(*) FROM ex) AS n_first, (SELECT count(*) FROM inc) AS n_second, (SELECT count(*) FROM m WHERE id = 'centroid:1') AS n_third FROM r""")
+def q_vector_collection(spark, sf):
+    """A stored collection: filled, upserted, then one label (as source)
+    replaced; every component read back, with the points ingested by each step."""
+    e = V.table(spark, sf, "embeddings")
+    points = e.select(F.concat(F.lit("vec:"), F.col("vec_id").cast("string")).alias("id"),
+                      F.col("embedding").cast("array<double>").alias("vector"), "label")
+    cents = label_centroids(spark, sf).select(F.concat(F.lit("centroid:"), F.col("query_id").cast("string")).alias("id"), "vector",
+                                              F.col("query_id").alias("label"))
+    path = scratch_path(spark, "stored_collection")
+    second = points.where(F.col("label") == 0).withColumn("vector", F.transform("vector", lambda x: x * 2)).unionByName(cents)
+    again = cents.where(F.col("label") == 1).withColumn("id", F.concat("id", F.lit(":again")))
+    n = [vectors.upsert_collection(spark, path, points, n_buckets=16),
+         vectors.upsert_collection(spark, path, second, n_buckets=16),
+         vectors.upsert_collection(spark, path, again, n_buckets=16, replace_source="label")]
+    stored = vectors.read_collection(spark, path)
+    return (stored.select("id", "label", F.posexplode("vector").alias("pos", "value"))
+            .select("id", "label", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"),
+                    *[F.lit(x).alias(c) for x, c in zip(n, ("n_first", "n_second", "n_third"))]))
+
+
 @query("rag_context", f"""
 WITH qe AS ({sparse_embedding_sql('benchmark', 'item_id')}),
 ch AS ({CHUNK_IDS_SQL}),
@@ -165,3 +194,21 @@ def q_vector_topk_approx(spark, sf):
     top = vectors.vector_topk_approx(pts, label_centroids(spark, sf), k=5, id_col="id", qid_col="query_id")
     return top.select("query_id", F.col("rank").cast("long").alias("rank"), "id",
                       F.round("similarity", 6).alias("similarity"))
+
+
+@query("vector_approx_recall", """
+SELECT label AS query_id, (SELECT least(20, count(*)) FROM embeddings) AS n_hits, true AS recall_at_least_09
+FROM embeddings GROUP BY label""")
+def q_vector_approx_recall(spark, sf):
+    """Hits per query of the approximate top-20 of the label centroids, and
+    whether all of them together hold 0.9 of the exact top-20."""
+    pts = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = label_centroids(spark, sf)
+    near = vectors.vector_topk_approx(pts, q, k=20, id_col="id", qid_col="query_id").select("query_id", "id", F.lit(1).alias("found"))
+    exact = vectors.vector_topk(pts, q, k=20, id_col="id", qid_col="query_id").select("query_id", "id", F.lit(1).alias("true_hit"))
+    per = (near.join(exact, ["query_id", "id"], "full").groupBy("query_id")
+           .agg(F.count("found").alias("n_hits"), F.count_if(F.col("found").isNotNull() & F.col("true_hit").isNotNull()).alias("good"),
+                F.count("true_hit").alias("all")))
+    per = materialize(per, "recall")  # one row per query
+    total = per.agg((F.sum("good") >= 0.9 * F.sum("all")).alias("ok"))
+    return per.select("query_id", "n_hits", total.scalar().alias("recall_at_least_09"))

@@ -69,7 +69,7 @@ def q_class_weights(spark, sf):
 def training_frame(spark, sf):
     """The training job's preparation, in one lineage: rename, time parts,
     seeded surrogates, drop nulls, log amount, night/weekend flags."""
-    df = curation.map_columns(spread(V.tx_v(spark, sf), spark.sparkContext.defaultParallelism))
+    df = curation.map_columns(spread(V.tx_signal_v(spark, sf), spark.sparkContext.defaultParallelism))
     df = curation.add_time_parts(df, "Time")
     df = curation.add_surrogates(df, ["id"], seed=ml.SEED)
     df = curation.drop_any_null(df)
@@ -78,7 +78,7 @@ def training_frame(spark, sf):
 
 
 def train(spark, sf):
-    """Train on the data folder; returns (path, auc row)."""
+    """Train on the data folder; returns (path, hold-out AUC row, balanced training rows, split)."""
     started = int(time.time() * 1000)
     # the prepared frame feeds the scaler fit, SMOTE and the hold-out
     # scoring: write it once instead of recomputing it for each
@@ -106,7 +106,7 @@ def train(spark, sf):
     auc = materialize(ml.roc_auc(scored, "fraud_probability", "is_fraud"), "holdout_auc")
     registry.record_run(f"{path}/runs", "train", params=ml.FOREST | {"seed": ml.SEED}, metrics=auc,
                         signature=train_df.select(*feats).schema, start_time=started, end_time=int(time.time() * 1000))
-    return path, auc
+    return path, auc, balanced, split
 
 
 RUN_SQL = """
@@ -143,14 +143,30 @@ def q_run_record(spark, sf):
                                                   F.col("column_type").alias("text_value"), none)))
 
 
-@query("train_forest")
-def q_train_forest(spark, sf):
-    """Train the forest on the training split; hold-out ROC-AUC of the test split."""
-    _, auc = train(spark, sf)
-    return auc
+TRAINED_SQL = f"""
+WITH s AS (SELECT "Class" AS y, {SPLIT_EXPR} AS split FROM tx_signal_v),
+c AS (SELECT count(*) FILTER (split = 'train' AND y = 0) AS a, count(*) FILTER (split = 'train' AND y = 1) AS b,
+             count(*) FILTER (split = 'test') AS n_test, count(*) FILTER (split = 'test' AND y = 1) AS n_test_fraud FROM s)
+SELECT a + b AS n_train, n_test, n_test_fraud, greatest(a, b) AS n_balanced_0, greatest(a, b) AS n_balanced_1, true AS auc_at_least_075 FROM c"""
 
 
-@query("score_batch")
+@query("train_forest", with_views(TRAINED_SQL, "tx_signal_v"))
+def q_train_forest(spark, sf):
+    """Train the forest on the training split: rows of the split and of the
+    balanced training set, and whether the hold-out ROC-AUC passes the gate."""
+    _, auc, balanced, split = train(spark, sf)
+    test = F.col("split") == "test"
+    rows = split.agg(F.count_if(~test).alias("n_train"), F.count_if(test).alias("n_test"),
+                     F.count_if(test & (F.col("is_fraud") == 1)).alias("n_test_fraud"))
+    parity = balanced.agg(F.count_if(F.col("is_fraud") == 0).alias("n_balanced_0"), F.count_if(F.col("is_fraud") == 1).alias("n_balanced_1"))
+    passed = auc.select((F.col("roc_auc") >= ml.GATE_THRESHOLD).alias("p"))
+    return rows.select("*", parity.select("n_balanced_0").scalar().alias("n_balanced_0"), parity.select("n_balanced_1").scalar().alias("n_balanced_1"),
+                       passed.scalar().alias("auc_at_least_075"))
+
+
+@query("score_batch", with_views("""
+SELECT CAST(id AS VARCHAR) AS transaction_id, 'int' AS prediction_type, true AS prediction_ok, "Class" = 1 AS was_fraud, '1' AS model_version
+FROM tx_signal_v""", "tx_signal_v"))
 def q_score_batch(spark, sf):
     """Load the stored model artifact (model + feature list + scaler) and
     score every transaction: align -> scale -> predict -> envelope."""
@@ -159,22 +175,37 @@ def q_score_batch(spark, sf):
     df = training_frame(spark, sf).withColumn("transaction_id", F.col("id").cast("string"))
     aligned = curation.align_features(df, feats, keep=["transaction_id", "is_fraud", "transaction_amount"])
     scored = ml.score(model, ml.apply_scaler(aligned, params))
-    env = curation.score_envelope(scored, ["transaction_id", "transaction_amount", "is_fraud"],
+    scored = scored.withColumn("was_fraud", F.col("is_fraud") == 1)
+    env = curation.score_envelope(scored.drop("is_fraud"), ["transaction_id", "transaction_amount", "was_fraud"],
                                   model_version=F.lit("1"), scored_at=F.lit("2025-01-01 00:00:00").cast("timestamp"))
-    return env.select("transaction_id", "prediction", "fraud_probability", "is_fraud", "model_version", "scored_at")
+    return env.select("transaction_id", F.typeof("prediction").alias("prediction_type"), consistent_columns().alias("prediction_ok"),
+                      "original_data.was_fraud", "model_version")
+
+
+def consistent_columns():
+    """Probability in [0, 1] and a prediction that follows from it (either one at exactly one half)."""
+    p = F.col("fraud_probability")
+    return p.between(0, 1) & ((p == 0.5) | (F.col("prediction") == (p > 0.5).cast("int")))
 
 
 @query("smote", """
 WITH c AS (SELECT CASE WHEN label = 0 THEN 1 ELSE 0 END AS y FROM embeddings),
 n AS (SELECT count(*) FILTER (WHERE y = 1) AS n_min, count(*) FILTER (WHERE y = 0) AS n_maj FROM c)
-SELECT y, false AS is_synthetic, count(*) AS n_rows FROM c GROUP BY y
+SELECT y, false AS is_synthetic, count(*) AS n_rows, 0 AS n_on_segment FROM c GROUP BY y
 UNION ALL
-SELECT 1, true, n_maj - n_min FROM n WHERE n_maj > n_min""")
+SELECT 1, true, n_maj - n_min, n_maj - n_min FROM n WHERE n_maj > n_min""")
 def q_smote(spark, sf):
     """Oversample the rarest embedding class (label 0) to parity with the
-    rest; rows per (class, synthetic) are reported."""
+    rest: rows per (class, synthetic), and how many of them lie on the segment
+    between two different minority rows of the table."""
     e = V.table(spark, sf, "embeddings")
     df = e.select("vec_id", F.col("embedding").cast("array<double>").alias("features"),
                   F.when(F.col("label") == 0, F.lit(1)).otherwise(F.lit(0)).alias("y"))
-    out = ml.smote(df, "features", "y", ["vec_id"], k=5)
-    return out.groupBy("y", "is_synthetic").agg(F.count(F.lit(1)).alias("n_rows"))
+    out = ml.smote(df, "features", "y", ["vec_id"], k=5, lineage=True)
+    real = df.where("y = 1").select(F.col("vec_id").cast("string").alias("id"), "features")
+    end = lambda n: real.select(F.col("id").alias(n), F.col("features").alias(f"{n}_at"))
+    both = out.join(end("_parent"), "_parent", "left").join(end("_neighbour"), "_neighbour", "left")
+    far = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    detour = far("_parent_at", "features") + far("features", "_neighbour_at") - far("_parent_at", "_neighbour_at")
+    on = (F.col("_parent") != F.col("_neighbour")) & (F.abs(detour) < 1e-9)
+    return both.groupBy("y", "is_synthetic").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(on).alias("n_on_segment"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater import schemas
 from tidewater.operators import curation
 from tidewater.plans import views as V
 from tidewater.plans.oracles import with_views
@@ -179,29 +180,48 @@ def q_stream_dedup(spark, sf):
     return spark.read.parquet(target).drop("seq")
 
 
-@query("stream_score")
+@query("stream_score", with_views("""
+SELECT CAST(id AS VARCHAR) AS transaction_id, true AS prediction_ok, "Class" = 1 AS was_fraud,
+       CASE WHEN id % 2 = 0 THEN '1' ELSE '2' END AS model_version
+FROM tx_signal_v""", "tx_signal_v"))
 def q_stream_score(spark, sf):
-    """Transactions arrive as JSON messages; each micro-batch is scored with
-    the stored model (reloaded when the registry version changes)."""
-    from tidewater.operators import ml
+    """Transactions arrive as JSON messages and are scored with the model
+    that the registry names.  Between two arrivals of one running query a
+    second version goes to production, and the rest is scored with it."""
+    from tidewater.operators import ml, registry
     from tidewater.plans import q_ml
     frame = q_ml.training_frame(spark, sf).withColumn("transaction_id", F.col("id").cast("string"))
-    src, out = scratch_path(spark, "tx_in"), scratch_path(spark, "tx_scored")
-    frame.write.json(src)
-    path = q_ml.train(spark, sf)[0]
+    src, out, models = (scratch_path(spark, n) for n in ("tx_in", "tx_scored", "model_registry"))
+    artifact = q_ml.train(spark, sf)[0]
+    one = spark.createDataFrame([("fraud", 1, "Production", 1, 1, artifact, "READY"), ("fraud", 2, "Staging", 2, 2, artifact, "READY")],
+                                schemas.MODEL_REGISTRY)
+    registry.save_registry(one, models)
 
-    def load():
-        model, feats, params = ml.load_model(spark, path)
+    def current() -> str:
+        return str(registry.current_version(registry.read_registry(spark, models)).first()["current_version"])
+
+    def load(version: str):
+        run = registry.read_registry(spark, models).where(F.col("version") == int(version)).first()["run_id"]
+        model, feats, params = ml.load_model(spark, run)
 
         def scorer(batch):
             aligned = curation.align_features(batch, feats, keep=["transaction_id", "is_fraud"])
             return ml.score(model, ml.apply_scaler(aligned, params)).select(
-                "transaction_id", "prediction", "fraud_probability", "is_fraud")
-        return "1", scorer
-
-    stream = jobs.file_json_stream(spark, src, frame.schema)
-    jobs.score_stream(stream, load, lambda b, e: jobs.write_batch(b, out, e),
-                      scratch_path(spark, "ckpt")).awaitTermination()
+                "transaction_id", q_ml.consistent_columns().alias("prediction_ok"), (F.col("is_fraud") == 1).alias("was_fraud"))
+        return scorer
+
+    arrive = lambda n: frame.where(F.col("id") % 2 == n).write.json(f"{src}/part={n}")
+    arrive(0)
+    stream = jobs.file_json_stream(spark, f"{src}/*", frame.schema)
+    running = jobs.score_stream(stream, current, load, lambda b, e: jobs.write_batch(b, out, e), scratch_path(spark, "ckpt"),
+                                refresh_seconds=0, trigger="1 second")
+    try:
+        running.processAllAvailable()
+        registry.save_registry(registry.transition(registry.read_registry(spark, models), "fraud", 2, "Production"), models)
+        arrive(1)
+        running.processAllAvailable()
+    finally:
+        running.stop()
     return spark.read.parquet(out).drop("batch_id")
 
 

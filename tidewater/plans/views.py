@@ -117,6 +117,12 @@ def tx_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tx_signal_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tx_v`` with a label that its columns predict, but for one flipped row in 25."""
+    rule = (F.col("V1") * F.col("V2") >= 3.5) != (F.col("id") % 25 == 0)
+    return tx_v(spark, sf_dir).withColumn("Class", F.when(rule, F.lit(1)).otherwise(F.lit(0)))
+
+
 def spine_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity spine: purchases with a churn-like label."""
     ev = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")

@@ -19,8 +19,6 @@ _DEFAULTS = {
     "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
     "spark.executorEnv.OMP_NUM_THREADS": "1",
     "spark.executorEnv.MKL_NUM_THREADS": "1",
-    # Every broadcast in this library sits behind an explicit size check; the
-    # automatic threshold stays at Spark's default for plain joins.
 }
 
 
@@ -68,8 +66,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidewater-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        spark.sparkContext.setCheckpointDir(base)  # the setting itself cannot be changed in a running session
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

@@ -133,15 +133,17 @@ def dedup_into_table(stream: DataFrame, target: str, key: str, order: str, check
     return write_each_batch(stream, each, checkpoint, trigger=trigger)
 
 
-def score_stream(stream: DataFrame, load_model: Callable[[], tuple], sink: Callable[[DataFrame, int], None],
-                 checkpoint: str, *, refresh_seconds: int = 300, trigger: str | None = "availableNow"
-                 ) -> StreamingQuery:
-    """Score every micro-batch with the current model.
-
-    ``load_model()`` returns (version, scorer) where ``scorer(df)`` maps a
-    batch to scored rows.  The registry is asked at most every
-    ``refresh_seconds``; the model is swapped only when the version
-    changed.  Registry reads run on the driver; scoring runs on executors.
+def score_stream(stream: DataFrame, current_version: Callable[[], str], load: Callable[[str], Callable[[DataFrame], DataFrame]],
+                 sink: Callable[[DataFrame, int], None], checkpoint: str, *, refresh_seconds: int = 300,
+                 trigger: str | None = "availableNow") -> StreamingQuery:
+    """Score every micro-batch with the current model version.
+
+    ``current_version()`` asks the registry, at most every
+    ``refresh_seconds``; ``load(version)`` returns the scorer (batch ->
+    scored rows) and runs only when the version changed, so the model is
+    swapped between two micro-batches of a running query.  The sink gets the
+    rows with ``model_version``.  Registry reads run on the driver; scoring
+    runs on executors.
     """
     import time
 
@@ -150,11 +152,11 @@ def score_stream(stream: DataFrame, load_model: Callable[[], tuple], sink: Calla
     def each(batch: DataFrame, epoch: int) -> None:
         now = time.time()
         if state["scorer"] is None or now - state["checked"] >= refresh_seconds:
-            version, scorer = load_model()
-            if version != state["version"] or state["scorer"] is None:
-                state["version"], state["scorer"] = version, scorer
+            version = current_version()
+            if version != state["version"]:
+                state["version"], state["scorer"] = version, load(version)
             state["checked"] = now
-        sink(state["scorer"](batch), epoch)
+        sink(state["scorer"](batch).withColumn("model_version", F.lit(state["version"])), epoch)
 
     return write_each_batch(stream, each, checkpoint, trigger=trigger)
 
