@@ -127,6 +127,38 @@ def test_toxicity_separates_and_handles_odd_rows(spark, docs, prose):
     assert all(r["severity"] == 0 and not r["toxic"] for r in rows(toxicity.score(docs, none)))
 
 
+def test_toxicity_features_equal_plain_python():
+    texts = ["Idiotic idiotically ab", None, "", "one two one", "\u00e9t\u00e9s " * 3 + "x" * 9]
+    w = textvec.scan(texts, "alnum")
+    words = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+    flat = [(d, x) for d, ws in enumerate(words) for x in ws]
+    for k, (at, h) in zip((3, 4), textvec.beginnings(w, (3, 4))):
+        long = [i for i, (_, x) in enumerate(flat) if len(x) >= k]
+        assert at.tolist() == long
+        assert h.tolist() == textvec.word_hashes(textvec.scan([flat[i][1][:k] for i in long], "alnum")).tolist()
+    got = toxicity._distinct_features(texts)
+    for ws, f in zip(words, got):
+        seen = [x for x in ws] + [(x[:k],) for x in ws for k in toxicity.STEMS if len(x) >= k]
+        assert len(f) == len(set(f.tolist())) == len(set(seen)) + sum(seen.count(x) > 1 for x in set(seen))
+    # the score of a text is the sum over its features, whichever of them are selected
+    rng = np.random.default_rng(4)
+    every = np.unique(np.concatenate(got))
+    for _ in range(5):
+        pick = np.sort(rng.choice(every, len(every) // 2, replace=False))
+        model = {"words": pick, "weights": rng.normal(size=len(pick)), "theta": np.array([0.5, 1.0]), "cut": 0.5}
+        eta = [sum(model["weights"][np.isin(pick, f)]) for f in got]
+        assert np.allclose(toxicity.grade_probabilities(model, texts)[0], 1 / (1 + np.exp(-(np.array(eta) - 0.5))))
+
+
+def test_toxicity_catches_inflected_forms(spark, prose):
+    bad = lambda i: f" grimwort{'abcdefghij'[i % 10]}{i}" * (1 + i % 2)
+    data = [(i, prose(i, 40) + (bad(i) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(600)]
+    d = spark.createDataFrame(data, "doc_id long, text string, y int")
+    model = toxicity.fit(d, d.where("doc_id < 300").select("doc_id", F.lit(1).alias("quality"), F.col("y").alias("toxic")))
+    got = {r["doc_id"]: r["toxic"] for r in rows(toxicity.score(d, model))}
+    assert all(got[i] == bool(y) for i, _, y in data)
+
+
 def test_ordinal_gradient():
     rng = np.random.default_rng(0)
     data = [(int(min(2, n)), [0] * (n > 0) + [1] * (n > 1)) for n in rng.integers(0, 3, 200).tolist()]

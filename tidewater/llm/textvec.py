@@ -87,6 +87,17 @@ def word_hashes(w: Words) -> np.ndarray:
     return mix(np.add.reduceat(value, offset) + w.length.astype(np.uint64))
 
 
+def beginnings(w: Words, lengths: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of ``lengths``, ascending: the words that are at least as long, and the hashes of their first characters."""
+    total = np.zeros(len(w.start), np.uint64)
+    at = np.arange(len(w.start))
+    for i in range(max(lengths)):
+        at = at[w.length[at] > i]
+        total[at] += (w.codes[w.start[at] + i].astype(np.uint64) + np.uint64(1)) * _pow(i + 1)[i]
+        if i + 1 in lengths:
+            yield at, mix(total[at] + np.uint64(i + 1))
+
+
 def ngram_hashes(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first word index of each run of ``n`` words inside one row."""
     if len(h) < n:

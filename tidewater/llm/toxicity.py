@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression.
 
 The labels say toxic or not; severity grades follow from them: 0 not toxic, 2
-toxic with more indicator words (selected words that speak for toxicity) than
+toxic with more indicators (selected features that speak for toxicity) than
 the median toxic text of the sample that has any, 1 other toxic texts.
 P(grade >= k) = sigmoid(w . x - theta_k) with one weight vector
 for all grades and ordered thresholds; the expected severity is the sum of
@@ -10,10 +10,10 @@ case, as 64-bit hashes) that the fit selected.
 
 The fit sees a bounded sample: at most ``max_rows`` labelled documents, half
 of them toxic where there are enough, chosen by a hash over all labels and
-weighted back to the label counts.  Words are selected among those in at
+weighted back to the label counts.  Features are selected among those in at
 least ``min_docs`` sampled texts by the z-score of their log-odds; their
-counts are summed in Spark, and only the selected words of sampled rows reach
-the driver (at most ``max_rows`` x ``max_words`` short integers).  Every
+counts are summed in Spark, and only the selected features of sampled rows
+reach the driver (at most ``max_rows`` x ``max_words`` short integers).  Every
 document is scored over its whole text.
 
 Defined results: null, empty or word-less texts are scored by the thresholds
@@ -32,13 +32,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.textvec import scan, slices, word_hashes
+from tidewater.llm.textvec import beginnings, scan, slices, word_hashes
 from tidewater.session import materialize
 
 MAX_ROWS = 12_000
 MAX_WORDS = 4096
 MIN_DOCS = 8
 MIN_Z = 4.0
+#: letters of the word beginnings, and marks that tell their hashes and those of repeated features from those of words
+STEMS = (3, 4, 5, 6, 7)
+BEGINNING = np.uint64(0x5BD1E9955BD1E995)
+TWICE = np.uint64(0x2545F4914F6CDD1D)
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -54,21 +58,34 @@ def grades(bad: np.ndarray, words: list[list[int]], speaks: np.ndarray) -> np.nd
     return np.where(bad, np.where(n > (np.median(have) if len(have) else 0), 2, 1), 0)
 
 
-def _distinct_words(texts: list) -> list[np.ndarray]:
+def _hashes(run: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash) of every word and of every word beginning, kind by kind."""
+    w = scan(run, "alnum")
+    yield w.doc, word_hashes(w)
+    yield from ((w.doc[at], h ^ BEGINNING) for at, h in beginnings(w, STEMS))
+
+
+def _distinct_features(texts: list) -> list[np.ndarray]:
     out = []
     for run in slices(texts):
-        w = scan(run, "alnum")
-        h = word_hashes(w)
-        cut = np.searchsorted(w.doc, np.arange(len(run) + 1), "left")
-        out += [np.unique(h[a:b]).view(np.int64) for a, b in zip(cut[:-1], cut[1:])]
+        parts = list(_hashes(run))
+        doc, h = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        first = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(h) != 0))) if len(h) else np.zeros(0, np.int64)
+        again = np.diff(np.append(first, len(h))) > 1
+        doc, h = doc[first], h[first]
+        cut = [np.searchsorted(d, np.arange(len(run) + 1), "left") for d in (doc, doc[again])]
+        twice = h[again] ^ TWICE
+        out += [np.concatenate([h[cut[0][i]:cut[0][i + 1]], twice[cut[1][i]:cut[1][i + 1]]]).view(np.int64) for i in range(len(run))]
     return out
 
 
-def _word_set(text: Column) -> Column:
+def _feature_set(text: Column) -> Column:
     @F.arrow_udf("array<long>")
     def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(_distinct_words(batch.to_pylist()), pa.list_(pa.int64()))
+            yield pa.array(_distinct_features(batch.to_pylist()), pa.list_(pa.int64()))
 
     return words(text)
 
@@ -122,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
     sample = part(True, n_toxic).unionByName(part(False, max_rows - n_toxic))  # at most max_rows (id, label) pairs
     rows = (docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
             .join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))
-    rows = materialize(rows.select("doc_id", "bad", F.xxhash64(F.coalesce("_text", F.lit(""))).alias("copy"), _word_set(F.col("_text")).alias("words"))
+    rows = materialize(rows.select("doc_id", "bad", F.xxhash64(F.coalesce("_text", F.lit(""))).alias("copy"), _feature_set(F.col("_text")).alias("words"))
                        .dropDuplicates(["copy"]).drop("copy"), "toxicity-sample")
     total = {r["bad"]: r["n"] for r in rows.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
@@ -177,13 +194,22 @@ def grade_probabilities(model: dict, texts: list) -> tuple[np.ndarray, np.ndarra
     """P(grade >= 1) and P(grade >= 2) of each text."""
     if model["theta"] is None:
         return np.zeros(len(texts)), np.zeros(len(texts))
+    known = model["words"].view(np.uint64)
+    base = np.unique(np.concatenate([known, known ^ TWICE])).view(np.int64)  # what a selected feature may be made of
+    base.sort()
+    k = max(1, len(base))
+    # weight of a feature that occurs, and what it adds when it occurs again
+    once, again = (np.where(hit, model["weights"][at] if len(known) else 0.0, 0.0) for at, hit in (
+        _lookup(model["words"], base), _lookup(model["words"], (base.view(np.uint64) ^ TWICE).view(np.int64))))
     etas = []
     for run in slices(texts):
-        w = scan(run, "alnum")
-        at, hit = _lookup(model["words"], word_hashes(w).view(np.int64))
-        pair = np.unique(w.doc[hit] * len(model["words"]) + at[hit]) if hit.any() else np.zeros(0, np.int64)
-        k = max(1, len(model["words"]))
-        etas.append(np.bincount(pair // k, model["weights"][pair % k] if len(pair) else None, len(run)))
+        pairs = []
+        for doc, h in _hashes(run):
+            at, hit = _lookup(base, h.view(np.int64))
+            pairs.append(doc[hit] * k + at[hit] if hit.any() else np.zeros(0, np.int64))
+        pair, times = np.unique(np.concatenate(pairs), return_counts=True)
+        gain = once[pair % k] + np.where(times > 1, again[pair % k], 0.0) if len(pair) else None
+        etas.append(np.bincount(pair // k, gain, len(run)))
     eta = np.concatenate(etas or [np.zeros(0)])
     return _sigmoid(eta - model["theta"][0]), _sigmoid(eta - model["theta"][1])
 
