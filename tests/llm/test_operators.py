@@ -322,6 +322,31 @@ def test_links_find_every_component(spark, max_bits, cell_rows):
     assert same(lambda x: got.get(x, x)) == same(lambda x: at[x])
 
 
+@pytest.mark.parametrize("max_bits,cell_rows,thresholds", [
+    (3, 4096, (1, 1)), (3, 40, (1, 1)), (3, 4096, (1, 0, 0)), (3, 4096, (2, -1, 0)), (3, 4096, (3, -1, -1, -1)), (5, 4096, (4, 0, *[-1] * 6))])
+def test_links_probe_larger_thresholds(spark, monkeypatch, max_bits, cell_rows, thresholds):
+    rng = np.random.default_rng(len(thresholds))
+    m = len(thresholds)
+    assert sum(thresholds) == max_bits - m + 1
+    fp = set()
+    for c in rng.integers(0, 1 << 63, 150, dtype=np.uint64).tolist():
+        fp |= {c, *(c ^ sum(1 << b for b in rng.choice(64, rng.integers(1, max_bits + 1), replace=False).tolist()) for _ in range(3))}
+    fp = sorted(fp)
+    parts = simhash.group_bits(np.array(fp, np.uint64), m)
+    forced = [(sum(1 << b for b in p), tuple(p), t) for p, t in zip(parts, thresholds) if t >= 0]
+    monkeypatch.setattr(simhash, "plan", lambda *_: forced)
+    df = spark.createDataFrame([(simhash._signed(x),) for x in fp], "fp long")
+    keys = {(r["part"], r["key"] % (1 << 64), r["fp"] % (1 << 64)) for r in rows(simhash._keys(df, forced)) if r["probe"]}
+    for part, key, x in keys:
+        mask, _, t = forced[part]
+        assert key & ~mask == 0 and 1 <= (key ^ (x & mask)).bit_count() <= t
+    got = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in rows(graph.components(simhash.links(df, max_bits=max_bits, cell_rows=cell_rows)))}
+    root = union(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= max_bits])
+    same = lambda f: {frozenset(x for x in fp if f(x) == f(y)) for y in fp}
+    at = dict(zip(fp, root))
+    assert same(lambda x: got.get(x, x)) == same(lambda x: at[x])
+
+
 def test_thresholds_keep_the_pigeonhole_sum():
     sample = np.random.default_rng(0).integers(0, 1 << 63, 300, dtype=np.uint64)
     for n in (10, 10 ** 5, 10 ** 8, 10 ** 11):

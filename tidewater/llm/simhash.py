@@ -27,11 +27,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.graph import components
@@ -122,20 +123,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _probes(p: int, key: Column, flips: list[int]) -> Column:
+    """Probe entries of partition ``p``: the keys above ``key`` that differ from it by one of ``flips``.
+
+    The lambdas take one parameter: PySpark passes the array index to a second one, also when it has a default.
+    """
+    others = F.transform(F.array(*[F.lit(_signed(f)) for f in flips]), lambda f: key.bitwiseXOR(f))
+    return F.transform(F.filter(others, lambda o: o > key),
+                       lambda o: F.struct(F.lit(p).alias("part"), o.alias("key"), F.lit(True).alias("probe")))
+
+
 def _keys(fps: DataFrame, partitions) -> DataFrame:
     """(part, key, fp, probe): every fingerprint under its own key and, for t > 0, under larger keys within t bits."""
     entries = []
     for p, (mask, bits, t) in enumerate(partitions):
         key = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
         entries.append(F.array(F.struct(F.lit(p).alias("part"), key.alias("key"), F.lit(False).alias("probe"))))
-        flips = [1 << b for b in bits] if t >= 1 else []
-        flips += [(1 << a) | (1 << b) for x, a in enumerate(bits) for b in bits[x + 1:]] if t >= 2 else []
-        flips += [(1 << a) | (1 << b) | (1 << c) for x, a in enumerate(bits) for y, b in enumerate(bits[x + 1:], x + 1)
-                  for c in bits[y + 1:]] if t >= 3 else []
+        flips = [sum(1 << b for b in c) for d in range(1, min(t, len(bits)) + 1) for c in combinations(bits, d)]
         if flips:
-            other = F.transform(F.array(*[F.lit(_signed(f)) for f in flips]), lambda f, k=key: k.bitwiseXOR(f))
-            entries.append(F.transform(F.filter(other, lambda o, k=key: o > k),
-                                       lambda o, p=p: F.struct(F.lit(p).alias("part"), o.alias("key"), F.lit(True).alias("probe"))))
+            entries.append(_probes(p, key, flips))
     return fps.select("fp", F.explode(F.concat(*entries)).alias("e")).select("e.part", "e.key", "fp", "e.probe")
 
 
