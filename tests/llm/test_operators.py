@@ -201,6 +201,21 @@ def test_decontamination_finds_copies_and_edits(spark, docs, prose):
     assert rows(decontam.contaminated(d.limit(0), bench)) == [] and rows(decontam.contaminated(d, bench.limit(0))) == []
 
 
+@pytest.mark.parametrize("copies", [5, 1000])
+def test_decontamination_finds_repeated_partial_copies(spark, prose, copies):
+    a, b, c = (prose(k, 40).split() for k in ("edit", "cut", "mixed"))
+    edited = " ".join(x for i, x in enumerate(a) if i % 9 != 4)
+    mixed = " ".join(x for i, x in enumerate(c) if i % 9 != 4)
+    data = [(i, prose(5000 + i, 20) + " " + edited + " " + prose(7000 + i, 20)) for i in range(copies)]
+    data += [(2000 + i, prose(9000 + i, 20) + " " + " ".join(b[:24])) for i in range(copies)]
+    data += [(4000 + i, mixed) for i in range(copies)] + [(6000, " ".join(c))]  # one verbatim copy beside many edited ones
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in rows(decontam.contaminated(d, bench))}
+    assert set(found) == {(base + i, item) for base, item in ((0, 1), (2000, 2), (4000, 3)) for i in range(copies)} | {(6000, 3)}
+    assert {s for (_, item), s in found.items() if item == 2} == {0.6} and found[6000, 3] == 1.0
+
+
 # ------------------------------------------------------------------ 5
 def test_token_counts_equal_the_library(spark, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")

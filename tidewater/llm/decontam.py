@@ -1,22 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
 
 1. Items and documents become word sequences (lower case, letters and
    digits), words as 64-bit hashes.  All n-grams of all items go into a Bloom
    filter of fixed size (``BLOOM_BITS``), the only thing sent to every task,
    however large the benchmark is.
-2. First pass over the documents: how often each item n-gram occurs in the
-   whole corpus, summed inside each task first.  An item's seeds are its rare
-   n-grams: those that occur at most ``RARE_FACTOR`` times as often as the
-   item's lower quartile (at least the quarter of its rarest always stay, so
-   an item that leaked a thousand times keeps its seeds while n-grams of
-   stock words go).
-3. Second pass: around each seed hit, the document's words within the longest
-   item's reach are cut out as a passage; neighbouring hits share one
-   passage.  Only passages leave the task.
-4. Passages meet items in a shuffle join on the seed; each (passage, item)
-   pair is aligned once with Smith-Waterman over words (match 2, mismatch and
-   gap -1), which scores edited and paraphrased copies.  Score: best local
-   alignment over the item's self-alignment, 0 to 1.
+2. Every n-gram of an item is a seed, however often the corpus holds it: a
+   count cannot tell the n-grams that an edited copy kept from stock words.
+3. One pass over the documents: around each seed hit, the document's words
+   within the longest item's reach are cut out as a passage; neighbouring hits
+   share one passage.  Only passages leave the task.
+4. Passages meet items in a shuffle join on the seed.  A (passage, item) pair
+   whose common words cannot add up to ``min_score`` goes; each other one is
+   aligned once with Smith-Waterman over words (match 2, mismatch and gap -1),
+   which scores edited and paraphrased copies.  Score: best local alignment
+   over the item's self-alignment, 0 to 1.  A region is found when it scores
+   ``min_score`` and shares ``n`` words in a row with the item.
 
 Defined results: null or empty texts and items shorter than ``n`` words match
 nothing; a null doc_id or item_id is reported as null; repeated rows and
@@ -39,7 +37,6 @@ from tidewater.llm.textvec import ngram_hashes, scan, slices, word_hashes
 from tidewater.session import materialize
 
 N = 3
-RARE_FACTOR = 4.0
 MIN_SCORE = 0.5
 BLOOM_BITS = 1 << 23
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -101,30 +98,6 @@ def _grams(items: DataFrame, n: int) -> DataFrame:
     return items.select("item", F.explode(grams(F.col("words"))).alias("gram"))
 
 
-def _corpus_counts(docs: DataFrame, bloom: np.ndarray, n: int) -> DataFrame:
-    """(gram, n): occurrences in all documents of every n-gram that may be an item's."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = []
-            for run in slices(batch.column(0).to_pylist()):
-                w = scan(run, "alnum")
-                g, _ = ngram_hashes(word_hashes(w), w.doc, n)
-                seen.append(g[_maybe(shared.value, g)])
-            grams, times = np.unique(np.concatenate(seen or [np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(times.astype(np.int64))], ["gram", "n"])
-
-    return docs.select("_text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _rare(grams: DataFrame, counts: DataFrame, factor: float) -> DataFrame:
-    """(item, gram) of the seeds."""
-    g = grams.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    quartile = g.groupBy("item").agg(F.percentile("n", F.lit(0.25)).alias("q"))
-    return g.join(quartile, "item").where(F.col("n") <= F.greatest(F.col("q"), F.lit(1.0)) * F.lit(factor)).select("item", "gram")
-
-
 # --------------------------------------------------------------- passages
 def _passages(docs: DataFrame, bloom: np.ndarray, n: int, reach: int) -> DataFrame:
     """(doc_id, doc_hash, at, words, grams): passages around possible seeds."""
@@ -196,7 +169,10 @@ def _score(pairs: DataFrame, min_score: float) -> DataFrame:
             keep, out = [], []
             for i in range(batch.num_rows):
                 item = np.array(batch.column(4)[i].as_py(), np.int64)
-                s, lo, hi = align(item, np.array(batch.column(5)[i].as_py(), np.int64))
+                passage = np.array(batch.column(5)[i].as_py(), np.int64)
+                if np.isin(item, passage).sum() / len(item) < min_score:  # each match needs one of these words
+                    continue
+                s, lo, hi = align(item, passage)
                 score = s / (MATCH * len(item))
                 if score >= min_score:
                     at = batch.column(3)[i].as_py()
@@ -213,12 +189,11 @@ def _score(pairs: DataFrame, min_score: float) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                 item_text: str = "text", n: int = N, rare_factor: float = RARE_FACTOR, min_score: float = MIN_SCORE) -> DataFrame:
+                 item_text: str = "text", n: int = N, min_score: float = MIN_SCORE) -> DataFrame:
     """(doc_id, doc_hash, item_id, score, start_word, end_word): best alignment of each document and item that reaches ``min_score``."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("doc_hash"), F.col(text).alias("_text"))
     items = materialize(_items(benchmark, item_id, item_text), "decontam-items")
-    grams = materialize(_grams(items, n), "decontam-grams")
-    seeds = materialize(_rare(grams, _corpus_counts(docs, _bloom(grams), n), rare_factor), "decontam-seeds")
+    seeds = materialize(_grams(items, n), "decontam-seeds")
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
     passages = materialize(_passages(docs, _bloom(seeds), n, longest + longest // 4 + 8), "decontam-passages")
     key = ["doc_id", "doc_hash", "at"]
