@@ -403,6 +403,28 @@ def test_layouts_and_round_trip(spark):
     assert rows(chatformat.records_of(long.limit(0))) == []
 
 
+def test_long_text_keeps_its_turns(spark, tmp_path):
+    table = spark.createDataFrame([(1, 0, "user", "q", 1), (1, 1, "assistant", "x", 21_000_000), (3, 0, "assistant", "<", 3)],
+                                  "conv_id long, turn long, role string, letter string, n int")
+    table.select("conv_id", "turn", "role", F.expr("repeat(letter, n)").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in rows(E.queries()["op10_chat_format"](spark, str(tmp_path)))}
+    assert {i: (r["n_turns"], r["loss_chars"]) for i, r in got.items()} == {-1: (2, 21), 1: (2, 21_000_000), 3: (1, 3)}
+    assert got[1]["loss_sha256"] == hashlib.sha256(b"x" * 21_000_000).hexdigest()
+
+
+def test_parsed_record_does_not_grow_with_the_conversation(spark):
+    table = spark.range(0, 2000, 1, 1).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"),
+                                              F.expr("repeat('y', 1000)").alias("text"))
+    r = chatformat.canonical_turns(chatformat.records_of(table)).select("layout", F.size("turns").alias("n"), F.length("record").alias("size")).first()
+    assert (r["layout"], r["n"]) == ("messages", 2000) and r["size"] < 100
+
+
+def test_unreadable_long_records_are_errors(spark):
+    df = spark.range(1).select(F.concat(F.lit('{"prompt": "'), F.expr("repeat('x', 21000000)"), F.lit('", "response": ""}')).alias("record"))
+    with pytest.raises(Exception, match="beyond the JSON parser's limits"):
+        chatformat.canonical_turns(df).select(F.size("turns")).collect()
+
+
 def test_query_hashes_are_of_the_table(spark):
     t = sorted(((r["conv_id"], r["turn"], r["role"], r["text"] or "") for r in rows(spark.read.parquet(f"{SF}/conversations.parquet"))))
     want = {}

@@ -19,8 +19,11 @@ have been put together; a conversation is one record, the unit of output.
 Defined results: null role or text is empty; rows of one conversation are
 ordered by turn (nulls first), then role and text; repeated rows are repeated
 turns; a null conv_id is one conversation; a record that is not JSON or has
-an unknown fingerprint has layout null and no turns; an empty table gives no
-rows; extra columns are not read.
+an unknown fingerprint has layout null and no turns, but one of at least
+``PARSER_BYTES`` that the parser does not read is an error, since it may be JSON
+beyond the parser's limits; an empty table gives no rows; extra columns are
+not read.  Conversations given as rows are not parsed: they are bounded by
+what Spark holds in one row (under 2 GB), beyond which Spark fails.
 """
 
 from __future__ import annotations
@@ -32,6 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURNS = "array<struct<role:string,text:string>>"
+#: turns of a record that was made from rows
+MESSAGES = "_cf_messages"
+#: a record of fewer bytes is within the parser's limits on sizes (20,000,000 characters a string, the size of a variant)
+PARSER_BYTES = 1 << 24
 
 
 class Layout(NamedTuple):
@@ -74,8 +81,13 @@ def field_paths(record: Column) -> Column:
 
 
 def canonical_turns(records: DataFrame, *, record: str = "record", layouts=LAYOUTS) -> DataFrame:
-    """Add ``fingerprint``, ``layout`` and ``turns`` to rows with a JSON text column."""
+    """Add ``fingerprint``, ``layout`` and ``turns`` to rows with a JSON text column.
+
+    Where the column ``MESSAGES`` of ``records_of`` is there and not null, the turns
+    are taken from it, and ``record`` gives the layout only.
+    """
     v = F.try_parse_json(F.col(record))
+    given = F.col(MESSAGES) if MESSAGES in records.columns else F.lit(None).cast(TURNS)
     rows = records.withColumn("_cf_v", v).withColumn("fingerprint", F.sha2(field_paths(F.col("_cf_v")), 256))
     name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for lay in reversed(layouts):
@@ -84,12 +96,15 @@ def canonical_turns(records: DataFrame, *, record: str = "record", layouts=LAYOU
                         for r, p in lay.fields]).cast(TURNS) if lay.fields else F.array().cast(TURNS)
         if lay.listed:
             path, role, text = lay.listed
-            found = F.coalesce(F.try_variant_get("_cf_v", path, f"array<struct<`{role}`:string,`{text}`:string>>"),
-                               F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>"))
-
+            kind = f"array<struct<`{role}`:string,`{text}`:string>>"
+            found = F.coalesce(given.cast(kind), F.try_variant_get("_cf_v", path, kind), F.array().cast(kind))
             got = F.concat(got, F.transform(found, _message(role, text, lay.roles)).cast(TURNS))
         name = F.when(hit, F.lit(lay.name)).otherwise(name)
         turns = F.when(hit, got).otherwise(turns)
+    unread = F.col("_cf_v").isNull() & (F.octet_length(F.col(record)) >= PARSER_BYTES)
+    turns = (F.when(unread, F.raise_error(F.lit("chatformat: a long record is beyond the JSON parser's limits or not JSON")).cast(TURNS))
+             .when(given.isNotNull() & name.isNull(), F.raise_error(F.lit("chatformat: no layout for a record made from rows")).cast(TURNS))
+             .otherwise(turns))
     return rows.withColumns({"layout": name, "turns": turns}).drop("_cf_v")
 
 
@@ -172,8 +187,14 @@ def read_back(rows: DataFrame) -> DataFrame:
 
 
 def records_of(conversations: DataFrame) -> DataFrame:
-    """(conv_id, record): the rows of each conversation, ordered by turn, as one ``messages`` record."""
+    """(conv_id, record, MESSAGES): the rows of each conversation, ordered by turn, as an array of messages.
+
+    ``record`` holds the field names of the conversation's ``messages`` record around one empty
+    message (all have the same fields), so its length does not follow the texts.
+    """
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"),
                     F.coalesce(F.col("text"), F.lit("")).alias("content"))
     msgs = F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return conversations.groupBy("conv_id").agg(F.to_json(F.struct(msgs.alias("messages"))).alias("record"))
+    names = F.transform(F.slice(MESSAGES, 1, 1), lambda _: F.struct(F.lit("").alias("role"), F.lit("").alias("content")))
+    return conversations.groupBy("conv_id").agg(msgs.alias(MESSAGES)).select(
+        "conv_id", F.to_json(F.struct(names.alias("messages"))).alias("record"), MESSAGES)

@@ -242,7 +242,7 @@ def op10(spark, sf_dir):
     from tidewater.llm import chatformat as c
     own = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(
         F.lit("</s>[INST] ok [/INST]").alias("prompt"), F.lit("</s>[INST] ok [/INST]").alias("response"))).alias("record"))
-    records = c.records_of(_table(spark, sf_dir, "conversations")).unionByName(own)
+    records = c.records_of(_table(spark, sf_dir, "conversations")).unionByName(own, allowMissingColumns=True)
     out = c.read_back(c.formatted(c.canonical_turns(records)).select("conv_id", "formatted", "loss_spans"))
     nl = F.lit("\n")
     joined = F.array_join(F.transform("turns_read", lambda t: F.concat(t["role"], nl, t["text"], nl)), "")
