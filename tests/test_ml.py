@@ -129,6 +129,19 @@ def test_smote_parity_and_segments(spark):
         sorted((r._key, tuple(round(v, 9) for v in r.f)) for r in again.collect())
 
 
+def test_smote_neighbours_are_the_nearest_beyond_one_leaf(spark):
+    import numpy as np
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(900, 10))
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)] + [(1000 + i, [0.0] * 10, 0) for i in range(5400)],
+                               "rid long, f array<double>, y int")
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    near = [set(r[:5].tolist()) for r in np.argsort(d, axis=1)]
+    out = ml.smote(df, "f", "y", ["rid"], k=5, lineage=True, leaf_rows=60).where("is_synthetic").select("_parent", "_neighbour").collect()
+    assert len(out) == 4500 and all(int(r._neighbour) in near[int(r._parent)] for r in out)
+
+
 def test_smote_parity_with_repeated_keys_and_many_leaves(spark):
     import numpy as np
     rnd = np.random.default_rng(8)

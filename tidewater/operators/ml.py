@@ -215,14 +215,14 @@ def gate(metrics: DataFrame, metric: str = "roc_auc", threshold: float = GATE_TH
 # ------------------------------------------------------------------ SMOTE
 
 def smote(df: DataFrame, features: str, label: str, key_cols: list[str], *, minority=1, k: int = 5,
-          seed: int = SEED, trees: int = 2, leaf_rows: int = 4096, lineage: bool = False) -> DataFrame:
+          seed: int = SEED, leaf_rows: int = 4096, lineage: bool = False) -> DataFrame:
     """Synthetic minority oversampling to class parity (``features`` is an
     ARRAY<DOUBLE> column).
 
-    * Neighbours: about the ``k`` nearest other minority rows by Euclidean
-      distance, looked for in the leaves of ``trees`` random-projection trees
-      (``vectors.nearest_in_leaves``): the work grows with the minority rows,
-      not with their square, and up to ``leaf_rows`` rows it is exact.
+    * Neighbours: the ``k`` nearest other minority rows by Euclidean
+      distance, found exactly with ``vectors.vector_topk``.  The work is the
+      square of the minority rows, in cells of two blocks of about
+      ``4 * leaf_rows`` rows, which steers cost only; no pair table is formed.
     * Copies: ``need = majority - minority`` synthetic rows; each minority
       row makes ``need // minority`` of them, and the rows with the
       smallest seeded rank make one more (exact parity, repeated rows
@@ -241,7 +241,7 @@ def smote(df: DataFrame, features: str, label: str, key_cols: list[str], *, mino
     """
     from tidewater.functions import seeded_unit
     from tidewater.operators.common import prefix_sum
-    from tidewater.operators.vectors import nearest_in_leaves
+    from tidewater.operators.vectors import vector_topk
 
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
     base = df.select(key.alias("_key"), F.col(features).cast("array<double>").alias(features), label)
@@ -258,8 +258,12 @@ def smote(df: DataFrame, features: str, label: str, key_cols: list[str], *, mino
     mino = materialize(base.where(is_min).groupBy("_key", features).agg(F.count(F.lit(1)).alias("_m"))
                        .withColumn("_id", F.concat_ws("|", "_key", F.xxhash64(features).cast("string"))), "smote_rows")
     # the neighbour table is read twice below: compute it once
-    nn = materialize(nearest_in_leaves(mino, k=k, id_col="_id", vec_col=features, trees=trees, leaf_rows=leaf_rows, seed=seed)
-                     .select(F.col("id").alias("_id"), F.col("neighbour").alias("_nb"), (F.col("rank") - 1).alias("_j")), "smote_knn")
+    blocks = -(-n_min // (4 * leaf_rows))
+    near = vector_topk(mino, mino, k=k + 1, id_col="_id", vec_col=features, qid_col="_id", qvec_col=features,
+                       point_blocks=blocks, query_blocks=blocks, metric="euclidean").toDF("_id", "rank", "_nb", "similarity")
+    others = Window.partitionBy("_id").orderBy("rank")  # k + 1 rows of each, the row itself among them
+    nn = materialize(near.where(F.col("_id") != F.col("_nb")).withColumn("_j", F.row_number().over(others) - 1)
+                     .where(F.col("_j") < k).select("_id", "_nb", "_j"), "smote_knn")
     kk = nn.groupBy("_id").agg(F.count(F.lit(1)).alias("_kk"))
     per, extra = divmod(need, n_min)
     order = F.conv(F.substring(F.md5(F.concat(F.col("_id"), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")
@@ -275,7 +279,7 @@ def smote(df: DataFrame, features: str, label: str, key_cols: list[str], *, mino
                      F.col("_kk")).cast("int"),
         "_u": seeded_unit([F.col("_id"), F.col("_c")], seed + 1)})
     nbv = mino.select(F.col("_id").alias("_nb"), F.col("_key").alias("_nb_key"), F.col(features).alias("_nv"))
-    # a row alone in its leaves is copied as it is, so that parity holds
+    # a row without another one is copied as it is, so that parity holds
     syn = (copies.join(nn, ["_id", "_j"], "left").join(nbv, "_nb", "left")
            .join(mino.select("_id", "_key", features), "_id", "inner").withColumn("_nv", F.coalesce("_nv", features)))
     lab_type = df.schema[label].dataType
