@@ -245,6 +245,13 @@ def test_language_held_out_accuracy(spark, docs):
     assert {r["_lid"]["lang"] for r in langid.predict(docs, langid.train([])).select("_lid").collect()} == {"und"}
 
 
+def test_training_sample_does_not_shrink_with_copies(spark, prose):
+    data = [(prose(300 + i, 30), "en") for i in range(20)] * 300 + [(prose(900 + i, 30), "de") for i in range(10)]
+    table = spark.createDataFrame(data, "text string, lang string")
+    got = langid.training_windows(table, F.lit(True))
+    assert sorted((x, t) for x, t in got) == sorted({(x, t) for t, x in data})
+
+
 def test_forward_backward_over_blocks():
     model = langid.train([("en", "the river and the stone of light"), ("de", "der fluss und der stein im licht")] * 4)
     texts = ["the fluss and " * 200, "", "stein", None, "river " * 130]

@@ -218,7 +218,8 @@ def training_windows(docs: DataFrame, usable: Column, *, text: str = "text", lan
     """At most ``max_windows_per_lang`` (lang, window) pairs per language, chosen by text hash among all usable rows."""
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("_lang"), F.col(text).alias("_text"))
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    # copies share a hash and are kept or dropped together, so the rate is one of distinct texts
+    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count_distinct(F.xxhash64("_text")).alias("n")).collect()}
     if not counts:
         return []
     scale = 1 << 30
