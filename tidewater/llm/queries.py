@@ -251,6 +251,18 @@ def op10(spark, sf_dir):
                       F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+# ---------------------------------------------------------- 11 packing
+PACK_MODEL = "byte_bpe_50k.json"
+
+
+@query("op11_packing")
+def op11(spark, sf_dir):
+    import public_tokenizers
+    from tidewater.llm import packing
+    p = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_MODEL), max_tokens=2048, max_segments=128, max_loss=2048)
+    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 # ------------------------------------------- 13 filter interaction audit
 AUDIT_SQL = r"""
 WITH RECURSIVE d AS (
