@@ -263,6 +263,83 @@ def op11(spark, sf_dir):
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+# ------------------------------------------- 12 conversation repair
+REPAIR_SQL = r"""
+WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM conversations)),
+keyed AS (
+  SELECT cid, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce([4294967295::BIGINT] || list_transform(
+           string_split(concat(coalesce(r.conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')), ''), lambda x: ord(x)::BIGINT),
+           lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+             lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS hit
+  FROM conversations r JOIN c ON r.conv_id IS NOT DISTINCT FROM c.conv_id),
+damaged AS (
+  SELECT cid, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+         CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM keyed, unnest(CASE WHEN hit = 3 THEN [1, 2] ELSE [1] END) WHERE hit <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+judged AS (
+  SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY cid ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault
+  FROM placed),
+counts AS (
+  SELECT cid, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY cid),
+go AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) t(p, r, q)),
+ins AS (SELECT * FROM (VALUES (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')) t(p, q, audit)),
+edits AS (  -- of one row, by its role, for either choice of what it may become
+  SELECT p, r, q, 0 AS cost, 'K' AS audit FROM go
+  UNION ALL SELECT p, role, q, 1, 'R' FROM go, unnest(['s', 'u', 'a', 'o']) u(role) WHERE go.r IN ('u', 'a') AND go.r <> role),
+choices AS (
+  SELECT cid, i, p, q, cost + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS cost, audit
+  FROM judged j JOIN edits e ON e.r = CASE WHEN j.r IN ('s', 'u', 'a') THEN j.r ELSE 'o' END WHERE coalesce(fault, '') NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT cid, i, p, p, 2, 'D' FROM judged, unnest([0, 1, 2, 3]) s(p)),
+v AS (
+  SELECT cid, 0::BIGINT AS i, 0 AS state, {'cost': 0::BIGINT, 'audit': ''} AS best FROM counts
+  UNION ALL
+  SELECT v.cid, v.i + 1, x.q, min({'cost': (v.best.cost + 5 * length(ins.audit) + x.cost)::BIGINT, 'audit': v.best.audit || ins.audit || x.audit})
+  FROM v JOIN ins ON ins.p = v.state JOIN choices x ON x.cid = v.cid AND x.i = v.i + 1 AND x.p = ins.q GROUP BY v.cid, v.i, x.q),
+solved AS (
+  SELECT v.cid, min({'cost': (best.cost + 5 * length(ins.audit))::BIGINT, 'audit': best.audit || ins.audit}) AS best
+  FROM v JOIN counts n ON n.cid = v.cid AND n.n = v.i JOIN ins ON ins.p = v.state WHERE ins.q IN (0, 3) GROUP BY v.cid),
+letters AS (
+  SELECT cid, unnest(string_split(best.audit, '')) AS e, generate_subscripts(string_split(best.audit, ''), 1) AS k FROM solved WHERE best.audit <> ''),
+taken AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY cid ORDER BY k) AS i FROM letters),
+kept AS (
+  SELECT t.*, j.role, j.text, row_number() OVER w AS pos, first_value(e = 'K' AND r = 's') OVER w AS system
+  FROM taken t LEFT JOIN judged j ON j.cid = t.cid AND j.i = t.i AND t.e <> 'I' WHERE e <> 'D' WINDOW w AS (PARTITION BY t.cid ORDER BY k)),
+repaired AS (
+  SELECT cid, string_agg(CASE WHEN e = 'K' THEN role WHEN (pos - system::INTEGER) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''),
+                         chr(10) ORDER BY k) AS t FROM kept GROUP BY cid)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM c LEFT JOIN counts USING (cid) LEFT JOIN solved USING (cid) LEFT JOIN repaired USING (cid)
+"""
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with known faults, chosen by a checksum of conversation and turn."""
+    space = F.lit(" ")
+    hit = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space)).cast("binary")) % 20
+    text = F.coalesce("text", space)
+    return (rows.select("conv_id", "turn", F.when(hit == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+                        F.when(hit == 1, "").when(hit == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+                        F.explode(F.array_repeat(F.lit(0), F.when(hit == 0, 0).when(hit == 3, 2).otherwise(1).cast("int"))))
+            .drop("col"))
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12(spark, sf_dir):
+    from tidewater.llm import repair
+    rows = _table(spark, sf_dir, "conversations")
+    return repair.summaries(repair.repair(damaged(rows), rows))
+
+
 # ------------------------------------------- 13 filter interaction audit
 AUDIT_SQL = r"""
 WITH RECURSIVE d AS (
