@@ -19,10 +19,12 @@ in the same order, as that of a file scan does; write a shuffled input first.
 
 Token ids are those of the library for the whole text.  Texts are looked up
 in units of white space and what follows it: the split pattern of a
-byte-level model never joins a character to the white space after it, so
-units are encoded independently (``units_are_independent`` checks the model's
-settings; for another model whole texts are encoded).  A bounded cache of the
-worker remembers the ids of short units.
+byte-level model never joins a character to the white space after it, nor a
+letter to a punctuation mark, so units are encoded independently
+(``units_are_independent`` checks the model's settings; for another model
+whole texts are encoded).  A bounded cache of the worker remembers the ids of
+words; a plain word is one pre-token and goes straight to the library's
+merges, anything else through the whole library.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 examples of their own; a null id stays null; a null prompt is empty; an empty
@@ -34,6 +36,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
@@ -46,14 +49,30 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 POOL = 2048
-CACHE = 200_000
-MAX_UNIT = 48
+CACHE = 600_000
+MAX_UNIT = 48   # longer words are not remembered
 CHUNK = 1 << 20
 OUT_ROWS = 2048
 #: Unicode White_Space, which \s of the models' split pattern stands for (Python's own \s holds four control characters more)
 _W = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNIT = re.compile(f"[{_W}]*[^{_W}]+|[{_W}]+")
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: white space and what follows it; a plain word ends before a punctuation mark, which the pattern never joins to it
+_UNIT = re.compile(f"[{_W}]*[{_LETTER}]+(?=[.,;:!?])|[{_W}]*[^{_W}]+|[{_W}]+")
+_PLAIN = re.compile(f"[{_LETTER}]+")
+_MARKS = (".", ",", ";", ":", "!", "?")
 _END = re.compile(f"(?<=[^{_W}])(?=[{_W}])")
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+class _Gap(Exception):
+    """A space follows other white space, so that words between spaces are no units."""
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the characters from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 def units_are_independent(spec: dict) -> bool:
@@ -65,36 +84,81 @@ def units_are_independent(spec: dict) -> bool:
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(f"[{_W}]", t["content"]) for t in spec["added_tokens"]))
 
 
+class _Known(dict):
+    """Ids by text, found when first asked for; bounded."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.find(text)
+        if len(text) <= MAX_UNIT:
+            if len(self) >= CACHE:
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, spec: str):
         self.model = Tokenizer.from_str(spec)
         self.by_unit = units_are_independent(json.loads(spec))
-        self.cache: dict[str, bytes] = {}
+        self.bytes = _byte_characters()
+        self.space = self.bytes[ord(" ")]
+        self.merge = self.model.model.tokenize
+        self.words = _Known(self._after_space)  # of a space and the word
+        self.others = _Known(self._encode)
 
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.by_unit:
-            return self._encode([text])[0]
-        return b"".join(self._units(c) for c in _chunks(text))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+            return self._encode(text)
+        return b"".join(map(self._chunk, _chunks(text)))
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _merged(self, word: str, before: str) -> bytes:
+        """A plain word is one pre-token, with the space before it: straight to the library's merges."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.bytes)
+        ids = [t.id for t in self.merge(before + word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _after_space(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word):
+            return self._merged(word, self.space)
+        if not word or word[-1] in _SPACES:
+            raise _Gap
+        if word[-1] in _MARKS and _PLAIN.fullmatch(word, 0, len(word) - 1):
+            return self.words[word[:-1]] + self.others[word[-1]]
+        return self._units(" " + word)
+
+    def _chunk(self, text: str) -> bytes:
+        body = text.rstrip(_SPACES)
+        head, *words = body.split(" ")
+        end = self.others[text[len(body):]] if len(body) < len(text) else b""
+        try:
+            if head and head[-1] in _SPACES:
+                raise _Gap
+            return self._units(head) + b"".join(map(self.words.__getitem__, words)) + end
+        except _Gap:
+            return self._units(body) + end
 
     def _units(self, text: str) -> bytes:
-        units = _UNIT.findall(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, units))
-        except KeyError:
-            pass
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = list({u for u in units if u not in self.cache})
-        got = dict(zip(new, self._encode(new)))
-        self.cache.update((u, i) for u, i in got.items() if len(u) <= MAX_UNIT)
-        return b"".join([got[u] if u in got else self.cache[u] for u in units])
+        return b"".join(map(self._unit, _UNIT.findall(text)))
+
+    def _unit(self, unit: str) -> bytes:
+        plain = _PLAIN.fullmatch(unit, 1)
+        if plain and unit[0] == " ":
+            return self.words[unit[1:]]
+        if plain and unit[0] == "\n":
+            return self.others["\n"] + self._merged(unit[1:], "")
+        return self.others[unit]
 
 
 def _chunks(text: str) -> Iterator[str]:
