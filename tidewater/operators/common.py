@@ -7,36 +7,46 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.session import materialize
+
+
+def range_cut(df: DataFrame, keys: list[str], num_partitions: int | None = None) -> DataFrame:
+    """``df`` with ``_ps_part``, the number of its range partition on ``keys``; written to the shared folder.
+
+    The bounds are quantiles of a sample of the rows, so the partitions are
+    of about one size however the keys are spread, and each holds a run of
+    the order.  Rows with equal keys stay together.  A number read twice
+    must not change between the reads: hence the written table.
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    return materialize(df.repartitionByRange(n, *order).withColumn("_ps_part", F.spark_partition_id()), "range-cut")
+
 
 def prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, value_col: str,
-               out: str, *, n_buckets: int = 1024, inclusive: bool = False) -> DataFrame:
-    """Running sum of ``value_col`` within each group, ordered by a numeric
-    ``order_col`` (ties must not occur within a group), without putting a
-    whole group into one task.
-
-    The order key range of each group is cut into ``n_buckets`` equal-width
-    buckets.  Bucket totals (at most ``n_buckets`` rows per group) give each
-    bucket's offset; a window partitioned by (group, bucket) adds the running
-    sum inside the bucket.  A hot group is thereby spread over up to
-    ``n_buckets`` tasks; the result is exact for any bucket balance.
+               out: str, *, num_partitions: int | None = None, inclusive: bool = False) -> DataFrame:
+    """Running sum of ``value_col`` within each group, ordered by
+    ``order_col`` (any ordered type; ties must not occur within a group),
+    without putting a whole group into one task.
+
+    Rows are range-partitioned on (group, order), so a large group lies on
+    consecutive partitions of about equal size.  The totals of its earlier
+    partitions are the offset of each one; a window over (group, partition)
+    adds the running sum inside.  Only a group that began on an earlier
+    partition has an offset, and a partition holds the end of at most one such
+    group: the offsets are at most one row per partition, and are broadcast.
     """
     g = list(group_cols)
-    o = F.col(order_col).cast("double")
-    if g:
-        rng = df.groupBy(*g).agg(F.min(o).alias("_ps_lo"), F.max(o).alias("_ps_hi"))
-        base = join_null_safe(df, rng, g)
-    else:
-        base = df.withColumns({"_ps_lo": df.agg(F.min(o)).scalar(), "_ps_hi": df.agg(F.max(o)).scalar()})
-    width = F.when(F.col("_ps_hi") > F.col("_ps_lo"), (F.col("_ps_hi") - F.col("_ps_lo")) / F.lit(n_buckets)).otherwise(F.lit(1.0))
-    base = base.withColumn("_ps_b", F.least(F.floor((o - F.col("_ps_lo")) / width), F.lit(n_buckets - 1)).cast("int"))
-    totals = base.groupBy(*g, "_ps_b").agg(F.sum(value_col).alias("_ps_bt"))
-    wb = Window.partitionBy(*g).orderBy("_ps_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*g, "_ps_b", F.coalesce(F.sum("_ps_bt").over(wb), F.lit(0)).alias("_ps_off"))
-    end = Window.currentRow if inclusive else -1
-    wi = Window.partitionBy(*g, "_ps_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
-    res = (join_null_safe(base, offsets, [*g, "_ps_b"])
-           .withColumn(out, F.col("_ps_off") + F.coalesce(F.sum(value_col).over(wi), F.lit(0))))
-    return res.drop("_ps_lo", "_ps_hi", "_ps_b", "_ps_off")
+    cut = range_cut(df, [*g, order_col], num_partitions)
+    totals = cut.groupBy(*g, "_ps_part").agg(F.sum(value_col).alias("_ps_total"))
+    earlier = Window.partitionBy(*g).orderBy("_ps_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (totals.withColumns({"_ps_off": F.coalesce(F.sum("_ps_total").over(earlier), F.lit(0)), "_n": F.count(F.lit(1)).over(earlier)})
+               .where("_n > 0").drop("_ps_total", "_n"))
+    inside = (Window.partitionBy(*g, "_ps_part").orderBy(F.col(order_col).asc_nulls_first())
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
+    res = (join_null_safe(cut, F.broadcast(offsets), [*g, "_ps_part"], "left")
+           .withColumn(out, F.coalesce("_ps_off", F.lit(0)) + F.coalesce(F.sum(value_col).over(inside), F.lit(0))))
+    return res.drop("_ps_part", "_ps_off")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

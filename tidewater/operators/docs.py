@@ -60,8 +60,8 @@ def chunk_count(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERL
 
 
 def chunk_and_number(pages: DataFrame, *, source_col: str = "source", page_col: str = "page_no",
-                     text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
-                     ) -> DataFrame:
+                     text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                     num_partitions: int | None = None) -> DataFrame:
     """Chunk every page and number the chunks across all pages of a source
     (page order, then position); id = uuid5('<source>: <index>').
 
@@ -70,11 +70,12 @@ def chunk_and_number(pages: DataFrame, *, source_col: str = "source", page_col:
     it.  The offset of each page is a
     prefix sum of per-page chunk counts over one narrow row per page,
     computed by ``prefix_sum`` so a source with very many pages is still
-    spread over many tasks.
+    spread over many tasks.  ``num_partitions`` spreads a small input before
+    it is chunked.
     """
     from tidewater.session import materialize
     chunks = materialize(chunk_text(pages, text_col, size=size, overlap=overlap, keep=[source_col, page_col],
-                                    with_count=True), "chunks")
+                                    with_count=True, num_partitions=num_partitions), "chunks")
     per_page = chunks.where(F.col("pos") == 0).select(source_col, page_col, "n_in_text")
     offs = prefix_sum(per_page, [source_col], page_col, "n_in_text", "_off")
     out = join_null_safe(chunks, offs.select(source_col, page_col, "_off"), [source_col, page_col])

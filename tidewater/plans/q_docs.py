@@ -48,7 +48,8 @@ FROM h"""
 
 def chunk_table(spark, sf):
     pages = V.table(spark, sf, "documents").select("source", F.col("doc_id").alias("page_no"), "text")
-    return docs.chunk_and_number(pages, source_col="source", page_col="page_no", size=SIZE, overlap=OVERLAP)
+    return docs.chunk_and_number(pages, source_col="source", page_col="page_no", size=SIZE, overlap=OVERLAP,
+                                 num_partitions=spark.sparkContext.defaultParallelism)
 
 
 @query("chunk_ids", CHUNK_IDS_SQL)
