@@ -132,27 +132,6 @@ def test_approx_search_splits_hot_cells_and_is_exact_with_all_probes(spark):
     assert vectors.vector_topk_approx(pdf.limit(0), qdf).count() == 0 and vectors.vector_topk_approx(pdf, qdf.limit(0)).count() == 0
 
 
-def test_leaf_neighbours(spark):
-    rnd = np.random.default_rng(5)
-    x = np.concatenate([rnd.normal(size=(600, 4)), np.zeros((300, 4))])
-    df = spark.createDataFrame([(f"p{i}", [float(c) for c in v]) for i, v in enumerate(x)], "id string, vector array<double>")
-    def hits(**kw):
-        out = {}
-        for r in vectors.nearest_in_leaves(df, k=3, **kw).collect():
-            out.setdefault(r.id, []).append((r["rank"], r.neighbour, r.distance2))
-        return out
-    whole = hits()
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
-    np.fill_diagonal(d, np.inf)
-    want = np.sort(d, axis=1)[:, :3]
-    assert all(np.allclose([h[2] for h in sorted(whole[f"p{i}"])], want[i], atol=1e-9) for i in range(900))
-    cut = hits(leaf_rows=60, trees=3)
-    assert len(cut) == 900 and all(len(v) == 3 and f"p{i}" not in {h[1] for h in v} for i, v in ((int(k[1:]), v) for k, v in cut.items()))
-    near = [np.mean([h[2] for h in cut[f"p{i}"]]) for i in range(600)]
-    assert np.median(near) < 0.2 * np.median(d[:600, :600])  # leaves hold near points, not random ones
-    assert vectors.nearest_in_leaves(df.limit(0), k=3).count() == 0
-
-
 def test_stored_collection(spark, tmp_path):
     path = str(tmp_path / "points")
     make = lambda rows: spark.createDataFrame(rows, "id string, vector array<double>, source string, seq int")

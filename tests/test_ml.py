@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import ml
 from tidewater.operators import registry as R
-from tidewater.operators.common import prefix_sum
+from tidewater.operators.common import prefix_sum, range_cut
 
 
 def _auc_brute(rows):
@@ -25,20 +25,39 @@ def test_roc_auc_grouped_random(spark):
     rnd = random.Random(1)
     rows = [(rnd.choice("abc"), round(rnd.random(), 2), rnd.randrange(2)) for _ in range(600)]
     df = spark.createDataFrame(rows, "g string, s double, y int")
-    got = {r.g: r.roc_auc for r in ml.roc_auc(df, "s", "y", group_by=["g"], n_buckets=7).collect()}
+    got = {r.g: r.roc_auc for r in ml.roc_auc(df, "s", "y", group_by=["g"], num_partitions=7).collect()}
     for g in "abc":
         exp = _auc_brute([(s, y) for gg, s, y in rows if gg == g])
         assert abs(got[g] - exp) < 1e-12
 
 
+def test_range_cut_is_balanced_on_crowded_scores(spark):
+    """99.8 % of the scores near 0, and a group with most rows: no partition holds twice its share, and sums stay right."""
+    rows = [(0 if i % 10 else i % 7, 1e-9 * i if i % 500 else float(i), i % 3) for i in range(50_000)]
+    df = spark.createDataFrame(rows, "g int, s double, v int").repartition(8)
+    sizes = [r["count"] for r in range_cut(df, ["g", "s"], 16).groupBy("_ps_part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 50_000 / 16
+    want, total = {}, {}
+    for g, s, v in sorted(rows):
+        want[g, s] = total.get(g, 0)
+        total[g] = want[g, s] + v
+    assert {(r.g, r.s): r.c for r in prefix_sum(df, ["g"], "s", "v", "c", num_partitions=16).collect()} == want
+
+
+def test_prefix_sum_of_text_order_and_null_groups(spark):
+    df = spark.createDataFrame([(None, "b", 2), (None, "a", 1), ("x", None, 5), ("x", "c", 7), (None, "d", None)], "g string, o string, v int")
+    got = {(r.g, r.o): r.c for r in prefix_sum(df, ["g"], "o", "v", "c", num_partitions=3, inclusive=True).collect()}
+    assert got == {(None, "a"): 1, (None, "b"): 3, (None, "d"): 3, ("x", None): 5, ("x", "c"): 12}
+
+
 def test_prefix_sum_matches_brute(spark):
     rnd = random.Random(5)
     rows = [(rnd.choice(["x", "x", "x", "y"]), i * 3 + rnd.randrange(3), rnd.randrange(10)) for i in range(300)]
     df = spark.createDataFrame(rows, "g string, o long, v long")
-    got = {(r.g, r.o): r.c for r in prefix_sum(df, ["g"], "o", "v", "c", n_buckets=5).collect()}
+    got = {(r.g, r.o): r.c for r in prefix_sum(df, ["g"], "o", "v", "c", num_partitions=5).collect()}
     for g, o, _v in rows:
         assert got[(g, o)] == sum(v for gg, oo, v in rows if gg == g and oo < o)
-    glob = {r.o: r.c for r in prefix_sum(df, [], "o", "v", "c", n_buckets=4, inclusive=True).collect()}
+    glob = {r.o: r.c for r in prefix_sum(df, [], "o", "v", "c", num_partitions=4, inclusive=True).collect()}
     for _g, o, _v in rows:
         assert glob[o] == sum(v for _gg, oo, v in rows if oo <= o)
 
@@ -129,7 +148,7 @@ def test_smote_parity_and_segments(spark):
         sorted((r._key, tuple(round(v, 9) for v in r.f)) for r in again.collect())
 
 
-def test_smote_neighbours_are_the_nearest_beyond_one_leaf(spark):
+def test_smote_neighbours_are_the_nearest_beyond_one_block(spark):
     import numpy as np
     rnd = np.random.default_rng(6)
     x = rnd.normal(size=(900, 10))
@@ -138,17 +157,17 @@ def test_smote_neighbours_are_the_nearest_beyond_one_leaf(spark):
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
     near = [set(r[:5].tolist()) for r in np.argsort(d, axis=1)]
-    out = ml.smote(df, "f", "y", ["rid"], k=5, lineage=True, leaf_rows=60).where("is_synthetic").select("_parent", "_neighbour").collect()
+    out = ml.smote(df, "f", "y", ["rid"], k=5, lineage=True, block_rows=20).where("is_synthetic").select("_parent", "_neighbour").collect()
     assert len(out) == 4500 and all(int(r._neighbour) in near[int(r._parent)] for r in out)
 
 
-def test_smote_parity_with_repeated_keys_and_many_leaves(spark):
+def test_smote_parity_with_repeated_keys_and_many_blocks(spark):
     import numpy as np
     rnd = np.random.default_rng(8)
     vec = lambda: [float(x) for x in rnd.normal(size=3)]
     mino = [(i % 150, vec(), 1) for i in range(400)] + [(7, [1.0, 1.0, 1.0], 1)] * 100
     df = spark.createDataFrame([(i, vec(), 0) for i in range(1234)] + mino, "rid long, f array<double>, y int")
-    for kw in ({}, {"leaf_rows": 40}):
+    for kw in ({}, {"block_rows": 20}):
         out = ml.smote(df, "f", "y", ["rid"], k=4, lineage=True, **kw)
         counts = {(r.y, r.is_synthetic): r["count"] for r in out.groupBy("y", "is_synthetic").count().collect()}
         assert counts == {(0, False): 1234, (1, False): 500, (1, True): 734}

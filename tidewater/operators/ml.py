@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import seeded_bucket
-from tidewater.operators.common import join_null_safe, spread
+from tidewater.operators.common import prefix_sum, spread
 from tidewater.session import materialize
 
 # Fixed values of the training job.
@@ -83,38 +83,21 @@ def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFra
 
 
 def roc_auc(df: DataFrame, score: str, label: str, group_by: list[str] | None = None,
-            n_buckets: int = 1024) -> DataFrame:
+            num_partitions: int | None = None) -> DataFrame:
     """Exact, tie-aware ROC-AUC (per group), never with an unpartitioned window.
 
     AUC = sum over distinct scores s of pos(s) * (neg(< s) + neg(s) / 2),
-    divided by P * N.  Steps: (1) count pos/neg per (group, score) with a
-    partial aggregate — hot scores collapse to one row; (2) cut each group's
-    score range into ``n_buckets`` equal-width buckets and take, per bucket,
-    the negatives of all lower buckets (a window over at most ``n_buckets``
-    rows per group); (3) inside each (group, bucket) a running sum over the
-    distinct scores gives the lower negatives exactly.
+    divided by P * N.  Positives and negatives are counted per (group, score)
+    with a partial aggregate, so a hot score collapses to one row; the
+    negatives below a score are a prefix sum over the range-partitioned
+    distinct scores, balanced however crowded they are.
     """
     g = list(group_by or [])
     y = F.col(label).cast("int")
     per_score = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
                  .groupBy(*g, F.col(score).cast("double").alias("_s"))
                  .agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg")))
-    per_score = materialize(per_score, "auc-scores")  # read four times below
-    if g:
-        rng = per_score.groupBy(*g).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-        with_range = join_null_safe(per_score, rng, g)
-    else:  # one range: two scalar subqueries, no join
-        with_range = per_score.withColumns({"_lo": per_score.agg(F.min("_s")).scalar(),
-                                            "_hi": per_score.agg(F.max("_s")).scalar()})
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / F.lit(n_buckets)).otherwise(F.lit(1.0))
-    bucket = F.least(F.floor((F.col("_s") - F.col("_lo")) / width), F.lit(n_buckets - 1)).cast("int")
-    with_b = with_range.withColumn("_b", bucket)
-    per_bucket = with_b.groupBy(*g, "_b").agg(F.sum("_neg").alias("_bneg"))
-    wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)))
-    ws = Window.partitionBy(*g, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    scored = (join_null_safe(with_b, offsets.select(*g, "_b", "_off"), [*g, "_b"])
-              .withColumn("_below", F.col("_off") + F.coalesce(F.sum("_neg").over(ws), F.lit(0))))
+    scored = prefix_sum(per_score, g, "_s", "_neg", "_below", num_partitions=num_partitions)
     agg = scored.groupBy(*g).agg(
         F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / F.lit(2.0))).alias("_u"),
         F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"))
@@ -215,14 +198,14 @@ def gate(metrics: DataFrame, metric: str = "roc_auc", threshold: float = GATE_TH
 # ------------------------------------------------------------------ SMOTE
 
 def smote(df: DataFrame, features: str, label: str, key_cols: list[str], *, minority=1, k: int = 5,
-          seed: int = SEED, leaf_rows: int = 4096, lineage: bool = False) -> DataFrame:
+          seed: int = SEED, block_rows: int | None = None, lineage: bool = False, stats: dict | None = None) -> DataFrame:
     """Synthetic minority oversampling to class parity (``features`` is an
     ARRAY<DOUBLE> column).
 
     * Neighbours: the ``k`` nearest other minority rows by Euclidean
-      distance, found exactly with ``vectors.vector_topk``.  The work is the
-      square of the minority rows, in cells of two blocks of about
-      ``4 * leaf_rows`` rows, which steers cost only; no pair table is formed.
+      distance, exactly, by ``neighbours.nearest_neighbours``: blocks of rows
+      that the triangle inequality rules out are not compared (``stats``
+      receives the share; ``block_rows`` steers cost only).
     * Copies: ``need = majority - minority`` synthetic rows; each minority
       row makes ``need // minority`` of them, and the rows with the
       smallest seeded rank make one more (exact parity, repeated rows
@@ -240,8 +223,7 @@ def smote(df: DataFrame, features: str, label: str, key_cols: list[str], *, mino
     but are no neighbours of each other.
     """
     from tidewater.functions import seeded_unit
-    from tidewater.operators.common import prefix_sum
-    from tidewater.operators.vectors import vector_topk
+    from tidewater.operators.neighbours import BLOCK_ROWS, nearest_neighbours
 
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
     base = df.select(key.alias("_key"), F.col(features).cast("array<double>").alias(features), label)
@@ -258,12 +240,8 @@ def smote(df: DataFrame, features: str, label: str, key_cols: list[str], *, mino
     mino = materialize(base.where(is_min).groupBy("_key", features).agg(F.count(F.lit(1)).alias("_m"))
                        .withColumn("_id", F.concat_ws("|", "_key", F.xxhash64(features).cast("string"))), "smote_rows")
     # the neighbour table is read twice below: compute it once
-    blocks = -(-n_min // (4 * leaf_rows))
-    near = vector_topk(mino, mino, k=k + 1, id_col="_id", vec_col=features, qid_col="_id", qvec_col=features,
-                       point_blocks=blocks, query_blocks=blocks, metric="euclidean").toDF("_id", "rank", "_nb", "similarity")
-    others = Window.partitionBy("_id").orderBy("rank")  # k + 1 rows of each, the row itself among them
-    nn = materialize(near.where(F.col("_id") != F.col("_nb")).withColumn("_j", F.row_number().over(others) - 1)
-                     .where(F.col("_j") < k).select("_id", "_nb", "_j"), "smote_knn")
+    nn = materialize(nearest_neighbours(mino, k=k, id_col="_id", vec_col=features, block_rows=block_rows or BLOCK_ROWS, stats=stats)
+                     .select("_id", F.col("neighbour").alias("_nb"), (F.col("rank") - 1).alias("_j")), "smote_knn")
     kk = nn.groupBy("_id").agg(F.count(F.lit(1)).alias("_kk"))
     per, extra = divmod(need, n_min)
     order = F.conv(F.substring(F.md5(F.concat(F.col("_id"), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")

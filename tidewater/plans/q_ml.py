@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import curation, ml, registry
 from tidewater.operators.common import spread
+from tidewater.operators.neighbours import nearest_neighbours
 from tidewater.plans import views as V
 from tidewater.plans.oracles import with_views
 from tidewater.plans.registry import query
@@ -209,3 +210,21 @@ def q_smote(spark, sf):
     detour = far("_parent_at", "features") + far("features", "_neighbour_at") - far("_parent_at", "_neighbour_at")
     on = (F.col("_parent") != F.col("_neighbour")) & (F.abs(detour) < 1e-9)
     return both.groupBy("y", "is_synthetic").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(on).alias("n_on_segment"))
+
+
+@query("nearest_rows", """
+WITH p AS (SELECT c_custkey AS id, c_acctbal / 1000 AS a, c_nationkey / 2.0::DOUBLE AS b, length(c_mktsegment)::DOUBLE AS c FROM customer),
+d AS (SELECT p.id, q.id AS neighbour, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c)) AS distance
+      FROM p, p q WHERE p.id <> q.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS rank FROM d)
+SELECT id, neighbour, rank::INTEGER AS rank, round(distance, 6) AS distance, true AS over_a_quarter_skipped FROM r WHERE rank <= 5""")
+def q_nearest_rows(spark, sf):
+    """The five most similar customers of every customer, and whether pruning
+    spared over a quarter of the comparisons of a row with a block."""
+    c = V.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey") / F.lit(2.0),
+                                                F.length("c_mktsegment").cast("double")).alias("vector"))
+    stats: dict = {}
+    near = nearest_neighbours(c, k=5, block_rows=32, stats=stats)
+    return near.select("id", "neighbour", "rank", F.round("distance", 6).alias("distance"),
+                       F.lit(stats.get("skipped", 0.0) > 0.25).alias("over_a_quarter_skipped"))
