@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from tidewater import scratch_path
-from tidewater.operators import docs, vectors
+from tidewater.operators import ann, docs, vectors
 from tidewater.sources import files
 
 
@@ -114,7 +114,7 @@ def test_vector_topk_approx_recall(spark):
     qdf = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(queries)],
                                 "query_id long, vector array<double>")
     exact = {(r.query_id, r.id) for r in vectors.vector_topk(pdf, qdf, k=10).collect()}
-    approx = vectors.vector_topk_approx(pdf, qdf, k=10, cells=20, probes=4).collect()
+    approx = ann.vector_topk_approx(pdf, qdf, k=10, cells=20, probes=4).collect()
     got = {(r.query_id, r.id) for r in approx}
     assert len(exact & got) / len(exact) >= 0.9
     assert all(1 <= r.rank <= 10 for r in approx)
@@ -125,11 +125,29 @@ def test_approx_search_splits_hot_cells_and_is_exact_with_all_probes(spark):
     pts = [(i, [1.0, 2.0, 3.0]) for i in range(100)] + [(100 + i, [float(x) for x in rnd.normal(size=3)]) for i in range(200)]
     pdf = spark.createDataFrame([*pts, (900, None), (901, [0.0, 0.0, 0.0])], "id long, vector array<double>")
     qdf = spark.createDataFrame([(i, v) for i, v in pts[95:130]], "query_id long, vector array<double>")
-    got = vectors.vector_topk_approx(pdf, qdf, k=4, cells=8, probes=8, block_rows=10)
+    got = ann.vector_topk_approx(pdf, qdf, k=4, cells=8, probes=8, block_rows=10)
     exact = vectors.vector_topk(pdf, qdf, k=4)
     key = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.similarity, 9)) for r in df.collect())
     assert key(got) == key(exact)
-    assert vectors.vector_topk_approx(pdf.limit(0), qdf).count() == 0 and vectors.vector_topk_approx(pdf, qdf.limit(0)).count() == 0
+    assert ann.vector_topk_approx(pdf.limit(0), qdf).count() == 0 and ann.vector_topk_approx(pdf, qdf.limit(0)).count() == 0
+
+
+def test_approx_search_measures_its_probes(spark):
+    """Clustered vectors need few cells, alike ones most; recall is reached either way, and few vectors are scored exactly."""
+    rnd = np.random.default_rng(5)
+    near = (rnd.normal(size=(24, 24)) * 3)[rnd.integers(0, 24, 3000)] + rnd.normal(size=(3000, 24)) * 0.3
+    flat = rnd.normal(size=(3000, 24))
+    read = []
+    for x in (near, flat):
+        pdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(4)
+        qdf = pdf.where("id % 100 = 7").withColumnRenamed("id", "query_id")
+        stats = {}
+        got = {(r.query_id, r.id) for r in ann.vector_topk_approx(pdf, qdf, k=10, cells=48, stats=stats).collect()}
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        want = {(q, int(i)) for q in range(7, 3000, 100) for i in np.argsort(-(unit @ unit[q]), kind="stable")[:10]}
+        assert len(want & got) / len(want) >= 0.9 and stats["scored"] < 0.2
+        read.append(stats["codes_read"])
+    assert read[0] < 0.25 < read[1]
 
 
 def test_stored_collection(spark, tmp_path):

@@ -53,12 +53,6 @@ def chunk_text(df: DataFrame, text_col: str = "text", *, size: int = CHUNK_SIZE,
     return c.select(*keep, *extra, F.posexplode("_c").alias("pos", "text"))
 
 
-def chunk_count(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
-    """Number of chunks ``chunk_text`` makes of a text (no explode)."""
-    n = F.size(words(text))
-    return F.when(n > 0, F.size(chunk_starts(n, size, overlap))).otherwise(F.lit(0))
-
-
 def chunk_and_number(pages: DataFrame, *, source_col: str = "source", page_col: str = "page_no",
                      text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                      num_partitions: int | None = None) -> DataFrame:
@@ -86,5 +80,6 @@ def chunk_and_number(pages: DataFrame, *, source_col: str = "source", page_col:
         F.col(page_col), F.col(text_col).alias("text"))
 
 
-def payload(df: DataFrame, source_col: str = "source", text_col: str = "text") -> Column:
-    return F.struct(F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+def payload(source: Column, text: Column) -> Column:
+    """What is stored with a point and comes back with a hit."""
+    return F.struct(source.alias("source"), text.alias("text"))

@@ -3,12 +3,14 @@ upsert (same id replaces the point), search-result context assembly."""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,53 +30,109 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != F.lit(""))
 
 
-def _slot_of_hash(h: Column, dim: int) -> Column:
-    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+class _TokenCodes(dict):
+    """Slot and sign of a token in one integer, +(slot + 1) or -(slot + 1): first 32 bits of its md5 modulo ``dim``, parity of
+    the next nibble (signed hashing keeps dot products unbiased).  Each distinct token is hashed once per worker."""
 
+    def __init__(self, dim: int, limit: int = 500_000):
+        super().__init__()
+        self.dim, self.limit = dim, limit
 
-def _sign_of_hash(h: Column) -> Column:
-    nib = F.conv(F.substring(h, 9, 1), 16, 10).cast("int")
-    return F.when(F.pmod(nib, F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    def __missing__(self, token: str) -> int:
+        h = hashlib.md5(token.encode()).digest()
+        code = int.from_bytes(h[:4], "big") % self.dim + 1
+        if h[4] & 0x10:
+            code = -code
+        if len(self) >= self.limit:
+            self.clear()
+        self[token] = code
+        return code
 
 
-def token_slot(tok: Column, dim: int) -> Column:
-    """Hash slot of a token: first 32 bits of md5 modulo ``dim``."""
-    return _slot_of_hash(F.md5(tok), dim)
+def _hashed(batch: pa.Array, codes: _TokenCodes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, weight) of the non-zero components, in that order, of the unit vectors of a batch of token lists."""
+    size = np.diff(batch.offsets.to_numpy())
+    if batch.null_count:
+        size = np.where(batch.is_valid().to_numpy(zero_copy_only=False), size, 0)
+    tokens = batch.flatten().dictionary_encode()
+    code = np.array([codes[t] for t in tokens.dictionary.to_pylist()], np.int64)[tokens.indices.to_numpy()]
+    at = np.repeat(np.arange(len(batch)), size) * dim + np.abs(code) - 1
+    cell, where = np.unique(at, return_inverse=True)
+    total = np.bincount(where, np.sign(code), len(cell))
+    cell, total = cell[total != 0], total[total != 0]
+    row = cell // dim
+    norm = np.sqrt(np.bincount(row, total * total, len(batch)))
+    return row, cell % dim, total / norm[row]
 
 
-def token_sign(tok: Column) -> Column:
-    """+1 / -1 from the next md5 nibble (signed hashing keeps dot products unbiased)."""
-    return _sign_of_hash(F.md5(tok))
+def _lists(values: np.ndarray, row: np.ndarray, n: int, empty: np.ndarray | None = None) -> pa.ListArray:
+    """One list per row from values in row order; null where ``empty``."""
+    offsets = pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32(), mask=None if empty is None else np.append(empty, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(values))
 
 
 def embed_hashing(df: DataFrame, id_col: str, text_col: str = "text", dim: int = 256,
                   as_float: bool = True, num_partitions: int | None = None) -> DataFrame:
     """L2-normalised signed bag-of-words vectors of fixed ``dim``.
 
-    Row-local, no shuffle: the tokens' slots and signs are built-in functions,
-    an Arrow stage adds them up into the dense vector of each row.  A text
+    Row-local, no shuffle: the JVM cuts the text into tokens, an Arrow stage
+    hashes each distinct token of a batch once and adds up.  A text
     without tokens has a null vector; repeated ids get a vector each.  This
-    is the deterministic stand-in for a hosted embedding model; any embedder
-    with the same output shape can replace it.
+    is the deterministic stand-in for a hosted embedding model; any other
+    embedder plugs in through ``embed_with``.
     """
-    # slot and sign in one integer: +(slot + 1) or -(slot + 1)
-    signed = lambda h: (_sign_of_hash(h) * (_slot_of_hash(h, dim) + 1)).cast("int")
-    codes = F.transform(tokens(F.col(text_col)), lambda t: F.transform(F.array(F.md5(t)), signed)[0])
-
     @F.arrow_udf("array<double>")
-    def add_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def dense(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codes = _TokenCodes(dim)
+        for batch in batches:
+            row, slot, weight = _hashed(batch, codes, dim)
+            full = np.zeros(len(batch) * dim)
+            full[row * dim + slot] = weight
+            none = np.bincount(row, minlength=len(batch)) == 0
+            out = _lists(full, np.repeat(np.arange(len(batch)), dim), len(batch))
+            yield pc.if_else(pa.array(none), pa.scalar(None, out.type), out)
+
+    out = spread(df.select(id_col, text_col), num_partitions).select(id_col, dense(tokens(F.col(text_col))).alias("vector"))
+    return out.withColumn("vector", F.col("vector").cast("array<float>")) if as_float else out
+
+
+def embed_sparse(df: DataFrame, id_col: str, text_col: str = "text", dim: int = 256, num_partitions: int | None = None) -> DataFrame:
+    """The non-zero components of ``embed_hashing``: (id, slots ascending, weights); ``dim`` may be large.  No tokens: empty lists."""
+    @F.arrow_udf("struct<slots: array<int>, weights: array<double>>")
+    def sparse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codes = _TokenCodes(dim)
+        for batch in batches:
+            row, slot, weight = _hashed(batch, codes, dim)
+            yield pa.StructArray.from_arrays([_lists(slot.astype(np.int32), row, len(batch)), _lists(weight, row, len(batch))], ["slots", "weights"])
+
+    return (spread(df.select(id_col, text_col), num_partitions).select(id_col, sparse(tokens(F.col(text_col))).alias("_e"))
+            .select(id_col, "_e.slots", "_e.weights"))
+
+
+def embed_with(df: DataFrame, id_col: str, encode: Callable[[list[str]], np.ndarray], text_col: str = "text", *, dim: int,
+               batch_rows: int = 256, num_partitions: int | None = None) -> DataFrame:
+    """Vectors of an embedder of the caller's: ``encode`` turns up to ``batch_rows`` texts into a matrix of ``dim`` columns.
+
+    It runs on the executors (load a model inside it once, behind a cache).
+    Null texts are not asked for and have a null vector; a matrix of another
+    shape is an error.
+    """
+    @F.arrow_udf("array<float>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            size = np.diff(batch.offsets.to_numpy())
-            if batch.null_count:
-                size = np.where(batch.is_valid().to_numpy(zero_copy_only=False), size, 0)
-            code = batch.flatten().to_numpy()
-            at = np.repeat(np.arange(len(batch)), size) * dim + np.abs(code) - 1
-            dense = np.bincount(at, np.sign(code), len(batch) * dim)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * dim, pa.int32()), pa.array(dense, pa.float64()))
+            texts = batch.to_pylist()
+            known = [i for i, t in enumerate(texts) if t is not None]
+            out: list = [None] * len(texts)
+            for lo in range(0, len(known), batch_rows):
+                at = known[lo:lo + batch_rows]
+                matrix = np.asarray(encode([texts[i] for i in at]), np.float32)
+                if matrix.shape != (len(at), dim):
+                    raise ValueError(f"the embedder returned {matrix.shape} for {len(at)} texts and dim {dim}")
+                for i, v in zip(at, matrix):
+                    out[i] = v
+            yield pa.array(out, pa.list_(pa.float32()))
 
-    dense = spread(df.select(id_col, text_col), num_partitions).select(id_col, add_up(codes).alias("_raw"))
-    vec = normalize_vector("_raw")
-    return dense.select(id_col, (vec.cast(T.ArrayType(T.FloatType())) if as_float else vec).alias("vector"))
+    return spread(df.select(id_col, text_col), num_partitions).select(id_col, vectors(F.col(text_col)).alias("vector"))
 
 
 # ------------------------------------------------------------ search
@@ -269,67 +327,6 @@ def _attach(res: DataFrame, points: DataFrame, carry, carry_from, id_col) -> Dat
     return res.join(src.select(id_col, *carry), id_col, "left")
 
 
-def _cell_centres(sample: np.ndarray, cells: int, seed: int, rounds: int) -> np.ndarray:
-    """Unit centres of at most ``cells`` groups of the unit vectors ``sample`` (spherical k-means)."""
-    rng = np.random.default_rng(seed)
-    centres = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
-    for _ in range(rounds):
-        nearest = (sample @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, nearest, sample)
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1.0), centres)
-    return centres
-
-
-def _nearest_cells(vec: Column, centres: np.ndarray, n: int) -> Column:
-    """The ``n`` cells whose centres are nearest to the vector, nearest first."""
-    @F.arrow_udf("array<int>")
-    def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            m = _matrix(batch.to_pylist()) if len(batch) else np.zeros((0, centres.shape[1]))
-            order = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)
-            yield pa.array(list(order), pa.list_(pa.int32()))
-
-    return nearest(vec)
-
-
-def vector_topk_approx(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col: str = "id",
-                       vec_col: str = "vector", qid_col: str = "query_id", qvec_col: str = "vector",
-                       cells: int = 64, probes: int = 48, sample_rows: int = 8192, block_rows: int = 20_000,
-                       seed: int = 42, rounds: int = 10) -> DataFrame:
-    """Approximate cosine top-k over a cell index.
-
-    ``cells`` centres are fitted on at most ``sample_rows`` points (smallest
-    seeded hashes of the id); every point belongs to the cell of its nearest
-    centre, and a query is compared with the points of its ``probes`` nearest
-    cells, joined on the cell.  A cell with many points or queries is cut
-    into blocks of about ``block_rows`` of either side, so a hot cell is
-    spread over tasks.  Any number of queries; every indexed point of a
-    probed cell is scored.  Recall depends on ``probes / cells`` and on how
-    clustered the vectors are; with ``probes = cells`` the search is exact.
-
-    Zero and null vectors take no part.  Output as ``vector_topk``.
-    """
-    p = points.select(F.col(id_col).alias("_id"), normalize_vector(vec_col).alias("_v")).where(F.col("_v").isNotNull())
-    order = F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
-    sample = [r["_v"] for r in p.orderBy(order, "_v").limit(sample_rows).select("_v").collect()]
-    q = _prepare_queries(queries, qid_col, qvec_col)
-    if not sample:
-        return vector_topk(points, queries, k=k, id_col=id_col, vec_col=vec_col, qid_col=qid_col, qvec_col=qvec_col)
-    centres = _cell_centres(_matrix(sample), cells, seed, rounds)
-    p = materialize(p.withColumn("_cell", _nearest_cells(F.col("_v"), centres, 1)[0]), "vector-cells")
-    q = materialize(q.withColumn("_cell", F.explode(_nearest_cells(F.col("qv"), centres, probes))), "query-cells")
-    # at most one row per cell
-    n_blocks = lambda df, out: (df.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(out)))
-    sizes = n_blocks(p, "_np").join(n_blocks(q, "_nq"), "_cell")
-    block = lambda c, n: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    p = p.join(sizes, "_cell").withColumn("_pb", block(["_id", "_v"], "_np")).withColumn("_qb", every("_nq")).drop("_np", "_nq")
-    q = q.join(sizes, "_cell").withColumn("_qb", block(["qid", "qv"], "_nq")).withColumn("_pb", every("_np")).drop("_np", "_nq")
-    return _best_k(_cells_topk(q, p, ["_cell", "_pb", "_qb"], k, False, 12), k, qid_col, id_col)
-
-
 # ------------------------------------------------------------ upsert
 
 def upsert(existing: DataFrame, incoming: DataFrame, id_col: str = "id",
