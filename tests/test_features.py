@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from tidewater import session
 from tidewater.operators import features as FS
 
 T0 = dt.datetime(2025, 11, 20, 12, 0, 0)
@@ -48,8 +49,8 @@ def _brute(spine, feats, ttl):
     return sorted(out, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
-@pytest.mark.parametrize("bucket_seconds", [3600, 86400, 10 ** 9])
-def test_pit_matches_brute_force(spark, bucket_seconds):
+@pytest.mark.parametrize("num_partitions", [1, 5, 40])
+def test_pit_matches_brute_force(spark, num_partitions):
     rnd = random.Random(7)
     base = dt.datetime(2024, 1, 1)
     feats, spine, seen = [], [], set()
@@ -64,8 +65,48 @@ def test_pit_matches_brute_force(spark, bucket_seconds):
         u = rnd.choice([1, 1, 2, 3, 5, None])
         spine.append((u, base + dt.timedelta(minutes=rnd.randrange(0, 60 * 24 * 7)), 0))
     ttl = dt.timedelta(hours=30)
-    assert _run(spark, spine, feats, ttl, bucket_seconds=bucket_seconds) == _brute(spine, feats, ttl)
-    assert _run(spark, spine, feats, None, bucket_seconds=bucket_seconds) == _brute(spine, feats, None)
+    assert _run(spark, spine, feats, ttl, num_partitions=num_partitions) == _brute(spine, feats, ttl)
+    assert _run(spark, spine, feats, None, num_partitions=num_partitions) == _brute(spine, feats, None)
+
+
+def test_hot_entity_of_one_day_is_spread(spark):
+    """An entity with a third of all rows, all of one day: no partition holds over twice its share, and the join stays right."""
+    rnd = random.Random(12)
+    day = dt.datetime(2024, 1, 1)
+    at = lambda: day + dt.timedelta(microseconds=rnd.randrange(86_400_000_000))
+    feats = [(7 if i % 3 == 0 else i, at(), day, i) for i in range(3000)]
+    spine = [(7 if i % 3 == 0 else i, at(), 0) for i in range(3000)]
+    seen = []
+    session.stage_observers.append(lambda name, df: seen.append(df))
+    try:
+        got = _run(spark, spine, feats, None, num_partitions=12)
+    finally:
+        session.stage_observers.pop()
+    sizes = [r["count"] for r in seen[0].groupBy("_ps_part").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 2 * 6000 / 12
+    assert len({r["_ps_part"] for r in seen[0].where("user_id = 7").select("_ps_part").collect()}) >= 4
+    assert got == _brute(spine, feats, None)
+
+
+def test_ties_do_not_follow_row_order(spark):
+    """Feature rows of one time: the greatest row, under any layout; repeated spine rows all keep it."""
+    feats = [(1, T0, None, n) for n in (5, 9, 1)] + [(2, T0, T0, n) for n in (3, 4)] + [(2, T0, None, 8)]
+    spine = [(1, T0, 0)] * 40 + [(2, T0, 0)]
+    for parts in (1, 4, 7):
+        s = spark.createDataFrame(spine, SPINE).repartition(parts)
+        f = spark.createDataFrame(feats, FEAT).repartition(parts)
+        out = FS.pit_join(s, f, ["user_id"], feature_cols=["total_logins"], created_ts="created", num_partitions=parts).collect()
+        assert sorted((r.user_id, r.total_logins) for r in out) == [(1, 9)] * 40 + [(2, 4)]
+        latest = {r.user_id: r.total_logins for r in FS.latest_features(f, ["user_id"], "event_timestamp").collect()}
+        assert latest == {1: 9, 2: 4}
+
+
+def test_entity_type_is_checked(spark):
+    v = FS.FeatureView("v", (FS.Entity("user_id"),), None, FS.FeatureSource("mem", "event_timestamp"), (("total_logins", "bigint"),))
+    f, s = spark.createDataFrame([(1, T0, T0, 5)], FEAT), spark.createDataFrame([(1, T0, 1)], SPINE)
+    for bad in ({"spine": s.withColumn("user_id", s.user_id.cast("string")), "f": f}, {"spine": s, "f": f.drop("user_id")}):
+        with pytest.raises(TypeError, match="declared bigint"):
+            FS.get_historical_features(spark, bad["spine"], FS.FeatureService("s", (v,)), frames={"mem": bad["f"]})
 
 
 def test_pit_result_independent_of_shuffle_partitions(spark):

@@ -3,17 +3,19 @@ point-in-time (as-of, backward, inclusive, TTL-bounded) feature join.
 
 The as-of join is a union + window, never a pairwise join:
 
-1.  Spine and feature rows are stacked and split by (entity, time bucket).
-    Inside a bucket a running ``last(feature, ignorenulls)`` ordered by
-    (time, side, created) gives every spine row the newest feature row at or
-    before it.  Partitioning by the bucket as well as the key spreads a hot
-    entity over many tasks instead of one.
-2.  Spine rows whose bucket has no earlier feature row take the value
-    carried forward from the newest earlier bucket.  That carry runs on a
-    summary with one row per (entity, bucket) — a partial aggregate of the
-    feature side — so its size is bounded by buckets, not rows.
+1.  Spine and feature rows are stacked, range-partitioned on (entity, time)
+    and written once.  The bounds are quantiles of the rows, so an entity
+    with most rows of one day is cut by time into several partitions of the
+    usual size.  Inside (entity, partition) a running ``last(feature,
+    ignorenulls)`` ordered by (time, side, created, row) gives every spine row
+    the newest feature row at or before it.
+2.  Where an entity began on an earlier partition, its first rows take the
+    newest feature row from there.  A partition continues at most one
+    entity, so that carry is at most one row per partition, and broadcast.
 3.  The TTL nulls a feature older than ``spine_ts - ttl``.
 
+The order is total: of feature rows with one time (and creation time) the
+greatest row wins, whatever the layout of the input.
 Every spine row comes out exactly once (repeated spine rows are all kept);
 spine rows with a null key get null features and never match each other.
 """
@@ -27,9 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Default as-of bucket: one day of event time.
-DEFAULT_BUCKET_SECONDS = 86400
-
+from tidewater.operators.common import range_cut
 
 @dataclass(frozen=True)
 class Entity:
@@ -41,6 +41,13 @@ class Entity:
     def keys(self) -> tuple[str, ...]:
         return self.join_keys or (self.name,)
 
+    def check(self, frame: DataFrame, where: str) -> None:
+        """Every join key is there, with the declared type; a key of another type would match nothing, or by a cast."""
+        for k in self.keys:
+            got = frame.schema[k].dataType.simpleString() if k in frame.columns else "missing"
+            if got != self.dtype:
+                raise TypeError(f"entity {self.name!r}: column {k!r} of the {where} is {got}, declared {self.dtype}")
+
 
 @dataclass(frozen=True)
 class FeatureSource:
@@ -99,22 +106,18 @@ class Registry:
         return self._by_name[name]
 
 
-def _ts_seconds(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp")) / F.lit(1_000_000)
-
-
 def pit_join(spine: DataFrame, features: DataFrame, keys: list[str], *,
              spine_ts: str = "event_timestamp", feature_ts: str = "event_timestamp",
              feature_cols: list[str] | None = None,
              ttl: dt.timedelta | dict[str, dt.timedelta | None] | None = None,
              created_ts: str | None = None,
-             bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+             num_partitions: int | None = None,
              ttl_groups: dict[str, list[str]] | None = None) -> DataFrame:
     """Point-in-time join of ``features`` onto ``spine``.
 
     For each spine row, the feature row with the same key and the greatest
-    ``feature_ts <= spine_ts`` (ties on time: greatest ``created_ts``) is
-    attached; it is nulled if older than ``spine_ts - ttl``.  ``ttl_groups``
+    ``feature_ts <= spine_ts`` (ties on time: greatest ``created_ts``, then
+    the greatest row) is attached; it is nulled if older than ``spine_ts - ttl``.  ``ttl_groups``
     maps a group name to its feature columns and ``ttl`` may then be a dict
     of per-group TTLs (several views over one source in one pass).
     """
@@ -125,49 +128,40 @@ def pit_join(spine: DataFrame, features: DataFrame, keys: list[str], *,
     if clash:
         raise ValueError(f"feature columns clash with spine columns: {sorted(clash)}")
     key_ok = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    bucket = lambda c: F.floor(_ts_seconds(c) / F.lit(bucket_seconds)).cast("long")
-
     fstruct_fields = [F.col(c) for c in feature_cols] + [F.col(feature_ts).cast("timestamp_ntz").alias("_fts")]
     created = F.col(created_ts).cast("timestamp_ntz") if created_ts else F.lit(None).cast("timestamp_ntz")
     feat = features.where(key_ok & F.col(feature_ts).isNotNull()).select(
         *[F.col(k) for k in keys],
         F.col(feature_ts).cast("timestamp_ntz").alias("_ts"),
+        F.lit(0).alias("_side"),
         created.alias("_cts"),
-        F.struct(*fstruct_fields).alias("_f"),
-    ).withColumn("_b", bucket(F.col("_ts")))
-
-    null_f = F.lit(None).cast(feat.schema["_f"].dataType)
+        F.struct(*fstruct_fields).alias("_f"))
     spine_key_ok = key_ok & F.col(spine_ts).isNotNull()
+    whole = F.struct(*[F.col(c) for c in spine_cols])
+    # many spine rows of one entity and time may be cut apart: they are ordered by a hash
     sp = spine.where(spine_key_ok).select(
-        F.struct(*[F.col(c) for c in spine_cols]).alias("_s"),
         *[F.col(k) for k in keys],
         F.col(spine_ts).cast("timestamp_ntz").alias("_ts"),
-    ).withColumn("_b", bucket(F.col("_ts")))
-
-    # 1. as-of inside (key, bucket)
-    stacked = (feat.select(*keys, "_b", "_ts", "_cts", "_f", F.lit(0).alias("_side"),
-                           F.lit(None).cast(sp.schema["_s"].dataType).alias("_s"))
-               .unionByName(sp.select(*keys, "_b", "_ts", F.lit(None).cast("timestamp_ntz").alias("_cts"),
-                                      null_f.alias("_f"), F.lit(1).alias("_side"), "_s")))
-    w = (Window.partitionBy(*keys, "_b").orderBy("_ts", "_side", F.col("_cts").asc_nulls_first())
+        F.lit(1).alias("_side"),
+        whole.alias("_s"), F.xxhash64(whole).alias("_h"))
+    cut = range_cut(feat.unionByName(sp, allowMissingColumns=True), [*keys, "_ts", "_side", "_cts", "_h"], num_partitions)
+
+    # 1. as-of inside (key, partition)
+    w = (Window.partitionBy(*keys, "_ps_part")
+         .orderBy("_ts", "_side", F.col("_cts").asc_nulls_first(), F.col("_f").asc_nulls_first())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    in_bucket = (stacked.withColumn("_m", F.last("_f", ignorenulls=True).over(w))
-                 .where(F.col("_side") == 1)
-                 .select(*keys, "_b", "_ts", "_s", "_m"))
-
-    # 2. carry forward across buckets on a (key, bucket) summary
-    last_per_bucket = (feat.groupBy(*keys, "_b")
-                       .agg(F.max_by("_f", F.struct("_ts", F.col("_cts"))).alias("_l")))
-    spine_buckets = sp.select(*keys, "_b").distinct()
-    sb = (last_per_bucket.select(*keys, "_b", "_l", F.lit(1).alias("_o"))
-          .unionByName(spine_buckets.select(*keys, "_b", F.lit(None).cast(last_per_bucket.schema["_l"].dataType).alias("_l"),
-                                            F.lit(0).alias("_o"))))
-    w2 = (Window.partitionBy(*keys).orderBy("_b", "_o")
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    carried = (sb.withColumn("_c", F.last("_l", ignorenulls=True).over(w2))
-               .where(F.col("_o") == 0).select(*keys, "_b", "_c"))
-
-    joined = in_bucket.join(carried, [*keys, "_b"], "left")
+    inside = cut.withColumn("_m", F.last("_f", ignorenulls=True).over(w)).where(F.col("_side") == 1)
+
+    # 2. the first key of a partition may have begun on an earlier one: its newest feature row there
+    first = cut.groupBy("_ps_part").agg(F.min(F.struct(*keys)).alias("_k")).select("_ps_part", "_k.*")
+    newest = (cut.where(F.col("_side") == 0).join(F.broadcast(first.select(*keys).distinct()), keys, "left_semi")
+              .groupBy(*keys, "_ps_part").agg(F.max_by("_f", F.struct("_ts", "_cts", "_f")).alias("_l")))
+    both = (first.withColumns({"_l": F.lit(None).cast(newest.schema["_l"].dataType), "_o": F.lit(0)})
+            .unionByName(newest.withColumn("_o", F.lit(1))))
+    earlier = Window.partitionBy(*keys).orderBy("_ps_part", "_o").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (both.withColumn("_c", F.last("_l", ignorenulls=True).over(earlier))
+               .where((F.col("_o") == 0) & F.col("_c").isNotNull()).select(*keys, "_ps_part", "_c"))
+    joined = inside.join(F.broadcast(carried), [*keys, "_ps_part"], "left")
     m = F.coalesce(F.col("_m"), F.col("_c"))
 
     # 3. TTL
@@ -202,7 +196,7 @@ def get_historical_features(spark: SparkSession, spine: DataFrame, service: Feat
                             spine_ts: str = "event_timestamp",
                             frames: dict[str, DataFrame] | None = None,
                             full_feature_names: bool = False,
-                            bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                            num_partitions: int | None = None) -> DataFrame:
     """Attach every view of ``service`` to ``spine`` (row count preserved).
 
     Views that share a source (same path and time columns) are fused into
@@ -218,6 +212,9 @@ def get_historical_features(spark: SparkSession, spine: DataFrame, service: Feat
     for (src, keys), views in groups.items():
         base = (frames or {}).get(src.path)
         raw = base if base is not None else src.read(spark)
+        for e in {e for v in views for e in v.entities}:
+            e.check(spine, "spine")
+            e.check(raw, f"source {src.path}")
         cols = [F.col(k) for k in keys] + [F.col(src.event_timestamp_column)]
         if src.created_timestamp_column:
             cols.append(F.col(src.created_timestamp_column))
@@ -235,7 +232,7 @@ def get_historical_features(spark: SparkSession, spine: DataFrame, service: Feat
         out = pit_join(out, raw.select(*cols), list(keys), spine_ts=spine_ts,
                        feature_ts=src.event_timestamp_column,
                        created_ts=src.created_timestamp_column,
-                       ttl=ttls, ttl_groups=ttl_groups, bucket_seconds=bucket_seconds)
+                       ttl=ttls, ttl_groups=ttl_groups, num_partitions=num_partitions)
     return out
 
 
@@ -245,10 +242,10 @@ def latest_features(features: DataFrame, keys: list[str], ts: str,
 
     ``max_by`` over a struct: a hash aggregate with a map-side partial step,
     no sort and no per-key buffering, so a hot entity costs one partial row
-    per task.
+    per task.  Ties go to the greatest row.
     """
-    order = F.struct(F.col(ts), F.col(created_ts)) if created_ts else F.col(ts)
     cols = features.columns
+    order = F.struct(*[F.col(c) for c in dict.fromkeys([ts, *([created_ts] if created_ts else []), *cols])])
     return (features.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
             .groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("_r"))
             .select("_r.*"))

@@ -63,6 +63,27 @@ def q_feature_service(spark, sf):
                                       frames={"feat_v": V.feat_v(spark, sf)})
 
 
+CREATED_SOURCE = FS.FeatureSource("feat_created_v", "event_timestamp", "created_timestamp")
+RECENT = FS.FeatureView("user_recent", (USER,), dt.timedelta(days=3), CREATED_SOURCE, (("view_event_id", "bigint"),))
+
+
+@query("feature_service_two_sources", with_views("""
+SELECT s.user_id, s.event_timestamp, s.spine_event, s.label_is_churn,
+       CASE WHEN f.event_timestamp >= s.event_timestamp - INTERVAL 1 DAY THEN f.last_view_value END AS last_view_value,
+       CASE WHEN f.event_timestamp >= s.event_timestamp - INTERVAL 1 DAY THEN CAST(f.view_score AS BIGINT) END AS view_score,
+       CASE WHEN c.event_timestamp >= s.event_timestamp - INTERVAL 3 DAY THEN c.view_event_id END AS view_event_id
+FROM spine_v s ASOF LEFT JOIN feat_v f
+  ON s.user_id = f.user_id AND s.event_timestamp >= f.event_timestamp
+ASOF LEFT JOIN (SELECT * FROM feat_created_v QUALIFY row_number() OVER
+                (PARTITION BY user_id, event_timestamp ORDER BY created_timestamp DESC) = 1) c
+  ON s.user_id = c.user_id AND s.event_timestamp >= c.event_timestamp
+""", "spine_v", "feat_v", "feat_created_v"))
+def q_feature_service_two_sources(spark, sf):
+    """Views of two sources, one with creation times, chained onto one spine."""
+    return FS.get_historical_features(spark, V.spine_v(spark, sf), FS.FeatureService("two_sources", (ACTIVITY, RECENT)),
+                                      frames={"feat_v": V.feat_v(spark, sf), "feat_created_v": V.feat_created_v(spark, sf)})
+
+
 @query("feature_view_select", with_views(
     "SELECT user_id, event_timestamp, last_view_value, CAST(view_score AS BIGINT) AS view_score FROM feat_v",
     "feat_v"))

@@ -77,6 +77,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: called with (name, frame) before a stage is written: lets tests and reports see plans that a returned frame no longer shows
+stage_observers: list = []
+
+
 def materialize(df, name: str):
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -86,5 +90,7 @@ def materialize(df, name: str):
     checkpoint of the same rows.
     """
     path = scratch_path(df.sparkSession, name)
+    for observe in stage_observers:
+        observe(name, df)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
