@@ -158,9 +158,32 @@ def test_stored_collection(spark, tmp_path):
     old = vectors.read_collection(spark, path)
     # one row per id, the later one; a run that broke off leaves a folder without the success mark
     assert vectors.upsert_collection(spark, path, make([("a", [4.0], "t", 1), ("a", [5.0], "t", 2)]), order="seq") == 1
-    (tmp_path / "points" / "version=0000000009").mkdir()
+    (tmp_path / "points" / "manifest" / "version=0000000009").mkdir()
+    (tmp_path / "points" / "generation=0000000009" / "bucket=0").mkdir(parents=True)
     key = lambda df: sorted((r.id, r.vector[0], r.source) for r in df.collect())
     assert key(vectors.read_collection(spark, path)) == [("a", 5.0, "t"), ("b", 2.0, "s"), ("c", 3.0, None)]
     assert key(old) == [("a", 1.0, "s"), ("b", 2.0, "s"), ("c", 3.0, None)]
     assert vectors.upsert_collection(spark, path, make([("d", [6.0], None, 0), ("e", [7.0], "s", 0)]), replace_source="source") == 2
     assert key(vectors.read_collection(spark, path)) == [("a", 5.0, "t"), ("d", 6.0, None), ("e", 7.0, "s")]
+
+
+def test_upsert_leaves_untouched_buckets_alone(spark, tmp_path):
+    path = tmp_path / "points"
+    make = lambda rows: spark.createDataFrame(rows, "id string, vector array<double>, source string")
+    vectors.upsert_collection(spark, str(path), make([(f"p{i}", [float(i)], f"s{i % 3}") for i in range(200)]), n_buckets=16)
+    files = lambda: {str(f.relative_to(path)) for f in path.glob("generation=*/bucket=*/*.parquet")}
+    first = files()
+    old = vectors.read_collection(spark, str(path))
+    assert vectors.upsert_collection(spark, str(path), make([("p3", [-1.0], "s0")])) == 1
+    second = files()
+    assert first <= second and len({f.split("/")[1] for f in second - first}) == 1  # one bucket rewritten, the others' files as they were
+    now = {r.id: r.vector[0] for r in vectors.read_collection(spark, str(path)).collect()}
+    assert now == {f"p{i}": -1.0 if i == 3 else float(i) for i in range(200)}
+    assert {r.id: r.vector[0] for r in old.collect()} == {f"p{i}": float(i) for i in range(200)}  # readers of the version before
+    # a whole rewrite: after one more, the first generations are gone
+    for x in (5.0, 6.0):
+        vectors.upsert_collection(spark, str(path), make([(f"p{i}", [x], "s0") for i in range(200)]))
+    assert {f.split("/")[0] for f in files()} == {"generation=0000000002", "generation=0000000003"}
+    assert vectors.upsert_collection(spark, str(path), make([("only", [1.0], "s0")]), replace_source="source") == 1
+    assert [r.id for r in vectors.read_collection(spark, str(path)).collect()] == ["only"]
+    assert vectors.upsert_collection(spark, str(path), make([])) == 0 and vectors.read_collection(spark, str(path)).count() == 1

@@ -1,8 +1,11 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewater import schemas, scratch_path
+from tidewater import schemas, scratch_path, session
 from tidewater.operators import kpi, quality
 from tidewater.sources import files, sinks
 
@@ -46,13 +49,54 @@ def test_insert_if_absent_first_wins_and_idempotent(spark):
     dup = s.unionByName(s.withColumn("amount", F.lit(-1.0)).withColumn("id", F.col("id") + 100))
     dup = dup.unionByName(s.limit(1).withColumn("transaction_id", F.lit("")))  # empty id: skipped
     sinks.insert_if_absent(spark, dup, target, "transaction_id", "id")
-    once = sorted((r.transaction_id, r.amount) for r in spark.read.parquet(target).collect())
+    once = sorted((r.transaction_id, r.amount) for r in sinks.read_table(spark, target).collect())
     sinks.insert_if_absent(spark, dup, target, "transaction_id", "id")  # replay
-    twice = sorted((r.transaction_id, r.amount) for r in spark.read.parquet(target).collect())
+    twice = sorted((r.transaction_id, r.amount) for r in sinks.read_table(spark, target).collect())
     assert once == twice
     assert once == sorted((r[1], r[3]) for r in SEED)
 
 
+def test_insert_reads_touched_buckets_only(spark):
+    """The scan of the target is filtered to the batch's buckets; a replay reads and adds nothing new; one bucket may hold all rows."""
+    rows = spark.range(400).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("key"), F.col("id").alias("seq"))
+    for n_buckets in (64, 1):
+        target = scratch_path(spark, "buckets")
+        sinks.insert_if_absent(spark, rows, target, "key", "seq", n_buckets=n_buckets)
+        plans = []
+
+        def observe(name, df):
+            if name == "insert-delta":
+                plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+        session.stage_observers.append(observe)
+        try:
+            few = rows.where("seq < 3").unionByName(spark.createDataFrame([("new", 1000)], "key string, seq long"))
+            assert [r.key for r in sinks.insert_if_absent(spark, few, target, "key", "seq").collect()] == ["new"]
+            assert sinks.insert_if_absent(spark, few, target, "key", "seq").count() == 0
+        finally:
+            session.stage_observers.pop()
+        assert len(plans) == 2 and all("PartitionFilters: [isnotnull(_bucket" in p or "PartitionFilters: [_bucket" in p for p in plans)
+        assert sinks.read_table(spark, target).count() == 401
+        touched = {r[0] for r in few.select(F.pmod(F.xxhash64("key"), F.lit(n_buckets))).collect()}
+        assert n_buckets == 1 or len(touched) <= 4 < 64
+
+
+def test_declared_table(spark):
+    target = scratch_path(spark, "declared")
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("x", T.DoubleType())])
+    sinks.ensure_table(spark, target, schema, key="id", n_buckets=4)
+    sinks.ensure_table(spark, target, schema, key="id")  # there already
+    empty = sinks.read_table(spark, target)
+    assert empty.dtypes == [("id", "string"), ("x", "double")] and empty.count() == 0
+    sinks.insert_if_absent(spark, spark.createDataFrame([(1.5, "a")], "x double, id string"), target, "id", "x")
+    assert [tuple(r) for r in sinks.read_table(spark, target).collect()] == [("a", 1.5)]
+    for bad, key in (("id string, x int", "id"), ("id string", "id"), ("id string, x double, y int", "id"), ("id string, x double", "x")):
+        with pytest.raises(ValueError, match="declared"):
+            sinks.insert_if_absent(spark, spark.createDataFrame([], bad), target, key, "id")
+    with pytest.raises(ValueError, match="no declared table"):
+        sinks.read_table(spark, scratch_path(spark, "nowhere"))
+
+
 def test_read_or_empty(spark):
     df = files.read_or_empty(spark, scratch_path(spark, "missing"), schemas.FIREWALL)
     assert df.isEmpty() and df.schema == schemas.FIREWALL

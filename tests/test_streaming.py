@@ -50,7 +50,7 @@ def test_stream_dedup_replay_safe(spark):
     ck = scratch_path(spark, "d_ck")
     jobs.dedup_into_table(stream, target, "transaction_id", "seq", ck).awaitTermination()
     jobs.dedup_into_table(stream, target, "transaction_id", "seq", ck).awaitTermination()  # restart: no dupes
-    got = sorted((r.transaction_id, r.amount) for r in spark.read.parquet(target).collect())
+    got = sorted((r.transaction_id, r.amount) for r in sinks.read_table(spark, target).collect())
     assert got == [("t1", 1.0), ("t2", 2.0), ("t3", 3.0)]
 
 

@@ -67,12 +67,30 @@ def spread(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
     return df.repartition(num_partitions) if num_partitions else df
 
 
-def last_complete(spark: SparkSession, path: str, prefix: str) -> str | None:
-    """Greatest name of a folder below ``path`` that starts with ``prefix`` and was written to its end."""
+def _folder(spark: SparkSession, path: str):
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     root = fs_path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith(prefix)]
-    return max((p.getName() for p in found if fs.exists(fs_path(p, "_SUCCESS"))), default=None)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root, fs_path
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below ``path`` (none if it is not there)."""
+    fs, root, _ = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()) if fs.exists(root) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, root, _ = _folder(spark, path)
+    fs.delete(root, True)
+
+
+def mark_complete(spark: SparkSession, path: str) -> None:
+    """Put the success mark into a folder made of several writes."""
+    fs, _, fs_path = _folder(spark, path)
+    fs.create(fs_path(f"{path}/_SUCCESS"), True).close()
+
+
+def last_complete(spark: SparkSession, path: str, prefix: str) -> str | None:
+    """Greatest name of a folder below ``path`` that starts with ``prefix`` and was written to its end."""
+    fs, _, fs_path = _folder(spark, path)
+    return max((n for n in subfolders(spark, path) if n.startswith(prefix) and fs.exists(fs_path(f"{path}/{n}/_SUCCESS"))), default=None)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import normalize_vector
-from tidewater.operators.common import last_complete, spread
+from tidewater.operators.common import delete_folder, last_complete, mark_complete, spread, subfolders
 from tidewater.session import materialize
 
 # Fixed value: default number of results of a search.
@@ -342,35 +342,73 @@ def upsert(existing: DataFrame, incoming: DataFrame, id_col: str = "id",
     return incoming.select(*existing.columns).unionByName(kept)
 
 
+def _manifest(spark: SparkSession, path: str, version: str | None) -> dict[int, int | None]:
+    """Generation of every bucket in a version (null: empty); at most one row per bucket."""
+    return {r["bucket"]: r["generation"] for r in spark.read.parquet(f"{path}/manifest/{version}").collect()} if version else {}
+
+
+def _bucket_paths(path: str, manifest: dict[int, int | None], only: set[int] | None = None) -> list[str]:
+    return [f"{path}/generation={g:010d}/bucket={b}" for b, g in sorted(manifest.items()) if g is not None and (only is None or b in only)]
+
+
 def read_collection(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest complete version of a stored collection; None before the first."""
-    v = last_complete(spark, path, "version=")
-    return spark.read.parquet(f"{path}/{v}").drop("_bucket") if v is not None else None
+    version = last_complete(spark, f"{path}/manifest", "version=")
+    if version is None:
+        return None
+    schema = spark.read.parquet(f"{path}/manifest/{version}/schema").schema
+    paths = _bucket_paths(path, _manifest(spark, path, f"{version}/buckets"))
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def upsert_collection(spark: SparkSession, path: str, incoming: DataFrame, id_col: str = "id", *, order: str | None = None,
                       n_buckets: int = 64, replace_source: str | None = None) -> int:
     """Merge ``incoming`` into the collection stored at ``path``; returns the number of ingested points.
 
-    The merge (``upsert``) is written as a new version folder, clustered by a
-    hash of the id into ``n_buckets`` buckets, and counts once its success
-    mark is there: a failed or repeated run leaves the stored version whole,
-    and readers of an older version keep it.  With ``replace_source`` (a
-    column), stored points of every source in ``incoming`` go first, so that
-    a source that shrank leaves nothing behind.  Points are counted while they are written.
+    Points lie in ``n_buckets`` buckets by a hash of their id (fixed by the
+    first upsert).  Only the buckets that ``incoming`` touches are read, merged
+    (``upsert``) and written, as a new generation; a small manifest then names
+    the generation of every bucket, and counts once its success mark is there.
+    So untouched files stay as they are, and a run that failed or is repeated
+    leaves the stored version whole.  Generations that neither the new
+    manifest nor the one before it names are removed at the end; readers of
+    the version before keep theirs.  With ``replace_source`` (a column),
+    stored points of every source in ``incoming`` go first, so that a source
+    that shrank leaves nothing behind; their buckets count as touched.
     """
-    last = last_complete(spark, path, "version=")
-    existing = read_collection(spark, path) if last else incoming.limit(0)
-    if replace_source:
-        gone = incoming.select(replace_source).distinct().withColumnRenamed(replace_source, "_gone")
+    manifests = f"{path}/manifest"
+    last = last_complete(spark, manifests, "version=")
+    before = _manifest(spark, path, f"{last}/buckets" if last else None)
+    n_buckets = len(before) or n_buckets
+    bucket = F.pmod(F.xxhash64(id_col), F.lit(n_buckets)).cast("int")
+    batch = materialize(incoming.withColumn("bucket", bucket), "upsert-batch")
+    columns = incoming.columns
+    touched = {r[0] for r in batch.select("bucket").distinct().collect()}  # at most n_buckets numbers
+    gone = batch.select(F.col(replace_source).alias("_gone")).distinct() if replace_source else None
+    if gone is not None and last:
+        stored = read_collection(spark, path).join(gone, F.col(replace_source).eqNullSafe(F.col("_gone")), "left_semi")
+        touched |= {r[0] for r in stored.select(bucket).distinct().collect()}
+    paths = _bucket_paths(path, before, touched)
+    existing = spark.read.schema(batch.select(*columns).schema).parquet(*paths) if paths else batch.select(*columns).limit(0)
+    if gone is not None:
         existing = existing.join(gone, F.col(replace_source).eqNullSafe(F.col("_gone")), "left_anti")
     seen = Observation(f"ingest-{uuid.uuid4().hex[:8]}")
-    merged = upsert(existing.withColumn("_new", F.lit(0)), incoming.withColumn("_new", F.lit(1)), id_col, order)
-    bucket = F.pmod(F.xxhash64(id_col), F.lit(n_buckets)).cast("int")
+    merged = upsert(existing.withColumn("_new", F.lit(0)), batch.select(*columns).withColumn("_new", F.lit(1)), id_col, order)
     number = int(last.split("=")[1]) + 1 if last else 0
-    (merged.observe(seen, F.coalesce(F.sum("_new"), F.lit(0)).alias("ingested")).drop("_new").withColumn("_bucket", bucket)
-     .hint("rebalance", "_bucket").sortWithinPartitions("_bucket", id_col)
-     .write.partitionBy("_bucket").mode("overwrite").parquet(f"{path}/version={number:010d}"))
+    target = f"{path}/generation={number:010d}"
+    (merged.observe(seen, F.coalesce(F.sum("_new"), F.lit(0)).alias("ingested")).drop("_new").withColumn("bucket", bucket)
+     .hint("rebalance", "bucket").sortWithinPartitions("bucket", id_col)
+     .write.partitionBy("bucket").mode("overwrite").parquet(target))
+    written = {int(n.split("=")[1]) for n in subfolders(spark, target) if n.startswith("bucket=")}
+    after = {b: number if b in written else None if b in touched else before.get(b) for b in range(n_buckets)}
+    version = f"{manifests}/version={number:010d}"
+    spark.createDataFrame(sorted(after.items()), "bucket int, generation long").coalesce(1).write.mode("overwrite").parquet(f"{version}/buckets")
+    batch.select(*columns).limit(0).coalesce(1).write.mode("overwrite").parquet(f"{version}/schema")
+    mark_complete(spark, version)
+    live = {g for m in (before, after) for g in m.values()}
+    for name in subfolders(spark, path):
+        if name.startswith("generation=") and int(name.split("=")[1]) not in live:
+            delete_folder(spark, f"{path}/{name}")
     return seen.get["ingested"]
 
 

@@ -156,11 +156,11 @@ def q_insert_if_absent(spark, sf):
     orig, changed = _two_versions(spark, sf)
     target = scratch_path(spark, "sink_table")
     early = orig.where(F.col("scored_at") < F.lit(SPLIT_TS).cast("timestamp_ntz"))
-    early.withColumn("amount", F.col("amount") * 10).drop("seq").write.parquet(target)
+    sinks.insert_if_absent(spark, early.withColumn("amount", F.col("amount") * 10), target, "transaction_id", "seq", n_buckets=32)
     batch = orig.unionByName(changed)
-    sinks.insert_if_absent(spark, batch.drop(), target, "transaction_id", "seq")
+    sinks.insert_if_absent(spark, batch, target, "transaction_id", "seq")
     sinks.insert_if_absent(spark, batch, target, "transaction_id", "seq")  # replay: no-op
-    return spark.read.parquet(target).drop("seq")
+    return sinks.read_table(spark, target).drop("seq")
 
 
 @query("stream_dedup", with_views(FIRST_WINS_SQL, "scores_v"))
@@ -176,8 +176,8 @@ def q_stream_dedup(spark, sf):
     for n, arrived in enumerate((first, second)):
         arrived.write.options(**sinks.TS_OPTIONS).json(f"{src}/part={n}")
         stream = jobs.file_json_stream(spark, f"{src}/*", orig.schema)
-        jobs.dedup_into_table(stream, target, "transaction_id", "seq", ckpt).awaitTermination()
-    return spark.read.parquet(target).drop("seq")
+        jobs.dedup_into_table(stream, target, "transaction_id", "seq", ckpt, n_buckets=32).awaitTermination()
+    return sinks.read_table(spark, target).drop("seq")
 
 
 @query("stream_score", with_views("""

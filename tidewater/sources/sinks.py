@@ -3,9 +3,12 @@ insert-if-absent (first write wins) table sink."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.session import materialize
 
@@ -84,26 +87,80 @@ def first_per_key(df: DataFrame, key: str, order: Column | str) -> DataFrame:
     return picked.select("_r.*")
 
 
-def insert_if_absent(spark: SparkSession, new_rows: DataFrame, target_path: str, key: str,
-                     order: Column | str, *, fmt: str = "parquet") -> DataFrame:
-    """Append rows whose ``key`` is not yet in the target (first write wins).
-
-    Within the batch the first row per key by ``order`` wins (``min_by``);
-    keys already in the target are removed with a left-anti join that reads
-    only the key column of the target.  Replaying the same batch appends
-    nothing, so micro-batch replays are idempotent.  A second concurrent
-    writer is out of scope.  Returns the rows that were appended.
+# ------------------------------------------------ tables with a declared schema and hashed buckets
+
+BUCKETS = 256  # fixed when a table is made
+
+
+def _declared(spark: SparkSession, path: str) -> dict | None:
+    """Declaration of the table at ``path`` (kept beside it): schema, key, number of buckets."""
+    try:
+        return json.loads(spark.read.text(f"{path}.declared", wholetext=True).first()[0])
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
+            raise
+        return None
+
+
+def ensure_table(spark: SparkSession, path: str, schema: T.StructType, *, key: str, n_buckets: int = BUCKETS) -> dict:
+    """Create the table unless it is there; an existing one must have this schema (names and types) and key.
+
+    The table is Parquet, partitioned by a hash of ``key`` into ``n_buckets``
+    buckets, so that a lookup of some keys reads their buckets only.
     """
-    batch = first_per_key(new_rows, key, order)
+    known = _declared(spark, path)
+    shape = {f.name: f.dataType.simpleString() for f in schema.fields}
+    if known is None:
+        known = {"schema": schema.jsonValue(), "key": key, "n_buckets": n_buckets}
+        spark.createDataFrame([(json.dumps(known),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.declared")
+    there = {f.name: f.dataType.simpleString() for f in T.StructType.fromJson(known["schema"]).fields}
+    if there != shape or known["key"] != key:
+        raise ValueError(f"table {path} is declared with {there} and key {known['key']}, not with {shape} and key {key}")
+    return known
+
+
+def _bucket(key: str, known: dict) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(known["n_buckets"])).cast("int")
+
+
+def _stored(spark: SparkSession, path: str, known: dict) -> DataFrame:
+    schema = T.StructType([*T.StructType.fromJson(known["schema"]).fields, T.StructField("_bucket", T.IntegerType())])
     try:
-        existing = spark.read.format(fmt).load(target_path).select(key)
-        fresh = batch.join(existing, key, "left_anti")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
             raise
-        fresh = batch
-    # Materialise the delta before touching the target (read and write of
-    # one table in one job would race).
-    fresh = materialize(fresh, "insert-delta")
-    fresh.write.mode("append").format(fmt).save(target_path)
-    return fresh
+        return spark.createDataFrame([], schema)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a table made by ``ensure_table`` (none yet: an empty frame)."""
+    known = _declared(spark, path)
+    if known is None:
+        raise ValueError(f"no declared table at {path}")
+    return _stored(spark, path, known).drop("_bucket")
+
+
+def insert_if_absent(spark: SparkSession, new_rows: DataFrame, target_path: str, key: str,
+                     order: Column | str, *, n_buckets: int = BUCKETS) -> DataFrame:
+    """Append rows whose ``key`` is not yet in the table (first write wins).
+
+    The table is made on first use (``ensure_table``).  Within the batch the
+    first row per key by ``order`` wins (``min_by``); keys already in the
+    table are removed with a left-anti join that reads only the key column of
+    the buckets that the batch touches: at most ``n_buckets`` numbers go
+    through the driver and become partition filters of the scan.  Replaying
+    the same batch appends nothing, so micro-batch replays are idempotent.
+    A second concurrent writer is out of scope.  Returns the rows that were
+    appended.
+    """
+    known = ensure_table(spark, target_path, T.StructType([T.StructField(f.name, f.dataType) for f in new_rows.schema.fields]),
+                         key=key, n_buckets=n_buckets)
+    columns = T.StructType.fromJson(known["schema"]).names
+    batch = materialize(first_per_key(new_rows, key, order).withColumn("_bucket", _bucket(key, known)), "insert-batch")
+    touched = sorted(r[0] for r in batch.select("_bucket").distinct().collect())
+    existing = _stored(spark, target_path, known).where(F.col("_bucket").isin(touched)).select(key)
+    # the delta is written before the table is touched (reading and writing one table in one job would race)
+    fresh = materialize(batch.join(existing, key, "left_anti"), "insert-delta")
+    fresh.select(*columns, "_bucket").hint("rebalance", "_bucket").write.mode("append").partitionBy("_bucket").parquet(target_path)
+    return fresh.select(*columns)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewater.sources.sinks import TS_OPTIONS, insert_if_absent, landing_partitions
+from tidewater.sources.sinks import BUCKETS, TS_OPTIONS, insert_if_absent, landing_partitions
 
 CORRUPT = "_corrupt_record"
 
@@ -122,13 +122,13 @@ def write_each_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], checkp
 
 
 def dedup_into_table(stream: DataFrame, target: str, key: str, order: str, checkpoint: str, *,
-                     trigger: str | None = "availableNow") -> StreamingQuery:
+                     n_buckets: int = BUCKETS, trigger: str | None = "availableNow") -> StreamingQuery:
     """Idempotent sink: each micro-batch is inserted with first-write-wins
     on ``key`` (``insert_if_absent``), so a replayed batch adds nothing."""
     spark = stream.sparkSession
 
     def each(batch: DataFrame, _epoch: int) -> None:
-        insert_if_absent(spark, batch, target, key, order)
+        insert_if_absent(spark, batch, target, key, order, n_buckets=n_buckets)
 
     return write_each_batch(stream, each, checkpoint, trigger=trigger)
 
