@@ -8,7 +8,7 @@ import pytest
 
 from tidewater.operators import sparse, vectors
 
-POINTS, QUERIES = "id string, slots array<int>, weights array<double>", "query_id long, slots array<int>, weights array<double>"
+POINTS, QUERIES = "id string, slots array<int>, values array<double>", "query_id long, slots array<int>, values array<double>"
 
 
 def brute(points, queries, k):
@@ -47,8 +47,8 @@ def test_same_hits_as_scoring_everything(spark, monkeypatch, dim, nnz, block_row
     postings = spark.createDataFrame(pts, POINTS).repartition(3)
     stats = {}
     got = {}
-    table = sparse.posting_table(postings, block_rows=block_rows).cache()
-    for r in sorted(sparse.sparse_topk(table, spark.createDataFrame(qs, QUERIES), k=4, stats=stats).collect(), key=lambda r: (r.query_id, r["rank"])):
+    table = sparse.posting_table(postings, block_rows=block_rows, norm=None).cache()
+    for r in sorted(sparse.sparse_topk(table, spark.createDataFrame(qs, QUERIES), k=4, norm=None, stats=stats).collect(), key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append((r.id, r.similarity))
     want = brute(pts, qs, 4)
     assert {q: [i for i, _ in h] for q, h in got.items()} == {q: [i for i, _ in h] for q, h in want.items() if h}
@@ -60,12 +60,12 @@ def test_same_hits_as_scoring_everything(spark, monkeypatch, dim, nnz, block_row
 def test_odd_points_and_queries(spark):
     pts = [("a", [1], [1.0]), ("b", [1], [1.0]), ("c", [], []), ("d", None, None), (None, [1], [1.0]), ("e", [2], [-1.0]), ("f", [3], [0.0])]
     qs = [(1, [1], [1.0]), (2, [], []), (3, None, None), (4, [2], [1.0]), (5, [9], [1.0]), (6, [3], [1.0]), (None, [1], [1.0])]
-    table = sparse.posting_table(spark.createDataFrame(pts, POINTS))
-    got = sorted((r.query_id, r["rank"], r.id, r.similarity) for r in sparse.sparse_topk(table, spark.createDataFrame(qs, QUERIES), k=5).collect())
+    table = sparse.posting_table(spark.createDataFrame(pts, POINTS), norm=None)
+    got = sorted((r.query_id, r["rank"], r.id, r.similarity) for r in sparse.sparse_topk(table, spark.createDataFrame(qs, QUERIES), k=5, norm=None).collect())
     assert got == [(1, 1, "a", 1.0), (1, 2, "b", 1.0), (4, 1, "e", -1.0)]
-    nothing = sparse.posting_table(spark.createDataFrame([], POINTS))
-    assert sparse.sparse_topk(nothing, spark.createDataFrame(qs, QUERIES)).count() == 0
-    assert sparse.sparse_topk(table, spark.createDataFrame([], QUERIES)).count() == 0
+    nothing = sparse.posting_table(spark.createDataFrame([], POINTS), norm=None)
+    assert sparse.sparse_topk(nothing, spark.createDataFrame(qs, QUERIES), norm=None).count() == 0
+    assert sparse.sparse_topk(table, spark.createDataFrame([], QUERIES), norm=None).count() == 0
 
 
 def test_sparse_and_dense_embeddings_agree(spark):
@@ -79,12 +79,12 @@ def test_sparse_and_dense_embeddings_agree(spark):
                 total[int(h[:8], 16) % dim] = total.get(int(h[:8], 16) % dim, 0) + (1 if int(h[8], 16) % 2 == 0 else -1)
             total = {s: v for s, v in total.items() if v}
             norm = sum(v * v for v in total.values()) ** 0.5
-            assert r.id == i and dict(zip(r.slots, r.weights)) == pytest.approx({s: v / norm for s, v in total.items()})
+            assert r.id == i and dict(zip(r.slots, r["values"])) == total and r.norm == pytest.approx(norm)
             assert r.slots == sorted(r.slots)
     dense = [r.vector for r in vectors.embed_hashing(df, "id", dim=16, as_float=False).collect()]
     lists = vectors.embed_sparse(df, "id", dim=16).collect()
     assert [v is None for v in dense] == [not r.slots for r in lists] == [False, True, True, False, False, False]
-    assert all(v is None or [(s, w) for s, w in enumerate(v) if w] == list(zip(r.slots, r.weights)) for v, r in zip(dense, lists))
+    assert all(v is None or [(s, w) for s, w in enumerate(v) if w] == [(s, w / r.norm) for s, w in zip(r.slots, r["values"])] for v, r in zip(dense, lists))
 
 
 def test_embedder_of_the_callers_own(spark):

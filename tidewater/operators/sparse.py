@@ -1,20 +1,26 @@
 """Exact top-k search over sparse vectors: posting lists in blocks, with block maxima.
 
-The index is one table: per block of points and slot, the posting list (ids
-and weights) with its largest and smallest weight.  A query's score in a
-block cannot exceed the sum of its weights times the block's extremes; that
-sum comes from a join on the slot that reads three narrow columns.  The most
-promising blocks of a query are scored first, which gives it a threshold (its
-k-th best score so far); of the other blocks only those whose bound reaches
-the threshold are scored.  The answer is that of scoring every point.
+The index is a table with one row per block of points: the ids, and per slot
+the posting list (places in the block and values) with its largest and
+smallest weight.  A query's score in a block cannot exceed the sum of its
+weights times the block's extremes; that sum comes from a join on the slot
+that reads three narrow columns.  The most promising blocks of a query are
+scored first, which gives it a threshold (its k-th best score so far); of the
+other blocks only those whose bound reaches the threshold are scored.  The
+answer is that of scoring every point.
+
+A vector is (slots, values, norm): its weights are ``values / norm``.  Token
+counts and other small numbers thus stay small on disk and in shuffles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,117 +28,144 @@ from tidewater.operators.vectors import TOP_K
 from tidewater.session import materialize
 
 BLOCK_ROWS = 1024
+SAMPLE_ROWS = 4096      # points from whose strongest slots the blocks are laid out; results do not depend on it
 FIRST_BLOCKS = 2        # blocks per query that are scored before there is a threshold
-QUERY_ROWS = 4096       # queries that one task scores against a block
+QUERY_ROWS = 1024       # queries that one task scores against a block at a time
 STRIP = 256
 PLACES = 12             # scores equal to this many places tie
 
 
-def posting_table(points: DataFrame, *, id_col: str = "id", slots: str = "slots", weights: str = "weights",
-                  block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(block, slot, hi, lo, ids, weights): the posting lists of (id, slots, weights), sorted by id.
+def _strongest(slots: str, values: str) -> Column:
+    """Slot of the largest absolute value (the smallest such slot)."""
+    best = F.array_max(F.zip_with(slots, values, lambda s, w: F.struct(F.abs(w).alias("w"), (-s).alias("s"))))
+    return (-best["s"]).cast("long")
+
+
+def posting_table(points: DataFrame, *, id_col: str = "id", slots: str = "slots", values: str = "values", norm: str | None = "norm",
+                  block_rows: int = BLOCK_ROWS, seed: int = 42) -> DataFrame:
+    """One row per block: (block, ids, slots, hi, lo, ends, at, values, norms).
 
-    Points whose strongest slot is the same are neighbours in a block, so that
-    the extremes of a block say something about its points; a strong slot of
-    many points has several blocks.  A point that lacks a slot weighs 0
-    there, so extremes include 0 unless all points of the block have the slot.
-    Ids must be unique; points without components are in no list.
+    ``ids`` are sorted.  The posting list of ``slots[i]`` is ``at`` (places in
+    ``ids``) and ``values`` from ``ends[i - 1]`` to ``ends[i]``; ``hi`` and
+    ``lo`` are the extremes of its weights, 0 included unless all points of
+    the block have the slot.  Points with the same strongest slot share
+    blocks, so that the extremes of a block say something about its points;
+    how many blocks a strong slot gets follows its share of a sample of at
+    most about ``SAMPLE_ROWS`` points.  Ids must be unique; points without
+    components are in no block.  Store the result before searching it.
     """
-    p = points.select(F.col(id_col).alias("id"), F.col(slots).alias("slots"), F.col(weights).cast("array<double>").alias("weights"))
-    p = p.where(F.col("id").isNotNull() & (F.size("slots") > 0))
-    strongest = F.array_max(F.zip_with("slots", "weights", lambda s, w: F.struct(F.abs(w).alias("w"), (-s).alias("s"))))
-    p = materialize(p.withColumn("leader", (-strongest["s"]).cast("long")), "sparse-points")
-    sizes = p.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("n"))
-    block = F.col("leader") * F.lit(1 << 24) + F.pmod(F.xxhash64("id"), F.col("n"))
-    p = p.join(sizes, "leader").select(block.alias("block"), "id", "slots", "weights")
-    members = p.groupBy("block").agg(F.count(F.lit(1)).alias("members"))
-    entry = F.explode(F.arrays_zip("slots", "weights")).alias("e")
-    lists = (p.select("block", "id", entry).where("e.weights <> 0").groupBy("block", F.col("e.slots").alias("slot"))
-             .agg(F.max("e.weights").alias("hi"), F.min("e.weights").alias("lo"),
-                  F.array_sort(F.collect_list(F.struct("id", F.col("e.weights").alias("w")))).alias("list")))
-    full = F.size("list") == F.col("members")
-    return lists.join(members, "block").select(
-        "block", F.col("slot").cast("int").alias("slot"), F.when(full, F.col("hi")).otherwise(F.greatest("hi", F.lit(0.0))).alias("hi"),
-        F.when(full, F.col("lo")).otherwise(F.least("lo", F.lit(0.0))).alias("lo"), F.col("list.id").alias("ids"), F.col("list.w").alias("weights"))
+    p = (points.select(F.col(id_col).alias("id"), F.col(slots).alias("slots"), F.col(values).alias("values"),
+                       (F.col(norm) if norm else F.lit(1.0)).cast("double").alias("norm"))
+         .where(F.col("id").isNotNull() & (F.size("slots") > 0)))
+    n = points.where(F.col(id_col).isNotNull()).count()
+    every = max(1, n // SAMPLE_ROWS)
+    drawn = p.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(every)) == 0).groupBy(_strongest("slots", "values").alias("s")).count().collect()
+    many = {r["s"]: -(-r["count"] * every // block_rows) for r in drawn if r["count"] * every > block_rows}
+    cuts = F.coalesce(F.create_map(*[F.lit(x) for item in sorted(many.items()) for x in item])[F.col("leader")], F.lit(1)) if many else F.lit(1)
+    block = F.col("leader") * F.lit(1 << 24) + F.pmod(F.xxhash64("id"), cuts)
+    p = p.withColumn("leader", _strongest("slots", "values")).select(block.alias("block"), "id", "slots", "values", "norm")
+    value_type = p.schema["values"].dataType.elementType
+    ints, doubles = T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(p.schema["id"].dataType)),
+                           *[T.StructField(c, t) for c, t in (("slots", ints), ("hi", doubles), ("lo", doubles), ("ends", ints), ("at", ints),
+                                                              ("values", T.ArrayType(value_type)), ("norms", doubles))]])
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        lists = table["slots"].combine_chunks()
+        slot, value = lists.flatten().to_numpy(), table["values"].combine_chunks().flatten()
+        at = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        keep = np.flatnonzero(value.to_numpy() != 0)
+        order = keep[np.lexsort((at[keep], slot[keep]))]
+        slot, at, value = slot[order], at[order], value.take(pa.array(order))
+        norms = table["norm"].to_numpy()
+        weight = value.to_numpy() / norms[at]
+        used, first = np.unique(slot, return_index=True)
+        ends = np.append(first[1:], len(slot))
+        hi, lo = (f.reduceat(weight, first) if len(slot) else weight for f in (np.maximum, np.minimum))
+        partly = ends - first < len(lists)
+        hi, lo = np.where(partly, np.maximum(hi, 0.0), hi), np.where(partly, np.minimum(lo, 0.0), lo)
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
+        ids = table["id"].combine_chunks()
+        return pa.table([table["block"].slice(0, 1).combine_chunks(), one(ids), one(used.astype(np.int32)), one(hi), one(lo), one(ends.astype(np.int32)),
+                         one(at.astype(np.int32)), one(value), one(norms)], schema.names)
+
+    return p.groupBy("block").applyInArrow(build, schema)
 
 
 def _score_blocks(asked: DataFrame, queries: DataFrame, postings: DataFrame, k: int, parts: int, id_type: T.DataType) -> DataFrame:
     """(qid, id, score): the ``k`` best points of every (qid, block) of ``asked`` that share a slot with the query."""
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        q_type, p_type = left.schema.field("qid").type, right.schema.field("ids").type.value_type
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], q_type), pa.array([], p_type), pa.array([], pa.float64())], schema.names)
-        right = right.sort_by("slot")
-        ids = right["ids"].combine_chunks()
-        flat = ids.flatten().dictionary_encode()
-        # points in the order of their ids, so that position breaks ties
-        order = pc.sort_indices(flat.dictionary).to_numpy()
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        point = place[flat.indices.to_numpy()]
-        bounds = np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy()))
-        weight = right["weights"].combine_chunks().flatten().to_numpy()
-        row_of = {s: i for i, s in enumerate(right["slot"].to_pylist())}
-        q_slots, q_weights = left["slots"].to_pylist(), left["weights"].to_pylist()
-        found = [[], [], []]
-        for lo in range(0, left.num_rows, STRIP):
-            n = min(STRIP, left.num_rows - lo)
+    def block_scores(row: dict, point: np.ndarray, values: np.ndarray) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        norms = row["norms"]
+        bounds = np.append(0, row["ends"])
+        place = {s: i for i, s in enumerate(row["slots"].tolist())}
+        asking = row["asking"]
+        for lo in range(0, len(asking), STRIP):
+            strip = asking[lo:lo + STRIP]
             by_slot: dict[int, tuple[list, list]] = {}
-            for i in range(n):
-                for s, w in zip(q_slots[lo + i], q_weights[lo + i]):
-                    if s in row_of:
-                        rows, values = by_slot.setdefault(s, ([], []))
+            for i, q in enumerate(strip):
+                for s, w in zip(q["slots"], q["values"]):
+                    if s in place:
+                        rows, weights = by_slot.setdefault(s, ([], []))
                         rows.append(i)
-                        values.append(w)
-            scores, shared = np.zeros((n, len(order))), np.zeros((n, len(order)), bool)
+                        weights.append(w / q["norm"])
+            scores, shared = np.zeros((len(strip), len(norms))), np.zeros((len(strip), len(norms)), bool)
             for s in sorted(by_slot):
-                rows, values = by_slot[s]
-                part = slice(bounds[row_of[s]], bounds[row_of[s] + 1])
-                at = np.ix_(rows, point[part])
-                scores[at] += np.outer(values, weight[part])
-                shared[at] = True
+                rows, weights = by_slot[s]
+                part = slice(bounds[place[s]], bounds[place[s] + 1])
+                cells = np.ix_(rows, point[part])
+                scores[cells] += np.outer(weights, values[part] / norms[point[part]])
+                shared[cells] = True
             scores = np.where(shared, np.round(scores, PLACES), -np.inf)
             top = min(k, scores.shape[1])
             kth = np.partition(scores, scores.shape[1] - top, axis=1)[:, scores.shape[1] - top]
             i, j = np.nonzero((scores >= kth[:, None]) & shared)
-            value = scores[i, j]
-            by = np.lexsort((j, -value, i))
-            i, j, value = i[by], j[by], value[by]
-            ok = np.arange(len(i)) - np.searchsorted(i, np.arange(n))[i] < top
-            found[0].append(i[ok] + lo)
-            found[1].append(order[j[ok]])
-            found[2].append(value[ok])
-        return pa.table([left["qid"].combine_chunks().take(pa.array(np.concatenate(found[0]))),
-                         flat.dictionary.take(pa.array(np.concatenate(found[1]))), pa.array(np.concatenate(found[2]))], schema.names)
-
-    deal = F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")
-    left = asked.join(queries, "qid").withColumn("part", deal)
-    right = postings.select("block", "slot", "ids", "weights").join(asked.select("block").distinct(), "block", "left_semi")
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(score, schema)
+            by = np.lexsort((j, -scores[i, j], i))  # ids are sorted: the place breaks ties
+            i, j = i[by], j[by]
+            ok = np.arange(len(i)) - np.searchsorted(i, np.arange(len(strip)))[i] < top
+            yield [strip[x]["qid"] for x in i[ok]], j[ok], scores[i[ok], j[ok]]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q_type = batch.schema.field("asking").type.value_type.field("qid").type
+            for r in range(batch.num_rows):
+                one = lambda c: batch.column(c)[r].values  # noqa: E731, B023
+                row = {"asking": batch.column("asking")[r].as_py(), **{c: one(c).to_numpy() for c in ("slots", "ends", "norms")}}
+                ids = one("ids")
+                for qids, at, scores in block_scores(row, one("at").to_numpy(), one("values").to_numpy()):
+                    yield pa.RecordBatch.from_arrays([pa.array(qids, q_type), ids.take(pa.array(at)), pa.array(scores)], schema.names)
+
+    deal = F.pmod(F.xxhash64("qid"), F.lit(parts))
+    asking = (asked.join(queries, "qid").groupBy("block", deal.alias("part"))
+              .agg(F.collect_list(F.struct("qid", "slots", "values", "norm")).alias("asking")))
+    return (asking.join(postings.select("block", "ids", "slots", "ends", "at", "values", "norms"), "block")
+            .select("asking", "ids", "slots", "ends", "at", "values", "norms").mapInArrow(score, schema))
 
 
 def sparse_topk(postings: DataFrame, queries: DataFrame, *, k: int = TOP_K, qid_col: str = "query_id", slots: str = "slots",
-                weights: str = "weights", id_col: str = "id", stats: dict | None = None) -> DataFrame:
+                values: str = "values", norm: str | None = "norm", id_col: str = "id", stats: dict | None = None) -> DataFrame:
     """(qid_col, rank, id_col, similarity): the ``k`` best points of every query by inner product, exactly.
 
     Points that share no slot with a query are not its hits.  Ties (to
     ``PLACES`` places) go to the smaller id.  ``postings`` must be a stored
-    ``posting_table``: it is read twice for its bounds and twice for the blocks
-    that are scored.  Query ids must be unique; empty queries have no hits.
+    ``posting_table``: its extremes are read once, blocks that are scored
+    twice at most.  Query ids must be unique; empty queries have no hits.
     ``stats`` receives the share of (query, block) pairs that were not scored.
     """
-    q = materialize(queries.select(F.col(qid_col).alias("qid"), F.col(slots).alias("slots"), F.col(weights).cast("array<double>").alias("weights"))
+    q = materialize(queries.select(F.col(qid_col).alias("qid"), F.col(slots).alias("slots"), F.col(values).cast("array<double>").alias("values"),
+                                   (F.col(norm) if norm else F.lit(1.0)).cast("double").alias("norm"))
                     .where(F.col("qid").isNotNull() & (F.size("slots") > 0)), "sparse-queries")
     id_type = postings.schema["ids"].dataType.elementType
-    asked = q.count()
-    parts = max(1, -(-asked // QUERY_ROWS))
-    terms = q.select("qid", F.explode(F.arrays_zip("slots", "weights")).alias("e")).select("qid", F.col("e.slots").alias("slot"), F.col("e.weights").alias("w"))
+    parts = max(1, -(-q.count() // QUERY_ROWS))
+    terms = (q.select("qid", "norm", F.explode(F.arrays_zip("slots", "values")).alias("e"))
+             .select("qid", F.col("e.slots").alias("slot"), (F.col("e.values") / F.col("norm")).alias("w")))
+    extremes = (postings.select("block", F.explode(F.arrays_zip("slots", "hi", "lo")).alias("e"))
+                .select("block", F.col("e.slots").alias("slot"), "e.hi", "e.lo"))
     bound = F.sum(F.greatest(F.col("w") * F.col("hi"), F.col("w") * F.col("lo")))
     order = Window.partitionBy("qid").orderBy(F.col("bound").desc(), "block")
-    bounds = materialize(terms.join(postings.select("block", "slot", "hi", "lo"), "slot").groupBy("qid", "block").agg(bound.alias("bound"))
+    bounds = materialize(terms.join(extremes, "slot").groupBy("qid", "block").agg(bound.alias("bound"))
                          .withColumn("first", F.row_number().over(order) <= FIRST_BLOCKS), "sparse-bounds")
     begun = materialize(_score_blocks(bounds.where("first").select("qid", "block"), q, postings, k, parts, id_type), "sparse-first")
     best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")

@@ -49,8 +49,8 @@ class _TokenCodes(dict):
         return code
 
 
-def _hashed(batch: pa.Array, codes: _TokenCodes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, slot, weight) of the non-zero components, in that order, of the unit vectors of a batch of token lists."""
+def _hashed(batch: pa.Array, codes: _TokenCodes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, value) of the non-zero components of a batch of token lists, in that order, and the length of each row's vector."""
     size = np.diff(batch.offsets.to_numpy())
     if batch.null_count:
         size = np.where(batch.is_valid().to_numpy(zero_copy_only=False), size, 0)
@@ -61,14 +61,12 @@ def _hashed(batch: pa.Array, codes: _TokenCodes, dim: int) -> tuple[np.ndarray,
     total = np.bincount(where, np.sign(code), len(cell))
     cell, total = cell[total != 0], total[total != 0]
     row = cell // dim
-    norm = np.sqrt(np.bincount(row, total * total, len(batch)))
-    return row, cell % dim, total / norm[row]
+    return row, cell % dim, total, np.sqrt(np.bincount(row, total * total, len(batch)))
 
 
-def _lists(values: np.ndarray, row: np.ndarray, n: int, empty: np.ndarray | None = None) -> pa.ListArray:
-    """One list per row from values in row order; null where ``empty``."""
-    offsets = pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32(), mask=None if empty is None else np.append(empty, False))
-    return pa.ListArray.from_arrays(offsets, pa.array(values))
+def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.ListArray:
+    """One list per row from values in row order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), pa.array(values))
 
 
 def embed_hashing(df: DataFrame, id_col: str, text_col: str = "text", dim: int = 256,
@@ -85,28 +83,31 @@ def embed_hashing(df: DataFrame, id_col: str, text_col: str = "text", dim: int =
     def dense(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codes = _TokenCodes(dim)
         for batch in batches:
-            row, slot, weight = _hashed(batch, codes, dim)
+            row, slot, value, norm = _hashed(batch, codes, dim)
             full = np.zeros(len(batch) * dim)
-            full[row * dim + slot] = weight
-            none = np.bincount(row, minlength=len(batch)) == 0
+            full[row * dim + slot] = value / norm[row]
             out = _lists(full, np.repeat(np.arange(len(batch)), dim), len(batch))
-            yield pc.if_else(pa.array(none), pa.scalar(None, out.type), out)
+            yield pc.if_else(pa.array(norm == 0), pa.scalar(None, out.type), out)
 
     out = spread(df.select(id_col, text_col), num_partitions).select(id_col, dense(tokens(F.col(text_col))).alias("vector"))
     return out.withColumn("vector", F.col("vector").cast("array<float>")) if as_float else out
 
 
 def embed_sparse(df: DataFrame, id_col: str, text_col: str = "text", dim: int = 256, num_partitions: int | None = None) -> DataFrame:
-    """The non-zero components of ``embed_hashing``: (id, slots ascending, weights); ``dim`` may be large.  No tokens: empty lists."""
-    @F.arrow_udf("struct<slots: array<int>, weights: array<double>>")
+    """The non-zero components of ``embed_hashing``: (id, slots ascending, values, norm), a weight being value / norm.
+
+    Values are whole numbers (signed token counts); ``dim`` may be large.  No tokens: empty lists.
+    """
+    @F.arrow_udf("struct<slots: array<int>, values: array<float>, norm: double>")
     def sparse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codes = _TokenCodes(dim)
         for batch in batches:
-            row, slot, weight = _hashed(batch, codes, dim)
-            yield pa.StructArray.from_arrays([_lists(slot.astype(np.int32), row, len(batch)), _lists(weight, row, len(batch))], ["slots", "weights"])
+            row, slot, value, norm = _hashed(batch, codes, dim)
+            yield pa.StructArray.from_arrays([_lists(slot.astype(np.int32), row, len(batch)), _lists(value.astype(np.float32), row, len(batch)),
+                                              pa.array(norm)], ["slots", "values", "norm"])
 
     return (spread(df.select(id_col, text_col), num_partitions).select(id_col, sparse(tokens(F.col(text_col))).alias("_e"))
-            .select(id_col, "_e.slots", "_e.weights"))
+            .select(id_col, "_e.slots", "_e.values", "_e.norm"))
 
 
 def embed_with(df: DataFrame, id_col: str, encode: Callable[[list[str]], np.ndarray], text_col: str = "text", *, dim: int,

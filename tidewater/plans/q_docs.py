@@ -50,7 +50,7 @@ FROM h"""
 def chunk_table(spark, sf):
     pages = V.table(spark, sf, "documents").select("source", F.col("doc_id").alias("page_no"), "text")
     return docs.chunk_and_number(pages, source_col="source", page_col="page_no", size=SIZE, overlap=OVERLAP,
-                                 num_partitions=spark.sparkContext.defaultParallelism)
+                                 num_partitions=V.wide(spark, sf, "documents"))
 
 
 @query("chunk_ids", CHUNK_IDS_SQL)
@@ -78,7 +78,7 @@ WHERE v <> 0 AND n > 0"""
 @query("embed_hashing", f"SELECT doc_id, slot, round(weight, 6) AS weight FROM ({sparse_embedding_sql('documents', 'doc_id')})")
 def q_embed_hashing(spark, sf):
     d = V.table(spark, sf, "documents")
-    e = vectors.embed_hashing(d, "doc_id", "text", DIM, as_float=False, num_partitions=spark.sparkContext.defaultParallelism)
+    e = vectors.embed_hashing(d, "doc_id", "text", DIM, as_float=False, num_partitions=V.wide(spark, sf, "documents"))
     return (e.select("doc_id", F.posexplode("vector").alias("slot", "weight"))
             .where(F.col("weight") != 0).withColumn("weight", F.round("weight", 6)))
 
@@ -173,12 +173,10 @@ SELECT query_id,
        count(*) AS n_hits
 FROM hits GROUP BY query_id""")
 def q_rag_context(spark, sf):
-    # ingest: chunk, embed and store the points with their payload and posting lists once; search reads them
-    wide = spark.sparkContext.defaultParallelism
-    points = materialize(chunk_table(spark, sf).select("id", docs.payload(F.col("source"), F.col("text")).alias("payload")), "collection")
-    vecs = vectors.embed_sparse(points.select("id", "payload.text"), "id", "text", DIM, num_partitions=wide)
-    postings = materialize(sparse.posting_table(vecs), "postings")
-    qs = vectors.embed_sparse(V.table(spark, sf, "benchmark"), "item_id", "text", DIM, num_partitions=wide)
+    # ingest: chunk, embed and store the posting lists once; a hit's payload comes from the stored chunks
+    points = chunk_table(spark, sf).select("id", docs.payload(F.col("source"), F.col("text")).alias("payload"))
+    postings = materialize(sparse.posting_table(vectors.embed_sparse(points.select("id", "payload.text"), "id", "text", DIM)), "postings")
+    qs = vectors.embed_sparse(V.table(spark, sf, "benchmark"), "item_id", "text", DIM)
     hits = sparse.sparse_topk(postings, qs, k=5, qid_col="item_id").join(points, "id")
     ctx = vectors.search_context(hits.select(F.col("item_id").alias("query_id"), "rank", "payload.text", "payload.source"))
     return ctx.select(
@@ -213,8 +211,7 @@ SELECT query_id, rank::INTEGER AS rank, id, round(similarity, 6) AS similarity,
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) WHERE rank <= 5""")
 def q_sparse_search(spark, sf):
     """The five documents nearest to every benchmark item over posting lists, and whether block maxima spared any block."""
-    wide = spark.sparkContext.defaultParallelism
-    e = lambda t, i: vectors.embed_sparse(V.table(spark, sf, t), i, "text", DIM, num_partitions=wide)
+    e = lambda t, i: vectors.embed_sparse(V.table(spark, sf, t), i, "text", DIM, num_partitions=V.wide(spark, sf, t))
     postings = materialize(sparse.posting_table(e("documents", "doc_id"), id_col="doc_id", block_rows=64), "doc-postings")
     stats: dict = {}
     top = sparse.sparse_topk(postings, e("benchmark", "item_id"), k=5, qid_col="item_id", stats=stats)

@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf_dir: str, name: str) -> int | None:
+    """As many partitions as cores for a table of few files (each scans as one task); None where there are enough files."""
+    cores = spark.sparkContext.defaultParallelism
+    return cores if len(table(spark, sf_dir, name).inputFiles()) < cores else None
+
+
 def _k() -> F.Column:
     return F.get_json_object(F.col("props"), "$.k").cast("int")
 
