@@ -187,3 +187,41 @@ def test_upsert_leaves_untouched_buckets_alone(spark, tmp_path):
     assert vectors.upsert_collection(spark, str(path), make([("only", [1.0], "s0")]), replace_source="source") == 1
     assert [r.id for r in vectors.read_collection(spark, str(path)).collect()] == ["only"]
     assert vectors.upsert_collection(spark, str(path), make([])) == 0 and vectors.read_collection(spark, str(path)).count() == 1
+
+
+def _py_sentences(text, size, overlap):
+    """Word lists of the chunks, by the rule of the docstring."""
+    import re
+    pieces, run = [], []
+    for w in text.split():
+        run.append(w)
+        if re.search(r"""[.!?]["')\]]*$""", w):
+            pieces.append(run)
+            run = []
+    pieces += [run] if run else []
+    pieces = [p[i:i + size] for p in pieces for i in range(0, len(p), size)]
+    out, open_ = [], []
+    for p in pieces:
+        if open_ and sum(map(len, open_)) + len(p) > size:
+            out.append(sum(open_, []))
+            tail = list(open_)
+            while tail and (len(tail) == len(open_) or sum(map(len, tail)) > overlap or sum(map(len, tail)) + len(p) > size):
+                tail.pop(0)
+            open_ = tail
+        open_.append(p)
+    return out + ([sum(open_, [])] if open_ else [])
+
+
+def test_chunk_sentences_against_python(spark):
+    rnd = random.Random(21)
+    word = lambda: rnd.choice(["a", "bb", "c.", "d!", 'e?"', "f.)", "g", "h", "3.5", "i"])
+    texts = [" ".join(word() for _ in range(rnd.randrange(0, 80))) for _ in range(60)]
+    texts += ["", "   ", None, " ".join(["w"] * 50), " ".join(["w."] * 50), "one.", "a b c. " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for size, overlap in ((10, 3), (7, 0), (12, 11), (1, 0)):
+        got = {}
+        for r in docs.chunk_sentences(df, size=size, overlap=overlap, keep=["doc_id"]).collect():
+            got.setdefault(r.doc_id, []).append((r.pos, r.n_words, r.text))
+        for i, t in enumerate(texts):
+            want = _py_sentences(t or "", size, overlap)
+            assert sorted(got.get(i, [])) == [(p, len(c), " ".join(c)) for p, c in enumerate(want)], (i, t, size, overlap)

@@ -58,3 +58,34 @@ def test_spread_is_the_callers_choice(spark):
     df = spark.range(0, 10, numPartitions=1)
     assert spread(df) is df
     assert spread(df, 4).rdd.getNumPartitions() == 4
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_lake_reads_are_pruned(spark):
+    """Days known beforehand are a filter on the folders; days from a table become one when the query runs."""
+    fixed = _plan(E.queries()["src_lake_pruned"](spark, SF))
+    assert "PartitionFilters: [day#" in fixed.replace("isnotnull(", "") or "day#" in fixed.split("PartitionFilters")[1][:120]
+    found = E.queries()["src_lake_days"](spark, SF)
+    assert "dynamicpruning" in _plan(found)
+    found.collect()
+    scans = [n for n in _nodes(found) if "FileSourceScan" in n.getClass().getSimpleName() and "PartitionFilters" in n.toString() and "dynamicpruning" in n.toString()]
+    read = scans[0].metrics().get("numPartitions").get().value()
+    base = spark.read.json(scans[0].relation().location().rootPaths().head().toString())
+    assert 0 < read < base.select("year", "month", "day").distinct().count()
+
+
+def _nodes(df):
+    """Nodes of the executed plan, query stages opened."""
+    todo, out = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        n = todo.pop()
+        out.append(n)
+        name = n.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(n.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(n.plan())
+        else:
+            c = n.children()
+            todo += [c.apply(i) for i in range(c.size())]
+    return out

@@ -169,3 +169,25 @@ def test_drift_and_psi(spark):
     cmp = {r.bin: (r.ref_rows, r.live_rows) for r in kpi.drift_numeric(ref, live, "amount", 10).collect()}
     assert cmp[9] == (10, 10) and cmp[0] == (10, 10)  # out-of-range live values clamp to the end bins
     assert kpi.psi(kpi.drift_numeric(ref, live, "amount", 10)).first().psi > 1
+
+
+def test_message_types(spark):
+    """How a value is written decides: text, whole number, decimal, truth value, null, absent."""
+    def message(**change):
+        m = {"transaction_id": '"t"', "original_data": "{}", "prediction": "1", "fraud_probability": "0.9", "is_fraud": "true",
+             "model_version": '"v1"', "scored_at": '"2025-11-22T19:14:40Z"'} | change
+        return "{" + ", ".join(f'"{k}": {v}' for k, v in m.items() if v is not None) + "}"
+
+    cases = [
+        (message(), []), (message(prediction="true"), []), (message(fraud_probability="1"), []), (message(model_version="3"), []),
+        (message(prediction='"1"'), ["prediction_int"]), (message(prediction="1.0"), ["prediction_int"]), (message(prediction="null"), ["prediction_int"]),
+        (message(prediction="2"), ["prediction_in_0_1"]), (message(prediction="0"), ["is_fraud_matches_prediction"]),
+        (message(fraud_probability='"0.9"'), ["probability_number"]), (message(fraud_probability="1e2"), ["probability_in_0_1"]),
+        (message(fraud_probability="-0.5"), ["probability_in_0_1"]), (message(is_fraud="1"), ["is_fraud_boolean"]),
+        (message(is_fraud='"true"'), ["is_fraud_boolean"]), (message(model_version="1.5"), ["model_version_int_or_text"]),
+        (message(model_version="[1]"), ["model_version_int_or_text"]), (message(scored_at='"soon"'), ["scored_at_iso"]),
+        (message(scored_at="1732302880"), ["scored_at_iso"]), (message(original_data=None, is_fraud=None), ["missing:original_data", "missing:is_fraud"]),
+        ("[1]", ["unparseable"]), ("{", ["unparseable"]), ('{"a": 1, "a": 2}', ["unparseable"]), (None, ["unparseable"])]
+    df = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(cases)], "i int, value string")
+    got = {r.i: (r.violations, r.is_valid) for r in quality.validate_messages(df).collect()}
+    assert got == {i: (v, not v) for i, (_, v) in enumerate(cases)}

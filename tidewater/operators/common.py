@@ -73,6 +73,12 @@ def _folder(spark: SparkSession, path: str):
     return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root, fs_path
 
 
+def entries(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders directly below ``path``."""
+    fs, root, _ = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(root))
+
+
 def subfolders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders directly below ``path`` (none if it is not there)."""
     fs, root, _ = _folder(spark, path)

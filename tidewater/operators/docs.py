@@ -12,6 +12,7 @@ from tidewater.operators.common import join_null_safe, prefix_sum, spread
 # Chunk size and overlap of the ingest splitter.
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
+SENTENCE_END = r"""[.!?]["')\]]*$"""
 
 
 def words(text: Column) -> Column:
@@ -53,6 +54,57 @@ def chunk_text(df: DataFrame, text_col: str = "text", *, size: int = CHUNK_SIZE,
     return c.select(*keep, *extra, F.posexplode("_c").alias("pos", "text"))
 
 
+def _sentence_ends(w: Column, size: int) -> Column:
+    """Word offsets at which a chunk may end: after a word that closes a sentence, and every ``size`` words inside a longer one."""
+    n = F.size(w)
+    closes = F.transform(w, lambda x, i: F.when(x.rlike(SENTENCE_END) | (i == n - 1), i + 1))
+    ends = F.filter(closes, lambda e: e.isNotNull())
+    starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))))
+    inside = lambda a, b: F.when(b - a > size, F.array_append(F.sequence(a + size, b - 1, F.lit(size)), b)).otherwise(F.array(b))
+    return F.flatten(F.zip_with(starts, ends, inside))
+
+
+def _packed(cuts: Column, size: int, overlap: int) -> Column:
+    """Word ranges (s, e) of the chunks: a fold over the cuts that carries the open chunk and the cuts inside it."""
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.array().cast("array<int>").alias("open"), none.alias("done"))
+
+    def step(a: Column, cut: Column) -> Column:
+        full = cut - a["s"] > size
+        # the next chunk begins with the last whole sentences that fit into the overlap and leave room for this one
+        later = F.filter(a["open"], lambda o: (a["e"] - o <= overlap) & (cut - o <= size))
+        s = F.when(full, F.array_min(later)).otherwise(a["s"])
+        done = F.when(full, F.array_append(a["done"], F.struct(a["s"].alias("s"), a["e"].alias("e")))).otherwise(a["done"])
+        return F.struct(s.alias("s"), cut.alias("e"), F.array_append(F.filter(a["open"], lambda o: o > s), cut).alias("open"), done.alias("done"))
+
+    return F.aggregate(cuts, start, step, lambda a: F.when(a["e"] > a["s"], F.array_append(a["done"], F.struct(a["s"].alias("s"), a["e"].alias("e"))))
+                       .otherwise(a["done"]))
+
+
+def chunk_sentences(df: DataFrame, text_col: str = "text", *, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                    keep: list[str] | None = None, num_partitions: int | None = None) -> DataFrame:
+    """One row per chunk of whole sentences: ``pos`` (0-based), ``n_words`` and ``text``.
+
+    A chunk takes sentences while it has at most ``size`` words.  The next one
+    repeats the last whole sentences of at most ``overlap`` words that leave
+    room for the sentence that did not fit.  A sentence of more than ``size``
+    words is cut every ``size`` words.  A sentence ends with a word that ends
+    in ``.``, ``!`` or ``?`` (closing quotes and brackets may follow).  Row-local;
+    empty texts give no chunks.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be smaller than size")
+    keep = keep if keep is not None else [c for c in df.columns if c != text_col]
+
+    def chunks_of(w: Column) -> Column:
+        texts = F.transform(_packed(_sentence_ends(w, size), size, overlap), lambda r: F.struct(
+            (r["e"] - r["s"]).alias("n_words"), F.array_join(F.slice(w, r["s"] + 1, r["e"] - r["s"]), " ").alias("text")))
+        return F.when(F.size(w) > 0, texts).otherwise(F.array().cast("array<struct<n_words:int,text:string>>"))
+
+    c = spread(df, num_partitions).select(*keep, F.transform(F.array(words(F.col(text_col))), chunks_of)[0].alias("_c"))
+    return c.select(*keep, F.posexplode("_c").alias("pos", "_x")).select(*keep, "pos", "_x.n_words", "_x.text")
+
+
 def chunk_and_number(pages: DataFrame, *, source_col: str = "source", page_col: str = "page_no",
                      text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                      num_partitions: int | None = None) -> DataFrame:

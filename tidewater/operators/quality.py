@@ -82,6 +82,7 @@ def orphans(child: DataFrame, parent: DataFrame, child_keys: list[str],
 
 # --------------------------------------------------- scored-result contract
 
+# The fields of a scored result.
 SCORED_REQUIRED = ["transaction_id", "original_data", "prediction", "fraud_probability",
                    "is_fraud", "model_version", "scored_at"]
 
@@ -101,9 +102,8 @@ def scored_rules(df: DataFrame) -> list[Rule]:
         rules.append(Rule("is_fraud_matches_prediction",
                           F.coalesce(F.col("is_fraud") != (F.col("prediction") == 1), F.lit(False))))
     if "scored_at" in cols:
-        txt = F.regexp_replace(F.col("scored_at").cast("string"), "Z$", "+00:00")
         rules.append(Rule("scored_at_iso",
-                          F.col("scored_at").isNotNull() & F.try_to_timestamp(txt).isNull()))
+                          F.col("scored_at").isNotNull() & F.try_to_timestamp(F.col("scored_at").cast("string")).isNull()))
     return rules
 
 
@@ -113,6 +113,52 @@ def validate_scored(df: DataFrame) -> DataFrame:
     return out.withColumn("is_valid", F.size("violations") == 0)
 
 
+#: types of a field of a raw message, as the contract takes them: whole numbers and truth values count as numbers
+WHOLE = r"BIGINT|BOOLEAN"
+NUMBER = r"BIGINT|BOOLEAN|DOUBLE|DECIMAL\(.*\)"
+
+
+def message_rules(value: Column) -> list[Rule]:
+    """Contract of a scored result on its raw JSON text, types included.
+
+    The message is parsed once as a VARIANT, which keeps how a value was
+    written: ``1``, ``1.0``, ``"1"`` and ``true`` are a whole number, a
+    decimal, a text and a truth value.  A field that is there but null has no
+    type.  Only a message with all fields is looked into; text that is no JSON
+    object, or repeats a field, is unparseable.
+    """
+    v = F.try_parse_json(value)
+    field = lambda c: F.variant_get(v, f"$.{c}", "variant")
+    kind = lambda c: F.schema_of_variant(field(c))
+    number = lambda c: F.try_variant_get(v, f"$.{c}", "double")
+    typed = lambda c, pattern: F.coalesce(kind(c).rlike(f"^({pattern})$"), F.lit(False))
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    missing = {c: is_object & kind(c).isNull() for c in SCORED_REQUIRED}
+    whole = is_object
+    for m in missing.values():
+        whole = whole & ~m
+    zero_or_one = typed("prediction", WHOLE) & number("prediction").isin(0.0, 1.0)
+    flag = F.try_variant_get(v, "$.is_fraud", "boolean")
+    stamp = F.try_to_timestamp(F.try_variant_get(v, "$.scored_at", "string"))
+    return [
+        Rule("unparseable", ~is_object),
+        *[Rule(f"missing:{c}", m) for c, m in missing.items()],
+        Rule("prediction_int", whole & ~typed("prediction", WHOLE)),
+        Rule("prediction_in_0_1", whole & typed("prediction", WHOLE) & ~number("prediction").isin(0.0, 1.0)),
+        Rule("probability_number", whole & ~typed("fraud_probability", NUMBER)),
+        Rule("probability_in_0_1", whole & typed("fraud_probability", NUMBER) & ~number("fraud_probability").between(0, 1)),
+        Rule("is_fraud_boolean", whole & ~typed("is_fraud", "BOOLEAN")),
+        Rule("is_fraud_matches_prediction", whole & typed("is_fraud", "BOOLEAN") & zero_or_one & (flag != (number("prediction") == 1.0))),
+        Rule("model_version_int_or_text", whole & ~typed("model_version", f"{WHOLE}|STRING")),
+        Rule("scored_at_iso", whole & (~typed("scored_at", "STRING") | stamp.isNull()))]
+
+
+def validate_messages(df: DataFrame, value_col: str = "value") -> DataFrame:
+    """Add ``violations`` and ``is_valid`` for raw JSON messages (``message_rules``); a null message is unparseable."""
+    out = with_violations(df, message_rules(F.col(value_col)))
+    return out.withColumn("is_valid", F.size("violations") == 0)
+
+
 # ------------------------------------------------------------- step counts
 
 def observe_counts(df: DataFrame, name: str, extra: dict[str, Column] | None = None
@@ -133,16 +179,17 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 
     ``bit_xor`` of a 64-bit row hash is commutative, so it is computed with a
     partial aggregate per task and does not depend on partitioning.  Rows
-    that occur twice cancel in the XOR, so the sum of the hashes is kept too.
+    that occur twice cancel in the XOR, so the sum of the whole hashes is
+    kept too (as a decimal, which holds any number of them).
     """
     h = F.xxhash64(*[F.col(c) for c in df.columns])
     return df.agg(F.count(F.lit(1)).alias("rows"),
                   F.bit_xor(h).alias("xor_hash"),
-                  F.sum((h % F.lit(1 << 20)).cast("long")).alias("sum_hash"))
+                  F.sum(h.cast("decimal(38,0)")).alias("sum_hash"))
 
 
 def reconcile(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """Per table: source rows, target rows, and whether both fingerprints agree.
+    """Per table: source rows, target rows, and whether column names, types and both fingerprints agree.
 
     Both fingerprints are one-row aggregates; they are stacked and folded
     with a conditional aggregate (no join).
@@ -161,7 +208,7 @@ def reconcile(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
             pick("sum_hash", "s").alias("ss"), pick("sum_hash", "d").alias("ds"),
         ).select(
             F.lit(name).alias("table_name"), "source_rows", "target_rows",
-            ((F.col("source_rows") == F.col("target_rows"))
+            (F.lit(src.dtypes == dst.dtypes) & (F.col("source_rows") == F.col("target_rows"))
              & F.col("sx").eqNullSafe(F.col("dx"))
              & F.col("ss").eqNullSafe(F.col("ds"))).alias("matches")))
     return reduce(DataFrame.unionByName, parts)

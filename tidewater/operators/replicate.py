@@ -13,9 +13,15 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.operators.common import entries
 from tidewater.operators.quality import observe_counts, reconcile
 
 
+def discover_tables(spark: SparkSession, base: str, suffix: str = ".parquet") -> list[str]:
+    """Names of the tables of a file catalog: files and folders of ``base`` that end in ``suffix``, hidden ones aside."""
+    return sorted(n.removesuffix(suffix) for n in entries(spark, base) if n.endswith(suffix) and n[:1] not in "._" and n != suffix)
+
+
 def extract_files(spark: SparkSession, base: str, tables: Iterable[str], fmt: str = "parquet",
                   suffix: str = ".parquet") -> dict[str, DataFrame]:
     """Every named table of a file catalog, as lazily read frames."""

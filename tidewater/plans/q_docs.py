@@ -14,6 +14,7 @@ from tidewater.session import materialize, scratch_path
 
 SIZE, OVERLAP = docs.CHUNK_SIZE, docs.CHUNK_OVERLAP
 STEP = SIZE - OVERLAP
+SENT_SIZE, SENT_OVERLAP = 120, 30
 DIM = 256
 
 WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
@@ -30,6 +31,27 @@ def q_chunk_documents(spark, sf):
     return docs.chunk_text(d, "text", size=SIZE, overlap=OVERLAP, keep=["doc_id"])
 
 
+@query("chunk_sentences", f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+k AS (SELECT doc_id, ws, generate_subscripts(ws, 1) AS j, unnest(ws) AS x FROM w WHERE len(ws) > 0),
+ends AS (SELECT doc_id, j AS b, lag(j, 1, 0) OVER (PARTITION BY doc_id ORDER BY j) AS a FROM k
+         WHERE regexp_matches(x, '[.!?]["'')\\]]*$') OR j = len(ws)),
+cuts AS (SELECT doc_id, unnest(list_append(range(a + {SENT_SIZE}, b, {SENT_SIZE}), b)) AS c FROM ends),
+n AS (SELECT doc_id, list(c ORDER BY c) AS cs FROM cuts GROUP BY doc_id),
+chunks AS (
+  SELECT doc_id, cs, 0 AS pos, 0::BIGINT AS s, list_max(list_filter(cs, lambda c: c <= {SENT_SIZE})) AS e FROM n
+  UNION ALL
+  SELECT doc_id, cs, pos + 1, s2, list_max(list_filter(cs, lambda c: c <= s2 + {SENT_SIZE})) FROM (
+    SELECT doc_id, cs, pos, e, coalesce(list_min(list_filter(cs, lambda c: c > s AND c <= e AND e - c <= {SENT_OVERLAP}
+                                                             AND list_min(list_filter(cs, lambda d: d > e)) - c <= {SENT_SIZE})), e) AS s2
+    FROM chunks WHERE e < list_max(cs)))
+SELECT doc_id, pos::INTEGER AS pos, (e - s)::INTEGER AS n_words, array_to_string(ws[s + 1 : e], ' ') AS text FROM chunks JOIN w USING (doc_id)""")
+def q_chunk_sentences(spark, sf):
+    """Chunks of whole sentences with carried overlap."""
+    d = V.table(spark, sf, "documents").select("doc_id", "text")
+    return docs.chunk_sentences(d, "text", size=SENT_SIZE, overlap=SENT_OVERLAP, keep=["doc_id"], num_partitions=V.wide(spark, sf, "documents"))
+
+
 CHUNK_IDS_SQL = f"""
 WITH w AS (SELECT source, doc_id AS page_no, {WORDS} AS ws FROM documents),
 n AS (SELECT *, CASE WHEN len(ws) > 0 THEN len({STARTS}) ELSE 0 END AS nch FROM w),

@@ -35,6 +35,11 @@ def q_src_jsonl_cloud(spark, sf):
     return files.read_jsonl(spark, path, schemas.CLOUD)
 
 
+def write_firewall_lake(spark, sf, base: str) -> None:
+    from tidewater.functions import epoch_ms_to_ts
+    sinks.write_json_landing(V.firewall_v(spark, sf).withColumn("_t", epoch_ms_to_ts("ts_unix")), base, "_t")
+
+
 LAKE_SQL = with_views("""
 SELECT *, CAST(strftime(t, '%Y') AS INTEGER) AS year, CAST(strftime(t, '%m') AS INTEGER) AS month,
        CAST(strftime(t, '%d') AS INTEGER) AS day
@@ -44,13 +49,35 @@ FROM (SELECT *, make_timestamp(CAST(trunc(ts_unix / 1000) AS BIGINT) * 1000000)
 
 @query("src_lake_partitioned", LAKE_SQL.replace("SELECT *, CAST(strftime", "SELECT * EXCLUDE (t), CAST(strftime"))
 def q_src_lake_partitioned(spark, sf):
-    from tidewater.functions import epoch_ms_to_ts
     base = scratch_path(spark, "lake_firewall")
-    fw = V.firewall_v(spark, sf).withColumn("_t", epoch_ms_to_ts("ts_unix"))
-    sinks.write_json_landing(fw, base, "_t")
+    write_firewall_lake(spark, sf, base)
     return files.read_lake(spark, base, schemas.FIREWALL)
 
 
+@query("src_lake_days", with_views("""
+WITH t AS (SELECT *, make_timestamp(CAST(trunc(ts_unix / 1000) AS BIGINT) * 1000000) AS t FROM firewall_v),
+d AS (SELECT *, CAST(strftime(t, '%Y') AS INTEGER) AS year, CAST(strftime(t, '%m') AS INTEGER) AS month, CAST(strftime(t, '%d') AS INTEGER) AS day FROM t),
+busy AS (SELECT year, month, day FROM d WHERE year IS NOT NULL GROUP BY ALL HAVING count(*) FILTER (act = 'DROP') * 5 > count(*))
+SELECT d.* EXCLUDE (t) FROM d JOIN busy USING (year, month, day)""", "firewall_v"))
+def q_src_lake_days(spark, sf):
+    """Rows of the days on which over a fifth of the traffic was dropped: the days come from a summary table, the lake is read pruned."""
+    base, summary = scratch_path(spark, "lake_days"), scratch_path(spark, "day_summary")
+    write_firewall_lake(spark, sf, base)
+    lake = files.read_lake(spark, base, schemas.FIREWALL)
+    (lake.where("year is not null").groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("act") == "DROP").alias("dropped"))
+     .coalesce(1).write.parquet(summary))
+    busy = spark.read.parquet(summary).where(F.col("dropped") * 5 > F.col("n"))
+    return files.read_lake_days(spark, base, schemas.FIREWALL, busy)
+
+
+@query("src_lake_pruned", LAKE_SQL.replace("SELECT *, CAST(strftime", "SELECT * EXCLUDE (t), CAST(strftime") + " WHERE strftime(t, '%d') IN ('05', '06')")
+def q_src_lake_pruned(spark, sf):
+    """Two days of every month, by a filter that is applied to the folders."""
+    base = scratch_path(spark, "lake_pruned")
+    write_firewall_lake(spark, sf, base)
+    return files.read_lake(spark, base, schemas.FIREWALL, partition_filter=F.col("day").isin(5, 6))
+
+
 @query("src_guard_empty", with_views("SELECT * FROM firewall_v", "firewall_v"))
 def q_src_guard_empty(spark, sf):
     present = files.read_or_empty(spark, firewall_jsonl(spark, sf), schemas.FIREWALL)
@@ -83,6 +110,27 @@ def q_src_bi_extracts(spark, sf):
     return files.read_bi_extracts(spark, scores_path=path)["scores"]
 
 
+@query("src_bi_models", with_views("""
+SELECT model_name, version, current_stage, make_timestamp(creation_time * 1000) AS creation_time,
+       make_timestamp(last_updated_time * 1000) AS last_updated_time, run_id, status FROM registry_v""", "scores_v", "registry_v"))
+def q_src_bi_models(spark, sf):
+    """The model extract: epoch milliseconds become timestamps, the stage name None stays text."""
+    path = scratch_path(spark, "bi_models_csv")
+    V.registry_v(spark, sf).write.option("header", True).csv(path)
+    m = files.read_bi_extracts(spark, models_path=path)["models"]
+    return m.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("creation_time", "last_updated_time")})
+
+
+@query("src_bi_metrics", with_views("""
+SELECT run_id, experiment_id, make_timestamp(start_time * 1000) AS start_time, make_timestamp(end_time * 1000) AS end_time, status, metric_name,
+       round(metric_value, 6) AS metric_value FROM metrics_v""", "scores_v", "registry_v", "model_scores_v", "metrics_v"))
+def q_src_bi_metrics(spark, sf):
+    path = scratch_path(spark, "bi_metrics_csv")
+    V.metrics_v(spark, sf).write.option("header", True).csv(path)
+    m = files.read_bi_extracts(spark, metrics_path=path)["metrics"]
+    return m.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_time", "end_time")}).withColumn("metric_value", F.round("metric_value", 6))
+
+
 @query("doc_load", """
 SELECT source AS source_id, CAST(doc_id AS INTEGER) AS page_no, text FROM documents WHERE length(text) > 0""")
 def q_doc_load(spark, sf):

@@ -281,6 +281,23 @@ def q_bridge_join(spark, sf):
     return j.select("o_orderkey", "c_name", "n_name", "r_name")
 
 
+@query("bridge_many_to_many", """
+SELECT p_brand, o_orderpriority, count(*) AS n_links, count(DISTINCT o_orderkey) AS n_orders, count(DISTINCT p_partkey) AS n_parts
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
+def q_bridge_many_to_many(spark, sf):
+    """Orders and parts are linked many to many by the order lines: links, orders and parts per brand and priority.
+
+    Each side is joined to the bridge on its own key; distinct members are
+    counted from partial aggregates, not from lists.
+    """
+    o = V.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    p = V.table(spark, sf, "part").select("p_partkey", "p_brand")
+    links = V.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    j = links.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    return j.groupBy("p_brand", "o_orderpriority").agg(F.count(F.lit(1)).alias("n_links"), F.count_distinct("o_orderkey").alias("n_orders"),
+                                                       F.count_distinct("p_partkey").alias("n_parts"))
+
+
 @query("roc_auc", with_views(f"""
 SELECT positives, negatives, round(roc_auc, 6) AS roc_auc
 FROM ({auc_sql('scores_v', [], 'fraud_probability', 'is_simulated_fraud')})""", "scores_v"))

@@ -116,12 +116,12 @@ SELECT transaction_id,
          CASE WHEN fraud_probability < 0 OR fraud_probability > 1 OR isnan(fraud_probability)
               THEN 'probability_in_0_1' END,
          CASE WHEN is_fraud <> (prediction = 1) THEN 'is_fraud_matches_prediction' END,
-         CASE WHEN scored_at IS NOT NULL AND TRY_CAST(regexp_replace(scored_at, 'Z$', '+00:00') AS TIMESTAMP) IS NULL
+         CASE WHEN scored_at IS NOT NULL AND TRY_CAST(scored_at AS TIMESTAMP) IS NULL
               THEN 'scored_at_iso' END) AS violations,
        CASE WHEN transaction_id IS NULL OR prediction IS NULL OR fraud_probability IS NULL OR is_fraud IS NULL
               OR model_version IS NULL OR scored_at IS NULL OR prediction NOT IN (0, 1)
               OR fraud_probability < 0 OR fraud_probability > 1 OR is_fraud <> (prediction = 1)
-              OR (scored_at IS NOT NULL AND TRY_CAST(regexp_replace(scored_at, 'Z$', '+00:00') AS TIMESTAMP) IS NULL)
+              OR (scored_at IS NOT NULL AND TRY_CAST(scored_at AS TIMESTAMP) IS NULL)
             THEN false ELSE true END AS is_valid
 FROM e""", "scores_v"))
 def q_validate_scored(spark, sf):
@@ -129,6 +129,40 @@ def q_validate_scored(spark, sf):
     return v.select("transaction_id", F.array_join("violations", ",").alias("violations"), "is_valid")
 
 
+#: one scored message per row, written the same in both dialects; every 17th of each kind breaks one rule
+MESSAGE = """concat('{"transaction_id": "', transaction_id, '", "original_data": {"amount": 1.5}, ',
+  CASE WHEN id % 17 = 1 THEN '' ELSE concat('"prediction": ', CASE id % 17 WHEN 2 THEN '"1"' WHEN 3 THEN '1.0' WHEN 4 THEN '2' WHEN 5 THEN 'null'
+    WHEN 6 THEN CASE WHEN prediction = 1 THEN 'true' ELSE 'false' END ELSE CAST(prediction AS STRING) END, ', ') END,
+  '"fraud_probability": ', CASE id % 17 WHEN 7 THEN '"0.5"' WHEN 8 THEN '1.25' WHEN 9 THEN '1' ELSE '0.5' END,
+  ', "is_fraud": ', CASE id % 17 WHEN 10 THEN '1' WHEN 11 THEN CASE WHEN prediction = 1 THEN 'false' ELSE 'true' END
+    ELSE CASE WHEN prediction = 1 THEN 'true' ELSE 'false' END END,
+  ', "model_version": ', CASE id % 17 WHEN 12 THEN '1.5' WHEN 13 THEN '7' ELSE '"v1"' END,
+  ', "scored_at": ', CASE id % 17 WHEN 14 THEN '"yesterday"' WHEN 15 THEN '20250101' ELSE '"2025-11-22T19:14:40.745435Z"' END,
+  CASE WHEN id % 17 = 16 THEN '' ELSE '}' END)"""
+
+
+@query("validate_messages", with_views(f"""
+WITH m AS (SELECT transaction_id, {MESSAGE} AS m FROM scores_v),
+j AS (SELECT transaction_id, json_valid(m) AS ok, CASE WHEN json_valid(m) THEN m::JSON END AS j FROM m),
+t AS (SELECT *, json_type(j, '$.prediction') AS tp, json_type(j, '$.fraud_probability') AS tf, json_type(j, '$.is_fraud') AS ti,
+             json_type(j, '$.model_version') AS tm, json_type(j, '$.scored_at') AS ts, json_extract_string(j, '$.prediction') AS p,
+             TRY_CAST(json_extract_string(j, '$.fraud_probability') AS DOUBLE) AS f, json_extract_string(j, '$.is_fraud') AS i,
+             json_extract_string(j, '$.scored_at') AS s FROM j),
+r AS (SELECT *, tp IN ('BIGINT', 'UBIGINT', 'BOOLEAN') AS whole, p IN ('0', '1', 'true', 'false') AS bit FROM t)
+SELECT transaction_id, CASE WHEN NOT ok THEN 'unparseable' WHEN tp IS NULL THEN 'missing:prediction' ELSE concat_ws(',',
+  CASE WHEN NOT whole THEN 'prediction_int' END,
+  CASE WHEN whole AND NOT bit THEN 'prediction_in_0_1' END,
+  CASE WHEN tf NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN') THEN 'probability_number' WHEN NOT f BETWEEN 0 AND 1 THEN 'probability_in_0_1' END,
+  CASE WHEN ti <> 'BOOLEAN' THEN 'is_fraud_boolean' WHEN whole AND bit AND (i = 'true') <> (p IN ('1', 'true')) THEN 'is_fraud_matches_prediction' END,
+  CASE WHEN tm NOT IN ('BIGINT', 'UBIGINT', 'BOOLEAN', 'VARCHAR') THEN 'model_version_int_or_text' END,
+  CASE WHEN ts <> 'VARCHAR' OR TRY_CAST(s AS TIMESTAMP) IS NULL THEN 'scored_at_iso' END) END AS violations
+FROM r""", "scores_v"))
+def q_validate_messages(spark, sf):
+    """Types and values of raw scored messages: numbers as text, decimals, truth values, nulls, broken JSON."""
+    m = V.scores_v(spark, sf).select("transaction_id", F.expr(MESSAGE).alias("value"))
+    return quality.validate_messages(m).select("transaction_id", F.array_join("violations", ",").alias("violations"))
+
+
 @query("step_counts", with_views("""
 SELECT 'raw_firewall' AS step, count(*) AS n_rows FROM firewall_v
 UNION ALL SELECT 'curated_firewall', count(*) FROM firewall_v
@@ -161,6 +195,12 @@ def q_elt_extract(spark, sf):
     return replicate.row_counts(replicate.extract_files(spark, sf, COPY_TABLES))
 
 
+@query("elt_discover", _counts_sql())
+def q_elt_discover(spark, sf):
+    """The tables that the catalog itself lists, with their rows."""
+    return replicate.row_counts(replicate.extract_files(spark, sf, replicate.discover_tables(spark, sf)))
+
+
 @query("elt_load", _counts_sql())
 def q_elt_load(spark, sf):
     src = replicate.extract_files(spark, sf, COPY_TABLES)
@@ -177,3 +217,23 @@ def q_elt_reconcile(spark, sf):
     replicate.load_files(spark, src, target)
     dst = {t: spark.read.parquet(f"{target}/{t}") for t in COPY_TABLES}
     return replicate.reconcile_copy(src, dst)
+
+
+@query("elt_reconcile_differences", """
+SELECT * FROM (SELECT count(*) AS source_rows, max(o_orderkey) AS k FROM orders) n,
+  (VALUES ('same', 0, true), ('one_value', 0, false), ('one_row_twice_for_another', 0, false), ('two_rows_more', 2, false),
+          ('column_renamed', 0, false), ('column_retyped', 0, false)) v(table_name, more, matches)""".replace(
+    "SELECT * FROM", "SELECT table_name, source_rows, source_rows + more AS target_rows, matches FROM", 1))
+def q_elt_reconcile_differences(spark, sf):
+    """Copies of a table with one planted difference each; all but the first must be told apart."""
+    o = V.table(spark, sf, "orders")
+    low, high = o.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    pick = lambda k: o.where(F.col("o_orderkey") == k)
+    rest = o.where(F.col("o_orderkey") != high)
+    return quality.reconcile({
+        "same": (o, o.repartition(7)),
+        "one_value": (o, rest.unionByName(pick(high).withColumn("o_totalprice", F.col("o_totalprice") + F.lit(0.01)))),
+        "one_row_twice_for_another": (o, rest.unionByName(pick(low))),
+        "two_rows_more": (o, o.unionByName(pick(low)).unionByName(pick(low))),
+        "column_renamed": (o, o.withColumnRenamed("o_custkey", "custkey")),
+        "column_retyped": (o, o.withColumn("o_custkey", F.col("o_custkey").cast("int")))})

@@ -247,3 +247,104 @@ def q_stream_counters(spark, sf):
     jobs.write_counted(parsed, lambda b, e: jobs.write_batch(b.where(~bad).select("m.id"), out, e), counters,
                        scratch_path(spark, "ckpt"), metrics=metrics).awaitTermination()
     return jobs.batch_counters(spark, counters).agg(*[F.sum(k).alias(k) for k in metrics])
+
+
+@query("stream_dedup_watermark", with_views("""
+SELECT transaction_id, CASE WHEN id % 3 = 0 AND scored_at <= (SELECT max(scored_at) FROM scores_v) - INTERVAL 20 MINUTE
+                            THEN 2 ELSE 1 END::BIGINT AS n_rows FROM scores_v""", "scores_v"))
+def q_stream_dedup_watermark(spark, sf):
+    """Every row arrives twice: the second time as it was (dropped: remembered,
+    or older than the watermark), and every third also with an event time 30 days
+    on (dropped while its first row is remembered, a new row beyond that)."""
+    s = V.scores_v(spark, sf).select("id", "transaction_id", "scored_at")
+    src, out, ckpt = scratch_path(spark, "wm_in"), scratch_path(spark, "wm_out"), scratch_path(spark, "ckpt")
+    late = s.where(F.col("id") % 3 == 0).withColumn("scored_at", F.col("scored_at") + F.expr("INTERVAL 30 DAYS"))
+    for n, arrived in enumerate((s, s.unionByName(late))):
+        arrived.write.options(**sinks.TS_OPTIONS).json(f"{src}/part={n}")
+        once = jobs.dedup_within_watermark(jobs.file_json_stream(spark, f"{src}/*", s.schema), ["transaction_id"], "scored_at", watermark="10 minutes")
+        (once.writeStream.format("parquet").option("checkpointLocation", ckpt).trigger(availableNow=True).start(out).awaitTermination())
+    return spark.read.parquet(out).groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("stream_listener_counters", with_views("""
+SELECT count(*) FILTER (WHERE id % 89 <> 0) AS processed, count(*) FILTER (WHERE id % 89 = 0) AS errors, count(*) AS messages, count(*) AS input_rows,
+       true AS same_as_counted
+FROM scores_v""", "scores_v"))
+def q_stream_listener_counters(spark, sf):
+    """Counters per micro-batch by a listener, over two runs of one query on one
+    checkpoint, against those that the batches wrote themselves."""
+    s = V.scores_v(spark, sf)
+    src, out, ckpt = scratch_path(spark, "ls_in"), scratch_path(spark, "ls_out"), scratch_path(spark, "ckpt")
+    msgs = s.select(F.col("id"), F.to_json(F.struct(*[F.col(c) for c in s.columns]), sinks.TS_OPTIONS).alias("v"))
+    msgs = msgs.select("id", F.when(F.col("id") % 89 == 0, F.substring("v", 1, 10)).otherwise(F.col("v")).alias("value"))
+    schema = T.StructType(s.schema.fields + [T.StructField(jobs.CORRUPT, T.StringType(), True)])
+    bad = F.col(f"m.{jobs.CORRUPT}").isNotNull()
+    metrics = {"processed": F.count_if(~bad), "errors": F.count_if(bad), "messages": F.count(F.lit(1))}
+    seen, counted = scratch_path(spark, "ls_seen"), scratch_path(spark, "ls_counted")
+    listener = jobs.ProgressTable(spark, seen, "counters", list(metrics))
+    try:
+        for n in range(2):  # the second run starts from the checkpoint of the first
+            msgs.where(F.col("id") % 2 == n).select("value").repartition(3).write.text(f"{src}/part={n}")
+            parsed = jobs.text_stream(spark, f"{src}/*", max_files_per_trigger=1).select(
+                F.from_json("value", schema, {"columnNameOfCorruptRecord": jobs.CORRUPT, **sinks.TS_OPTIONS}).alias("m"))
+            watched = parsed.observe("counters", *[v.alias(k) for k, v in metrics.items()])
+            (watched.where(~bad).select("m.id").writeStream.queryName("scored").format("parquet").option("checkpointLocation", ckpt)
+             .trigger(availableNow=True).start(out).awaitTermination())
+            jobs.write_counted(parsed, lambda b, e: b.write.format("noop").mode("overwrite").save(), counted,
+                               f"{ckpt}-counted", metrics=metrics).awaitTermination()
+    finally:
+        listener.close()
+    mine = spark.read.parquet(f"{seen}/query=scored").where("messages > 0")
+    theirs = jobs.batch_counters(spark, counted)
+    same = mine.select("batch_id", *metrics).exceptAll(theirs.select("batch_id", *metrics)).count() == 0 and mine.count() == theirs.count()
+    return mine.agg(*[F.sum(k).alias(k) for k in [*metrics, "input_rows"]]).withColumn("same_as_counted", F.lit(same))
+
+
+@query("stream_scored_messages", with_views(
+    "SELECT transaction_id AS key, transaction_id, user_id, amount, location, is_simulated_fraud, prediction, fraud_probability, "
+    "prediction = 1 AS is_fraud, model_version, scored_at FROM scores_v", "scores_v"))
+def q_stream_scored_messages(spark, sf):
+    """Scored envelopes as keyed JSON messages through the streaming file sink, read back and flattened."""
+    env = envelope(spark, sf)
+    src, out = scratch_path(spark, "env_in"), scratch_path(spark, "env_out")
+    write_messages(env, src)
+    parsed, _ = jobs.parse_messages(jobs.text_stream(spark, src), env.schema)
+    jobs.file_json_sink(parsed, out, scratch_path(spark, "ckpt"), key_col="transaction_id").awaitTermination()
+    back = spark.read.schema("key string, value string").json(out)
+    m = back.select("key", F.from_json("value", env.schema, sinks.TS_OPTIONS).alias("m")).select("key", "m.*")
+    flat = curation.flatten_scores(m.drop("key"))
+    return m.select("key").join(flat, F.col("key") == F.col("transaction_id"))
+
+
+@query("stream_ingest_capped", """
+SELECT count(*) AS n_rows, true AS every_batch_within_cap, true AS several_batches FROM events""")
+def q_stream_ingest_capped(spark, sf):
+    """Ingest with a size cap per batch under a ``processingTime`` trigger: rows, and whether each batch held at most one file."""
+    ev = V.table(spark, sf, "events")
+    src, landing, cnt = (scratch_path(spark, n) for n in ("cap_in", "cap_out", "cap_counts"))
+    ev.repartition(4).write.options(**sinks.TS_OPTIONS).json(src)
+    largest = spark.read.schema(ev.schema).json(src).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    stream = jobs.file_json_stream(spark, src, ev.schema, max_files_per_trigger=1)
+    running = jobs.write_counted(stream, lambda b, e: jobs.write_batch(b, landing, e), cnt, scratch_path(spark, "ckpt"), trigger="1 second")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    batches = jobs.batch_counters(spark, cnt)
+    return batches.agg(F.sum("rows").alias("n_rows"), (F.max("rows") <= largest).alias("every_batch_within_cap"),
+                       (F.count(F.lit(1)) > 1).alias("several_batches"))
+
+
+@query("predictions_table", with_views("""
+SELECT id, id AS transaction_id, prediction AS predicted_class, fraud_probability, model_version, scored_at AS predicted_at,
+       (prediction = 1) = is_simulated_fraud AS is_correct FROM scores_v""", "scores_v"))
+def q_predictions_table(spark, sf):
+    """The stored predictions, made if absent with their declared schema and filled first-write-wins, twice."""
+    target = scratch_path(spark, "predictions")
+    sinks.ensure_table(spark, target, schemas.PREDICTIONS, key="transaction_id", n_buckets=16)
+    s = V.scores_v(spark, sf)
+    rows = s.select("id", F.col("id").alias("transaction_id"), F.col("prediction").alias("predicted_class"), "fraud_probability", "model_version",
+                    F.col("scored_at").alias("predicted_at"), ((F.col("prediction") == 1) == F.col("is_simulated_fraud")).alias("is_correct"))
+    for _ in range(2):
+        sinks.insert_if_absent(spark, rows, target, "transaction_id", "id")
+    return sinks.read_table(spark, target)

@@ -68,6 +68,17 @@ def read_lake(spark: SparkSession, base: str, schema: T.StructType, *,
     return df.where(partition_filter) if partition_filter is not None else df
 
 
+def read_lake_days(spark: SparkSession, base: str, schema: T.StructType, days: DataFrame, *, fmt: str = "json") -> DataFrame:
+    """Rows of the days in ``days`` (year, month, day as integers, each once), known only when the query runs.
+
+    The join on the partition columns lets Spark take the days it finds there
+    as a filter on the folders (dynamic partition pruning), so the other
+    days are not read; for days known beforehand give ``read_lake`` a filter.
+    """
+    lake = read_lake(spark, base, schema, fmt=fmt)
+    return lake.join(days.select("year", "month", "day"), ["year", "month", "day"]).select(lake.columns)
+
+
 def read_csv(spark: SparkSession, path, schema: T.StructType, *, header: bool = True,
              encoding: str = "ISO-8859-1", **options) -> DataFrame:
     """CSV with a declared schema (latin-1 by default).  A missing path raises."""

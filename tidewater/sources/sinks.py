@@ -81,7 +81,7 @@ def first_per_key(df: DataFrame, key: str, order: Column | str) -> DataFrame:
     """
     order = F.col(order) if isinstance(order, str) else order
     cols = df.columns
-    picked = (df.where(F.col(key).isNotNull() & (F.col(key) != ""))
+    picked = (df.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
               .groupBy(key)
               .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), order).alias("_r")))
     return picked.select("_r.*")

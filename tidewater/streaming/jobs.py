@@ -13,12 +13,14 @@ per-trigger size cap is ``maxOffsetsPerTrigger`` (Kafka) or
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidewater.sources.sinks import BUCKETS, TS_OPTIONS, insert_if_absent, landing_partitions
 
@@ -133,6 +135,29 @@ def dedup_into_table(stream: DataFrame, target: str, key: str, order: str, check
     return write_each_batch(stream, each, checkpoint, trigger=trigger)
 
 
+def dedup_within_watermark(stream: DataFrame, keys: list[str], ts_col: str, *, watermark: str = "10 minutes") -> DataFrame:
+    """First row of each key, as far as the state store remembers it.
+
+    A copy is dropped while its first row is remembered (until the watermark
+    has passed that row's event time plus ``watermark``), and so is any row
+    older than the watermark.  State is bounded by the keys of that span; a
+    copy with an event time beyond it counts as a new row.  For first-wins
+    over all time use ``dedup_into_table``.
+    """
+    s = stream.withColumn("_et", F.col(ts_col).cast("timestamp")).withWatermark("_et", watermark)
+    return s.dropDuplicatesWithinWatermark(keys).drop("_et")
+
+
+def file_json_sink(stream: DataFrame, path: str, checkpoint: str, *, key_col: str, trigger: str | None = "availableNow") -> StreamingQuery:
+    """Rows as JSON messages (key, value) in files: the stand-in for ``kafka_sink`` where there is no broker.
+
+    The file sink's log makes a replayed batch invisible.
+    """
+    msgs = stream.select(F.col(key_col).cast("string").alias("key"),
+                         F.to_json(F.struct(*[F.col(c) for c in stream.columns]), TS_OPTIONS).alias("value"))
+    return _trigger(msgs.writeStream.format("json").option("checkpointLocation", checkpoint), trigger).start(path)
+
+
 def score_stream(stream: DataFrame, current_version: Callable[[], str], load: Callable[[str], Callable[[DataFrame], DataFrame]],
                  sink: Callable[[DataFrame, int], None], checkpoint: str, *, refresh_seconds: int = 300,
                  trigger: str | None = "availableNow") -> StreamingQuery:
@@ -194,6 +219,61 @@ def write_counted(stream: DataFrame, write: Callable[[DataFrame, int], None], co
     return write_each_batch(stream, each, checkpoint, trigger=trigger)
 
 
+class ProgressTable(StreamingQueryListener):
+    """Counters of every micro-batch of the queries of a session, kept as a table: one row per query and batch.
+
+    The engine reports a batch when it is done; a thread of the listener
+    writes the report below ``query=/batch_id=``, so a batch that is run
+    again after a restart replaces its row.  ``name`` is the query name;
+    counters are those of ``observe`` under ``metrics``, 0 for a batch without
+    rows.  Unlike ``write_counted`` this needs no ``foreachBatch`` and works
+    with any sink; a batch whose report is lost with the driver has no row.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, metrics: str, fields: list[str]):
+        self.spark, self.path, self.metrics, self.fields = spark, path, metrics, fields
+        self.todo: queue.Queue = queue.Queue()
+        self.failed: list[Exception] = []
+        threading.Thread(target=self._write, daemon=True).start()
+        spark.streams.addListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        seen = p.observedMetrics.get(self.metrics)
+        if p.name and seen is not None:
+            self.todo.put((p.name, p.batchId, p.numInputRows, [seen[f] or 0 for f in self.fields]))
+
+    def _write(self) -> None:
+        while (item := self.todo.get()) is not None:
+            name, batch, rows, counters = item
+            try:
+                (self.spark.range(1).select(F.lit(rows).cast("long").alias("input_rows"), *[F.lit(v).cast("long").alias(f) for f, v in zip(self.fields, counters)])
+                 .write.mode("overwrite").parquet(f"{self.path}/query={name}/batch_id={batch}"))
+            except Exception as e:  # noqa: BLE001 - reported by close()
+                self.failed.append(e)
+            finally:
+                self.todo.task_done()
+        self.todo.task_done()
+
+    def close(self) -> None:
+        """Wait until every report so far is written, and stop listening."""
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        self.todo.join()
+        self.spark.streams.removeListener(self)
+        self.todo.put(None)
+        if self.failed:
+            raise self.failed[0]
+
+
 def write_batch(df: DataFrame, path: str, epoch: int) -> None:
     """Store a micro-batch under its id; a replay replaces it."""
     df.write.mode("overwrite").parquet(f"{path}/batch_id={epoch}")
