@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import strip_version_prefix
+from tidewater.session import materialize
 
 # Alert threshold of the live-alert table, drift floor.
 ALERT_THRESHOLD = 0.85
@@ -101,11 +102,13 @@ def binned_by_reference(reference: DataFrame, live: DataFrame, col: str, n_bins:
 def compare_distributions(reference: DataFrame, live: DataFrame, key: str) -> DataFrame:
     """Side-by-side category/bin shares (missing = 0; null is one category).
 
-    Both sides are counted in one aggregate over their union; the totals are
-    two scalar subqueries over those counts.
+    Both sides are counted in one aggregate over their union, which is
+    written (a row per category); the totals are two scalar subqueries over
+    those counts.
     """
-    both = (reference.select(key, F.lit(1).alias("_r")).unionByName(live.select(key, F.lit(0).alias("_r")))
-            .groupBy(key).agg(F.count_if(F.col("_r") == 1).alias("ref_rows"), F.count_if(F.col("_r") == 0).alias("live_rows")))
+    both = materialize(reference.select(key, F.lit(1).alias("_r")).unionByName(live.select(key, F.lit(0).alias("_r")))
+                       .groupBy(key).agg(F.count_if(F.col("_r") == 1).alias("ref_rows"), F.count_if(F.col("_r") == 0).alias("live_rows")),
+                       "distributions")
     share = lambda n: F.coalesce(F.try_divide(F.col(n), both.agg(F.sum(n)).scalar()), F.lit(0.0))
     return both.select(key, "ref_rows", "live_rows", share("ref_rows").alias("ref_share"), share("live_rows").alias("live_share"))
 

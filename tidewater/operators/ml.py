@@ -69,10 +69,10 @@ def apply_scaler(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataF
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Balanced weights n / (k * n_c) per class."""
+    """Balanced weights n / (k * n_c) per class: one aggregate; the totals are windows over its one row per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    k = counts.agg(F.count(F.lit(1))).scalar()
+    classes = Window.partitionBy()
+    total, k = F.sum("n_rows").over(classes), F.count(F.lit(1)).over(classes)
     return counts.select(label, "n_rows", (total / (k * F.col("n_rows"))).alias("weight"))
 
 
@@ -83,20 +83,22 @@ def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFra
 
 
 def roc_auc(df: DataFrame, score: str, label: str, group_by: list[str] | None = None,
-            num_partitions: int | None = None) -> DataFrame:
+            num_partitions: int | None = None, count: str | None = None) -> DataFrame:
     """Exact, tie-aware ROC-AUC (per group), never with an unpartitioned window.
 
     AUC = sum over distinct scores s of pos(s) * (neg(< s) + neg(s) / 2),
     divided by P * N.  Positives and negatives are counted per (group, score)
     with a partial aggregate, so a hot score collapses to one row; the
     negatives below a score are a prefix sum over the range-partitioned
-    distinct scores, balanced however crowded they are.
+    distinct scores, balanced however crowded they are.  ``count`` names a
+    column that says how many rows one stands for.
     """
     g = list(group_by or [])
     y = F.col(label).cast("int")
+    n = F.col(count) if count else F.lit(1)
     per_score = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
                  .groupBy(*g, F.col(score).cast("double").alias("_s"))
-                 .agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg")))
+                 .agg(F.sum(y * n).alias("_pos"), F.sum((1 - y) * n).alias("_neg")))
     scored = prefix_sum(per_score, g, "_s", "_neg", "_below", num_partitions=num_partitions)
     agg = scored.groupBy(*g).agg(
         F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / F.lit(2.0))).alias("_u"),
@@ -106,12 +108,12 @@ def roc_auc(df: DataFrame, score: str, label: str, group_by: list[str] | None =
 
 
 def classification_metrics(df: DataFrame, prediction: str, label: str,
-                           group_by: list[str] | None = None) -> DataFrame:
-    """Confusion counts and precision / recall / F1 / accuracy (zero-guarded)."""
+                           group_by: list[str] | None = None, count: str | None = None) -> DataFrame:
+    """Confusion counts and precision / recall / F1 / accuracy (zero-guarded); ``count`` as in ``roc_auc``."""
     p, y = F.col(prediction).cast("int") == 1, F.col(label).cast("int") == 1
+    number = (lambda c: F.coalesce(F.sum(F.when(c, F.col(count))), F.lit(0))) if count else F.count_if
     agg = df.groupBy(*(group_by or [])).agg(
-        F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"),
-        F.count_if(~p & ~y).alias("tn"), F.count_if(~p & y).alias("fn"))
+        number(p & y).alias("tp"), number(p & ~y).alias("fp"), number(~p & ~y).alias("tn"), number(~p & y).alias("fn"))
     prec = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
     rec = F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
     return agg.select(

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.session import pin_utc
+from tidewater.session import materialize, pin_utc
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -161,11 +161,10 @@ def _epoch_ms(c) -> F.Column:
     return F.expr(f"unix_micros(cast({c} as timestamp)) div 1000")
 
 
-def registry_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model registry: one model per location, versions v1..v3 of the scores."""
-    s = scores_v(spark, sf_dir)
-    g = s.groupBy("location", "model_version").agg(F.min("scored_at").alias("_first"),
-                                                    F.max("scored_at").alias("_last"))
+def registry_v(spark: SparkSession, sf_dir: str, scores: DataFrame | None = None) -> DataFrame:
+    """Model registry: one model per location, versions v1..v3 of the scores (or of a summary with first and last)."""
+    s = scores if scores is not None else scores_v(spark, sf_dir).select("*", F.col("scored_at").alias("first"), F.col("scored_at").alias("last"))
+    g = s.groupBy("location", "model_version").agg(F.min("first").alias("_first"), F.max("last").alias("_last"))
     version = F.substring(F.col("model_version"), 2, 10).cast("int")
     name = F.concat(F.lit("fraud_"), F.col("location"))
     return g.select(
@@ -190,14 +189,17 @@ def metrics_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run metrics in long (EAV) form, computed from the scores of each
     (model, version): exact ROC-AUC and precision / recall / F1."""
     from tidewater.operators import ml
-    ms = model_scores(spark, sf_dir)
+    # the facts are read once: rows per model, version, score and outcome, and when they were scored
+    ms = materialize(model_scores(spark, sf_dir)
+                     .groupBy("location", "model_version", "model_name", "version", "fraud_probability", "prediction", "is_simulated_fraud")
+                     .agg(F.count(F.lit(1)).alias("n"), F.min("scored_at").alias("first"), F.max("scored_at").alias("last")), "score-counts")
     keys = ["model_name", "version"]
-    auc = ml.roc_auc(ms, "fraud_probability", "is_simulated_fraud", group_by=keys).select(*keys, "roc_auc")
-    cls = ml.classification_metrics(ms, "prediction", "is_simulated_fraud", group_by=keys)
+    auc = ml.roc_auc(ms, "fraud_probability", "is_simulated_fraud", group_by=keys, count="n").select(*keys, "roc_auc")
+    cls = ml.classification_metrics(ms, "prediction", "is_simulated_fraud", group_by=keys, count="n")
     wide = auc.join(cls.select(*keys, "precision", "recall", "f1"), keys, "inner")
     stack = ", ".join(f"'{m}', {m}" for m in METRIC_NAMES)
     long = wide.selectExpr(*keys, f"stack({len(METRIC_NAMES)}, {stack}) as (metric_name, metric_value)")
-    reg = registry_v(spark, sf_dir)
+    reg = registry_v(spark, sf_dir, ms)
     return long.join(reg, keys, "inner").select(
         "run_id", F.lit(1).alias("experiment_id"), F.col("creation_time").alias("start_time"),
         F.col("last_updated_time").alias("end_time"), F.lit("FINISHED").alias("status"),
