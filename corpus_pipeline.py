@@ -16,10 +16,10 @@ from tidewater.session import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language (no letters) or without a label of at least ``MIN_LANG_SCORE``."""
+    """Drop documents without a language (no letters)."""
     model = langid.fit(docs, ~queries.held_out("doc_id"))
     p = langid.predict(docs, model, out="_lid")
-    return p.where((F.col("_lid.lang") != "und") & (F.col("_lid.score") >= queries.MIN_LANG_SCORE)).drop("_lid")
+    return p.where(F.col("_lid.lang") != "und").drop("_lid")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
