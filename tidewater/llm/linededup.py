@@ -1,9 +1,11 @@
 """Line dedup by site-relative frequency.
 
 Per host, the pages that contain a line are counted once each and divided by
-the host's pages; a line on more than ``max_ratio`` of them (and on at least
-``min_pages`` pages) is boilerplate there and is dropped from that host's
-pages.  Lines compare after trimming and collapsing spaces; blank lines are
+the host's pages; a line on more than ``max_ratio`` of them is boilerplate
+there and is dropped from that host's pages.  So that a line which two pages
+share by chance stays, one on fewer than ``min_pages`` pages must be on at
+least two and on more than ``small_ratio`` of them, which a line of a small
+host can be.  Lines compare after trimming and collapsing spaces; blank lines are
 neither counted nor dropped.
 
 The counts see all pages and are summed on the map side first.  A host has
@@ -28,6 +30,7 @@ from tidewater.session import materialize
 
 MAX_RATIO = 0.05
 MIN_PAGES = 5
+SMALL_RATIO = 0.5
 
 SKIPPED = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<!--.*?-->"
 BLOCKS = (r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|section|article|header|footer|nav|main|aside|"
@@ -59,21 +62,23 @@ def _hashes(text: Column) -> Column:
     return F.transform(F.split(flat, "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
 
 
-def boilerplate(pages: DataFrame, *, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, *, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
+                small_ratio: float = SMALL_RATIO) -> DataFrame:
     """(_bp_host, _bp_lines array<long>): hashes of each host's boilerplate lines."""
     own = F.array_distinct(F.array_compact(_hashes(F.col(text))))
     lines = pages.select(F.col(host).alias("_bp_host"), F.explode(own).alias("h"))
     n_pages = pages.groupBy(F.col(host).alias("_bp_all")).agg(F.count("*").alias("pages"))
-    return (lines.groupBy("_bp_host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    by_chance = (F.col("n") < min_pages) & (F.col("n") <= F.col("pages") * F.lit(float(small_ratio)))
+    return (lines.groupBy("_bp_host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min(2, min_pages))
             .join(n_pages, F.col("_bp_host").eqNullSafe(F.col("_bp_all")))
-            .where(F.col("n") > F.col("pages") * F.lit(float(max_ratio)))
+            .where((F.col("n") > F.col("pages") * F.lit(float(max_ratio))) & ~by_chance)
             .groupBy("_bp_host").agg(F.collect_list("h").alias("_bp_lines")))
 
 
 def drop_boilerplate(pages: DataFrame, *, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
-                     n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
+                     small_ratio: float = SMALL_RATIO, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text``; optional counters of non-blank and dropped lines."""
-    lists = materialize(boilerplate(pages, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages), "boilerplate")
+    lists = materialize(boilerplate(pages, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages, small_ratio=small_ratio), "boilerplate")
     joined = pages.join(lists, F.col(host).eqNullSafe(F.col("_bp_host")), "left")
     # let(value, use): the value is computed once however often the lambda reads it
     let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))

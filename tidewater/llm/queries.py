@@ -124,9 +124,6 @@ def op5(spark, sf_dir):
 
 
 # ------------------------------------------------------- 6 language id
-MIN_LANG_SCORE = 0.4
-
-
 def held_out(doc_id):
     """The fixed fold that no model learns from: crc32 of the id as text divisible by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -153,7 +150,8 @@ l AS (SELECT rid, host, unnest(string_split(t, chr(10))) AS line, generate_subsc
 k AS (SELECT *, trim(regexp_replace(line, '[ \t\r\f]+', ' ', 'g')) AS key FROM l),
 n AS (SELECT host, key, count(DISTINCT rid) AS n FROM k WHERE key <> '' GROUP BY host, key),
 h AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
-b AS (SELECT n.host, n.key FROM n JOIN h ON n.host IS NOT DISTINCT FROM h.host WHERE n >= 5 AND n > pages * 0.05::DOUBLE),
+b AS (SELECT n.host, n.key FROM n JOIN h ON n.host IS NOT DISTINCT FROM h.host 
+      WHERE n >= 2 AND n > pages * 0.05::DOUBLE AND (n >= 5 OR n > pages * 0.5::DOUBLE)),
 m AS (SELECT k.*, b.key IS NOT NULL AS gone FROM k LEFT JOIN b ON k.host IS NOT DISTINCT FROM b.host AND k.key = b.key),
 g AS (SELECT rid, count(*) FILTER (key <> '') AS n_lines, count(*) FILTER (gone) AS n_dropped,
              coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text FROM m GROUP BY rid)
