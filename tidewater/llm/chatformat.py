@@ -1,9 +1,10 @@
 """Chat formatting by schema fingerprinting.
 
-A record is one JSON text.  Its nested field paths (names and nesting, not
-types) are hashed; the hash selects a declarative mapping that turns the
-record's layout into canonical turns (role, text).  Turns are then written
-in one template
+Conversations come as JSON records of any layout, or as tables with a row per
+turn.  The nested field paths (names and nesting, not types) are hashed - of a
+record those of its JSON, per row; of a table those of its schema - and the
+hash selects a declarative mapping that turns the layout into canonical
+turns (role, text).  Turns are then written in one template
 
     <s>[ROLE]role[/ROLE]text</s>
 
@@ -18,10 +19,11 @@ have been put together; a conversation is one record, the unit of output.
 
 Defined results: null role or text is empty; rows of one conversation are
 ordered by turn (nulls first), then role and text; repeated rows are repeated
-turns; a null conv_id is one conversation; a record that is not JSON or has
-an unknown fingerprint has layout null and no turns, but one of at least
-``PARSER_BYTES`` that the parser does not read is an error, since it may be JSON
-beyond the parser's limits; an empty table gives no rows; extra columns are
+turns; a null conv_id is one conversation; a record with an unknown
+fingerprint has layout null and no turns; one that the parser does not read
+(no JSON, or beyond the parser's limits: 20,000,000 characters a string, the
+size of a variant) has also ``unread`` true; a table of an unknown layout is
+an error; an empty table gives no rows; fields that belong to no layout are
 not read.  Conversations given as rows are not parsed: they are bounded by
 what Spark holds in one row (under 2 GB), beyond which Spark fails.
 """
@@ -33,12 +35,11 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TURNS = "array<struct<role:string,text:string>>"
-#: turns of a record that was made from rows
-MESSAGES = "_cf_messages"
-#: a record of fewer bytes is within the parser's limits on sizes (20,000,000 characters a string, the size of a variant)
-PARSER_BYTES = 1 << 24
+#: turns of a conversation that came as rows, and the fingerprint and layout of its table
+MESSAGES, TABLE_PRINT, TABLE_LAYOUT = "_cf_messages", "_cf_print", "_cf_layout"
 
 
 class Layout(NamedTuple):
@@ -71,6 +72,27 @@ LAYOUTS = (
            fields=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
 )
 
+class RowLayout(NamedTuple):
+    """Paths of a table's fields: the conversation a row belongs to, its order in it, role and text; ``roles`` renames."""
+    name: str
+    conversation: str
+    order: str
+    role: str
+    text: str
+    roles: tuple[tuple[str, str], ...] = ()
+
+    def paths(self) -> tuple[str, ...]:
+        return self.conversation, self.order, self.role, self.text
+
+
+ROW_LAYOUTS = (
+    RowLayout("turn_rows", "conv_id", "turn", "role", "text"),
+    RowLayout("content_rows", "conversation_id", "position", "role", "content"),
+    RowLayout("from_value_rows", "id", "index", "from", "value", (("human", "user"), ("gpt", "assistant"))),
+    RowLayout("message_rows", "conv_id", "turn", "message.role", "message.content"),
+    RowLayout("author_rows", "conversation.id", "turn", "author.role", "content.text"),
+)
+
 _SCALAR = r": (?:STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|UUID|VARIANT|DECIMAL\([0-9]+,[0-9]+\))(?=[,>])"
 
 
@@ -80,15 +102,37 @@ def field_paths(record: Column) -> Column:
     return F.regexp_replace(F.replace(shape, F.lit("ARRAY<VOID>"), F.lit("ARRAY<>")), _SCALAR, "")
 
 
+def schema_paths(schema: T.StructType, above: str = "") -> list[str]:
+    """Nested field paths of a table, without types, in order."""
+    out = []
+    for f in schema.fields:
+        out += schema_paths(f.dataType, f"{above}{f.name}.") if isinstance(f.dataType, T.StructType) else [above + f.name]
+    return sorted(out)
+
+
+def row_layout(schema: T.StructType, layouts=ROW_LAYOUTS) -> tuple[str, RowLayout]:
+    """(fingerprint, layout) of a table of turns: by the hash of all its paths, or of those that some layout knows,
+    or of a layout's own among them (the first layout that is all there)."""
+    paths = schema_paths(schema)
+    by_hash = {_sha(",".join(sorted(lay.paths()))): lay for lay in reversed(layouts)}
+    known = {p for lay in layouts for p in lay.paths()}
+    tried = [paths, [p for p in paths if p in known], *[sorted(lay.paths()) for lay in layouts if set(lay.paths()) <= set(paths)]]
+    for fingerprint in (_sha(",".join(t)) for t in tried):
+        if fingerprint in by_hash:
+            return fingerprint, by_hash[fingerprint]
+    raise ValueError(f"no layout for a table with the fields {paths}")
+
+
 def canonical_turns(records: DataFrame, *, record: str = "record", layouts=LAYOUTS) -> DataFrame:
-    """Add ``fingerprint``, ``layout`` and ``turns`` to rows with a JSON text column.
+    """Add ``fingerprint``, ``layout``, ``unread`` and ``turns`` to rows with a JSON text column.
 
-    Where the column ``MESSAGES`` of ``records_of`` is there and not null, the turns
-    are taken from it, and ``record`` gives the layout only.
+    Conversations of ``records_of`` (``MESSAGES`` is there and not null) bring turns, fingerprint and layout of their table.
     """
-    v = F.try_parse_json(F.col(record))
-    given = F.col(MESSAGES) if MESSAGES in records.columns else F.lit(None).cast(TURNS)
-    rows = records.withColumn("_cf_v", v).withColumn("fingerprint", F.sha2(field_paths(F.col("_cf_v")), 256))
+    from_rows = MESSAGES in records.columns
+    given, table_print, table_layout = ((F.col(MESSAGES), F.col(TABLE_PRINT), F.col(TABLE_LAYOUT)) if from_rows
+                                        else (F.lit(None).cast(TURNS), F.lit(None).cast("string"), F.lit(None).cast("string")))
+    rows = records.withColumn("_cf_v", F.try_parse_json(F.col(record)))
+    rows = rows.withColumn("fingerprint", F.coalesce(table_print, F.sha2(field_paths(F.col("_cf_v")), 256)))
     name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for lay in reversed(layouts):
         hit = F.col("fingerprint").isin([_sha(s) for s in lay.shapes])
@@ -97,15 +141,12 @@ def canonical_turns(records: DataFrame, *, record: str = "record", layouts=LAYOU
         if lay.listed:
             path, role, text = lay.listed
             kind = f"array<struct<`{role}`:string,`{text}`:string>>"
-            found = F.coalesce(given.cast(kind), F.try_variant_get("_cf_v", path, kind), F.array().cast(kind))
+            found = F.coalesce(F.try_variant_get("_cf_v", path, kind), F.array().cast(kind))
             got = F.concat(got, F.transform(found, _message(role, text, lay.roles)).cast(TURNS))
         name = F.when(hit, F.lit(lay.name)).otherwise(name)
         turns = F.when(hit, got).otherwise(turns)
-    unread = F.col("_cf_v").isNull() & (F.octet_length(F.col(record)) >= PARSER_BYTES)
-    turns = (F.when(unread, F.raise_error(F.lit("chatformat: a long record is beyond the JSON parser's limits or not JSON")).cast(TURNS))
-             .when(given.isNotNull() & name.isNull(), F.raise_error(F.lit("chatformat: no layout for a record made from rows")).cast(TURNS))
-             .otherwise(turns))
-    return rows.withColumns({"layout": name, "turns": turns}).drop("_cf_v")
+    unread = given.isNull() & F.col(record).isNotNull() & F.col("_cf_v").isNull()
+    return rows.withColumns({"layout": F.coalesce(table_layout, name), "unread": unread, "turns": F.coalesce(given, turns)}).drop("_cf_v")
 
 
 def _message(role: str, text: str, roles):
@@ -186,15 +227,16 @@ def read_back(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"turns_read": turns, "loss_text": loss})
 
 
-def records_of(conversations: DataFrame) -> DataFrame:
-    """(conv_id, record, MESSAGES): the rows of each conversation, ordered by turn, as an array of messages.
+def records_of(conversations: DataFrame, layouts=ROW_LAYOUTS) -> DataFrame:
+    """(conv_id, record, MESSAGES, TABLE_PRINT, TABLE_LAYOUT): the turns of each conversation of a table, in order.
 
-    ``record`` holds the field names of the conversation's ``messages`` record around one empty
-    message (all have the same fields), so its length does not follow the texts.
+    The fingerprint of the table's schema selects the mapping that says where
+    conversation, order, role and text are; ``record`` is null.
     """
-    turn = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"),
-                    F.coalesce(F.col("text"), F.lit("")).alias("content"))
-    msgs = F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    names = F.transform(F.slice(MESSAGES, 1, 1), lambda _: F.struct(F.lit("").alias("role"), F.lit("").alias("content")))
-    return conversations.groupBy("conv_id").agg(msgs.alias(MESSAGES)).select(
-        "conv_id", F.to_json(F.struct(names.alias("messages"))).alias("record"), MESSAGES)
+    fingerprint, lay = row_layout(conversations.schema, layouts)
+    at = lambda path: F.col(".".join(f"`{p}`" for p in path.split(".")))
+    turn = F.struct(at(lay.order).alias("order"), _message("role", "text", lay.roles)(
+        {"role": at(lay.role).cast("string"), "text": at(lay.text).cast("string")}).alias("m"))
+    return conversations.groupBy(at(lay.conversation).alias("conv_id")).agg(
+        F.transform(F.sort_array(F.collect_list(turn)), lambda t: t["m"]).alias(MESSAGES)).select(
+        "conv_id", F.lit(None).cast("string").alias("record"), MESSAGES, F.lit(fingerprint).alias(TABLE_PRINT), F.lit(lay.name).alias(TABLE_LAYOUT))
