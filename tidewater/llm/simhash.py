@@ -246,7 +246,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", wor
              cell_rows: int = 4096) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: its smallest (id, text hash); columns unchanged.
 
-    Rows that agree in id and text are one document.  A null id sorts last.
+    Rows that agree in id and text are one document, of which the least row
+    is kept.  A null id sorts last.
     """
     mark = docs.select(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"),
                                 F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")).alias("_mark"), F.col(text).alias("_t"))
@@ -259,4 +260,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", wor
     h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     joined = docs.withColumn("_sh_t", h).join(
         kept, F.col(id_col).eqNullSafe(F.col("_sh_i")) & (F.col("_sh_t") == F.col("_sh_h")), "inner")
-    return joined.dropDuplicates(["_sh_i", "_sh_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in sorted(docs.columns, key=lambda c: c == text)])  # the text, which is the same, last
+    return (joined.groupBy("_sh_i", "_sh_h").agg(F.min(whole).alias("_sh_row"))
+            .select(*[F.col("_sh_row").getField(c).alias(c) for c in docs.columns]))

@@ -138,9 +138,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
     part = lambda bad, n: known_ids.where(F.col("bad") == bad).orderBy(*by_hash).limit(n)
     sample = part(True, n_toxic).unionByName(part(False, max_rows - n_toxic))  # at most max_rows (id, label) pairs
     rows = (docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
-            .join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))
-    rows = materialize(rows.select("doc_id", "bad", F.xxhash64(F.coalesce("_text", F.lit(""))).alias("copy"), _feature_set(F.col("_text")).alias("words"))
-                       .dropDuplicates(["copy"]).drop("copy"), "toxicity-sample")
+            .join(F.broadcast(sample), "doc_id"))
+    # equal texts are one example: toxic if any of them is labelled so, under their smallest id
+    copy = F.xxhash64(F.coalesce("_text", F.lit("")))
+    rows = rows.groupBy(copy.alias("copy")).agg(F.min("doc_id").alias("doc_id"), F.max("bad").alias("bad"), F.min("_text").alias("_text"))
+    rows = materialize(rows.select("doc_id", "bad", _feature_set(F.col("_text")).alias("words")), "toxicity-sample")
     total = {r["bad"]: r["n"] for r in rows.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return none
