@@ -174,18 +174,21 @@ def observe_counts(df: DataFrame, name: str, extra: dict[str, Column] | None = N
 
 # ----------------------------------------------------------- reconciliation
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
-    """One row: row count and an order-independent checksum of all rows.
+def fingerprint_columns(df: DataFrame) -> list[Column]:
+    """Aggregates: row count and an order-independent checksum of all rows.
 
     ``bit_xor`` of a 64-bit row hash is commutative, so it is computed with a
     partial aggregate per task and does not depend on partitioning.  Rows
     that occur twice cancel in the XOR, so the sum of the whole hashes is
     kept too (as a decimal, which holds any number of them).
     """
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.bit_xor(h).alias("xor_hash"),
-                  F.sum(h.cast("decimal(38,0)")).alias("sum_hash"))
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return [F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("xor_hash"), F.sum(h.cast("decimal(38,0)")).alias("sum_hash")]
+
+
+def table_fingerprint(df: DataFrame) -> DataFrame:
+    """One row of ``fingerprint_columns``."""
+    return df.agg(*fingerprint_columns(df))
 
 
 def reconcile(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:

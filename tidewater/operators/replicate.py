@@ -9,12 +9,14 @@ copy (later tables are not attempted), matching a stop-on-error restore.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators.common import entries
-from tidewater.operators.quality import observe_counts, reconcile
+from tidewater.operators.quality import fingerprint_columns
 
 
 def discover_tables(spark: SparkSession, base: str, suffix: str = ".parquet") -> list[str]:
@@ -44,17 +46,44 @@ def extract_jdbc(spark: SparkSession, url: str, tables: Iterable[str], *, proper
 
 
 def load_files(spark: SparkSession, tables: dict[str, DataFrame], target: str,
-               fmt: str = "parquet") -> DataFrame:
+               fmt: str = "parquet", *, at_once: int = 4) -> DataFrame:
     """Overwrite each table below ``target`` (drop-and-recreate) and return
-    the manifest (table_name, n_rows, path) from row counters observed
-    during the writes — no extra pass over the data."""
-    rows = []
-    for name, df in tables.items():
-        path = f"{target.rstrip('/')}/{name}"
-        counted, obs = observe_counts(df, f"load_{name}")
-        counted.write.mode("overwrite").format(fmt).save(path)
-        rows.append((name, int(obs.get["rows"]), path))
-    return spark.createDataFrame(rows, "table_name string, n_rows long, path string")
+    the manifest: table_name, n_rows, path, and the schema and checksums of
+    the rows as they were read.
+
+    Rows are counted and hashed while they are written (no extra pass over
+    the source).  ``at_once`` tables are written side by side, so small ones
+    do not wait for each other; after a failure no further table begins.
+    """
+    def load(name: str) -> tuple:
+        df, path = tables[name], f"{target.rstrip('/')}/{name}"
+        seen = Observation(f"load_{name}")
+        df.observe(seen, *fingerprint_columns(df)).write.mode("overwrite").format(fmt).save(path)
+        got = seen.get
+        return name, int(got["rows"]), path, str(df.dtypes), got["xor_hash"], got["sum_hash"]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        running = {name: pool.submit(load, name) for name in tables}
+        try:
+            rows = [running[name].result() for name in tables]
+        except Exception:
+            for f in running.values():
+                f.cancel()
+            raise
+    return spark.createDataFrame(rows, "table_name string, n_rows long, path string, types string, xor_hash long, sum_hash decimal(38,0)")
+
+
+def reconcile_loaded(spark: SparkSession, manifest: DataFrame, fmt: str = "parquet") -> DataFrame:
+    """Per table of a manifest: source rows, target rows, and whether names, types and checksums of what was stored are
+    those of what was read.  One aggregate over each stored table; the manifest has a row per table."""
+    stored = []
+    for r in manifest.collect():
+        df = spark.read.format(fmt).load(r["path"])
+        stored.append(df.agg(*fingerprint_columns(df)).select(
+            F.lit(r["table_name"]).alias("table_name"), F.lit(r["n_rows"]).cast("long").alias("source_rows"), F.col("rows").alias("target_rows"),
+            (F.lit(str(df.dtypes) == r["types"]) & (F.col("rows") == r["n_rows"]) & F.col("xor_hash").eqNullSafe(F.lit(r["xor_hash"]))
+             & F.col("sum_hash").eqNullSafe(F.lit(r["sum_hash"]))).alias("matches")))
+    return reduce(DataFrame.unionByName, stored)
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -65,7 +94,3 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def reconcile_copy(source: dict[str, DataFrame], target: dict[str, DataFrame]) -> DataFrame:
-    return reconcile({n: (source[n], target[n]) for n in source})

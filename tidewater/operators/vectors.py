@@ -142,6 +142,8 @@ def embed_with(df: DataFrame, id_col: str, encode: Callable[[list[str]], np.ndar
 QUERY_BLOCK = 1024
 # Points scored per numpy product inside a task.
 POINT_BLOCK = 20000
+# Points and queries of one cell.
+CELL_POINTS, CELL_QUERIES = 16384, 4096
 
 
 def _sortable(ids: np.ndarray) -> np.ndarray:
@@ -263,18 +265,18 @@ def _matrix(values) -> np.ndarray:
 
 def vector_topk(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col: str = "id",
                 vec_col: str = "vector", qid_col: str = "query_id", qvec_col: str = "vector",
-                carry: list[str] | None = None, point_blocks: int | None = None, query_blocks: int = 1,
+                carry: list[str] | None = None, point_blocks: int | None = None, query_blocks: int | None = None,
                 tie_decimals: int = 12, carry_from: DataFrame | None = None,
                 metric: str = "cosine") -> DataFrame:
     """Exact top-k of every query over all points (cosine, or Euclidean
     with score = minus the squared distance), the same way at every size.
 
     Points and queries are dealt by a hash of their id over ``point_blocks``
-    x ``query_blocks`` cells (default: as many point blocks as shuffle
-    partitions).  A cell holds one block of each side, keeps its own top-k
+    x ``query_blocks`` cells (default: blocks of about ``CELL_POINTS`` and
+    ``CELL_QUERIES`` rows, from counts of both sides, so a cell does not grow
+    with the data).  A cell holds one block of each side, keeps its own top-k
     per query, and a per-query window picks k of the ``point_blocks * k``
-    candidates.  Choose the numbers so that a block of either side fits a
-    task; nothing goes through the driver and no pair table is formed.
+    candidates; nothing goes through the driver and no pair table is formed.
 
     Ties (scores equal to ``tie_decimals`` places) go to the smaller id.
     Cosine skips zero vectors.  Output: query_id, rank (1-based), id,
@@ -284,7 +286,8 @@ def vector_topk(points: DataFrame, queries: DataFrame, *, k: int = TOP_K, id_col
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric}")
     euclid = metric == "euclidean"
-    pb = point_blocks or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pb = point_blocks or max(1, -(-points.count() // CELL_POINTS))
+    query_blocks = query_blocks or max(1, -(-queries.count() // CELL_QUERIES))
     q = (queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).cast("array<double>").alias("qv"))
          .where(F.col("qv").isNotNull()) if euclid else _prepare_queries(queries, qid_col, qvec_col))
     p = (points.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))

@@ -213,10 +213,7 @@ def q_elt_load(spark, sf):
     for t in COPY_TABLES))
 def q_elt_reconcile(spark, sf):
     src = replicate.extract_files(spark, sf, COPY_TABLES)
-    target = scratch_path(spark, "elt_target")
-    replicate.load_files(spark, src, target)
-    dst = {t: spark.read.parquet(f"{target}/{t}") for t in COPY_TABLES}
-    return replicate.reconcile_copy(src, dst)
+    return replicate.reconcile_loaded(spark, replicate.load_files(spark, src, scratch_path(spark, "elt_target")))
 
 
 @query("elt_reconcile_differences", """
