@@ -8,10 +8,10 @@
    one passage, however many, have the same surroundings and leave it rare
    (at an end of the passage on one side still); an n-gram of a stock phrase
    has different ones in every text.  n-grams that the corpus holds with at
-   most ``RARE`` surroundings are seeds.  Where an item has nothing rarer than stock phrases, runs of
-   ``LONG`` of its words stand in for the n-grams inside them; an item of
-   fewer words keeps its n-grams.  So every stretch of an item that the
-   corpus may hold has a seed, and a stock phrase alone pairs nothing.
+   most ``RARE`` surroundings are seeds.  Every run of ``LONG`` words of an
+   item with a commoner n-gram in it is a seed as well; an item of fewer
+   words keeps its n-grams.  So every stretch of an item that the corpus may
+   hold has a seed, and a stock phrase alone pairs nothing.
 3. A second pass cuts passages out of the documents: the words within the
    longest item's reach of a seed.  Neighbouring hits share a passage; one
    passage holds the hits of at most ``reach`` words, so it is never longer
@@ -24,8 +24,8 @@
    over the item's self-alignment, 0 to 1.  A region is found when it scores
    ``min_score`` and holds a seed of the item.
 
-Both passes test words against Bloom filters of about 16 bits per n-gram, of
-at most ``BLOOM_BITS`` bits: the only thing sent to every task.
+Both passes test words against Bloom filters of ``BITS_PER_GRAM`` bits per
+n-gram, of at most ``BLOOM_BITS`` bits: the only thing sent to every task.
 
 Defined results: null or empty texts and items shorter than ``n`` words match
 nothing; a null doc_id or item_id is reported as null; repeated rows and
@@ -49,9 +49,10 @@ from tidewater.session import materialize
 
 N = 3
 LONG = 8
-RARE = 256
+RARE = 16
 ASIDE = 5
 MIN_SCORE = 0.5
+BITS_PER_GRAM = 512         # so that about one in 60,000 other n-grams passes
 BLOOM_BITS = 1 << 28        # at most 32 MB
 SEED_ROWS = 4096            # hits of one seed that meet its items under one key
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -59,8 +60,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 
 # ------------------------------------------------------------------ bloom
 def _bloom(grams: DataFrame) -> np.ndarray:
-    """Bit words of a filter of about 16 bits per n-gram; what reaches the driver is bounded by BLOOM_BITS."""
-    bits = min(BLOOM_BITS, max(1 << 12, 1 << int(16 * grams.count()).bit_length()))
+    """Bit words of a filter of two slots per n-gram; what reaches the driver is bounded by BLOOM_BITS."""
+    bits = min(BLOOM_BITS, max(1 << 20, 1 << int(BITS_PER_GRAM * grams.count()).bit_length()))
     slots = F.array(F.col("gram").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("gram", 32).bitwiseAND(F.lit(bits - 1)))
     rows = (grams.select(F.explode(slots).alias("s"))
             .groupBy(F.shiftright("s", 6).alias("w"))
@@ -159,8 +160,8 @@ def _seeds(items: DataFrame, docs: DataFrame, n: int) -> DataFrame:
                 none = np.zeros(len(h), np.int64)
                 usual = np.isin(ngram_hashes(h, none, n)[0].view(np.int64), np.array(common.as_py(), np.int64))
                 size = LONG - n + 1
-                whole = np.convolve(usual, np.ones(size, np.int64), "valid") == size if len(usual) >= size else np.zeros(0, bool)
-                out.append(np.unique(ngram_hashes(h, none, LONG)[0][:len(whole)][whole]).view(np.int64))
+                holds = np.convolve(usual, np.ones(size, np.int64), "valid") > 0 if len(usual) >= size else np.zeros(0, bool)
+                out.append(np.unique(ngram_hashes(h, none, LONG)[0][:len(holds)][holds]).view(np.int64))
             yield pa.array(out, pa.list_(pa.int64()))
 
     longer = items.select("item", "words").join(stock, "item").select("item", F.explode(long_grams(F.col("words"), F.col("stock"))).alias("gram"))
