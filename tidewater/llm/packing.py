@@ -49,7 +49,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 POOL = 2048
-CACHE = 600_000
+CACHE = 1_500_000      # words a worker remembers, at about 200 bytes
 MAX_UNIT = 48   # longer words are not remembered
 CHUNK = 1 << 20
 OUT_ROWS = 2048
@@ -100,6 +100,27 @@ class _Known(dict):
         return ids
 
 
+class _Words(_Known):
+    """Ids of a space and the word.  Most words are seen once: the plain ones take the shortest way."""
+
+    def __init__(self, find, merge, space: str):
+        super().__init__(find)
+        self.merge, self.space = merge, space
+
+    def __missing__(self, word: str) -> bytes:
+        if not (word.isascii() and word.isalpha() and len(word) <= MAX_UNIT):
+            return super().__missing__(word)
+        if len(self) >= CACHE:
+            self.clear()
+        ids = [t.id for t in self.merge(self.space + word)]
+        self[word] = out = _PACKED[len(ids)](*ids)
+        return out
+
+
+#: writers of n little-endian unsigned 32-bit integers, for words that are remembered
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(MAX_UNIT + 2)]
+
+
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit integers."""
 
@@ -109,7 +130,7 @@ class Ids:
         self.bytes = _byte_characters()
         self.space = self.bytes[ord(" ")]
         self.merge = self.model.model.tokenize
-        self.words = _Known(self._after_space)  # of a space and the word
+        self.words = _Words(self._after_space, self.merge, self.space)
         self.others = _Known(self._encode)
 
     def of(self, text: str | None) -> bytes:
