@@ -32,9 +32,8 @@ def chunk_starts(n_words: Column, size: int, overlap: int) -> Column:
 
 def chunk_text(df: DataFrame, text_col: str = "text", *, size: int = CHUNK_SIZE,
                overlap: int = CHUNK_OVERLAP, keep: list[str] | None = None,
-               with_count: bool = False, num_partitions: int | None = None) -> DataFrame:
-    """One row per chunk: ``pos`` (0-based within the text) and ``text``
-    (plus ``n_in_text``, the text's chunk count, with ``with_count``).
+               num_partitions: int | None = None) -> DataFrame:
+    """One row per chunk: ``pos`` (0-based within the text) and ``text``.
 
     Row-local: arrays are built and exploded inside each task, so no
     shuffle is needed and each text is processed whole.  Empty texts give
@@ -50,8 +49,7 @@ def chunk_text(df: DataFrame, text_col: str = "text", *, size: int = CHUNK_SIZE,
         return F.when(F.size(w) > 0, texts).otherwise(F.array().cast("array<string>"))
 
     c = spread(df, num_partitions).select(*keep, F.transform(F.array(words(F.col(text_col))), chunks_of)[0].alias("_c"))
-    extra = [F.size("_c").alias("n_in_text")] if with_count else []
-    return c.select(*keep, *extra, F.posexplode("_c").alias("pos", "text"))
+    return c.select(*keep, F.posexplode("_c").alias("pos", "text"))
 
 
 def _sentence_ends(w: Column, size: int) -> Column:
@@ -111,22 +109,21 @@ def chunk_and_number(pages: DataFrame, *, source_col: str = "source", page_col:
     """Chunk every page and number the chunks across all pages of a source
     (page order, then position); id = uuid5('<source>: <index>').
 
-    The chunk table is computed once and written to the shared folder
-    (lineage cut), because both the page offsets and the final rows read
-    it.  The offset of each page is a
-    prefix sum of per-page chunk counts over one narrow row per page,
-    computed by ``prefix_sum`` so a source with very many pages is still
-    spread over many tasks.  ``num_partitions`` spreads a small input before
-    it is chunked.
+    A first pass counts the chunks of each page; the number of a page's first
+    chunk is a prefix sum over these narrow rows, computed by ``prefix_sum``
+    so a source with very many pages is still spread over many tasks.  The
+    numbers are joined to the pages (the one shuffle of the texts), which are
+    chunked in place.  ``num_partitions`` spreads a small input before its
+    chunks are counted.  Pages are told by source and number.
     """
-    from tidewater.session import materialize
-    chunks = materialize(chunk_text(pages, text_col, size=size, overlap=overlap, keep=[source_col, page_col],
-                                    with_count=True, num_partitions=num_partitions), "chunks")
-    per_page = chunks.where(F.col("pos") == 0).select(source_col, page_col, "n_in_text")
-    offs = prefix_sum(per_page, [source_col], page_col, "n_in_text", "_off")
-    out = join_null_safe(chunks, offs.select(source_col, page_col, "_off"), [source_col, page_col])
-    idx = (F.col("_off") + F.col("pos")).cast("int")
-    return out.select(
+    n_words = F.size(words(F.col(text_col)))
+    n_chunks = F.when(n_words > 0, F.size(chunk_starts(n_words, size, overlap))).otherwise(0)
+    per_page = spread(pages.select(source_col, page_col, text_col), num_partitions).select(source_col, page_col, n_chunks.alias("_n")).where("_n > 0")
+    first = prefix_sum(per_page, [source_col], page_col, "_n", "_first").drop("_n")
+    numbered = join_null_safe(pages.select(source_col, page_col, text_col), first, [source_col, page_col])
+    chunks = chunk_text(numbered, text_col, size=size, overlap=overlap, keep=[source_col, page_col, "_first"])
+    idx = (F.col("_first") + F.col("pos")).cast("int")
+    return chunks.select(
         uuid5(F.concat(F.coalesce(F.col(source_col), F.lit("")), F.lit(": "), idx.cast("string"))).alias("id"),
         F.col(source_col).alias("source"), idx.alias("chunk_index"),
         F.col(page_col), F.col(text_col).alias("text"))

@@ -54,11 +54,11 @@ def posting_table(points: DataFrame, *, id_col: str = "id", slots: str = "slots"
     most about ``SAMPLE_ROWS`` points.  Ids must be unique; points without
     components are in no block.  Store the result before searching it.
     """
-    p = (points.select(F.col(id_col).alias("id"), F.col(slots).alias("slots"), F.col(values).alias("values"),
-                       (F.col(norm) if norm else F.lit(1.0)).cast("double").alias("norm"))
-         .where(F.col("id").isNotNull() & (F.size("slots") > 0)))
-    n = points.where(F.col(id_col).isNotNull()).count()
-    every = max(1, n // SAMPLE_ROWS)
+    # written first: an embedder behind a filter or an aggregate would run again for each
+    p = materialize(points.select(F.col(id_col).alias("id"), F.col(slots).alias("slots"), F.col(values).alias("values"),
+                                  (F.col(norm) if norm else F.lit(1.0)).cast("double").alias("norm")), "sparse-points")
+    p = p.where(F.col("id").isNotNull() & (F.size("slots") > 0))
+    every = max(1, p.count() // SAMPLE_ROWS)
     drawn = p.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(every)) == 0).groupBy(_strongest("slots", "values").alias("s")).count().collect()
     many = {r["s"]: -(-r["count"] * every // block_rows) for r in drawn if r["count"] * every > block_rows}
     cuts = F.coalesce(F.create_map(*[F.lit(x) for item in sorted(many.items()) for x in item])[F.col("leader")], F.lit(1)) if many else F.lit(1)

@@ -195,8 +195,8 @@ SELECT query_id,
        count(*) AS n_hits
 FROM hits GROUP BY query_id""")
 def q_rag_context(spark, sf):
-    # ingest: chunk, embed and store the posting lists once; a hit's payload comes from the stored chunks
-    points = chunk_table(spark, sf).select("id", docs.payload(F.col("source"), F.col("text")).alias("payload"))
+    # ingest: chunk and store the points with their payload, embed and store the posting lists, once each; search reads them
+    points = materialize(chunk_table(spark, sf).select("id", docs.payload(F.col("source"), F.col("text")).alias("payload")), "collection")
     postings = materialize(sparse.posting_table(vectors.embed_sparse(points.select("id", "payload.text"), "id", "text", DIM)), "postings")
     qs = vectors.embed_sparse(V.table(spark, sf, "benchmark"), "item_id", "text", DIM)
     hits = sparse.sparse_topk(postings, qs, k=5, qid_col="item_id").join(points, "id")
