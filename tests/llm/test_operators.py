@@ -1,6 +1,7 @@
 """Each operator against a brute-force version or SQL, and on odd rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -354,6 +355,23 @@ def test_licences_match_whole_units(spark, docs):
     assert rows(licenses.scan(d.limit(0), known)) == [] and rows(licenses.scan(d, known.limit(0))) == []
 
 
+def test_whole_licence_texts_are_found(spark):
+    """Long licences by their digests and short ones by their texts, whole, in other spelling and wrapping, not in part."""
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts here")
+    read = lambda n: open(f"{folder}/{n}", encoding="utf-8").read()
+    apache, gpl, mit = read("Apache-2.0"), read("GPL-3"), "\n\n".join(licenses.SHORT[0][2])
+    texts = [apache, gpl.upper(), " ".join(apache.split("END OF TERMS")[0].split()).replace("License", "Licence"), gpl[: len(gpl) // 2], gpl + "\nmore",
+             "MIT License\n\nCopyright (c) 2020 Some One\n\n" + mit, "code\n\n" + mit.replace(" ", "\n# ") + "\n\ncode", mit[: len(mit) // 3]]
+    got = {(r["doc_id"], r["license_id"], r["scope"]) for r in rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+                                                                                licenses.known_licenses(spark)))}
+    assert {g for g in got if g[2] == "document"} == {(0, "Apache-2.0", "document"), (1, "GPL-3.0-only", "document"), (2, "Apache-2.0", "document"), (5, "MIT", "document")}
+    assert {g[0] for g in got if g[1] == "MIT" and g[2] == "paragraph"} == {5, 6}
+    made = {(r["license_id"], r["digest"]) for r in rows(licenses.digests_of(spark.createDataFrame([("Apache-2.0", apache), ("GPL-3.0-only", gpl)], "license_id string, text string")))}
+    assert made <= set(licenses.DIGESTS) and len(made) == 6
+
+
 # ------------------------------------------------------------------ 9
 def brute_fp(text, n=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))

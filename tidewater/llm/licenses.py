@@ -1,6 +1,7 @@
 """Licence scan by canonical digest lookup.
 
-A known licence text and every whole unit of a document (the whole text, each
+Known are notices and short licences by their texts, long licences by the
+digests of theirs.  A known text and every whole unit of a document (the whole text, each
 paragraph, each line) are put in canonical form: lower case, copyright lines
 removed, all punctuation and white space runs made one space, equivalent
 spellings unified.  Lines without a letter or digit, and copyright lines, end
@@ -43,8 +44,70 @@ KNOWN = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
             "granted, provided that the above copyright notice and this permission notice appear in all copies."),
 )
+_WARRANTY = ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+             "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+             "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+             "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+_BSD_START = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+              "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+              "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+              "documentation and/or other materials provided with the distribution.")
+_BSD_NAME = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+             "software without specific prior written permission.")
+_BSD_END = ('THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED '
+            "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+            "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+            "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+            "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+            "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_MIT = ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", _WARRANTY)
+_ISC_END = ('THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+            "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+            "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR "
+            "IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
+# Short licences by paragraph; each is known whole, with and without its title, and by its granting paragraph where that is its own.
+SHORT = (
+    ("MIT", "MIT License", _MIT, _MIT[0]),
+    ("ISC", "ISC License", (KNOWN[-1][1], _ISC_END), None),
+    ("BSD-2-Clause", "BSD 2-Clause License", (*_BSD_START, _BSD_END), None),
+    ("BSD-3-Clause", "BSD 3-Clause License", (*_BSD_START, _BSD_NAME, _BSD_END), None),
+)
+# SHA-256 of the canonical form of long licences: the whole text and, where the text marks their end, the terms with and without that
+# mark.  Made by ``digests_of`` from the texts as distributions ship them.
+DIGESTS = (
+    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
+    ("Apache-2.0", "e9dbf930ca0f1e090ec68da9a37b657d11bc9e43b30643455d6a96dbf73116ca"),
+    ("Apache-2.0", "1d2490e65bade4b7cde700178105759a1eeb6ed401841c01b9ff35e40e55c5ad"),
+    ("Artistic-1.0-Perl", "fe5e2754088225b53b69f1a45c4eecc5c71ab693ce0f9e07644ce6ceaed93d27"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "0c3e4ca5ed7ced6289d3f5d9a83e4100f9f34d87983b17dc5865376a8a0a98f3"),
+    ("GFDL-1.2-only", "bba71682cbb47170bd1134b9909177f56ce792a537f4803fdbbcb1f5990d1cc5"),
+    ("GFDL-1.3-only", "6ec56789cf0703ae8226c238da15e81ca43ac38a3ed35901e899b87661f19ee9"),
+    ("GPL-1.0-only", "a39d7cceab675e14bdc24e269448ac0ed44fdef25178b183064cd4b35b8d2e7b"),
+    ("GPL-1.0-only", "91b305cf86edf86f06cf0d2e2fd9a19411380eed7bcaf9a3cfd5df4653d4fa22"),
+    ("GPL-1.0-only", "623616c29d1b130de555ac918949fb7b05b67711999871d9d8f68d4639e91089"),
+    ("GPL-2.0-only", "9405dc2ae3fe08dea519d5874a1a44bb05d513336aed49976b5030bd5b8f27f6"),
+    ("GPL-2.0-only", "41ba7b30f66484c3c9496407451675398b15ceaf26ae3739656f1e67a76307a3"),
+    ("GPL-2.0-only", "d3a0c7eedaa425615460d9e7ed86b61b2472cc4ff3157a55ed36fb499c78ed2f"),
+    ("GPL-3.0-only", "ac86e13b2d5740f84d1bbf4e79a3cbfb9251f9ab1ee0ee12e4e14f93065a7748"),
+    ("GPL-3.0-only", "517dd583e37510a8e37228e76c398f7673c3739a9f27fb501dd372697781af96"),
+    ("GPL-3.0-only", "345a789265728f358295b8fc86c6cf7b6bbf20c19d24ca9ac7f721f9c9f1d8c0"),
+    ("LGPL-2.0-only", "10c0fcac03e41c6e467cc0747449e4bcf220faaabfc319d96d1b3a5ab8a4dd7c"),
+    ("LGPL-2.0-only", "43056e963ed1b927908f558dfcf4f812f56c6be4630e8da88aa9bfc1660f6d09"),
+    ("LGPL-2.0-only", "cda027fa77665ce4fef4be31ff00ece6993d9cad38c5cec3d188a88f30d0700b"),
+    ("LGPL-2.1-only", "bd49bb08d28463dd11e4ead2a6e2d4c409ff3da7f72b27075e8d980e415d1040"),
+    ("LGPL-2.1-only", "045e8054a0e84e3386fa254424f91424346ad391f2936e3a21e6324a50414391"),
+    ("LGPL-2.1-only", "cefaac061e723e851d78a7256391c29edda0fe7ae144298a80e9671c3296ecc9"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", "82304cb1b78ffc880a47b033204a946a542ba66980c8535015ec0f26bab079fb"),
+)
+TERMS_END = "END OF TERMS AND CONDITIONS"
 # Spellings that mean the same in licence texts.
-EQUIVALENT = (("licence", "license"), ("licenced", "licensed"), ("licensing", "license"), ("sublicence", "sublicense"),
+EQUIVALENT = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licensing", "license"), ("sublicence", "sublicense"),
               ("organisation", "organization"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"),
               ("ver", "version"), ("v", "version"), ("cc by nc", "ccbync"), ("per cent", "percent"), ("copyright holder", "copyright owner"))
 PARAGRAPH_END = r"\n(?: *\n)+"
@@ -72,15 +135,35 @@ def canonical(text: Column) -> Column:
     return _unified(_words(text))
 
 
-def known_licenses(spark: SparkSession, known=KNOWN) -> DataFrame:
-    return spark.createDataFrame(list(known), "license_id string, text string")
+def known_texts() -> list[tuple[str, str]]:
+    """(SPDX id, text) of what is known by its text."""
+    out = list(KNOWN)
+    for name, title, paragraphs, grant in SHORT:
+        body = "\n\n".join(paragraphs)
+        out += [(name, body), (name, f"{title}\n\n{body}"), *([(name, grant)] if grant else [])]
+    return out
+
+
+def known_licenses(spark: SparkSession, known=None, digests=DIGESTS) -> DataFrame:
+    """(license_id, text, digest): one of text and digest is null."""
+    rows = [(i, t, None) for i, t in (known_texts() if known is None else known)] + [(i, None, d) for i, d in (digests if known is None else ())]
+    return spark.createDataFrame(rows, "license_id string, text string, digest string")
+
+
+def digests_of(texts: DataFrame) -> DataFrame:
+    """(license_id, digest) of licence texts (license_id, text): the entries of ``DIGESTS``."""
+    cut = F.instr("text", TERMS_END)
+    parts = F.when(cut > 0, F.array("text", F.substring("text", F.lit(1), cut - 1 + len(TERMS_END)), F.substring("text", F.lit(1), cut - 1))).otherwise(F.array("text"))
+    return texts.select("license_id", F.explode(parts).alias("t")).select("license_id", F.sha2(canonical(F.col("t")), 256).alias("digest"))
 
 
 def scan(docs: DataFrame, licenses: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license_id, scope, n_units): units of a document that are entire known licence texts."""
     # written once: Spark sees how small it is and broadcasts it, or shuffles the digests when it is not
-    digests = materialize(licenses.select("license_id", canonical(F.col("text")).alias("c")).where(F.col("c") != "")
-                          .select("license_id", F.sha2("c", 256).alias("_digest")).distinct(), "license-digests")
+    given = F.col("digest") if "digest" in licenses.columns else F.lit(None).cast("string")
+    digests = materialize(licenses.select("license_id", given.alias("digest"), canonical(F.col("text")).alias("c"))
+                          .select("license_id", F.coalesce("digest", F.when(F.col("c") != "", F.sha2("c", 256))).alias("_digest"))
+                          .where("_digest is not null").distinct(), "license-digests")
     w = F.col("_w")
     unit = lambda scope: (lambda u: F.struct(F.lit(scope).alias("scope"), u.alias("unit")))
     none = F.array().cast("array<struct<scope:string,unit:string>>")

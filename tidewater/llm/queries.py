@@ -192,9 +192,11 @@ def _licenses_sql() -> str:
             t = f"replace({t}, ' {a} ', ' {b} ')"
         return f"trim({t})"
 
-    known = ", ".join(f"('{i}', '{t}')" for i, t in c.KNOWN)
+    known = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in c.known_texts())
+    digests = ", ".join(f"('{i}', '{d}')" for i, d in c.DIGESTS)
     return rf"""
-WITH known AS (SELECT DISTINCT license_id, sha256({unified(words('t'))}) AS d FROM (VALUES {known}) v(license_id, t)),
+WITH known AS (SELECT DISTINCT license_id, sha256({unified(words('t'))}) AS d FROM (VALUES {known}) v(license_id, t)
+          UNION SELECT * FROM (VALUES {digests}) v(license_id, d)),
 w AS (SELECT doc_id, {words('text')} AS w FROM documents WHERE text IS NOT NULL),
 units AS (
   SELECT doc_id, 'document' AS scope, w AS unit FROM w
