@@ -78,32 +78,32 @@ SHORT = (
 # SHA-256 of the canonical form of long licences: the whole text and, where the text marks their end, the terms with and without that
 # mark.  Made by ``digests_of`` from the texts as distributions ship them.
 DIGESTS = (
-    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
-    ("Apache-2.0", "e9dbf930ca0f1e090ec68da9a37b657d11bc9e43b30643455d6a96dbf73116ca"),
-    ("Apache-2.0", "1d2490e65bade4b7cde700178105759a1eeb6ed401841c01b9ff35e40e55c5ad"),
-    ("Artistic-1.0-Perl", "fe5e2754088225b53b69f1a45c4eecc5c71ab693ce0f9e07644ce6ceaed93d27"),
+    ("Apache-2.0", "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184"),
+    ("Apache-2.0", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0"),
+    ("Apache-2.0", "37599287c15c2f2ec060c3c3b55bdf69e3bc7a8aeeb9cd57e18800088789538a"),
+    ("Artistic-1.0-Perl", "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93"),
     ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
     ("CC0-1.0", "0c3e4ca5ed7ced6289d3f5d9a83e4100f9f34d87983b17dc5865376a8a0a98f3"),
-    ("GFDL-1.2-only", "bba71682cbb47170bd1134b9909177f56ce792a537f4803fdbbcb1f5990d1cc5"),
-    ("GFDL-1.3-only", "6ec56789cf0703ae8226c238da15e81ca43ac38a3ed35901e899b87661f19ee9"),
+    ("GFDL-1.2-only", "3779b330e99c7f3bdc3960eb600b6a9f0525a3083a584e007eae51fbfafb9503"),
+    ("GFDL-1.3-only", "ebc843a1ef1c4de8bd430a9c1af32c04434f49e7d50574896fdec45cc13bfc02"),
     ("GPL-1.0-only", "a39d7cceab675e14bdc24e269448ac0ed44fdef25178b183064cd4b35b8d2e7b"),
     ("GPL-1.0-only", "91b305cf86edf86f06cf0d2e2fd9a19411380eed7bcaf9a3cfd5df4653d4fa22"),
     ("GPL-1.0-only", "623616c29d1b130de555ac918949fb7b05b67711999871d9d8f68d4639e91089"),
-    ("GPL-2.0-only", "9405dc2ae3fe08dea519d5874a1a44bb05d513336aed49976b5030bd5b8f27f6"),
-    ("GPL-2.0-only", "41ba7b30f66484c3c9496407451675398b15ceaf26ae3739656f1e67a76307a3"),
-    ("GPL-2.0-only", "d3a0c7eedaa425615460d9e7ed86b61b2472cc4ff3157a55ed36fb499c78ed2f"),
-    ("GPL-3.0-only", "ac86e13b2d5740f84d1bbf4e79a3cbfb9251f9ab1ee0ee12e4e14f93065a7748"),
-    ("GPL-3.0-only", "517dd583e37510a8e37228e76c398f7673c3739a9f27fb501dd372697781af96"),
-    ("GPL-3.0-only", "345a789265728f358295b8fc86c6cf7b6bbf20c19d24ca9ac7f721f9c9f1d8c0"),
-    ("LGPL-2.0-only", "10c0fcac03e41c6e467cc0747449e4bcf220faaabfc319d96d1b3a5ab8a4dd7c"),
-    ("LGPL-2.0-only", "43056e963ed1b927908f558dfcf4f812f56c6be4630e8da88aa9bfc1660f6d09"),
-    ("LGPL-2.0-only", "cda027fa77665ce4fef4be31ff00ece6993d9cad38c5cec3d188a88f30d0700b"),
-    ("LGPL-2.1-only", "bd49bb08d28463dd11e4ead2a6e2d4c409ff3da7f72b27075e8d980e415d1040"),
-    ("LGPL-2.1-only", "045e8054a0e84e3386fa254424f91424346ad391f2936e3a21e6324a50414391"),
-    ("LGPL-2.1-only", "cefaac061e723e851d78a7256391c29edda0fe7ae144298a80e9671c3296ecc9"),
+    ("GPL-2.0-only", "cf74dfa78ca9ac981c7ae9e50c4ecfb828df2e5ef2f1646368388676215766b5"),
+    ("GPL-2.0-only", "c33d2f29477d94c3f3e48ae230c47966a4f4c05a0f6087cf607e1589848d2986"),
+    ("GPL-2.0-only", "255577de4e1e5d93258ddab6c40c41231b97e109d43f4b552501c6d77285763b"),
+    ("GPL-3.0-only", "1586d648cc0a3af2b1181d7c0147880c62dbf50b84b0d049bd2b69600021a97f"),
+    ("GPL-3.0-only", "6cc8b6be633f4b0e03cf2fb9741c1b165b497be5b666f1cad3901fbdf3e138c8"),
+    ("GPL-3.0-only", "fa84ebf9883589b64d35e21c9b9ec18325598fd6975474a4bde27913a0272ac5"),
+    ("LGPL-2.0-only", "1862ecc2c3c5e3b9e88481e95603c88e089c43e9d5702b2ec01391491b606a9e"),
+    ("LGPL-2.0-only", "e29dcc167f8a363847b3c4b0a7ced67d7a2bb7b9112a3311b6877a9c0570d635"),
+    ("LGPL-2.0-only", "b927da98cda221c8fbc56dfd2b6b2e80f6df686482d12dbac6b79da1ce6bb98a"),
+    ("LGPL-2.1-only", "ac0856eb11aebb30c08445444c942c1ddcde9d0a0447c9ed2b8a19ab7d51eba5"),
+    ("LGPL-2.1-only", "2858f5a00f6672bd47f63b69b9bf4e1bc31f3541b08a5a263e59d9b384f72fdc"),
+    ("LGPL-2.1-only", "2a9689b90bf823adea3df9024818d21d6041c74f3f12ab46ac5ac4d86f654b2e"),
     ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
-    ("MPL-2.0", "82304cb1b78ffc880a47b033204a946a542ba66980c8535015ec0f26bab079fb"),
+    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"),
+    ("MPL-2.0", "e7395b2a4928053d99e28f31b0f3291170797effc7bb2a5a024427c653c1b941"),
 )
 TERMS_END = "END OF TERMS AND CONDITIONS"
 # Spellings that mean the same in licence texts.
@@ -111,7 +111,7 @@ EQUIVALENT = (("licence", "license"), ("licences", "licenses"), ("licenced", "li
               ("organisation", "organization"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"),
               ("ver", "version"), ("v", "version"), ("cc by nc", "ccbync"), ("per cent", "percent"), ("copyright holder", "copyright owner"))
 PARAGRAPH_END = r"\n(?: *\n)+"
-COPYRIGHT_LINE = r"(?m)^[^\S\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?m)^[^\S\n]*(?:(?:copyright\b|\(c\))[^\n]*[0-9]{4}|copyright\b[^\n]*(?:\(c\)|©)|©|all rights reserved)[^\n]*$"
 
 
 def _words(text: Column) -> Column:
