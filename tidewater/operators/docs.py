@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import uuid5
 from tidewater.operators.common import join_null_safe, prefix_sum, spread
+from tidewater.session import materialize
 
 # Chunk size and overlap of the ingest splitter.
 CHUNK_SIZE = 1000
@@ -116,9 +117,12 @@ def chunk_and_number(pages: DataFrame, *, source_col: str = "source", page_col:
     chunked in place.  ``num_partitions`` spreads a small input before its
     chunks are counted.  Pages are told by source and number.
     """
-    n_words = F.size(words(F.col(text_col)))
-    n_chunks = F.when(n_words > 0, F.size(chunk_starts(n_words, size, overlap))).otherwise(0)
-    per_page = spread(pages.select(source_col, page_col, text_col), num_partitions).select(source_col, page_col, n_chunks.alias("_n")).where("_n > 0")
+    # written: the range partitioning below reads its input twice, and the texts should be split into words once
+    counted = materialize(spread(pages.select(source_col, page_col, text_col), num_partitions)
+                          .select(source_col, page_col, F.size(words(F.col(text_col))).alias("_words")), "page-words")
+    # the chunks that chunk_starts gives a text of that many words
+    n_chunks = F.greatest(F.lit(1), F.ceil((F.col("_words") - overlap) / F.lit(size - overlap))).cast("long")
+    per_page = counted.where("_words > 0").select(source_col, page_col, n_chunks.alias("_n"))
     first = prefix_sum(per_page, [source_col], page_col, "_n", "_first").drop("_n")
     numbered = join_null_safe(pages.select(source_col, page_col, text_col), first, [source_col, page_col])
     chunks = chunk_text(numbered, text_col, size=size, overlap=overlap, keep=[source_col, page_col, "_first"])
