@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater import schemas, scratch_path, session
-from tidewater.operators import kpi, quality
+from tidewater.operators import kpi, quality, replicate
 from tidewater.sources import files, sinks
 
 # Five seed rows of the score sink (FIXTURES 7).
@@ -191,3 +191,24 @@ def test_message_types(spark):
     df = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(cases)], "i int, value string")
     got = {r.i: (r.violations, r.is_valid) for r in quality.validate_messages(df).collect()}
     assert got == {i: (v, not v) for i, (_, v) in enumerate(cases)}
+
+
+def test_load_and_reconcile_stored_tables(spark, tmp_path):
+    """The manifest's checksums tell a stored table that was changed afterwards; a failing table fails the load."""
+    tables = {n: spark.range(k).select("id", F.concat(F.lit(n), F.col("id").cast("string")).alias("x")) for n, k in (("a", 5), ("b", 0), ("c", 30))}
+    manifest = replicate.load_files(spark, tables, str(tmp_path))
+    assert [(r.table_name, r.n_rows) for r in manifest.collect()] == [("a", 5), ("b", 0), ("c", 30)]
+    same = lambda: {r.table_name: (r.source_rows, r.target_rows, r.matches) for r in replicate.reconcile_loaded(spark, manifest).collect()}
+    assert same() == {"a": (5, 5, True), "b": (0, 0, True), "c": (30, 30, True)}
+    tables["a"].where("id < 4").unionByName(tables["a"].where("id = 0")).write.mode("overwrite").parquet(f"{tmp_path}/a")
+    tables["c"].withColumn("id", F.col("id").cast("int")).write.mode("overwrite").parquet(f"{tmp_path}/c")
+    assert same() == {"a": (5, 5, False), "b": (0, 0, True), "c": (30, 30, False)}
+    broken = tables | {"d": spark.range(3).select(F.raise_error(F.lit("no such table")).alias("x"))}
+    with pytest.raises(Exception, match="no such table"):
+        replicate.load_files(spark, broken, f"{tmp_path}/again")
+
+
+def test_discovered_tables(spark, tmp_path):
+    for name in ("b.parquet", "a.parquet", "_hidden.parquet", "c.csv"):
+        spark.range(2).write.parquet(f"{tmp_path}/{name}")
+    assert replicate.discover_tables(spark, str(tmp_path)) == ["a", "b"]
