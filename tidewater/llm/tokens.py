@@ -5,12 +5,14 @@ spaces start one, and a character that no piece contains (line break, tab,
 ...) stands alone.  ``splits_at_spaces`` checks on the vocabulary that this
 holds; for a model where it does not, whole texts are encoded.
 
-Tier 1: frequent pre-tokens of the whole corpus (each task counts and emits
-its ``TASK_TOP`` most frequent, summed, the ``TABLE`` largest kept) with
-their token counts, sent to every task; its size is bounded by ``TABLE``
-entries of at most ``MAX_CHARS`` characters.  It decides speed only.
+Tier 1: frequent pre-tokens with their token counts, sent to every task; its
+size is bounded by ``TABLE`` entries of at most ``MAX_CHARS`` characters.  They
+are counted in about ``SAMPLE`` rows (each row is drawn or not by its place, so
+copies weigh as they do in the corpus), where they lie: a task sends its
+``TASK_TOP`` most frequent to the driver, which adds up the lists.  The sample
+decides speed only; every text is counted whole.
 Tier 2: other pre-tokens are encoded by the library and remembered in a
-bounded cache of the worker.  Texts and pre-tokens are never shuffled.
+bounded cache of the worker.  Neither texts nor pre-tokens are shuffled.
 
 Counts equal the library's for the whole text: no begin, end or added
 tokens; special strings inside texts are ordinary text.
@@ -34,6 +36,7 @@ from tidewater.llm.textvec import slices
 
 TABLE = 32768
 TASK_TOP = 1024
+SAMPLE = 2048
 MAX_CHARS = 48
 CACHE = 300_000
 
@@ -92,8 +95,8 @@ class TokenCounter:
         return sum(got)
 
 
-def frequent(docs: DataFrame, text: str, *, table: int = TABLE, task_top: int = TASK_TOP) -> list[str]:
-    """The most frequent short pre-tokens over all texts."""
+def frequent(docs: DataFrame, text: str, *, table: int = TABLE, task_top: int = TASK_TOP, sample: int = SAMPLE) -> list[str]:
+    """The most frequent short pre-tokens of a sample; at most ``task_top`` of a task with drawn rows reach the driver."""
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
@@ -106,9 +109,14 @@ def frequent(docs: DataFrame, text: str, *, table: int = TABLE, task_top: int =
         best = [(u, n) for u, n in seen.most_common(2 * task_top) if len(u) <= MAX_CHARS][:task_top]
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["unit", "n"])
 
-    rows = (docs.select(F.col(text)).mapInArrow(tops, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-            .orderBy(F.col("n").desc(), "unit").limit(table).collect())
-    return [r["unit"] for r in rows]
+    every = max(1, docs.count() // sample)
+    drawn = (docs.select(F.col(text).alias("t"), F.monotonically_increasing_id().alias("place"))
+             .where(F.pmod(F.xxhash64("place"), F.lit(every)) == 0).select("t"))
+    total: Counter = Counter()
+    lists = drawn.mapInArrow(tops, "unit string, n long").toArrow()
+    for u, n in zip(lists["unit"].to_pylist(), lists["n"].to_pylist()):
+        total[u] += n
+    return [u for u, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:table]]
 
 
 def token_count(docs: DataFrame, model_path: str, *, text: str = "text", table: int = TABLE) -> Column:
