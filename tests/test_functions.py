@@ -64,3 +64,17 @@ def test_vectors(spark):
 def test_strip_version_prefix(spark):
     df = spark.createDataFrame([("v2",), ("2",), ("V10",)], "v string")
     assert [r[0] for r in df.select(strip_version_prefix("v")).collect()] == ["2", "2", "10"]
+
+
+def test_scratch_folders_have_an_owner(spark, monkeypatch):
+    from tidewater import session
+    monkeypatch.setattr(session, "_scratch", [])
+    kept = session.scratch_path(spark, "kept")
+    session._scratch.clear()  # another process's
+    spark.range(3).write.parquet(kept)
+    mine = session.materialize(spark.range(5), "mine")
+    assert mine.count() == 5 and session.remove_scratch(spark) == 1 and session.remove_scratch(spark) == 0
+    assert spark.read.parquet(kept).count() == 3
+    import pytest
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(mine.inputFiles()[0]).count()

@@ -72,9 +72,29 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: scratch folders that this process handed out
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder below the shared directory."""
-    return f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique folder below the shared directory; it belongs to this process until ``remove_scratch``."""
+    path = f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders that this process handed out; returns their number.
+
+    For the end of a job: frames that read them, and streams that write them,
+    are of no use afterwards.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_scratch)
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 #: called with (name, frame) before a stage is written: lets tests and reports see plans that a returned frame no longer shows
