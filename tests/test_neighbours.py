@@ -106,3 +106,19 @@ def test_bounds_never_exceed_distances():
             assert (bound[:, c] <= nearest + 1e-9).all()
         else:
             assert np.isinf(bound[:, c]).all()
+
+
+def test_rows_alone_in_their_cell_and_a_centre_without_rows(spark, monkeypatch):
+    """A row without a bound visits every cell that holds rows, and none that holds none."""
+    rows = [(i, [float(i), 0.0]) for i in range(40)]
+    fitted = neighbours._fitted
+
+    def with_empty_cell(*a):
+        centre, pivot = fitted(*a)
+        return np.vstack([centre, [[1e6, 1e6]]]), pivot
+
+    monkeypatch.setattr(neighbours, "_fitted", with_empty_cell)
+    stats: dict = {}
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(2)
+    same(found(nearest_neighbours(df, k=3, block_rows=2, stats=stats)), brute(rows, 3))
+    assert 0 <= stats["pairs_skipped"] <= 1

@@ -174,7 +174,8 @@ def _visits(bounded: DataFrame, cells: Cells) -> DataFrame:
                 part = batch.slice(lo, STRIP)
                 home, reach = part.column("cell").to_numpy(), part.column("reach").to_numpy()
                 bound = lower_bounds(_vectors(part.column("v")), home, cells)
-                row, cell = np.nonzero(bound <= (reach + _SLACK * cells.scale)[:, None])
+                # an unbounded reach does not take a row to cells without rows
+                row, cell = np.nonzero((bound <= (reach + _SLACK * cells.scale)[:, None]) & np.isfinite(bound))
                 for at in range(0, len(row), 8192):
                     some = part.select(["vid", "v", "need", "reach"]).take(pa.array(row[at:at + 8192]))
                     yield pa.RecordBatch.from_arrays([*some.columns, pa.array(cell[at:at + 8192].astype(np.int32))], schema.names)
