@@ -122,3 +122,26 @@ def test_rows_alone_in_their_cell_and_a_centre_without_rows(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(2)
     same(found(nearest_neighbours(df, k=3, block_rows=2, stats=stats)), brute(rows, 3))
     assert 0 <= stats["pairs_skipped"] <= 1
+
+
+def test_a_row_goes_to_a_bundle_of_cells_once(spark):
+    """Where nothing can be pruned, what is stored and shuffled follows the bundles, not the cells."""
+    from tidewater import session
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(600, 12))
+    rows, stats, seen = [(i, x[i].tolist()) for i in range(600)], {}, {}
+    session.stage_observers.append(lambda name, df: seen.update({name: df.count()} if name == "nn-visits" else {}))
+    try:
+        near = nearest_neighbours(spark.createDataFrame(rows, "id long, vector array<double>").repartition(4), k=3, block_rows=4, stats=stats)
+        same(found(near), brute(rows, 3))
+    finally:
+        session.stage_observers.pop()
+    assert stats["cells"] > 100 and stats["skipped"] < 0.5
+    assert seen["nn-visits"] <= 600 * 40
+
+
+def test_bundles_hold_neighbouring_cells_of_bounded_size():
+    centre = np.array([[float(i), 0.0] for i in range(10)])
+    got = neighbours.bundles(centre, {i: 10 for i in range(9)} | {9: 500}, 30)
+    assert all(sum((got == b)[:9]) <= 3 for b in set(got)) and sum(got == got[9]) == 1
+    assert (np.diff(got) >= 0).all()
