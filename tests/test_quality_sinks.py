@@ -212,3 +212,18 @@ def test_discovered_tables(spark, tmp_path):
     for name in ("b.parquet", "a.parquet", "_hidden.parquet", "c.csv"):
         spark.range(2).write.parquet(f"{tmp_path}/{name}")
     assert replicate.discover_tables(spark, str(tmp_path)) == ["a", "b"]
+
+
+def test_messages_of_one_file_are_parsed_by_all_cores(spark, tmp_path):
+    """One file of one row group: messages are made and parsed in as many tasks as there are cores."""
+    from tidewater.plans import q_quality
+    spark.range(200).selectExpr("id AS event_id", "id % 7 AS user_id", "'view' AS event_type", "CAST(id AS DOUBLE) AS value",
+                                "TIMESTAMP_NTZ '2025-01-01 00:00:00' AS ts", "concat('{\"k\": ', id % 100, '}') AS props"
+                                ).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    out = q_quality.q_validate_messages(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and out.count() == 200
+
+
+def test_message_is_parsed_once(spark):
+    df = quality.validate_messages(spark.createDataFrame([("{}",)], "value string"))
+    assert df._jdf.queryExecution().analyzed().toString().lower().count("parse_json") == 1

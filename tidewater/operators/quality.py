@@ -3,6 +3,7 @@ and source/target reconciliation."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -42,10 +43,14 @@ def max_length(col: str, n: int) -> Rule:
     return Rule(f"length:{col}<={n}", F.coalesce(F.char_length(F.col(col)) > n, F.lit(False)))
 
 
+def violated(rules: list[Rule]) -> Column:
+    """ARRAY<STRING> of the names of the rules that a row violates."""
+    return F.array_compact(F.array(*[F.when(r.fails, F.lit(r.name)) for r in rules]))
+
+
 def with_violations(df: DataFrame, rules: list[Rule], out: str = "violations") -> DataFrame:
     """Add an ARRAY<STRING> of the names of the rules each row violates."""
-    arr = F.array(*[F.when(r.fails, F.lit(r.name)) for r in rules])
-    return df.withColumn(out, F.array_compact(arr))
+    return df.withColumn(out, violated(rules))
 
 
 def rule_summary(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -118,44 +123,65 @@ WHOLE = r"BIGINT|BOOLEAN"
 NUMBER = r"BIGINT|BOOLEAN|DOUBLE|DECIMAL\(.*\)"
 
 
-def message_rules(value: Column) -> list[Rule]:
-    """Contract of a scored result on its raw JSON text, types included.
+#: the fields whose number, and whose truth value or time, the contract looks at
+NUMBERS = ["prediction", "fraud_probability"]
+
+
+def message_parts(value: Column) -> Column:
+    """What the rules ask of a raw JSON message, each worked out once: a struct of ``object``, ``kind_*``, ``number_*``, ``flag``, ``stamp``.
 
     The message is parsed once as a VARIANT, which keeps how a value was
     written: ``1``, ``1.0``, ``"1"`` and ``true`` are a whole number, a
     decimal, a text and a truth value.  A field that is there but null has no
-    type.  Only a message with all fields is looked into; text that is no JSON
+    type.
+    """
+    def parts(v: Column) -> Column:
+        number = lambda c: F.try_variant_get(v, f"$.{c}", "double")
+        return F.struct(
+            F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("object"),
+            *[F.schema_of_variant(F.variant_get(v, f"$.{c}", "variant")).alias(f"kind_{c}") for c in SCORED_REQUIRED],
+            *[number(c).alias(f"number_{c}") for c in NUMBERS],
+            F.try_variant_get(v, "$.is_fraud", "boolean").alias("flag"),
+            F.try_to_timestamp(F.try_variant_get(v, "$.scored_at", "string")).alias("stamp"))
+
+    return _once(F.try_parse_json(value), parts)
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` bound to a name: it is worked out once a row however often ``f`` uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def message_rules(m: Column) -> list[Rule]:
+    """Contract of a scored result on the parts ``m`` of its raw JSON text (``message_parts``), types included.
+
+    Only a message with all fields is looked into; text that is no JSON
     object, or repeats a field, is unparseable.
     """
-    v = F.try_parse_json(value)
-    field = lambda c: F.variant_get(v, f"$.{c}", "variant")
-    kind = lambda c: F.schema_of_variant(field(c))
-    number = lambda c: F.try_variant_get(v, f"$.{c}", "double")
+    is_object = m["object"]
+    kind, number = lambda c: m[f"kind_{c}"], lambda c: m[f"number_{c}"]
     typed = lambda c, pattern: F.coalesce(kind(c).rlike(f"^({pattern})$"), F.lit(False))
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     missing = {c: is_object & kind(c).isNull() for c in SCORED_REQUIRED}
     whole = is_object
-    for m in missing.values():
-        whole = whole & ~m
+    for c in SCORED_REQUIRED:
+        whole = whole & kind(c).isNotNull()
     zero_or_one = typed("prediction", WHOLE) & number("prediction").isin(0.0, 1.0)
-    flag = F.try_variant_get(v, "$.is_fraud", "boolean")
-    stamp = F.try_to_timestamp(F.try_variant_get(v, "$.scored_at", "string"))
     return [
         Rule("unparseable", ~is_object),
-        *[Rule(f"missing:{c}", m) for c, m in missing.items()],
+        *[Rule(f"missing:{c}", gone) for c, gone in missing.items()],
         Rule("prediction_int", whole & ~typed("prediction", WHOLE)),
         Rule("prediction_in_0_1", whole & typed("prediction", WHOLE) & ~number("prediction").isin(0.0, 1.0)),
         Rule("probability_number", whole & ~typed("fraud_probability", NUMBER)),
         Rule("probability_in_0_1", whole & typed("fraud_probability", NUMBER) & ~number("fraud_probability").between(0, 1)),
         Rule("is_fraud_boolean", whole & ~typed("is_fraud", "BOOLEAN")),
-        Rule("is_fraud_matches_prediction", whole & typed("is_fraud", "BOOLEAN") & zero_or_one & (flag != (number("prediction") == 1.0))),
+        Rule("is_fraud_matches_prediction", whole & typed("is_fraud", "BOOLEAN") & zero_or_one & (m["flag"] != (number("prediction") == 1.0))),
         Rule("model_version_int_or_text", whole & ~typed("model_version", f"{WHOLE}|STRING")),
-        Rule("scored_at_iso", whole & (~typed("scored_at", "STRING") | stamp.isNull()))]
+        Rule("scored_at_iso", whole & (~typed("scored_at", "STRING") | m["stamp"].isNull()))]
 
 
 def validate_messages(df: DataFrame, value_col: str = "value") -> DataFrame:
     """Add ``violations`` and ``is_valid`` for raw JSON messages (``message_rules``); a null message is unparseable."""
-    out = with_violations(df, message_rules(F.col(value_col)))
+    out = df.withColumn("violations", _once(message_parts(F.col(value_col)), lambda m: violated(message_rules(m))))
     return out.withColumn("is_valid", F.size("violations") == 0)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.operators import curation, quality, replicate
+from tidewater.operators.common import spread
 from tidewater.plans import views as V
 from tidewater.plans.oracles import with_views
 from tidewater.plans.registry import query
@@ -159,7 +160,9 @@ SELECT transaction_id, CASE WHEN NOT ok THEN 'unparseable' WHEN tp IS NULL THEN
 FROM r""", "scores_v"))
 def q_validate_messages(spark, sf):
     """Types and values of raw scored messages: numbers as text, decimals, truth values, nulls, broken JSON."""
-    m = V.scores_v(spark, sf).select("transaction_id", F.expr(MESSAGE).alias("value"))
+    # one file may scan as one task: its narrow rows are dealt before messages are written and parsed
+    rows = spread(V.scores_v(spark, sf).select("transaction_id", "id", "prediction"), V.wide(spark, sf, "events"))
+    m = rows.select("transaction_id", F.expr(MESSAGE).alias("value"))
     return quality.validate_messages(m).select("transaction_id", F.array_join("violations", ",").alias("violations"))
 
 
