@@ -127,21 +127,24 @@ def _score_blocks(asked: DataFrame, queries: DataFrame, postings: DataFrame, k:
             ok = np.arange(len(i)) - np.searchsorted(i, np.arange(len(strip)))[i] < top
             yield [strip[x]["qid"] for x in i[ok]], j[ok], scores[i[ok], j[ok]]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q_type = batch.schema.field("asking").type.value_type.field("qid").type
+    def score(table: pa.Table) -> pa.Table:
+        # a block at a time: an Arrow batch of blocks would hold as many as its rows allow, whatever their size
+        q_type, out = table.schema.field("asking").type.value_type.field("qid").type, []
+        for batch in table.to_batches():
             for r in range(batch.num_rows):
                 one = lambda c: batch.column(c)[r].values  # noqa: E731, B023
                 row = {"asking": batch.column("asking")[r].as_py(), **{c: one(c).to_numpy() for c in ("slots", "ends", "norms")}}
                 ids = one("ids")
                 for qids, at, scores in block_scores(row, one("at").to_numpy(), one("values").to_numpy()):
-                    yield pa.RecordBatch.from_arrays([pa.array(qids, q_type), ids.take(pa.array(at)), pa.array(scores)], schema.names)
+                    out.append(pa.RecordBatch.from_arrays([pa.array(qids, q_type), ids.take(pa.array(at)), pa.array(scores)], schema.names))
+        kinds = [q_type, table.schema.field("ids").type.value_type, pa.float64()]
+        return pa.Table.from_batches(out, pa.schema(list(zip(schema.names, kinds))))
 
     deal = F.pmod(F.xxhash64("qid"), F.lit(parts))
     asking = (asked.join(queries, "qid").groupBy("block", deal.alias("part"))
               .agg(F.collect_list(F.struct("qid", "slots", "values", "norm")).alias("asking")))
     return (asking.join(postings.select("block", "ids", "slots", "ends", "at", "values", "norms"), "block")
-            .select("asking", "ids", "slots", "ends", "at", "values", "norms").mapInArrow(score, schema))
+            .groupBy("block", "part").applyInArrow(score, schema))
 
 
 def sparse_topk(postings: DataFrame, queries: DataFrame, *, k: int = TOP_K, qid_col: str = "query_id", slots: str = "slots",
