@@ -93,3 +93,28 @@ def test_embedder_of_the_callers_own(spark):
     assert out == {i: None if i == 3 else [float(i), 1.0] for i in range(7)}
     with pytest.raises(Exception, match="the embedder returned"):
         vectors.embed_with(df, "id", lambda t: np.zeros((len(t), 3)), dim=2).collect()
+
+
+def test_token_lists_are_added_up_in_bounded_runs(spark, monkeypatch):
+    """Runs cover every row once, hold one long row or few tokens, and give the vectors of the whole batch."""
+    import pyarrow as pa
+    monkeypatch.setattr(vectors, "SLICE_TOKENS", 10)
+    rows = [["a"] * n if n is not None else None for n in (3, 4, 25, 0, None, 6, 6, 1)]
+    batch = pa.array([["x"], *rows], pa.list_(pa.string())).slice(1)
+    runs = list(vectors._slices(batch))
+    assert [r for run in runs for r in run.to_pylist()] == rows
+    assert all(len(run) == 1 or sum(len(r or []) for r in run.to_pylist()) <= 10 for run in runs)
+    assert list(vectors._slices(pa.array([], pa.list_(pa.string())))) == []
+    sizes = [len(vectors._hashed(run, vectors._TokenCodes(8), 8)[3]) for run in runs]
+    assert sum(sizes) == len(rows)
+
+
+def test_a_task_scores_one_block_at_a_time(spark, monkeypatch):
+    """However many blocks an Arrow batch could hold, the scorer is handed one."""
+    from pyspark.sql import DataFrame
+    points = spark.createDataFrame([(f"p{i}", [i % 5, 7], [1.0, 0.5]) for i in range(60)], POINTS)
+    queries = spark.createDataFrame([(1, [1, 7], [1.0, 1.0])], QUERIES)
+    table = sparse.posting_table(points, norm=None, block_rows=4)
+    monkeypatch.setattr(DataFrame, "mapInArrow", None)  # batches of many blocks come this way
+    got = sparse.sparse_topk(table, queries, k=3, norm=None).orderBy("rank").collect()
+    assert [r["id"] for r in got] == ["p1", "p11", "p16"]

@@ -64,6 +64,20 @@ def _hashed(batch: pa.Array, codes: _TokenCodes, dim: int) -> tuple[np.ndarray,
     return row, cell % dim, total, np.sqrt(np.bincount(row, total * total, len(batch)))
 
 
+#: tokens that are hashed and added up at a time
+SLICE_TOKENS = 1 << 18
+
+
+def _slices(batch: pa.Array) -> Iterator[pa.Array]:
+    """A batch of token lists in runs of rows of at most about ``SLICE_TOKENS`` tokens (one row at least): bounds a worker's memory."""
+    ends = batch.offsets.to_numpy()
+    lo = 0
+    while lo < len(batch):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE_TOKENS, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.ListArray:
     """One list per row from values in row order."""
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), pa.array(values))
@@ -82,7 +96,7 @@ def embed_hashing(df: DataFrame, id_col: str, text_col: str = "text", dim: int =
     @F.arrow_udf("array<double>")
     def dense(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codes = _TokenCodes(dim)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             row, slot, value, norm = _hashed(batch, codes, dim)
             full = np.zeros(len(batch) * dim)
             full[row * dim + slot] = value / norm[row]
@@ -101,7 +115,7 @@ def embed_sparse(df: DataFrame, id_col: str, text_col: str = "text", dim: int =
     @F.arrow_udf("struct<slots: array<int>, values: array<float>, norm: double>")
     def sparse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codes = _TokenCodes(dim)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             row, slot, value, norm = _hashed(batch, codes, dim)
             yield pa.StructArray.from_arrays([_lists(slot.astype(np.int32), row, len(batch)), _lists(value.astype(np.float32), row, len(batch)),
                                               pa.array(norm)], ["slots", "values", "norm"])
