@@ -172,3 +172,69 @@ def test_smote_parity_with_repeated_keys_and_many_blocks(spark):
         counts = {(r.y, r.is_synthetic): r["count"] for r in out.groupBy("y", "is_synthetic").count().collect()}
         assert counts == {(0, False): 1234, (1, False): 500, (1, True): 734}
         assert out.where("is_synthetic and (_neighbour is null or _parent is null)").count() == 0
+
+
+def test_class_weight_does_not_shuffle_the_rows(spark):
+    """Also where Spark cannot tell that there are few classes: a large table's estimate is above any threshold."""
+    df = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)] + [(99, None)], "a long, y int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ml.with_class_weight(df, "y")
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.y, r.weight) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {(0, 41 / (3 * 30)), (1, 41 / (3 * 10)), (None, None)} and out.count() == 41
+
+
+def test_forest_keeps_no_node_ids_and_grows_the_same_trees(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.random(), rnd.random(), 0) for _ in range(300)]
+    df = spark.createDataFrame([(a, b, int(a * b > 0.3)) for a, b, _ in rows], "a double, b double, y int").coalesce(2)
+    plain, cached = (ml.train_forest(df, ["a", "b"], "y", numTrees=4, **kw).stages[-1] for kw in ({}, {"cacheNodeIds": True}))
+    trees = lambda m: m.toDebugString.split("\n", 1)[1]
+    assert not plain.getCacheNodeIds() and cached.getCacheNodeIds() and trees(plain) == trees(cached)
+
+
+def test_training_leaves_its_frame_and_the_copies_only(spark, tmp_path):
+    """The tables of the neighbour search are gone before the forest is fitted, and no row is stored twice."""
+    import datetime
+    import os
+    from tidewater import session
+    from tidewater.plans import q_ml
+    rnd = random.Random(4)
+    rows = [(i, 1, float(rnd.randrange(1, 51)), rnd.randrange(11) / 100, rnd.randrange(9) / 100, rnd.random() * 1e4, "N",
+             datetime.date(1995, 1, 1) + datetime.timedelta(rnd.randrange(900))) for i in range(500)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, "
+                                "l_extendedprice double, l_returnflag string, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    first, stored = len(session._scratch), []
+    session.stage_observers.append(lambda name, df: stored.append(name))
+    try:
+        _, _, balanced, split = q_ml.train(spark, str(tmp_path))
+    finally:
+        session.stage_observers.pop()
+    left = {os.path.basename(p).rsplit("-", 1)[0] for p in session._scratch[first:]}
+    assert "nn-visits" in stored and "train_copies" in stored and "train_balanced" not in stored
+    assert {"training_frame", "train_copies", "forest"} <= left and not {n for n in left if n.startswith(("nn-", "smote"))}
+    n = {r.is_fraud: r["count"] for r in balanced.groupBy("is_fraud").count().collect()}
+    assert n[0] == n[1] == split.where("split = 'train' and is_fraud = 0").count() and split.count() == 500
+
+
+def test_interim_keeps_what_it_names(spark):
+    import os
+    import pytest
+    from tidewater import session
+    was = spark.conf.get(session._DROP_SHUFFLES, None)
+    df = spark.range(100)
+    with session.interim(spark, "outer"):
+        outer = session.materialize(df, "outer", file_rows=30)
+        with session.interim(spark, "inner"):
+            gone, inner = session.materialize(df, "gone"), session.materialize(df.repartition(3), "inner")
+        assert inner.count() == 100 and not os.path.exists(gone.inputFiles()[0].removeprefix("file://"))
+    assert outer.count() == 100 and len(outer.inputFiles()) >= 4 and spark.conf.get(session._DROP_SHUFFLES, None) == was
+    assert not os.path.exists(inner.inputFiles()[0].removeprefix("file://"))
+    with pytest.raises(ValueError), session.interim(spark):
+        made = session.materialize(df, "made")
+        raise ValueError
+    assert not os.path.exists(made.inputFiles()[0].removeprefix("file://")) and session._inside.paths is None
