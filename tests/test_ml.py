@@ -238,3 +238,98 @@ def test_interim_keeps_what_it_names(spark):
         made = session.materialize(df, "made")
         raise ValueError
     assert not os.path.exists(made.inputFiles()[0].removeprefix("file://")) and session._inside.paths is None
+
+
+def _forest_rows(spark, n=4000, seed=5):
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    rows = [(float(a), float(b), float(c), int((a * b > 0.3) != (rng.random() < 0.05))) for a, b, c in rng.random((n, 3))]
+    return spark.createDataFrame(rows, "a double, b double, c double, y int").coalesce(3)
+
+
+def test_forest_splits_are_the_best_by_brute_force(spark):
+    """Every node's rows, class weights and split, recomputed row by row from the stored tree and the tree's bootstrap."""
+    import numpy as np
+    from tidewater.operators import forest
+    for weights in ({0: 0.5, 1: 2.0}, None):
+        df = _forest_rows(spark, 600).withColumn("w", F.when(F.col("y") == 1, 2.0).otherwise(0.5) if weights else F.col("a") + 0.5)
+        data = forest.pack(df.withColumn("y", F.col("y").cast("double")), ["a", "b", "c"], "y", "w", 32, 42)
+        assert (data.class_weight is not None) == (weights is not None)
+        tree = forest.grow(data, trees=2, depth=4, least=5, subset=3, seed=42)[1]
+        x, y, w = [], [], []
+        for b in data.blocks.collect():
+            code = np.frombuffer(b.codes, np.uint8).reshape(b.rows, 3)
+            at, times = forest.bootstrap(42, 1, b.block, b.rows)
+            cw = np.frombuffer(b.weight) if data.class_weight is None else data.class_weight[code[:, 0] % 2]
+            again = np.repeat(at, times.astype(int))
+            x.append(code[again] // 2), y.append(code[again, 0] % 2), w.append(cw[again])
+        x, y, w = np.concatenate(x), np.concatenate(y), np.concatenate(w)
+        rows = {0: np.arange(len(y))}
+        for node in range(len(tree.feature)):
+            r = rows[node]
+            stats = np.array([w[r][y[r] == k].sum() for k in (0, 1)])
+            assert tree.raw[node] == len(r) and np.allclose(tree.stats[node], stats)
+            if tree.feature[node] < 0:
+                continue
+            left = x[r, tree.feature[node]] <= tree.bin[node]
+            rows[tree.left[node]], rows[tree.left[node] + 1] = r[left], r[~left]
+            best = -1.0
+            for f in range(3):
+                for b in range(31):
+                    go = x[r, f] <= b
+                    if min(go.sum(), (~go).sum()) < 5:
+                        continue
+                    part = [np.array([w[r][s & (y[r] == k)].sum() for k in (0, 1)]) for s in (go, ~go)]
+                    gain = forest.gini(stats) - sum(p.sum() / stats.sum() * forest.gini(p) for p in part)
+                    best = max(best, float(gain))
+            assert abs(best - tree.gain[node]) < 1e-9
+
+
+def test_forest_is_as_good_as_that_of_spark_ml(spark):
+    """Other draws, the same method: hold-out AUC, number of nodes and importances are close."""
+    import numpy as np
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    df, test = _forest_rows(spark).cache(), _forest_rows(spark, 3000, 6).cache()
+    conf = dict(numTrees=20, maxDepth=6, minInstancesPerNode=5, featureSubsetStrategy="sqrt")
+    ours = ml.train_forest(df, ["a", "b", "c"], "y", **conf)
+    theirs = Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "c"], outputCol="_features", handleInvalid="keep"), RandomForestClassifier(
+        featuresCol="_features", labelCol="y", seed=42, probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction", **conf)]).fit(df)
+    auc = [ml.roc_auc(ml.score(m, test), "fraud_probability", "y").first().roc_auc for m in (ours, theirs)]
+    a, b = (m.stages[-1] for m in (ours, theirs))
+    assert abs(auc[0] - auc[1]) < 0.02 and min(auc) > 0.85
+    assert 0.7 < a.totalNumNodes / b.totalNumNodes < 1.4 and a.getNumTrees == b.getNumTrees == 20
+    assert np.abs(a.featureImportances.toArray() - b.featureImportances.toArray()).max() < 0.1
+
+
+def test_forest_passes_are_not_row_at_a_time(spark):
+    """The rows are packed once, into one stored table; before, nothing was packed."""
+    from tidewater import session
+    seen = []
+    session.stage_observers.append(lambda name, df: seen.append(name))
+    try:
+        ml.train_forest(_forest_rows(spark, 500), ["a", "b", "c"], "y", numTrees=3, maxDepth=2)
+    finally:
+        session.stage_observers.pop()
+    assert seen == ["forest_blocks"]
+
+
+def test_scores_by_arrays_are_those_of_the_stored_model(spark, tmp_path):
+    df = _forest_rows(spark)
+    model = ml.train_forest(df, ["a", "b", "c"], "y", numTrees=15, save_to=f"{tmp_path}/model")
+    ml.save_model(model, str(tmp_path), ["a", "b", "c"], None, spark)
+    again = ml.load_model(spark, str(tmp_path))[0]
+    odd = df.withColumn("a", F.when(F.col("b") < 0.1, None).when(F.col("b") < 0.2, float("nan")).when(F.col("b") < 0.22, float("inf")).otherwise(F.col("a")))
+    fast = ml.score(again, odd)
+    assert again._scorer is not None and "ArrowEvalPython" in fast._jdf.queryExecution().executedPlan().toString()
+    again._scorer = None
+    slow = ml.score(again, odd)
+    assert fast.dtypes == slow.dtypes and fast.exceptAll(slow).isEmpty() and slow.exceptAll(fast).isEmpty()
+
+
+def test_smote_hashes_a_copy_once(spark):
+    """The draw of a copy is a column of its own; inside the lambda it was hashed again for every component."""
+    df = spark.createDataFrame([(i, [float(i), float(i * i % 7)], int(i < 5)) for i in range(20)], "id long, x array<double>, y int")
+    plan = ml.smote(df, "x", "y", ["id"], k=2)._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" in plan and "md5" not in plan.split("zip_with(", 1)[1].split("\n", 1)[0]

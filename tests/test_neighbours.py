@@ -145,3 +145,27 @@ def test_bundles_hold_neighbouring_cells_of_bounded_size():
     got = neighbours.bundles(centre, {i: 10 for i in range(9)} | {9: 500}, 30)
     assert all(sum((got == b)[:9]) <= 3 for b in set(got)) and sum(got == got[9]) == 1
     assert (np.diff(got) >= 0).all()
+
+
+def test_bounds_within_reach_are_the_same_in_any_strips():
+    """A cell that a row's reach allows has the bound it has without a reach; none that it allows is lost."""
+    import numpy as np
+    from tidewater.operators import neighbours as N
+    rng = np.random.default_rng(3)
+    rows = rng.random((700, 4))
+    centre = N.fit_centres(rows, 60, 1)
+    pivot, home = N.far_apart(centre, 8), N._square(rows, centre).argmin(1)
+    out, to = np.sqrt(N._square(rows, centre))[np.arange(700), home], np.sqrt(N._square(rows, pivot))
+    of = lambda f, v: np.stack([f(v[home == c], axis=0) for c in range(len(centre))])
+    cells = N.Cells(centre, pivot, of(np.max, out), of(np.min, to), of(np.max, to), 3.0, of(np.min, rows), of(np.max, rows))
+    whole = N.lower_bounds(rows, home, cells)
+    reach = np.where(np.arange(700) % 50 == 0, np.inf, 0.12)
+    was = N.BOUND_VALUES
+    try:
+        for N.BOUND_VALUES in (1, 4000, 1 << 30):
+            near = N.lower_bounds(rows, home, cells, reach=reach)
+            slack = (reach + N._SLACK * cells.scale)[:, None]
+            assert ((near <= slack) == (whole <= slack)).all() and np.allclose(np.where(whole <= slack, near, 0), np.where(whole <= slack, whole, 0))
+    finally:
+        N.BOUND_VALUES = was
+    assert (whole > 0.12).mean() > 0.5

@@ -7,13 +7,14 @@ import json
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import seeded_bucket
+from tidewater.operators import forest
 from tidewater.operators.common import prefix_sum, spread
 from tidewater.session import materialize
 
@@ -79,8 +80,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight of each row's class (one row per class, which is broadcast: the rows are not shuffled)."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(out))
+    """Attach the balanced weight of each row's class (one row per class, counted
+    once however often the result is read, and broadcast: the rows are not shuffled)."""
+    w = materialize(class_weights(df, label).select(label, F.col("weight").alias(out)), "class_weight")
     return df.join(F.broadcast(w), label, "left")
 
 
@@ -131,10 +133,14 @@ def classification_metrics(df: DataFrame, prediction: str, label: str,
 def train_forest(train: DataFrame, features: list[str], label: str, *, weight_col: str | None = None,
                  seed: int = SEED, save_to: str | None = None, num_partitions: int | None = None,
                  **params) -> PipelineModel:
-    """Random forest (Spark ML, distributed histograms) behind a feature
-    assembler; returns one ``PipelineModel`` (features + model together).
+    """Random forest behind a feature assembler; returns one
+    ``PipelineModel`` (features + model together).
 
-    The fitted model is written to ``save_to`` (default: a new folder in
+    The trees are grown by ``operators.forest`` (Spark ML's method over packed
+    blocks) and stored as a Spark ML model.  Settings that it does not know,
+    as another impurity, are fitted by Spark ML itself.
+
+    The model is written to ``save_to`` (default: a new folder in
     the shared directory) and the re-loaded copy is returned: it carries no
     training summary, whose session reference cannot be serialised into
     tasks once the session has used observations.
@@ -148,26 +154,40 @@ def train_forest(train: DataFrame, features: list[str], label: str, *, weight_co
                                 predictionCol="_prediction", **conf)
     if weight_col:
         rf = rf.setWeightCol(weight_col)
-    data = train.withColumn(label, F.col(label).cast("double"))
-    if num_partitions:  # dealt anew: kept, as the forest reads its rows more than once
-        data = spread(data, num_partitions).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = Pipeline(stages=[va, rf]).fit(data)
-    finally:
-        if num_partitions:
-            data.unpersist()
+    data = spread(train.withColumn(label, F.col(label).cast("double")), num_partitions)
     if not save_to:
         from tidewater.session import scratch_path
         save_to = scratch_path(train.sparkSession, "forest_model")
-    model.write().overwrite().save(save_to)
-    model = PipelineModel.load(save_to)
-    model._saved_path = save_to
+    if set(conf) <= forest.KNOWN:
+        forest.fit(data, features, label, weight_col, va, rf, save_to)
+    else:
+        data = data.persist(StorageLevel.MEMORY_AND_DISK) if num_partitions else data  # dealt anew: kept, as the forest reads its rows more than once
+        try:
+            Pipeline(stages=[va, rf]).fit(data).write().overwrite().save(save_to)
+        finally:
+            if num_partitions:
+                data.unpersist()
+    return _loaded(train.sparkSession, save_to)
+
+
+def _loaded(spark: SparkSession, path: str) -> PipelineModel:
+    """The stored pipeline, with its trees as arrays for ``score``."""
+    model = PipelineModel.load(path)
+    model._saved_path = path
+    first, last = model.stages[0], model.stages[-1]
+    # what scoring by arrays stands for: an assembler that keeps nulls before a forest without thresholds
+    if (len(model.stages) == 2 and isinstance(first, VectorAssembler) and first.getHandleInvalid() == "keep"
+            and isinstance(last, RandomForestClassificationModel) and last.numClasses > 1 and not last.isDefined("thresholds")):
+        model._scorer = forest.read_model(spark, path, first.getInputCols())
     return model
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Model output as plain columns: prediction (int) and class-1 probability
-    (hard label when the model has no probabilities)."""
+    (hard label when the model has no probabilities).  A stored forest of ours
+    is scored by arrays, to the same values; any other model by itself."""
+    if getattr(model, "_scorer", None) is not None:
+        return forest.scored(model._scorer, df)
     out = model.transform(df)
     prob = (vector_to_array(F.col("_probability"))[1] if "_probability" in out.columns
             else F.col("_prediction"))
@@ -191,7 +211,7 @@ def _exists_model(model: PipelineModel, path: str) -> bool:
 
 
 def load_model(spark: SparkSession, path: str):
-    model = PipelineModel.load(f"{path}/model")
+    model = _loaded(spark, f"{path}/model")
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     return model, meta["features"], {k: tuple(v) for k, v in meta["scaler"].items()}
 
@@ -261,7 +281,9 @@ def smote(df: DataFrame, features: str, label: str, key_cols: list[str], *, mino
            .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))))
     among = F.greatest(F.coalesce(F.size("_near"), F.lit(1)), F.lit(1))
     chosen = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "_id", F.col("_c").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), among)
-    syn = syn.withColumns({"_to": F.get("_near", chosen.cast("int")), "_u": seeded_unit([F.col("_id"), F.col("_c")], seed + 1)})
+    # exploded, as a plain column would be put into the lambda below and be hashed again for every component
+    syn = (syn.withColumn("_to", F.get("_near", chosen.cast("int")))
+           .withColumn("_u", F.explode(F.array(seeded_unit([F.col("_id"), F.col("_c")], seed + 1)))))
     # a row without another one is copied as it is, so that parity holds
     syn = syn.withColumns({"_nv": F.coalesce("_to._nv", features), "_nb_key": F.col("_to._nb_key")})
     lab_type = df.schema[label].dataType

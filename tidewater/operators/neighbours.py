@@ -31,6 +31,7 @@ SAMPLE_VALUES = 1 << 22  # components of the rows that centres are fitted on
 BUNDLE_ROWS = 131072    # rows of neighbouring cells that one task holds
 VISIT_ROWS = 262144     # visitors of a bundle that one task compares
 STRIP = 1024            # visitors per matrix product
+BOUND_VALUES = 65536    # rows times cells whose bounds are worked out at once: the arrays stay in a core's cache
 PIECE = 4096            # rows of a cell per matrix product
 BOX_DIMENSIONS = 32     # longer vectors have no coordinate ranges per cell
 _SLACK = 1e-6           # rounding allowed for in lower bounds, as a share of the largest coordinate length
@@ -86,8 +87,18 @@ def far_apart(centre: np.ndarray, n: int) -> np.ndarray:
     return centre[chosen]
 
 
-def lower_bounds(rows: np.ndarray, home: np.ndarray, cells: Cells, some: np.ndarray | None = None) -> np.ndarray:
-    """Rows x cells (or ``some`` of them): no row of the cell is nearer than this (less rounding); infinite for cells without rows."""
+def lower_bounds(rows: np.ndarray, home: np.ndarray, cells: Cells, some: np.ndarray | None = None, reach: np.ndarray | None = None) -> np.ndarray:
+    """Rows x cells (or ``some`` of them): no row of the cell is nearer than this (less rounding); infinite for cells without rows.
+
+    A cell that is beyond a row's ``reach`` by its centre alone need not get a sharper bound.
+    """
+    number = len(cells.centre) if some is None else len(some)
+    step = max(16, BOUND_VALUES // max(1, number))
+    if len(rows) > step:
+        out = np.empty((len(rows), number))
+        for lo in range(0, len(rows), step):
+            out[lo:lo + step] = lower_bounds(rows[lo:lo + step], home[lo:lo + step], cells, some, None if reach is None else reach[lo:lo + step])
+        return out
     pick = (lambda x: x) if some is None else (lambda x: x[some])
     centre, radius = pick(cells.centre), pick(cells.radius)
     square = _square(rows, centre)
@@ -98,6 +109,25 @@ def lower_bounds(rows: np.ndarray, home: np.ndarray, cells: Cells, some: np.ndar
     np.maximum(bound, (square - own) / (2.0 * apart), out=bound)
     to_pivot = np.sqrt(_square(rows, cells.pivot))
     low, high = pick(cells.low), pick(cells.high)
+    if reach is not None:
+        far = reach + _SLACK * cells.scale
+        i, c = np.nonzero(bound <= far[:, None])
+        if 4 * len(i) < bound.size:  # few are left: theirs only
+            near = bound[i, c]
+            for j in range(len(cells.pivot)):
+                away = to_pivot[i, j]
+                np.maximum(near, low[c, j] - away, out=near)
+                np.maximum(near, away - high[c, j], out=near)
+            if cells.least is not None:
+                least, most, off = pick(cells.least), pick(cells.most), np.zeros(len(i))
+                for j in range(rows.shape[1]):
+                    x = rows[i, j]
+                    out = np.maximum(np.maximum(least[c, j] - x, x - most[c, j]), 0.0)
+                    off += out * out
+                np.maximum(near, np.sqrt(off), out=near)
+            bound[i, c] = near
+            bound[:, radius < 0] = np.inf
+            return bound
     for j in range(len(cells.pivot)):
         np.maximum(bound, low[None, :, j] - to_pivot[:, j:j + 1], out=bound)
         np.maximum(bound, to_pivot[:, j:j + 1] - high[None, :, j], out=bound)
@@ -211,13 +241,14 @@ def _visits(bounded: DataFrame, cells: Cells, bundle: np.ndarray, held: dict[int
     size = np.array([held.get(c, 0) for c in range(len(bundle))])
     order = np.argsort(bundle, kind="stable")
     number, first = np.unique(bundle[order], return_index=True)
+    strip = max(16, min(STRIP, 4 * BOUND_VALUES // len(bundle)))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, STRIP):
-                part = batch.slice(lo, STRIP)
+            for lo in range(0, batch.num_rows, strip):
+                part = batch.slice(lo, strip)
                 home, reach = part.column("cell").to_numpy(), part.column("reach").to_numpy()
-                bound = lower_bounds(_vectors(part.column("v")), home, cells)
+                bound = lower_bounds(_vectors(part.column("v")), home, cells, reach=reach)
                 # an unbounded reach does not take a row to cells without rows
                 goes = ((bound <= (reach + _SLACK * cells.scale)[:, None]) & np.isfinite(bound))[:, order]
                 n = np.add.reduceat(goes, first, axis=1, dtype=np.int32)
@@ -264,7 +295,7 @@ def _compared(visitors: DataFrame, residents: DataFrame, key: list[str], id_type
             mine, here, want, home_here = (x[lo:lo + STRIP] for x in (rows, self_at, need, home))
             far = reach[lo:lo + STRIP].copy()
             norm = (mine * mine).sum(1)
-            bound = lower_bounds(mine, home_here, cells, some)
+            bound = lower_bounds(mine, home_here, cells, some, far)
             best, fresh = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), 0
             # the cells that are nearest for most rows first
             for c in np.argsort(np.minimum(bound, cells.scale * 4).sum(0), kind="stable"):

@@ -8,7 +8,6 @@ import time
 from pyspark.sql import functions as F
 
 from tidewater.operators import curation, ml, registry
-from tidewater.operators.common import spread
 from tidewater.operators.neighbours import nearest_neighbours
 from tidewater.plans import views as V
 from tidewater.plans.oracles import with_views
@@ -73,7 +72,10 @@ FILE_ROWS = 65536  # rows in a file of what the forest reads: a few tasks may wr
 def training_frame(spark, sf):
     """The training job's preparation, in one lineage: rename, time parts,
     seeded surrogates, drop nulls, log amount, night/weekend flags."""
-    df = curation.map_columns(spread(V.tx_signal_v(spark, sf), spark.sparkContext.defaultParallelism))
+    df = V.tx_signal_v(spark, sf)
+    if (tasks := V.wide(spark, sf, "lineitem")):  # few files: dealt by a hash of the row, which sorts nothing
+        df = df.repartition(tasks, *df.columns)
+    df = curation.map_columns(df)
     df = curation.add_time_parts(df, "Time")
     df = curation.add_surrogates(df, ["id"], seed=ml.SEED)
     df = curation.drop_any_null(df)
@@ -85,11 +87,12 @@ def train(spark, sf):
     """Train on the data folder; returns (path, hold-out AUC row, balanced training rows, split)."""
     started = int(time.time() * 1000)
     # the prepared frame feeds the scaler fit, SMOTE and the hold-out
-    # scoring: write it once instead of recomputing it for each
+    # scoring: write it once, with the side of the split that each row is
+    # on, instead of recomputing it for each
     with interim(spark, "training_frame"):
-        df = materialize(training_frame(spark, sf), "training_frame", file_rows=FILE_ROWS)
-    feats = [c for c in ml.feature_columns(df) if c != "id"]
-    split = ml.stratified_split(df, ["id"], label="is_fraud")
+        prepared = training_frame(spark, sf)
+        split = materialize(ml.stratified_split(prepared, ["id"], label="is_fraud"), "training_frame", file_rows=FILE_ROWS)
+    feats = [c for c in ml.feature_columns(prepared) if c != "id"]
     train_df = split.where(F.col("split") == "train")
     test_df = split.where(F.col("split") == "test")
     params = ml.scaler_params(ml.fit_scaler(train_df, feats), feats)
